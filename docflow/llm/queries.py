@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docflow.llm.exact_dedup import exact_dedup
+from docflow.llm.license_scan import license_scan
 from docflow.llm.minhash_dedup import near_duplicates
 from docflow.llm.packing import pack_documents
+from docflow.llm.quality_classifier import quality_scores
+from docflow.llm.quality_rules import quality_rules
+from docflow.llm.sentence_pieces import round_trip
+from docflow.llm.sharding import shard_documents
 from docflow.llm.substring_dedup import substring_dedup
 from docflow.llm.token_files import read_tokens, token_checksums, token_folder, write_token_files
 
@@ -18,6 +22,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)
     write_token_files(_documents(spark, sf_dir), folder)
@@ -28,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -36,17 +52,30 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir)).drop("char_distance", "word_distance")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op5_sentence_pieces": op5_sentence_pieces,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
