@@ -13,6 +13,7 @@ from docflow.llm.common import materialize
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.minhash_dedup import near_duplicates
 from docflow.llm.packing import pack_documents
+from docflow.llm.quality_rules import quality_rules
 from docflow.llm.substring_dedup import substring_dedup
 
 
@@ -22,6 +23,10 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, quality_rules(docs))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, exact_dedup(docs))
 
@@ -40,6 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality),
     ("exact_dedup", exact),
     ("near_dedup", near),
     ("substring_dedup", substrings),
