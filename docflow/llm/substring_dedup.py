@@ -2,7 +2,7 @@
 
 A window of 20 consecutive words is removed wherever its word sequence also
 starts earlier (in a document with a smaller ``doc_id``, or earlier in the same
-one).  Windows are named by 128-bit Rabin-Karp hashes and counted in Spark; the
+one).  Windows are named by 96 bits of two Rabin-Karp hashes and counted in Spark; the
 repeated ones of a document merge into maximal intervals, whose words go.
 
 Two exact reductions keep the counted windows far fewer than the words:
@@ -112,7 +112,7 @@ def _windows(width: int, gram: int):
                 a, b = order[:-1], order[1:]
                 again[b] = (first[a] == first[b]) & (second[a] == second[b]) & (owner[a] == owner[b])
                 keys = np.asarray(part.column(1))[owner]
-                columns = [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(keys, pa.int64()), pa.array((starts - begins[owner]).astype(np.int32)), pa.array(again)]
+                columns = [pa.array(first.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys, pa.int64()), pa.array((starts - begins[owner]).astype(np.int32)), pa.array(again)]
                 yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "dkey", "start", "again"])
 
     return run
@@ -132,18 +132,19 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     classes = materialize(classes.withColumn("dkey", F.monotonically_increasing_id()), "op9-classes")
     own_id = F.coalesce("doc_id", F.lit(-(2**63)))
     copies = seen.join(classes, "words").where(own_id > F.col("lowest")).select("doc_id", "words", F.lit(None).cast("array<int>").alias("starts"))
+    copies = materialize(copies, "op9-copies")
     ours = seen.join(classes, "words").where(own_id == F.col("lowest"))
     marks = ours.select("dkey", F.explode("marks").alias("mark"))
     repeated = marks.groupBy("mark").count().where("count > 1").select("mark")
     held = marks.join(repeated, "mark").groupBy("dkey").agg(F.collect_set("mark").alias("marks"))
     original = F.when(F.col("lowest") > -(2**63), F.col("lowest")).alias("doc_id")
     held = materialize(held.join(classes, "dkey").select(original, "words", "dkey", "marks"), "op9-held")
-    release(spark)
     # The words' digest is looked at only where a doc_id has several texts.
     several = seen.groupBy("doc_id").agg(F.count_distinct("words").alias("n")).where("n > 1").limit(1).count() > 0
+    release(spark, seen)
     digest = F.col("words") if several else F.lit(None).cast("binary")
     both = texts.withColumnRenamed("doc_id", "t_id").join(held, F.col("t_id").eqNullSafe(F.col("doc_id")))
-    windows = both.select("text", "dkey", "marks", digest.alias("words")).mapInArrow(_windows(width, gram), "h1 long, h2 long, dkey long, start int, again boolean")
+    windows = both.select("text", "dkey", "marks", digest.alias("words")).mapInArrow(_windows(width, gram), "h1 long, h2 int, dkey long, start int, again boolean")
     windows = materialize(windows, "op9-windows")
     release(spark)
     once = windows.where("not again")
