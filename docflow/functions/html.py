@@ -1,0 +1,154 @@
+"""HTML pages: metadata, Markdown and mined tests."""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+_SUP = str.maketrans("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ")
+_SUB = str.maketrans("0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎")
+_VOID = {"br", "img", "hr", "meta", "link", "input", "source", "col"}
+_SKIP = {"script", "style", "head"}
+_BLOCK = {"p", "div", "section", "article", "li", "ul", "ol", "table", "blockquote", "header", "footer", "main", "body", "pre", "figure", "tr"}
+
+
+class _Walker(HTMLParser):
+    """Text outside skipped elements as Markdown, and what the page is made of."""
+
+    def __init__(self, drop: set[str]):
+        super().__init__(convert_charrefs=True)
+        self.drop = drop | _SKIP
+        self.out: list[str] = []
+        self.stack: list[str] = []
+        self.dropped = 0
+        self.language: str | None = None
+        self.table_chars = self.text_chars = self.images = 0
+        self.raw_table: list[str] | None = None
+        self.parts: dict[str, list[str]] = {"header": [], "footer": []}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        given = dict(attrs)
+        if tag == "html" and given.get("lang"):
+            self.language = given["lang"].split("-")[0].lower()
+        if tag == "img":
+            self.images += 1
+        if tag not in _VOID:
+            self.stack.append(tag)
+        if tag in self.drop and tag not in _VOID:
+            self.dropped += 1
+            return
+        if self.dropped:
+            return
+        if tag == "table" and self.raw_table is None:
+            self.raw_table = []
+        if self.raw_table is not None:
+            self.raw_table.append(self.get_starttag_text() or "")
+        elif m := re.fullmatch(r"h([1-6])", tag):
+            self.out.append("\n\n" + "#" * int(m[1]) + " ")
+        elif tag == "li":
+            self.out.append("\n- ")
+        elif tag == "br":
+            self.out.append("\n")
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in ("i", "em"):
+            self.out.append("*")
+        elif tag in _BLOCK:
+            self.out.append("\n\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.stack:
+            while self.stack and self.stack.pop() != tag:
+                pass
+        if tag in self.drop:
+            self.dropped = max(0, self.dropped - 1)
+            return
+        if self.dropped:
+            return
+        if self.raw_table is not None:
+            self.raw_table.append(f"</{tag}>")
+            if tag == "table" and "table" not in self.stack:
+                self.out.append("\n\n" + "".join(self.raw_table) + "\n\n")
+                self.raw_table = None
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in ("i", "em"):
+            self.out.append("*")
+        elif tag in _BLOCK or re.fullmatch(r"h[1-6]", tag):
+            self.out.append("\n\n")
+
+    def handle_data(self, data: str) -> None:
+        if "sup" in self.stack:
+            data = data.translate(_SUP)
+        elif "sub" in self.stack:
+            data = data.translate(_SUB)
+        for part, held in self.parts.items():
+            if part in self.stack:
+                held.append(data)
+        if any(s in self.stack for s in _SKIP):
+            return
+        n = len(data.strip())
+        self.text_chars += n
+        self.table_chars += n if "table" in self.stack else 0
+        if self.dropped:
+            return
+        (self.raw_table if self.raw_table is not None else self.out).append(data)
+
+
+def walk(html: str | None, drop: set[str] = frozenset()) -> _Walker:
+    walker = _Walker(set(drop))
+    walker.feed(html or "")
+    walker.close()
+    if walker.raw_table:
+        walker.out.append("".join(walker.raw_table))
+    return walker
+
+
+def metadata(html: str | None) -> dict:
+    """Language without its region, and whether tables or images (500 characters each) make up most of the page."""
+    w = walk(html)
+    total = w.text_chars + 500 * w.images
+    return {"primary_language": w.language or "en", "is_table": total > 0 and w.table_chars / total > 0.5, "is_diagram": total > 0 and 500 * w.images / total > 0.5}
+
+
+def to_markdown(html: str | None) -> str:
+    """Markdown without header and footer; tables stay HTML."""
+    text = "".join(walk(html, {"header", "footer"}).out)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r" ?\n ?", "\n", text))).strip()
+
+
+def to_page(html: str | None) -> str:
+    """The Markdown behind front matter."""
+    m = metadata(html)
+    return f"---\nprimary_language: {m['primary_language']}\nis_rotation_valid: True\nrotation_correction: 0\nis_table: {m['is_table']}\nis_diagram: {m['is_diagram']}\n---\n{to_markdown(html)}"
+
+
+def mine_tests(html: str | None, page: str) -> list[dict]:
+    """Tests that the page's Markdown must pass: absent header and footer texts, cells with neighbours, sentences in order."""
+    from docflow.functions.tables import html_tables
+
+    w, text = walk(html), to_markdown(html)
+    tests: list[dict] = []
+
+    def add(kind: str, **fields: str | None) -> None:
+        values = [v for v in fields.values() if v]
+        if all(re.search(r"[^\W_]", v) and not re.search(r"\\[(\[]|\$|[⁰-₟²³¹]", v) for v in values):
+            row = {"pdf": page, "type": kind, "text": None, "before": None, "after": None, "cell": None, "right": None, "down": None} | fields
+            if row not in tests:
+                tests.append(row)
+
+    for part in w.parts.values():
+        for piece in dict.fromkeys(" ".join(x.split()) for x in part):
+            if len(piece) > 3 and piece not in text:
+                add("absent", text=piece)
+    for grid in html_tables(html or ""):
+        for r, row in enumerate(grid.cells):
+            for k, cell in enumerate(row):
+                right, down = row[k + 1] if k + 1 < len(row) else "", grid.cells[r + 1][k] if r + 1 < len(grid.cells) else ""
+                if cell and (right or down):
+                    add("table", cell=cell, right=right or None, down=down or None)
+    plain = re.sub(r"(?s)<table.*?</table>", " ", text)
+    said = [s.strip() for s in re.split(r"(?<=[.!?])\s+", plain) if len(s.strip()) >= 10]
+    for before, after in list(zip(said[::2], said[1::2], strict=False))[:5]:
+        add("order", before=before, after=after)
+    return [t | {"id": f"{page}_{t['type']}_{n:02d}"} for n, t in enumerate(tests)]
