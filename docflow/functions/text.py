@@ -208,7 +208,7 @@ def harvest_tex_math(text: Column) -> Column:
 
 def normalize_latex_brackets(text: Column) -> Column:
     """$$..$$ becomes \\[..\\] and $..$ becomes \\(..\\)."""
-    return replace_all(text, (r"(?s)\$\$(.+?)\$\$", r"\\\\[$1\\\\]"), (r"(?s)(?<!\\)\$([^$]+?)\$", r"\\\\($1\\\\)"))
+    return replace_all(text, (r"(?s)\$\$(.+?)\$\$", r"\\[$1\\]"), (r"(?s)(?<!\\)\$([^$]+?)\$", r"\\($1\\)"))
 
 
 def parse_front_matter(text: Column) -> Column:

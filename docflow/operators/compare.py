@@ -140,7 +140,7 @@ def medoid(df: DataFrame, group: str, key: str, text: str, least: int = 2) -> Da
     sized = df.join(df.groupBy(group).count().where(F.col("count") >= least).select(group), group)
     a, b = sized.alias("a"), sized.select(F.col(group).alias("g2"), F.col(key).alias("k2"), F.col(text).alias("t2")).alias("b")
     d = F.levenshtein(F.col(text), F.col("t2")) / F.greatest(F.length(text), F.length("t2"), F.lit(1))
-    means = a.join(b, (F.col(group) == F.col("g2")) & (F.col(key) != F.col("k2"))).groupBy(group, key).agg(F.avg(d).alias("mean"))
+    means = a.join(b, (F.col(group) == F.col("g2")) & (F.col(key) != F.col("k2"))).groupBy(group, key).agg(F.round(F.avg(d), 9).alias("mean"))  # equal up to the order of additions is equal
     return means.groupBy(group).agg(F.min(F.struct("mean", key)).alias("m")).select(group, F.col(f"m.{key}").alias(key), F.col("m.mean").alias("mean_distance"))
 
 

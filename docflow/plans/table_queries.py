@@ -516,7 +516,7 @@ def _(t):
     return C.bootstrap_elo(VOTES, t.spark, 200).orderBy(F.desc("mean"))
 
 
-MED = "WITH a AS (SELECT conv_id, turn, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) AS x FROM conversations), d AS (SELECT p.conv_id, p.turn, avg(levenshtein(p.x, q.x) / greatest(length(p.x), length(q.x), 1)) AS m FROM a p JOIN a q ON p.conv_id = q.conv_id AND p.turn <> q.turn GROUP BY 1, 2) SELECT conv_id, arg_min(turn, (m, turn)) AS turn, round(min(m), 6) AS mean_distance FROM d GROUP BY 1"
+MED = "WITH a AS (SELECT conv_id, turn, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) AS x FROM conversations), d AS (SELECT p.conv_id, p.turn, round(avg(levenshtein(p.x, q.x) / greatest(length(p.x), length(q.x), 1)), 9) AS m FROM a p JOIN a q ON p.conv_id = q.conv_id AND p.turn <> q.turn GROUP BY 1, 2) SELECT conv_id, arg_min(turn, (m, turn)) AS turn, round(min(m), 6) AS mean_distance FROM d GROUP BY 1"
 
 
 @query("agg_41_medoid", MED)

@@ -66,7 +66,7 @@ page_query("str_23_extract_formulas", lambda c: F.array_join(X.extract_formulas(
 page_query("str_24_parse_markdown", lambda c: F.concat_ws("#", F.size(X.parse_markdown(c)["tables"]).cast("string"), X.parse_markdown(c)["table_type"], F.length(X.parse_markdown(c)["text"]).cast("string")), r"'1#html#' || length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[.*?\]\(.*?\)', '', 'g'), '(?is)<table.*?</table>', '', 'g'), '\n{2,}', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'))")
 page_query("str_25_harvest_equations", lambda c: F.array_join(X.harvest_equations(c), "|"), "'y=' || n_chars || '|z|x_' || doc_id")
 page_query("str_26_harvest_tex_math", lambda c: F.array_join(X.harvest_tex_math(c), "|"), "'y=' || n_chars || '|x_' || doc_id || '|z'")
-page_query("str_27_latex_brackets", X.normalize_latex_brackets, r"regexp_replace(regexp_replace(md, '(?s)\$\$(.+?)\$\$', '\\\\[\1\\\\]', 'g'), '(?s)\$([^$]+?)\$', '\\\\(\1\\\\)', 'g')")
+page_query("str_27_latex_brackets", X.normalize_latex_brackets, r"regexp_replace(regexp_replace(md, '(?s)\$\$(.+?)\$\$', '\\[\1\\]', 'g'), '(?s)\$([^$]+?)\$', '\\(\1\\)', 'g')")
 page_query("str_29_bbox_tokens", X.bbox_tokens, "replace(replace(md, '<!-- bbox:', '<|bbox_start|>'), '-->', '<|bbox_end|>')")
 page_query("str_33_cap_split", lambda c: X.cap_split(c, 100), r"regexp_replace(left(md, 47), '\s+\S*$', '') || ' ... ' || regexp_replace(right(md, 47), '^\S*\s+', '')")
 page_query("str_34_clean_element", X.clean_element, r"replace(replace(replace(replace(regexp_replace(md, '^\s+|\s+$', '', 'g'), '[', '\['), ']', '\]'), chr(10), '\n'), chr(13), '\r')")
