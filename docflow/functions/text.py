@@ -238,7 +238,7 @@ def update_rotation(text: Column, angle: Column) -> Column:
 def cap_split(text: Column, limit: int) -> Column:
     """Head and tail of a long text, both cut between words, around an ellipsis."""
     half = limit // 2 - 3
-    head = F.regexp_replace(F.left(text, F.lit(half)), r"\s+\S*$", "")
+    head = F.regexp_replace(F.left(text, F.lit(half)), r"\s+\S*\z", "")
     tail = F.regexp_replace(F.right(text, F.lit(half)), r"^\S*\s+", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(head, F.lit(" ... "), tail))
 

@@ -535,7 +535,7 @@ def _(t):
 def _(t):
     rows = t.conversations.select("conv_id", "turn", F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(30)).alias("x"))
     other = rows.select("conv_id", c("turn").alias("t2"), c("x").alias("y"))
-    d = rows.join(other, "conv_id").where("turn != t2").groupBy("conv_id", "turn").agg(F.avg(X.normalized_levenshtein(c("x"), c("y"))).alias("m"))
+    d = rows.join(other, "conv_id").where("turn != t2").groupBy("conv_id", "turn").agg(F.round(F.avg(X.normalized_levenshtein(c("x"), c("y"))), 9).alias("m"))
     return d.select("conv_id", "turn", F.round(1 - c("m") / F.greatest(F.max("m").over(Window.partitionBy("conv_id")), F.lit(1e-9)), 6).alias("reward"))
 
 

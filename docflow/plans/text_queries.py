@@ -235,7 +235,7 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", P.trailing_repeats(F.col("text")).alias("repeats"))
 
 
-@query("flt_15_ngram_accept", "SELECT doc_id, regexp_full_match(g, '[A-Za-z0-9.,!?() ]+') AND length(trim(g)) > 9 AS ok FROM (SELECT doc_id, left(text, 30) AS g FROM documents)")
+@query("flt_15_ngram_accept", r"SELECT doc_id, regexp_full_match(g, '[A-Za-z0-9.,!?() ]+\n?') AND length(trim(g)) > 9 AS ok FROM (SELECT doc_id, left(text, 30) AS g FROM documents)")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", P.ngram_acceptable(F.left("text", F.lit(30)), 3).alias("ok"))
 
