@@ -16,6 +16,7 @@ ALNUM = r"[\p{L}\p{N}]"
 FOLD_FROM = "‘’‚“”„＿–—‑‒−\u00b5"
 FOLD_TO = "'''\"\"\"_-----\u03bc"
 
+# The marks of the page formats that are read here.
 IMAGE = r"!\[.*?\]\(.*?\)"
 HTML_TABLE = r"(?is)<table.*?</table>"
 TAGGED_TABLE = r"(?is)<POSICUBE_TABLE_KV>.*?</POSICUBE_TABLE_KV>"

@@ -127,7 +127,7 @@ def _(t):
     return scored.agg(F.round(F.sum("a") / n(), 6).alias("by_page"), F.round(F.sum(c("a") * c("size")) / F.sum("size"), 6).alias("by_char"))
 
 
-@query("pip_12_ext_31_33_head_to_head", "SELECT * FROM (VALUES ('gotocr', 'mineru', 37, 38), ('gotocr', 'own', 29, 41), ('gotocr', 'marker', 25, 45), ('marker', 'mineru', 53, 26), ('marker', 'own', 31, 49), ('mineru', 'own', 20, 71)) v(first, second, wins, losses)")
+@query("pip_12_ext_31_33_head_to_head", "SELECT * FROM (VALUES ('a', 'c', 37, 38), ('a', 'd', 29, 41), ('a', 'b', 25, 45), ('b', 'c', 53, 26), ('b', 'd', 31, 49), ('c', 'd', 20, 71)) v(first, second, wins, losses)")
 def _(t):
     votes = t.spark.createDataFrame(VOTES, "a string, b string, wins int, losses int")
     swap = c("a") > c("b")
