@@ -9,7 +9,7 @@ A template counts when the agreeing words carry enough of its weight and its
 mandatory phrases stand at that position.
 
 All is done with DataFrame functions.  One pass over the texts keeps, for each
-document, only the places of template words; the rest works on those.  The
+document, only the places of indexed words; the rest works on those.  The
 templates and their words are a fixed table, so what is broadcast is bounded.
 
 Defined results: a null text counts as empty.  Rows are judged one by one, so
@@ -54,6 +54,15 @@ TEMPLATES = [
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
 
+# Template words too common to be looked up.  They are not in the index;
+# their places count only beside an indexed word, to verify phrases.
+COMMON = [
+    "0", "1", "2", "3", "4", "a", "all", "and", "any", "are", "by", "following", "for", "form", "forms", "in", "is", "of", "or", "that",
+    "the", "this", "to", "under", "use", "v", "with", "without",
+]
+#: Words on either side of an indexed word in which common ones are kept.
+REACH = 2
+
 #: Template words looked up in one document: those with the highest IDF.
 RARE_WORDS = 8
 #: Part of a template's weight that words at one relative position must carry.
@@ -61,24 +70,35 @@ COVERAGE = 0.6
 
 
 def _table() -> list[tuple[int, str, str, int]]:
-    """(template, label, word, position) of every template word."""
-    return [(t, label, w, p) for t, (label, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split())]
+    """(template, label, word, position) of every indexed template word."""
+    return [(t, label, w, p) for t, (label, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w not in COMMON]
 
 
 def _vocabulary() -> list[str]:
-    return sorted({w for _, _, w, _ in _table()} | {w for phrase in BASE for w in phrase.split()})
+    return sorted({w for _, _, w, _ in _table()} | {w for phrase in BASE for w in phrase.split() if w not in COMMON})
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_words and hits: (place, word) of every template word, in order."""
+    """doc_id, row, n_words and hits: (place, word) of every indexed word and of common ones beside them, in order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # lower() may fold characters beyond ASCII onto template words, so the few found are held against A-Z only.
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     vocabulary = _vocabulary()
-    hits = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(F.lower(w).isin(vocabulary), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+
+    def hits(ws: Column) -> Column:
+        rare = lambda w: F.coalesce(F.lower(w).isin(vocabulary), F.lit(False))
+
+        def wanted(w: Column, i: Column) -> Column:
+            beside = F.lit(False)
+            for k in range(1, REACH + 1):
+                beside = beside | rare(F.get(ws, i - k)) | rare(F.get(ws, i + k))
+            return F.when(F.lower(w).isin(vocabulary), True).when(F.lower(w).isin(COMMON), beside).otherwise(False)
+
+        return F.filter(F.transform(ws, lambda w, i: F.when(wanted(w, i), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+
     both = let(found, lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), hits(ws).alias("hits")))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), both.alias("found"))
-    exact = F.filter(F.transform("found.hits", lambda x: F.struct(x["at"].cast("long").alias("at"), ascii_lower(x["word"]).alias("word"))), lambda x: x["word"].isin(vocabulary))
+    exact = F.filter(F.transform("found.hits", lambda x: F.struct(x["at"].cast("long").alias("at"), ascii_lower(x["word"]).alias("word"))), lambda x: x["word"].isin(vocabulary + COMMON))
     return rows.select("doc_id", "row", "found.n_words", exact.alias("hits"))
 
 
@@ -100,6 +120,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: base counts and labels, the method's labels and score."""
     spark = docs.sparkSession
     rows = materialize(places(docs), "op2-places")
+
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(_starts(F.col("hits"), phrase), lambda at: F.struct(at.alias("at"), F.lit(label).alias("label")))
 
@@ -108,21 +129,23 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # IDF over all documents; one row a template word.
     words = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    table = spark.createDataFrame(_table(), "template int, label string, word string, position int")
-    idf = table.select("word").distinct().join(counts, "word", "left").crossJoin(n)
-    idf = idf.select("word", F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + F.lit(0.5))).alias("idf"))
+    n = rows.count()
+    entry = lambda t, label, w, p: F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.lit(w).alias("word"), F.lit(p).alias("position"))
+    table = spark.range(1).select(F.inline(F.array(*[entry(*row) for row in _table()])))
+    idf = table.select("word").distinct().join(counts, "word", "left")
+    idf = idf.select("word", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + F.lit(0.5))).alias("idf"))
     index = materialize(table.join(idf, "word").withColumn("idf", F.greatest("idf", F.lit(1e-6))), "op2-index")
     weights = index.groupBy("template").agg(F.sum("idf").alias("weight"))
     # The words looked up: the rarest kinds in each document.
     kinds = index.select("word", "idf").distinct()
     ranked = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))
-    own = rows.where(F.size("hits") > 0).select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word"))
+    rows_hit = rows.where(F.size("hits") > 0)
+    own = rows_hit.select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word"))
     rare = own.join(F.broadcast(kinds), "word").withColumn("rank", ranked).where(F.col("rank") <= RARE_WORDS)
     rare = rare.groupBy("row").agg(F.collect_set("word").alias("rare"))
     # Postings at a relative position: the rare words name candidates, all words of the template then vote there.
     postings = F.broadcast(index.select("template", "label", "word", "position", "idf"))
-    placed = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
+    placed = rows_hit.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
     votes = placed.join(postings, "word").select("row", "template", "label", "word", (F.col("at") - F.col("position")).alias("begin"), "position", "idf")
     votes = votes.join(rare, "row").withColumn("is_rare", F.array_contains("rare", F.col("word")))
     agreed = votes.groupBy("row", "template", "label", "begin").agg(F.sum("idf").alias("got"), F.max("is_rare").alias("named"))
