@@ -16,6 +16,9 @@ from docflow.llm.packing import pack_documents
 from docflow.llm.quality_rules import quality_rules
 from docflow.llm.substring_dedup import substring_dedup
 
+#: Percent of their 5-word shingles that near copies share at least.
+NEAR_PERCENT = 80
+
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is among ``kept``."""
@@ -32,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_duplicates(docs))
+    return _only(docs, near_duplicates(docs, NEAR_PERCENT))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A document's set is its distinct 5-word shingles.  Its sketch has 256 buckets; a
 shingle's hash picks the bucket, and the bucket keeps its smallest remaining hash
 in 16 bits: the count of leading zeros (6 bits) and the mantissa bits that follow
-(10).  Empty buckets borrow from a bucket that the document fills.  Six registers
-in a row form a band.
+(10).  Empty buckets borrow from a bucket that the document fills.  Some registers
+in a row form a band: six at a threshold of 0.85, five at 0.80.
 
 1. Documents with equal words form a class; one row a class takes part.
 2. Classes that share a band are candidates.  A band's *star* is the member whose
@@ -20,7 +20,7 @@ in a row form a band.
 5. Components come from label propagation over confirmed links.
 
 No bucket is cut short.  Two sets at the threshold share no band with a
-probability of about (1 - 0.85**6)**42 = 2e-9.
+probability of about (1 - 0.85**6)**42 = 2e-9, or (1 - 0.80**5)**51 = 2e-9.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 texts with fewer than five words have the whole sequence as their one shingle.  A
@@ -46,14 +46,20 @@ from docflow.llm.wordhash import buffers, groups, lists, mix, whole_windows, win
 
 SHINGLE = 5
 BUCKETS = 256
-BAND = 6
 MANTISSA = 10
-#: Percent of the union that the intersection must reach.
+#: Percent of the union that the intersection must reach, where the caller names none.
 THRESHOLD = 85
+#: Chance at most that two sets at the threshold share no band.
+MISS = 2.5e-9
 #: Standard errors that a sketch estimate may lie below the threshold.
 ERRORS = 6
 
 
+def band_rows(threshold: int = THRESHOLD) -> int:
+    """Registers in a band: as many as the chance of a miss allows."""
+    return max([1] + [r for r in range(1, BUCKETS + 1) if (1 - (threshold / 100) ** r) ** (BUCKETS // r) <= MISS])
+
+
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     (words,), begins = word_hashes(texts, lower=True)
@@ -96,10 +102,10 @@ def sketch(shingles: np.ndarray, buckets: int = BUCKETS, mantissa: int = MANTISS
 
 #: For each bucket, the order in which it looks at others when it is empty.
 _BORROW = np.random.default_rng(7).integers(0, BUCKETS, (64, BUCKETS))
-_MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_keys(registers: np.ndarray, band: int = band_rows()) -> np.ndarray:
     """One key a band; empty registers take the value of another bucket first."""
     if not registers.any():
         return np.zeros(0, np.int64)
@@ -111,12 +117,12 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
         full[empty] = registers[row[empty]]
     if not full.all():
         full[full == 0] = full[full > 0].min()
-    n = len(full) // BAND
-    rows = mix(full[: n * BAND].reshape(n, BAND) * _MULTIPLIERS)
+    n = len(full) // band
+    rows = mix(full[: n * band].reshape(n, band) * _MULTIPLIERS[:band])
     return mix(rows.sum(1, dtype=np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
+def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of sketch rows, and their standard errors at the threshold.
 
     Two different least hashes share a register with a probability of about
@@ -127,11 +133,11 @@ def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> tuple[np
     chance = 2.0**-mantissa / 3
     n = np.maximum(either, 1)
     found = np.clip((both / n - chance) / (1 - chance), 0, 1)
-    t = THRESHOLD / 100
+    t = threshold / 100
     return found, np.sqrt(t * (1 - t) / n)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], band: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in groups(batch.column(1)):
             texts = batch.column(1)[lo:hi]
@@ -143,7 +149,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [batch.column(0)[lo:hi], pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())]
             bands = []
             for r in rows:
-                bands.append(band_keys(r))
+                bands.append(band_keys(r, band))
             yield pa.RecordBatch.from_arrays([*columns, lists(bands, pa.int64())], ["doc_id", "node", "n_shingles", "sketch", "bands"])
 
 
@@ -154,19 +160,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists([s.view(np.int64) for s in sets], pa.int64())], ["node", "shingles"])
 
 
-@F.arrow_udf(T.BooleanType())
-def _allowed(a: pa.Array, b: pa.Array) -> pa.Array:
+def _allowed(a: str, b: str, threshold: int) -> Column:
     """Whether two sketches may belong to sets at the threshold."""
-    if not len(a):
-        return pa.array([], pa.bool_())
-    one, two = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(len(x), -1) for x in (a, b))
-    found, error = estimate(one, two)
-    return pa.array(found + ERRORS * error >= THRESHOLD / 100)
 
+    @F.arrow_udf(T.BooleanType())
+    def allowed(a: pa.Array, b: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.bool_())
+        one, two = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(len(x), -1) for x in (a, b))
+        found, error = estimate(one, two, threshold=threshold)
+        return pa.array(found + ERRORS * error >= threshold / 100)
+
+    return allowed(a, b)
 
-def _sizes_allow(a: Column, b: Column) -> Column:
+
+def _sizes_allow(a: Column, b: Column, threshold: int) -> Column:
     """Sets of such sizes can reach the threshold at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
 def _sets_for(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,7 +222,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _further_pairs(checked: DataFrame, labels: DataFrame) -> DataFrame:
+def _further_pairs(checked: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of members of one star that may link and are in different components."""
     own = labels.toDF("node", "comp")
     star = labels.toDF("star", "star_comp")
@@ -224,25 +234,29 @@ def _further_pairs(checked: DataFrame, labels: DataFrame) -> DataFrame:
     busy = placed.groupBy("star").agg(F.count(F.lit(1)).alias("m"), F.max("outside").alias("any")).where("m > 1 and any").select("star")
     placed = materialize(placed.join(busy, "star").select("star", "node", "comp", "outside", "n", "extra", "lost", "fresh"), "op7-placed")
     sides = [placed.select("star", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("outside").alias(f"o{x}"), F.col("n").alias(f"n{x}"), F.col("extra").alias(f"e{x}"), F.col("lost").alias(f"l{x}"), "fresh") for x in "ab"]
-    fits = (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb")) & (~F.col("ob") | (F.col("a") < F.col("b")))
+    fits = (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb"), threshold) & (~F.col("ob") | (F.col("a") < F.col("b")))
     # Pairs that share an element which the star lacks.
     index = [x.withColumn("element", F.explode("fresh")).drop("fresh") for x in sides]
     sharing = index[0].where("oa").join(index[1], ["star", "element"]).where(fits).select("a", "b")
     # Pairs that need not: first between the few distinct sizes, then between their members.
     sizes = [x.select("star", f"n{k}", f"e{k}", f"l{k}").distinct() for k, x in zip("ab", (sides[0].where("oa"), sides[1]), strict=True)]
     apart = F.col("ea") + F.col("eb") + F.abs(F.col("la") - F.col("lb"))
-    near = apart * (100 + THRESHOLD) <= (F.col("na") + F.col("nb")) * (100 - THRESHOLD)
-    possible = sizes[0].join(sizes[1], "star").where(near & _sizes_allow(F.col("na"), F.col("nb")))
+    near = apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
+    possible = sizes[0].join(sizes[1], "star").where(near & _sizes_allow(F.col("na"), F.col("nb"), threshold))
     few = sides[0].drop("fresh").where("oa").join(possible, ["star", "na", "ea", "la"]).join(sides[1].drop("fresh"), ["star", "nb", "eb", "lb"]).where(fits).select("a", "b")
     ordered = sharing.unionByName(few).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return ordered.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    ``threshold`` is the percent of the union that the intersection must reach.
+    """
     spark = docs.sparkSession
+    band = band_rows(threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = materialize(texts.mapInArrow(_sketches, "doc_id long, node binary, n_shingles long, sketch binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "op7-sketches")
+    seen = materialize(texts.mapInArrow(lambda batches: _sketches(batches, band), "doc_id long, node binary, n_shingles long, sketch binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "op7-sketches")
     reps = seen.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("low"))
     held = seen.select(F.col("node").alias("s_node"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("s_id"), "row", F.col("n_shingles").alias("n"), "sketch", "bands")
     classes = reps.join(held, (F.col("node") == F.col("s_node")) & (F.col("low") == F.col("s_id")))
@@ -260,15 +274,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _sets_for(spokes.select(F.explode(F.array("star", "node")).alias("node")), classes, texts)
     full = spokes.join(sets.toDF("star", "x"), "star").join(sets.toDF("node", "y"), "node")
     common, n = F.size(F.array_intersect("x", "y")), F.size("y")
-    prefix = (n - F.ceil(n * (THRESHOLD / 100) - 1e-9) + 1).cast("int")
+    prefix = (n - F.ceil(n * (threshold / 100) - 1e-9) + 1).cast("int")
     fresh = F.slice(F.array_sort(F.array_except("y", "x")), F.lit(1), prefix)
     checked = materialize(full.select("star", "node", n.alias("n"), F.size("x").alias("ns"), common.alias("common"), fresh.alias("fresh")), "op7-checked")
-    linked = F.col("common") * 100 >= (F.col("n") + F.col("ns") - F.col("common")) * THRESHOLD
+    linked = F.col("common") * 100 >= (F.col("n") + F.col("ns") - F.col("common")) * threshold
     links = checked.where(linked).select(F.col("star").alias("a"), F.col("node").alias("b"))
     labels = components(links)
     side = classes.select("node", "sketch")
-    others = _further_pairs(checked, labels).join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
-    others = materialize(others.where(_allowed("sa", "sb")).select("a", "b"), "op7-others")
+    others = _further_pairs(checked, labels, threshold).join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
+    others = materialize(others.where(_allowed("sa", "sb", threshold)).select("a", "b"), "op7-others")
     full = others.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     sized = full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("ns"), F.size("y").alias("n"))
     more = materialize(sized.where(linked).select("a", "b"), "op7-more")

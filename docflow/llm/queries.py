@@ -50,7 +50,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir))
+    return near_duplicates(_documents(spark, sf_dir), 85)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import random
+from itertools import combinations
+
 import corpus_pipeline as C
 from docflow.llm import queries
+from tests.llm.conftest import make
 
 
 def test_pipeline_stages_follow_each_other(spark, docs, tmp_path):
@@ -25,3 +29,28 @@ def test_pipeline_stages_follow_each_other(spark, docs, tmp_path):
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_stage_against_brute_force(spark):
+    """Pairs between 0.80 and 0.85 fall too; pairs below 0.80 stay."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = [f"b{k}x{j}" for j in range(100 + k)]
+        for copy in range(3):
+            own = list(base)
+            for at in range(2 + 4 * copy, 2 + 4 * copy + (k % 3 + 1) * 30 * (copy > 0), 30):
+                own[at] = f"e{rng.randrange(10**9)}"
+            rows.append((3 * k + copy, " ".join(own)))
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    group, seen = {i: i for i in shingles}, []
+    for a, b in combinations(shingles, 2):
+        both = len(shingles[a] & shingles[b])
+        share = both / (len(shingles[a]) + len(shingles[b]) - both)
+        seen.append(share)
+        if share >= 0.8:
+            x, y = group[a], group[b]
+            group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    assert sum(0.8 <= s < 0.85 for s in seen) > 10 and sum(0.7 < s < 0.8 for s in seen) > 10
+    kept = {r["doc_id"] for r in C.near(spark, make(spark, rows), "").collect()}
+    assert kept == {i for i, g in group.items() if i == g}
