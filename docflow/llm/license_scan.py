@@ -2,11 +2,11 @@
 
 Base: the places where the words of a fixed phrase stand consecutively.  The
 method adds labels: licence templates are kept as an index from word to (template,
-position).  In each document the template words with the highest IDF, measured
-over all documents, are looked up; each occurrence votes for the template at its
-relative position, and the postings that agree on one position are intersected.
-A template counts when the agreeing words carry enough of its weight and its
-mandatory phrases stand at that position.
+position), without common words.  Each occurrence of an indexed word votes for its
+templates at its relative position with its IDF, measured over all documents, and
+the postings that agree on one position are intersected.  A template counts when the
+agreeing words carry enough of its weight and its mandatory phrases stand at that
+position.
 
 All is done with DataFrame functions.  One pass over the texts keeps, for each
 document, only the places of indexed words; the rest works on those.  The
@@ -19,7 +19,7 @@ empty.  Other input columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.common import ascii_lower, let, materialize
@@ -63,8 +63,6 @@ COMMON = [
 #: Words on either side of an indexed word in which common ones are kept.
 REACH = 2
 
-#: Template words looked up in one document: those with the highest IDF.
-RARE_WORDS = 8
 #: Part of a template's weight that words at one relative position must carry.
 COVERAGE = 0.6
 
@@ -136,20 +134,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     idf = idf.select("word", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + F.lit(0.5))).alias("idf"))
     index = materialize(table.join(idf, "word").withColumn("idf", F.greatest("idf", F.lit(1e-6))), "op2-index")
     weights = index.groupBy("template").agg(F.sum("idf").alias("weight"))
-    # The words looked up: the rarest kinds in each document.
-    kinds = index.select("word", "idf").distinct()
-    ranked = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))
     rows_hit = rows.where(F.size("hits") > 0)
-    own = rows_hit.select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word"))
-    rare = own.join(F.broadcast(kinds), "word").withColumn("rank", ranked).where(F.col("rank") <= RARE_WORDS)
-    rare = rare.groupBy("row").agg(F.collect_set("word").alias("rare"))
-    # Postings at a relative position: the rare words name candidates, all words of the template then vote there.
+    # Postings at a relative position: all indexed words of the template vote there.
     postings = F.broadcast(index.select("template", "label", "word", "position", "idf"))
     placed = rows_hit.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
     votes = placed.join(postings, "word").select("row", "template", "label", "word", (F.col("at") - F.col("position")).alias("begin"), "position", "idf")
-    votes = votes.join(rare, "row").withColumn("is_rare", F.array_contains("rare", F.col("word")))
-    agreed = votes.groupBy("row", "template", "label", "begin").agg(F.sum("idf").alias("got"), F.max("is_rare").alias("named"))
-    agreed = agreed.where("named").join(F.broadcast(weights), "template").withColumn("score", F.least(F.col("got") / F.col("weight"), F.lit(1.0)))
+    agreed = votes.groupBy("row", "template", "label", "begin").agg(F.sum("idf").alias("got"))
+    agreed = agreed.join(F.broadcast(weights), "template").withColumn("score", F.least(F.col("got") / F.col("weight"), F.lit(1.0)))
     agreed = agreed.where(F.col("score") >= COVERAGE)
     # Mandatory phrases: every one must stand at its own place relative to the template's begin.
     hits = rows.select("row", "hits").join(agreed.groupBy("row").agg(F.collect_set(F.struct("template", "label", "begin", "score")).alias("found")), "row")

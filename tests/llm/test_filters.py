@@ -64,6 +64,20 @@ def test_license_scan(spark, empty):
     assert out[7]["labels"] == "" and out[8]["labels"] == "proprietary" and out[11]["labels"] == "bsd" and out[2]["score"] == 0
 
 
+def test_license_scan_of_many_licences(spark):
+    """Every licence of a text counts, however many rarer words stand in it."""
+    by = {}
+    for label, text, _ in L.TEMPLATES:
+        by[label] = text  # the longer of two MIT texts comes last
+    texts = [" . ".join(by[k] for k in group) for group in (("mit", "bsd", "agpl"), ("mit", "gpl-3.0"), ("bsd", "proprietary"), ("mit", "bsd", "isc", "agpl", "proprietary", "cc0"), tuple(by))]
+    wanted = [{"mit", "bsd", "agpl"}, {"mit", "gpl", "gpl-3.0"}, {"bsd", "proprietary"}, {"mit", "bsd", "isc", "agpl", "proprietary", "cc0"}, {*by, "apache", "gpl", "cc-by"}]
+    # The words of the shorter licences are common in the corpus.
+    texts += [by[k] for k in ("agpl", "gpl-3.0", "proprietary", "cc0") for _ in range(10)]
+    out = {r["doc_id"]: r for r in L.license_scan(make(spark, list(enumerate(texts)))).collect()}
+    for i, labels in enumerate(wanted):
+        assert set(out[i]["labels"].split(",")) == labels and out[i]["score"] == 1
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(4)
