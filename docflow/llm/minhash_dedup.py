@@ -100,8 +100,9 @@ def sketch(shingles: np.ndarray, buckets: int = BUCKETS, mantissa: int = MANTISS
     return registers
 
 
-#: For each bucket, the order in which it looks at others when it is empty.
+#: For each bucket, the order in which it looks at others when it is empty: some at random, then all.
 _BORROW = np.random.default_rng(7).integers(0, BUCKETS, (64, BUCKETS))
+_LAST = np.random.default_rng(9).permuted(np.tile(np.arange(BUCKETS, dtype=np.int16), (BUCKETS, 1)), axis=1)
 _MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -115,8 +116,10 @@ def band_keys(registers: np.ndarray, band: int = band_rows()) -> np.ndarray:
         if not len(empty):
             break
         full[empty] = registers[row[empty]]
-    if not full.all():
-        full[full == 0] = full[full > 0].min()
+    empty = np.flatnonzero(full == 0)
+    if len(empty):  # few are filled: each takes the one that comes first in its own order
+        filled = np.flatnonzero(registers)
+        full[empty] = registers[filled[_LAST[empty][:, filled].argmin(1)]]
     n = len(full) // band
     rows = mix(full[: n * band].reshape(n, band) * _MULTIPLIERS[:band])
     return mix(rows.sum(1, dtype=np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)

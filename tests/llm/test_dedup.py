@@ -104,6 +104,18 @@ def test_sketch_estimates_similarity():
     assert len(sketch(np.zeros(0, np.uint64))) == BUCKETS and not len(band_keys(sketch(np.zeros(0, np.uint64))))
 
 
+def test_bands_find_short_sets():
+    """Pairs of few shingles at the threshold share a band as long ones do."""
+    rng = np.random.default_rng(2)
+    for most, least, rows in ((5, 4, 5), (7, 6, 6), (14, 12, 6)):
+        missed = 0
+        for _ in range(500):
+            a = np.sort(rng.integers(0, 2**64, most, dtype=np.uint64))
+            b = np.sort(rng.permutation(a)[:least])
+            missed += not (set(band_keys(sketch(a), rows)) & set(band_keys(sketch(b), rows)))
+        assert not missed, (most, least)
+
+
 def removal_truth(rows, width=20):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
