@@ -107,6 +107,37 @@ def permutation_test(a: list[float], b: list[float], spark, replicates: int = 10
     return counts.agg((F.sum("hits") / F.sum("tried")).alias("p"), F.lit(float(np.mean(a) - np.mean(b))).alias("difference"))
 
 
+def stratified_permutation(scores: DataFrame, first: str, second: str, candidate: str, category: str, score: str, replicates: int = 10_000, seed: int = 0) -> DataFrame:
+    """Two-sided p value of a difference of means of category means, labels shuffled within categories.
+
+    What is drawn from are counts of each score in each category over all rows, so
+    the driver holds a row a category and score.  A category that one candidate
+    lacks stays as it is.  A category may have up to 10**9 rows (numpy's limit).
+    """
+    of = lambda name: F.count(F.when(F.col(candidate) == name, 1))
+    rows = scores.where(F.col(candidate).isin(first, second) & F.col(score).isNotNull()).groupBy(category, score)
+    counts = rows.agg(of(first).alias("a"), of(second).alias("b")).orderBy(category, score).toPandas()
+    strata = [(g[score].to_numpy(float), g["a"].to_numpy(np.int64), g["b"].to_numpy(np.int64)) for _, g in counts.groupby(category, dropna=False)]
+
+    def difference(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> float:
+        means = [[v @ (x, y)[k] / (x, y)[k].sum() for v, x, y in parts if (x, y)[k].sum()] for k in (0, 1)]
+        return float(np.mean(means[0]) - np.mean(means[1])) if all(means) else 0.0
+
+    seen = difference(strata)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = 0
+            for r in batch["id"]:
+                rng = np.random.default_rng([seed, int(r)])
+                drawn = [(v, x, a + b - x) for v, a, b in strata for x in [rng.multivariate_hypergeometric(a + b, a.sum())]]
+                hits += abs(difference(drawn)) >= abs(seen) - 1e-12
+            yield pd.DataFrame({"hits": [hits], "tried": [len(batch)]})
+
+    tried = scores.sparkSession.range(replicates).mapInPandas(run, "hits long, tried long")
+    return tried.agg((F.sum("hits") / F.sum("tried")).alias("p"), F.lit(seen).alias("difference"))
+
+
 def elo_arena(pairs: list[tuple[str, str, int, int]], k: float = 32.0, start: float = 1500.0) -> dict[str, float]:
     """Ratings after playing each pair's wins, then its losses, in order."""
     ratings: dict[str, float] = {}

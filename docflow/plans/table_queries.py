@@ -498,9 +498,9 @@ def _(t):
 
 @query("agg_37_permutation")
 def _(t):
-    by = {r["candidate"]: [float(x) for x in r["s"]] for r in _scores(t).orderBy("candidate").groupBy("candidate").agg(F.sort_array(F.collect_list("passed")).alias("s")).collect()}
-    names = sorted(by)
-    return C.permutation_test(by[names[0]][:500], by[names[1]][:500], t.spark, 2000)
+    scores = _scores(t)
+    names = [r["candidate"] for r in scores.select("candidate").where("candidate IS NOT NULL").distinct().orderBy("candidate").limit(2).collect()]
+    return C.stratified_permutation(scores, names[0], names[1], "candidate", "category", "passed", 2000)
 
 
 #: Invented votes between four methods.

@@ -53,6 +53,31 @@ def test_bootstrap_and_permutation(spark):
     assert C.permutation_test([1.0, 0.0] * 10, [0.0, 1.0] * 10, spark, 200).first()["p"] > 0.9
 
 
+def test_permutation_query_takes_all_rows(spark, tmp_path):
+    """Over 500 failures a candidate, and categories of unlike sizes."""
+    import __spark_entry__ as entry
+
+    kinds = [("a", "x", 900, 1800), ("a", "y", 700, 100), ("b", "x", 300, 400), ("b", "y", 2600, 200), ("c", "x", 5, 5), ("a", "z", 40, 20)]
+    rows = [(name, kind, 60000.0 if k < good else 10.0) for name, kind, bad, good in kinds for k in range(bad + good)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    out = entry.queries()["agg_37_permutation"](spark, str(tmp_path)).first()
+    wanted = (1800 / 2700 + 100 / 800 + 20 / 60) / 3 - (400 / 700 + 200 / 2800) / 2
+    assert out["difference"] == pytest.approx(wanted) and out["p"] < 0.2
+
+
+def test_stratified_permutation_against_shuffles(spark):
+    import numpy as np
+
+    a, b = {"x": [1.0] * 14 + [0.0] * 10, "y": [1.0] * 5 + [0.5] * 7}, {"x": [1.0] * 8 + [0.0] * 12, "y": [1.0] * 4 + [0.5] * 9}
+    rows = [(n, k, v) for n, side in (("a", a), ("b", b)) for k, vs in side.items() for v in vs]
+    out = C.stratified_permutation(spark.createDataFrame(rows, "n string, k string, s double"), "a", "b", "n", "k", "s", 4000).first()
+    rng, seen, hits = np.random.default_rng(1), np.mean([np.mean(a[k]) - np.mean(b[k]) for k in a]), 0
+    for _ in range(4000):
+        mixed = {k: rng.permutation(a[k] + b[k]) for k in a}
+        hits += abs(np.mean([m[: len(a[k])].mean() - m[len(a[k]) :].mean() for k, m in mixed.items()])) >= abs(seen) - 1e-12
+    assert out["difference"] == pytest.approx(seen) and abs(out["p"] - hits / 4000) < 0.04
+
+
 def test_elo():
     ratings = C.elo_arena([("a", "b", 10, 0)])
     assert ratings["a"] > 1500 > ratings["b"] and sum(ratings.values()) == pytest.approx(3000)
