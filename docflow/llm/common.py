@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset (local
-    tests) is a folder of our own made.
+    It is what ``spark.checkpoint.dir`` names.  Where that is unset, a folder of our
+    own is made in local mode (tests); on a cluster there is no such folder to make.
     """
     for read in (
         lambda: spark.conf.get("spark.checkpoint.dir"),
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         with contextlib.suppress(Exception):
             if found := read():
                 return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="docflow-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made.rstrip("/")
@@ -51,10 +54,11 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     handle, which a large driver heap may put off for long.
     """
     jvm = spark.sparkContext._jvm
+    shared = urlsplit(shared_dir(spark)).path.rstrip("/")
     for table in tables:
         for file in table.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.toString().startswith("file:") or shared_dir(spark) in folder.toString():
+            if urlsplit(folder.toString()).path.startswith(f"{shared}/"):  # never a table that is not ours
                 fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
                 fs.delete(folder, True)
     jvm.System.gc()
