@@ -8,10 +8,13 @@ byte values ``T``, then mixed.  Two independent hashes make a 128-bit name.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are hashed at a time; longer texts are cut between words.
+#: Bytes that are hashed at a time; longer texts, and words, are hashed in parts.
 SLICE = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -55,7 +58,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(data: np.ndarray, first: np.ndarray, table: np.ndarray, both: bool) -> list[np.ndarray]:
-    """Of words that begin at ``first`` (in ``data``) and may have spaces behind."""
+    """Unmixed hashes of words that begin at ``first`` (in ``data``) and may have spaces behind."""
     within = np.arange(len(data)) - np.repeat(first, np.diff(np.append(first, len(data))))
     space = _IS_SPACE[data]
     longest = int(within[~space].max(initial=0)) + 1
@@ -67,7 +70,7 @@ def _hashes(data: np.ndarray, first: np.ndarray, table: np.ndarray, both: bool)
         values = table[k][data]
         values *= _powers[k][within]
         values[space] = 0
-        out.append(mix(np.add.reduceat(values, first)))
+        out.append(np.add.reduceat(values, first))
     return out
 
 
@@ -82,26 +85,65 @@ def word_hashes(texts: pa.Array, lower: bool = False, both: bool = False) -> tup
         last = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE, "right")) - 1)
         lo, hi = int(offsets[k]), int(offsets[last])
         at = lo
+        length = 0  # of the word that the last part ends in
         while at < hi:
             to = min(hi, at + SLICE)
-            while to < hi and not _IS_SPACE[raw[to]]:  # never cut inside a word
-                ahead = _IS_SPACE[raw[to : min(hi, to + 4096)]]
-                to += int(ahead.argmax()) if ahead.any() else len(ahead)
             data = raw[at:to]
-            begins = ~_IS_SPACE[data]
-            begins[1:] &= _IS_SPACE[data[:-1]]
+            space = _IS_SPACE[data]
+            begins = ~space
+            begins[1:] &= space[:-1]
             edges = offsets[k:last]
             edges = edges[(edges >= at) & (edges < to)] - at
-            begins[edges] = ~_IS_SPACE[data[edges]]
+            begins[edges] = ~space[edges]
             first = np.flatnonzero(begins)
+            if len(first):
+                hashes = _hashes(data[first[0] :], first - first[0], table, both)
+                tail = len(data) - int(first[-1])
+                goes_on = at > lo and length > 0 and first[0] == 0
+                if goes_on:  # only one text is cut here, so the last word found is the one that goes on
+                    for part, h, base in zip(parts, hashes, _BASES, strict=False):
+                        part[-1][-1:] += h[:1] * np.uint64(pow(base, length, 2**64))
+                    tail += length if len(first) == 1 else 0
+                    first, hashes = first[1:], [h[1:] for h in hashes]
+                length = 0 if space[-1] else tail
+            else:
+                length = 0
             if len(first):
                 owner = np.searchsorted(offsets, first + at, "right") - 1
                 counts += np.bincount(owner, minlength=len(counts))
-                for part, h in zip(parts, _hashes(data[first[0] :], first - first[0], table, both), strict=True):
+                for part, h in zip(parts, hashes, strict=True):
                     part.append(h)
             at = to
         k = last
-    return [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts], np.concatenate([[0], np.cumsum(counts)])
+    return [mix(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in parts], np.concatenate([[0], np.cumsum(counts)])
+
+
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of one text begin and end, in bytes."""
+    change = np.diff(np.concatenate([[True], _IS_SPACE[data], [True]]).astype(np.int8))
+    return np.flatnonzero(change < 0), np.flatnonzero(change > 0)
+
+
+def squeezed(text: memoryview) -> Iterator[bytes]:
+    """A text's words joined by one space, in pieces; no text is held as a list of words whole."""
+    first, inside = True, False
+    for at in range(0, len(text), SLICE):
+        piece = bytes(text[at : at + SLICE])
+        body = b" ".join(piece.split())
+        if body:
+            yield body if first or (inside and not piece[:1].isspace()) else b" " + body
+            first = False
+        inside = not piece[-1:].isspace()
+
+
+def named(text: memoryview, make=hashlib.sha256) -> tuple[bytes, int]:
+    """The digest of a text's words joined by one space, and their number."""
+    digest, spaces, some = make(), 0, 0
+    for piece in squeezed(text):
+        digest.update(piece)
+        spaces += piece.count(b" ")
+        some = 1
+    return digest.digest(), spaces + some
 
 
 def window_hashes(words: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docflow.llm import wordhash
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.minhash_dedup import BUCKETS, band_keys, estimate, near_duplicates, shingle_sets, sketch
-from docflow.llm.substring_dedup import intervals, substring_dedup
+from docflow.llm.substring_dedup import merged, substring_dedup
 from tests.llm.conftest import make
 
 
@@ -148,9 +148,10 @@ def test_substring_dedup_odd_rows(spark, empty):
     assert out == {(None, 30, 0): 1, (3, 30, 30): 2, (3, 31, 30): 1, (4, 0, 0): 1}
 
 
-def test_intervals():
-    assert intervals(np.array([0, 1, 20, 50]), 20) == [(0, 40), (50, 70)]
-    assert intervals(np.array([], int), 20) == []
+def test_spans_that_touch_are_one():
+    span = lambda *xs: [{"start": a, "end": b} for a, b in xs]
+    assert merged(span((0, 20), (20, 40), (50, 70), (55, 75))) == [(0, 40), (50, 75)]
+    assert merged([]) == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -169,6 +170,30 @@ def test_word_hashes(texts, lower, size):
     assert len(set(names.values())) == len(names)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=" \t\nabAéß\x0b", max_size=40), st.sampled_from([1, 3, 8, 1 << 20]))
+def test_words_in_pieces(text, size):
+    raw, old = text.encode(), wordhash.SLICE
+    wordhash.SLICE = size
+    try:
+        assert b"".join(wordhash.squeezed(memoryview(raw))) == b" ".join(raw.split())
+        assert wordhash.named(memoryview(raw)) == (hashlib.sha256(b" ".join(raw.split())).digest(), len(raw.split()))
+    finally:
+        wordhash.SLICE = old
+    begins, ends = wordhash.word_edges(np.frombuffer(raw, np.uint8))
+    assert [raw[a:b] for a, b in zip(begins, ends, strict=True)] == raw.split()
+
+
+def test_a_word_of_64_mb_takes_little_memory():
+    import resource
+
+    texts = pa.array(["x" * (64 << 20), "y " + "x" * (64 << 20) + " z"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (one,), begins = wordhash.word_hashes(texts)
+    assert list(begins) == [0, 1, 4] and one[0] == one[2]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10  # KB
+
+
 def test_shingle_sets_of_short_texts():
     a, b, c, d = shingle_sets(pa.array(["a b", "A  b", "a b c", None]))
     assert list(a) == list(b) != list(c) and len(c) == 1 and len(d) == 0
