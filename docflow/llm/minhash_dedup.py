@@ -10,11 +10,14 @@ in a row form a band: six at a threshold of 0.85, five at 0.80.
 2. Classes that share a band are candidates.  A band's *star* is the member whose
    bands are the most populous (in a group of near copies: the text they come
    from).  Every member is compared with its star on whole sets.
-3. Members that do not link with their star are looked at further, without pairing
-   a group with itself.  Two sets at the threshold share an element of their
-   prefixes when elements outside the star's set come first.  So either they share
-   an element that the star lacks, which an inverted index finds, or few such
-   elements exist, and the sizes of both differences to the star must allow a link.
+3. Members that end in another component than their star (*outsiders*) are looked at
+   further.  In rounds, one outsider of each star is compared with the others, a pair
+   a member, as long as that settles a tenth of them.  What is left is compared under
+   exact bounds.  Two sets at the threshold share an element of their prefixes when
+   elements outside the star's set come first.  So either they share an element that
+   the star lacks, which an inverted index finds (elements with the same members have
+   one posting list), or few such elements exist; and the sizes of both differences to
+   the star must allow a link.  Only pairs of different components count.
 4. Before the sets of such a pair are read, its sketches must allow the threshold:
    the collision-corrected estimate plus six standard errors.
 5. Components come from label propagation over confirmed links.
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.llm.common import materialize, release
-from docflow.llm.wordhash import buffers, groups, lists, mix, whole_windows, window_hashes, word_hashes
+from docflow.llm.wordhash import buffers, groups, lists, mix, named, whole_windows, window_hashes, word_hashes
 
 SHINGLE = 5
 BUCKETS = 256
@@ -53,6 +56,8 @@ THRESHOLD = 85
 MISS = 2.5e-9
 #: Standard errors that a sketch estimate may lie below the threshold.
 ERRORS = 6
+#: Part of the outsiders that a round of second stars must settle for another round.
+GAIN = 0.1
 
 
 def band_rows(threshold: int = THRESHOLD) -> int:
@@ -147,7 +152,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], band: int) -> Iterator[pa.Recor
             sets = shingle_sets(texts)
             raw, at = buffers(pc.ascii_lower(texts))
             view = memoryview(np.ascontiguousarray(raw)).cast("B")
-            names = [hashlib.md5(b" ".join(bytes(view[at[k] : at[k + 1]]).split())).digest() for k in range(hi - lo)]
+            names = [named(view[at[k] : at[k + 1]], hashlib.md5)[0] for k in range(hi - lo)]
             rows = [sketch(s) for s in sets]
             columns = [batch.column(0)[lo:hi], pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())]
             bands = []
@@ -195,7 +200,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, at = buffers(pc.ascii_lower(batch.column(1)))
         view = memoryview(np.ascontiguousarray(raw)).cast("B")
         nodes = batch.column(0).to_pylist()
-        keep = [hashlib.md5(b" ".join(bytes(view[at[k] : at[k + 1]]).split())).digest() == nodes[k] for k in range(len(nodes))]
+        keep = [named(view[at[k] : at[k + 1]], hashlib.md5)[0] == nodes[k] for k in range(len(nodes))]
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return _sets(right(b) for b in batches)
@@ -210,6 +215,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "op7-edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "op7-labels")
+    spark = links.sparkSession
     while True:
         around = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         hooked = labels.join(around, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("new"))
@@ -220,13 +226,18 @@ def components(links: DataFrame) -> DataFrame:
         moved = moved.join(jump, F.col("new") == F.col("j")).select("node", "comp", F.least("new", "j_new").alias("new"))
         moved = materialize(moved, "op7-labels")
         changed = moved.where("comp != new").limit(1).count()
+        release(spark, labels)
         labels = moved.select("node", F.col("new").alias("comp"))
         if not changed:
+            release(spark, edges)
             return labels
 
 
-def _further_pairs(checked: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of members of one star that may link and are in different components."""
+def _placed(checked: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of stars with outsiders, and how each differs from its star.
+
+    An outsider is a member in another component than its star.
+    """
     own = labels.toDF("node", "comp")
     star = labels.toDF("star", "star_comp")
     placed = checked.join(own, "node", "left").join(star, "star", "left")
@@ -235,20 +246,46 @@ def _further_pairs(checked: DataFrame, labels: DataFrame, threshold: int) -> Dat
     placed = placed.withColumn("extra", F.col("n") - F.col("common")).withColumn("lost", F.col("ns") - F.col("common"))
     # A star with one member has no further pair, nor has one without outsiders.
     busy = placed.groupBy("star").agg(F.count(F.lit(1)).alias("m"), F.max("outside").alias("any")).where("m > 1 and any").select("star")
-    placed = materialize(placed.join(busy, "star").select("star", "node", "comp", "outside", "n", "extra", "lost", "fresh"), "op7-placed")
-    sides = [placed.select("star", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("outside").alias(f"o{x}"), F.col("n").alias(f"n{x}"), F.col("extra").alias(f"e{x}"), F.col("lost").alias(f"l{x}"), "fresh") for x in "ab"]
-    fits = (F.col("ca") != F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb"), threshold) & (~F.col("ob") | (F.col("a") < F.col("b")))
-    # Pairs that share an element which the star lacks.
-    index = [x.withColumn("element", F.explode("fresh")).drop("fresh") for x in sides]
-    sharing = index[0].where("oa").join(index[1], ["star", "element"]).where(fits).select("a", "b")
+    return materialize(placed.join(busy, "star").select("star", "node", "comp", "outside", "n", "extra", "lost", "fresh"), "op7-placed")
+
+
+def _second_stars(placed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of each star's outsider nearest to it and the other outsiders: one pair a member."""
+    out = placed.where("outside").select("star", "node", "comp", "n", (-F.col("extra") - F.col("lost")).alias("near"))
+    top = out.groupBy("star").agg(F.max(F.struct("near", "node", "comp", "n")).alias("top"))
+    pairs = out.join(top, "star").where((F.col("comp") != F.col("top.comp")) & _sizes_allow(F.col("n"), F.col("top.n"), threshold))
+    return pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+
+
+def _further_pairs(placed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of one star that may link and are in different components."""
+    sides = [placed.select("star", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("outside").alias(f"o{x}"), F.col("n").alias(f"n{x}"), F.col("extra").alias(f"e{x}"), F.col("lost").alias(f"l{x}")) for x in "ab"]
+    total = F.col("na") + F.col("nb")
+    # The sets differ by this at least, whatever they share of what the star lacks or they lack of it.
+    unlike = F.abs(F.col("ea") - F.col("eb")) + F.abs(F.col("la") - F.col("lb"))
+    fits = (F.col("ca") != F.col("cb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & (unlike * (100 + threshold) <= total * (100 - threshold))
+    # Pairs that share an element which the star lacks.  Elements of the same members (those around
+    # one edit) have one posting list between them, and lists of one component are not looked at.
+    index = placed.select("star", F.col("node").alias("i_node"), "comp", "outside", F.explode("fresh").alias("element"))
+    lists = index.groupBy("star", "element").agg(
+        F.count(F.lit(1)).alias("m"), F.max("outside").alias("any"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.bit_xor(F.xxhash64("i_node")).alias("h1"), F.bit_xor(F.xxhash64("i_node", F.lit(1))).alias("h2"),
+    )
+    lists = lists.where("m > 1 and any and low != high").groupBy("star", "h1", "h2", "m").agg(F.min("element").alias("element")).select("star", "element")
+    postings = materialize(index.join(lists, ["star", "element"]).select("star", "element", "i_node"), "op7-postings")
+    # Members are joined to their postings' pairs by key, so the rows of a pair stay narrow.
+    left, right = (postings.withColumnRenamed("i_node", x).join(side, ["star", x]) for x, side in zip("ab", (sides[0].where("oa"), sides[1]), strict=True))
+    sharing = left.join(right, ["star", "element"]).where(fits).select("a", "b")
     # Pairs that need not: first between the few distinct sizes, then between their members.
     sizes = [x.select("star", f"n{k}", f"e{k}", f"l{k}").distinct() for k, x in zip("ab", (sides[0].where("oa"), sides[1]), strict=True)]
     apart = F.col("ea") + F.col("eb") + F.abs(F.col("la") - F.col("lb"))
-    near = apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
+    near = apart * (100 + threshold) <= total * (100 - threshold)
     possible = sizes[0].join(sizes[1], "star").where(near & _sizes_allow(F.col("na"), F.col("nb"), threshold))
-    few = sides[0].drop("fresh").where("oa").join(possible, ["star", "na", "ea", "la"]).join(sides[1].drop("fresh"), ["star", "nb", "eb", "lb"]).where(fits).select("a", "b")
+    few = sides[0].where("oa").join(possible, ["star", "na", "ea", "la"]).join(sides[1], ["star", "nb", "eb", "lb"]).where(fits).select("a", "b")
     ordered = sharing.unionByName(few).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered.distinct()
+    out = materialize(ordered.distinct(), "op7-pairs")
+    release(placed.sparkSession, postings)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -284,13 +321,37 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = checked.where(linked).select(F.col("star").alias("a"), F.col("node").alias("b"))
     labels = components(links)
     side = classes.select("node", "sketch")
-    others = _further_pairs(checked, labels, threshold).join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
-    others = materialize(others.where(_allowed("sa", "sb", threshold)).select("a", "b"), "op7-others")
-    full = others.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    sized = full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("ns"), F.size("y").alias("n"))
-    more = materialize(sized.where(linked).select("a", "b"), "op7-more")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that link: sketches must allow it, whole sets decide."""
+        pairs = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
+        pairs = materialize(pairs.where(_allowed("sa", "sb", threshold)).select("a", "b"), "op7-others")
+        full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        sized = full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("ns"), F.size("y").alias("n"))
+        out = materialize(sized.where(linked).select("a", "b"), "op7-more")
+        release(spark, pairs)
+        return out
+
+    placed = _placed(checked, labels)
+    outsiders = placed.where("outside").count()
+    while outsiders:
+        # One outsider of each star becomes its second star: a round costs a pair a member.
+        more = confirmed(_second_stars(placed, threshold))
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        release(spark, labels, placed)
+        labels = components(links)
+        placed = _placed(checked, labels)
+        before, outsiders = outsiders, placed.where("outside").count()
+        if outsiders > before * (1 - GAIN):
+            break
+    if outsiders:
+        pairs = _further_pairs(placed, threshold)
+        more = confirmed(pairs)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+        release(spark, pairs, placed)
     named = classes.select("node", "rep").join(labels, "node")
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "comp").select("node", "component_id")
