@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.common import materialize
-from docflow.llm.wordhash import buffers
+from docflow.llm.common import materialize, release
+from docflow.llm.wordhash import buffers, groups
 
 #: Weight of the pooled covariance in a class's own, and of the scaled identity in both.
 POOLED = 0.2
@@ -70,11 +70,16 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    d = len(STATISTICS)
     for batch in batches:
-        raw, at = buffers(batch.column(1))
-        view = memoryview(np.ascontiguousarray(raw)).cast("B")
-        rows = [statistics(bytes(view[at[k] : at[k + 1]])) for k in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+        for lo, hi in groups(batch.column(1)):
+            raw, at = buffers(batch.column(1)[lo:hi])
+            view = memoryview(np.ascontiguousarray(raw)).cast("B")
+            rows = np.empty((hi - lo, d))
+            for k in range(hi - lo):
+                rows[k] = statistics(bytes(view[at[k] : at[k + 1]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * d), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists], ["doc_id", "x"])
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors and log determinants of both classes, log prior odds, and the logistic line."""
+    """Means, Cholesky factors and their inverses, log determinants of both classes, log prior odds, and the logistic line."""
 
     means: list[np.ndarray]
     factors: list[np.ndarray]
@@ -96,11 +101,16 @@ class Discriminant:
     log_odds: float
     line: tuple[float, float] = (1.0, 0.0)
 
+    def __post_init__(self) -> None:
+        # Inverted once, here; a batch then costs a product with a triangle.
+        self.whiteners = [np.tril(np.linalg.solve(factor, np.eye(len(factor)))) for factor in self.factors]
+
     def odds(self, x: np.ndarray) -> np.ndarray:
         logs = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(-0.5 * ((z * z).sum(0) + log_det))
+        for mean, whitener, log_det in zip(self.means, self.whiteners, self.log_dets, strict=True):
+            # einsum without a path runs in one thread and needs no library buffers in the workers.
+            z = np.einsum("ni,ji->nj", x - mean, whitener)
+            logs.append(-0.5 * ((z * z).sum(1) + log_det))
         return np.clip(logs[1] - logs[0] + self.log_odds, -LARGEST, LARGEST)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -147,7 +157,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant | None:
     """Fit on the labelled documents outside the held-out fold."""
     d = len(STATISTICS)
     own = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("l_id")))
-    rows = stats.join(own, F.col("doc_id") == F.col("l_id"))
+    # Joined once, for the sums and for the line.
+    rows = materialize(stats.join(own, F.col("doc_id") == F.col("l_id")).select("label", "x"), "op1-training")
     x = [F.get("x", F.lit(i)) for i in range(d)]
     firsts = F.array(*[F.sum(x[i]) for i in range(d)])
     seconds = F.array(*[F.sum(x[i] * x[j]) for i in range(d) for j in range(i, d)])
@@ -166,6 +177,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant | None:
     for r in bins:
         counts[values.index(r["bin"]), r["label"]] = r["count"]
     model.line = logistic_line((np.array(values, float) + 0.5) * BIN, counts)
+    release(stats.sparkSession, rows)
     return model
 
 
