@@ -47,6 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(df: DataFrame, bytes_each: int) -> int:
+    """How many partitions ``df`` should be dealt to: by its estimated size, and the session's number at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Frames without statistics of their own are said to be huge; they get the session's number.
+    return own if size >= 1 << 60 else max(own, -(-size // bytes_each))
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, and finished shuffles.
 
