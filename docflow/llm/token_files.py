@@ -6,8 +6,8 @@ delta encoded; row groups and pages have set sizes, and the page indexes that
 the writer adds let a reader skip to the rows and columns it wants.
 
 Defined results: a null text counts as empty and has only its end id.  Rows with
-a null ``doc_id`` come first; among rows that repeat a ``doc_id`` the order is
-that of their texts.  An empty table gives a file set without rows.  Other input
+a null ``doc_id`` come first; rows that repeat a ``doc_id`` are in the order of a
+hash of their texts, then of those.  An empty table gives a file set without rows.  Other input
 columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import shared_dir
+from docflow.llm.common import partitions, shared_dir
 from docflow.llm.tokens import encoded, vocabulary_path
 
 FILE_SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -31,6 +31,8 @@ FILE_SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, ids arra
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
+#: Input bytes (as Spark estimates them) of a file.
+FILE_INPUT_BYTES = 512 << 20
 #: Files whose first starts (16 bytes each) may be broadcast; beyond, they are joined by shuffle.
 BROADCAST_FILES = 1 << 17
 #: Ids of one output batch.
@@ -76,8 +78,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash lets a range cut fall between rows that repeat a doc_id.
+    key = F.xxhash64("text")
+    placed = rows.repartitionByRange(partitions(rows, FILE_INPUT_BYTES), "doc_id", key).sortWithinPartitions("doc_id", key, "text")
     tokens = placed.mapInArrow(_rows(vocabulary or vocabulary_path()), FILE_SCHEMA)
     (
         tokens.write.option("parquet.block.size", row_group_bytes)
