@@ -4,8 +4,14 @@ Documents are tokenized and gathered into blocks of bounded size.  Pieces of a
 full sequence are cut off long documents first.  The rest of a block is dealt to
 ``k`` windows, ``k`` the fewest that could hold it: partial partitions are merged,
 those with the largest imbalance first and in opposite order, which evens the
-windows out.  Where a window exceeds the capacity, its excess is cut off and
-moved to windows with room; only if none is left does ``k`` rise.
+windows out.  Where a window exceeds the capacity, ``k`` rises, by up to one window
+in a hundred (``RISE``), and the pieces are dealt anew.
+
+Documents of half a sequence and more leave windows of two or three pieces, which no
+differencing evens out; letting ``k`` rise until they fit would pad one sequence in
+ten.  So what still exceeds a window at the highest ``k`` is cut off its longest
+piece, just the excess, and goes to the windows with the most room, where differencing
+has left it.  Padding is under ``RISE`` plus one sequence a block.
 
 Defined results: a null text counts as empty and has only its end id.  Rows that
 repeat a ``doc_id`` are separate documents; a null ``doc_id`` stays null.  An
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 from docflow.llm.tokens import encoded, vocabulary_path
 
 SEQUENCE_TOKENS = 2048
-#: Tokens that one block holds in memory; padding is under one sequence a block.
-BLOCK_TOKENS = 1 << 21
+#: Tokens that one block holds in memory.
+BLOCK_TOKENS = 1 << 20
+#: Part by which the number of windows may rise above the fewest.
+RISE = 0.01
 #: Sequence numbers that one partition may use.
 _PER_PARTITION = 1 << 40
 
@@ -41,40 +49,61 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Deal items to ``k`` windows of near-equal sums; the items of each window.
 
     A partial partition is held as its non-empty windows' sums above the smallest,
-    so items that still stand alone cost no ``k``-long lists.
+    in descending order, and the item that each window goes by.  Windows that merge
+    form a tree of items, so a merge costs no lists of items.
     """
-    if k == 1:
-        return [list(range(len(sizes)))]
-    # A partition: windows in descending order of sums, short lists padded with empty windows.
-    heap = [(-s, n, [s], [[n]]) for n, s in enumerate(sizes)]
-    heapq.heapify(heap)
     n = len(sizes)
+    if not n:
+        return [[] for _ in range(k)]
+    into = np.arange(n)
+    heap = [(-s, i, np.array([s]), np.array([i])) for i, s in enumerate(sizes)]
+    heapq.heapify(heap)
+    count = n
     while len(heap) > 1:
-        _, _, a_sums, a_items = heapq.heappop(heap)
-        _, _, b_sums, b_items = heapq.heappop(heap)
-        # The largest of one meets the smallest of the other: a's padding takes b's windows first.
-        a, b = len(a_sums), len(b_sums)
-        if a + b <= k:
-            sums, items = a_sums + b_sums, a_items + b_items
-        else:
-            over = a + b - k  # so many windows of both must share
-            sums, items = list(a_sums), list(a_items)
-            for j in range(over):
-                sums[a - 1 - j] += b_sums[b - over + j]
-                items[a - 1 - j] = items[a - 1 - j] + b_items[b - over + j]
-            sums += b_sums[: b - over]
-            items += b_items[: b - over]
-        order = sorted(range(len(sums)), key=lambda i: -sums[i])
-        sums, items = [sums[i] for i in order], [items[i] for i in order]
-        if len(sums) == k and (low := sums[-1]):
-            sums = [s - low for s in sums]
-        n += 1
-        heapq.heappush(heap, (-(sums[0] - (sums[-1] if len(sums) == k else 0)), n, sums, items))
-    found = heap[0][3] if heap else []
-    return found + [[] for _ in range(k - len(found))]
-
-
-def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[list[tuple[int, int, int]]]:
+        _, _, a, x = heapq.heappop(heap)
+        _, _, b, y = heapq.heappop(heap)
+        # The largest of one meets the smallest of the other; missing windows are empty ones.
+        both = max(len(a) + len(b) - k, 0)
+        own = len(b) - both
+        sums = np.concatenate([a, b[:own]])
+        if both:
+            into[y[own:][::-1]] = x[len(a) - both :]
+            sums[len(a) - both : len(a)] += b[own:][::-1]
+        names = np.concatenate([x, y[:own]])
+        order = np.argsort(-sums, kind="stable")
+        sums, names = sums[order], names[order]
+        if len(sums) == k:
+            sums = sums - sums[-1]
+        count += 1
+        heapq.heappush(heap, (-int(sums[0]), count, sums, names))
+    while (into[into] != into).any():
+        into = into[into]
+    found: dict[int, list[int]] = {}
+    for i, name in enumerate(into.tolist()):
+        found.setdefault(name, []).append(i)
+    return [*found.values(), *([] for _ in range(k - len(found)))]
+
+
+def _cut_excess(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
+    """Move what exceeds a window from its longest piece to the windows with the most room."""
+    sums = [sum(p[2] for p in own) for own in windows]
+    room = [(sums[j] - capacity, j) for j in range(len(windows)) if sums[j] < capacity]
+    heapq.heapify(room)
+    for j in sorted((j for j in range(len(windows)) if sums[j] > capacity), key=lambda j: -sums[j]):
+        excess = sums[j] - capacity
+        while excess:
+            longest = max(range(len(windows[j])), key=lambda i: windows[j][i][2])
+            n, at, length = windows[j][longest]
+            free, to = heapq.heappop(room)
+            moved = min(length, excess, -free)
+            windows[j][longest : longest + 1] = [(n, at, length - moved)] if length > moved else []
+            windows[to].append((n, at + length - moved, moved))
+            excess -= moved
+            if free + moved:
+                heapq.heappush(room, (free + moved, to))
+
+
+def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS, rise: float = RISE) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (item, start, length), none over ``capacity``."""
     full, rests = [], []
     for n, length in enumerate(lengths):
@@ -82,28 +111,18 @@ def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[list[tuple
         full += [[(n, at, capacity)] for at in range(0, whole, capacity)]
         if length > whole:
             rests.append((n, whole, length - whole))
-    if not rests:
-        return full
-    k = -(-sum(r[2] for r in rests) // capacity)
-    windows = [[rests[i] for i in own] for own in differencing([r[2] for r in rests], k)]
-    sums = [sum(p[2] for p in own) for own in windows]
-    room = [j for j in range(k) if sums[j] < capacity]
-    for j in range(k):
-        while sums[j] > capacity:
-            if not room:
-                windows.append([])
-                sums.append(0)
-                room.append(len(windows) - 1)
-            to = room[-1]
-            n, at, length = windows[j].pop()
-            moved = min(length, sums[j] - capacity, capacity - sums[to])
-            if length > moved:
-                windows[j].append((n, at, length - moved))
-            windows[to].append((n, at + length - moved, moved))
-            sums[j] -= moved
-            sums[to] += moved
-            if sums[to] == capacity:
-                room.pop()
+    sizes = [r[2] for r in rests]
+    k = -(-sum(sizes) // capacity)
+    most = k + max(1, int(k * rise)) if rests else 0
+    windows: list[list[tuple[int, int, int]]] = []
+    while k <= most and rests:
+        windows = [[rests[i] for i in own] for own in differencing(sizes, k)]
+        top = max(sum(p[2] for p in own) for own in windows)
+        if top <= capacity:
+            break
+        # The mean must fall by as much as the fullest window exceeds.
+        k = most if k < most < -(-k * top // capacity) else max(k + 1, -(-k * top // capacity))
+    _cut_excess(windows, capacity)
     return full + [w for w in windows if w]
 
 
