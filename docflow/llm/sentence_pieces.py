@@ -10,10 +10,12 @@ Characters outside the vocabulary become byte pieces, so every text decodes to
 itself.  A space is written U+2581 inside pieces; a literal U+2581 is written in
 bytes, unlike the library, which would turn it into a space.
 
-Scores: a unigram model's own.  Merge-ranked (BPE) model files have no
-probabilities but ranks, which are read as Zipf's law, log p = -log(rank + 2).  The
-ids of such a file are then those of the most probable segmentation, not those of
-its merges.
+What makes a path the best depends on the model file.  A unigram model has log
+probabilities, which add up.  A merge-ranked (BPE) model has none: there a path may
+go on with a piece only if merging would keep it apart from the piece before it.  Of
+all pieces that end at a position just one satisfies that, so each position has one
+surviving back pointer, and its path is what merging makes of the text up to there.
+(Pieces rank behind their parts, as in any trained file.)  The ids are the library's.
 
 Defined results: null and empty texts have no ids and decode to an empty text.
 Repeats and null ids are kept.  An empty table gives an empty result.  Other input
@@ -26,6 +28,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +45,32 @@ SPACE = "▁"
 UNIT = 1 / 65536
 #: Log probability of one byte piece: below any piece's.
 BYTE_SCORE = int(-25.0 / UNIT)
-#: Segments that a worker keeps; at the bound the memo starts anew.
-MEMO_SEGMENTS = 1_000_000
+#: Bytes of segments, and pairs of pieces, that a worker keeps; at the bound the memo starts anew.
+MEMO_BYTES = 128 << 20
+MEMO_PAIRS = 200_000
 
 _coders: dict[str, PieceCoder] = {}
 
 
 class PieceCoder:
-    def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int]):
-        """``pieces``: (text, id, log probability); ``byte_ids``: the ids of bytes 0 to 255."""
+    def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int], merges: bool = False):
+        """``pieces``: (text, id, score); ``byte_ids``: the ids of bytes 0 to 255.
+
+        Scores are log probabilities, or with ``merges`` the higher the earlier two
+        neighbours are merged into that piece.
+        """
         self.byte_ids = byte_ids
         self.root: dict = {}
         for text, n, score in pieces:
             node = self.root
             for c in text:
                 node = node.setdefault(c, {})
-            node[""] = (round(score / UNIT), n)
+            node[""] = (round(score / UNIT), n, text)
+        self.merges = merges
+        #: When a piece of several characters is made; lower is earlier.
+        self.rank = {text: -score for text, _, score in pieces if len(text) > 1}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.longest = max((len(p[0]) for p in pieces), default=1)
         self.bytes_of: dict[int, bytes] = {n: text.replace(SPACE, " ").encode() for text, n, _ in pieces}
         self.bytes_of |= {n: bytes([b]) for b, n in enumerate(byte_ids)}
@@ -66,31 +79,94 @@ class PieceCoder:
         self.sure = not any(SPACE in text.lstrip(SPACE) for text, _, _ in pieces)
         lone = "" if "\n" in joined else "\n"
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + ("|\n" if lone else ""))
+        self.joint = {text[k - 1 : k + 1] for text, _, _ in pieces for k in range(1, len(text))}
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
+
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last to make ``piece``; None if merging its characters never makes it."""
+        if piece not in self.halves:
+            parts = list(piece)
+            while len(parts) > 2:
+                ranks = [self.rank.get(a + b, float("inf")) for a, b in pairwise(parts)]
+                least = min(ranks)
+                if least == float("inf"):
+                    break
+                at = ranks.index(least)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[piece]
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether merging leaves two neighbouring pieces as they are.
+
+        Merges are undone, the latest first.  Before each, the parts that touch must
+        not have been due to merge: earlier than it, or as early and further left.
+        """
+        limit, strict = float("inf"), True
+        while True:
+            due = self.rank.get(left + right)
+            if due is not None and (due < limit or (due == limit and not strict)):
+                return False
+            a = self.rank[left] if len(left) > 1 else -float("inf")
+            b = self.rank[right] if len(right) > 1 else -float("inf")
+            if a > b:
+                limit, strict, left = a, True, self._halves(left)[1]
+            elif len(right) > 1:
+                limit, strict, right = b, False, self._halves(right)[0]
+            else:
+                return True
+
+    def _follows(self, left: str | None, piece: str) -> bool:
+        """Whether merging could have made ``piece`` behind ``left`` (None: nothing that merges)."""
+        if left is None:
+            return len(piece) == 1 or self._halves(piece) is not None
+        found = self.pairs.get((left, piece))
+        if found is None:
+            found = (len(piece) == 1 or self._halves(piece) is not None) and self._apart(left, piece)
+            if len(self.pairs) >= MEMO_PAIRS:
+                self.pairs.clear()
+            self.pairs[left, piece] = found
+        return found
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of ``chars``, each as soon as all surviving paths agree on it."""
-        # Position of the window's front; score, back pointer and ids of the best path to each position in it.
-        best: dict[int, tuple[int, int, tuple[int, ...]]] = {0: (0, -1, ())}
+        # For each position in the window, the best path to it: score, back pointer, ids and last piece.
+        best: dict[int, tuple[float, int, tuple[int, ...], str | None]] = {0: (0, -1, (), None)}
         cursors: list[tuple[int, dict]] = []
+        root, merges, pairs, follows = self.root, self.merges, self.pairs, self._follows
         front = end = 0
         for c in chars:
-            cursors.append((end, self.root))
-            raw = c.encode("utf-8", "surrogatepass")
-            top = (best[end][0] + BYTE_SCORE * len(raw), end, tuple(self.byte_ids[b] for b in raw))
-            end += 1
+            cursors.append((end, root))
             alive = []
-            for start, node in cursors:
-                node = node.get(c)
+            top = None
+            for at in cursors:
+                node = at[1].get(c)
                 if node is None:
                     continue
-                if (piece := node.get("")) is not None and (score := best[start][0] + piece[0]) > top[0]:
-                    top = (score, start, (piece[1],))
-                if len(node) > (piece is not None):
-                    alive.append((start, node))
+                if "" in node:
+                    piece = node[""]
+                    start = at[0]
+                    if not merges:
+                        if top is None or best[start][0] + piece[0] > top[0]:
+                            top = (best[start][0] + piece[0], start, (piece[1],), piece[2])
+                    elif top is None:
+                        left = best[start][3]
+                        kept = pairs.get((left, piece[2]))
+                        if follows(left, piece[2]) if kept is None else kept:
+                            top = (0, start, (piece[1],), piece[2])
+                    if len(node) > 1:
+                        alive.append((start, node))
+                else:
+                    alive.append((at[0], node))
+            if top is None or not merges:
+                raw = c.encode("utf-8", "surrogatepass")
+                if top is None or best[end][0] + BYTE_SCORE * len(raw) >= top[0]:
+                    top = (best[end][0] + BYTE_SCORE * len(raw), end, tuple([self.byte_ids[b] for b in raw]), None)
+            end += 1
             best[end] = top
             cursors = alive
-            if not alive or end - front > 2 * self.longest:
+            if end - front > 2 * self.longest:
                 boundary = self._meet(best, front, {end, *(s for s, _ in alive)})
                 if boundary > front:
                     yield from self._path(best, front, boundary)
@@ -114,7 +190,7 @@ class PieceCoder:
     def _path(best: dict, front: int, end: int) -> list[int]:
         steps = []
         while end > front:
-            _, end, ids = best[end]
+            end, ids = best[end][1:3]
             steps.append(ids)
         return [n for ids in reversed(steps) for n in ids]
 
@@ -130,15 +206,30 @@ class PieceCoder:
             body = (SPACE if not k else "") + part.replace(" ", SPACE)
             for segment in self.segments.findall(body) if self.sure else [body]:
                 ids = self.memo.get(segment)
-                if ids is None:
-                    ids = array("I", self.stream(segment)).tobytes()
-                    if len(segment) <= 64:
-                        if len(self.memo) >= MEMO_SEGMENTS:
-                            self.memo.clear()
-                        self.memo[segment] = ids
-                parts.append(ids)
+                parts.append(self._segment(segment) if ids is None else ids)
         return np.frombuffer(b"".join(parts), "<u4")
 
+    def _segment(self, segment: str) -> bytes:
+        """Ids of a segment, cut once more where no piece holds the two characters that meet."""
+        if len(segment) > 64:
+            return array("I", self.stream(segment)).tobytes()
+        joint, at, out = self.joint, 0, []
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in joint:
+                out.append(segment[at:k])
+                at = k
+        if at:
+            known = self.memo.get
+            ids = b"".join([known(x) or self._segment(x) for x in (*out, segment[at:])])
+        else:
+            ids = array("I", self.stream(segment)).tobytes()
+        if self.memo_bytes >= MEMO_BYTES:
+            self.memo.clear()
+            self.memo_bytes = 0
+        self.memo[segment] = ids
+        self.memo_bytes += 200 + len(segment) + len(ids)
+        return ids
+
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         return raw[1:].decode("utf-8", "surrogatepass")  # without the space put in front
@@ -152,9 +243,10 @@ def load(path: str) -> PieceCoder:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [n for n in range(model.get_piece_size()) if not (model.is_control(n) or model.is_unknown(n) or model.is_byte(n) or model.is_unused(n))]
         scores = [model.get_score(n) for n in plain]
-        ranked = all(s == int(s) for s in scores)
-        pieces = [(model.id_to_piece(n), n, float(-np.log(2 - s)) if ranked else s) for n, s in zip(plain, scores, strict=True)]
-        _coders[path] = PieceCoder(pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        pieces = [(model.id_to_piece(n), n, s) for n, s in zip(plain, scores, strict=True)]
+        # Whole, falling numbers are ranks of merges.
+        merges = all(s == int(s) for s in scores)
+        _coders[path] = PieceCoder(pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], merges)
     return _coders[path]
 
 

@@ -1,9 +1,12 @@
 import random
 import zlib
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docflow.llm import sentence_pieces as P
 from docflow.llm.packing import differencing, pack, pack_documents
@@ -80,11 +83,46 @@ def test_packing_odd_rows(spark, empty):
     assert sorted((r["doc_id"] or -1, r["length"]) for r in out) == [(-1, 1), (3, 1), (3, 1)]
 
 
-def test_pack_wastes_under_one_sequence():
+def test_pack_wastes_little():
     rng = random.Random(2)
     for _ in range(200):
         lengths = [rng.choice([1, 2, rng.randrange(1, 60), rng.randrange(1, 300)]) for _ in range(rng.randrange(0, 40))]
-        assert len(pack(lengths, 32)) == -(-sum(lengths) // 32)
+        found = pack(lengths, 32)
+        fewest = -(-sum(lengths) // 32)
+        assert fewest <= len(found) <= fewest + max(1, fewest // 100) and all(sum(p[2] for p in own) <= 32 for own in found)
+        cover = sorted((n, at, at + length) for own in found for n, at, length in own)
+        assert [x for n, own in enumerate(lengths) if own for x in (n, 0)] == [x for i, (n, at, _) in enumerate(cover) if not i or cover[i - 1][0] != n for x in (n, at)]
+        assert all(a[2] == b[1] for a, b in zip(cover, cover[1:], strict=False) if a[0] == b[0]) and sum(b - a for _, a, b in cover) == sum(lengths)
+
+
+def test_window_count_rises_before_pieces_are_cut():
+    """7 + 7 + 7 fit no two windows of 11; in three they stay whole."""
+    assert sorted(pack([7, 7, 7], 11)) == [[(0, 0, 7)], [(1, 0, 7)], [(2, 0, 7)]]
+    assert len(pack([6] * 10, 11)) == 7  # one more than the fewest, then only the excess is cut
+    assert len(pack([5, 6, 4, 7, 3, 8], 11)) == 3 and max(len(own) for own in pack([5, 6, 4, 7, 3, 8], 11)) == 2
+
+
+def least_largest(sizes, k):
+    best = sum(sizes)
+    for owners in product(range(k), repeat=len(sizes)):
+        sums = [0] * k
+        for s, o in zip(sizes, owners, strict=True):
+            sums[o] += s
+        best = min(best, max(sums))
+    return best
+
+
+def test_differencing_against_exhaustive_search():
+    """Near the best split, and never worse than its known bound of 4/3."""
+    rng = random.Random(3)
+    ratios = []
+    for _ in range(60):
+        k = rng.choice([2, 3])
+        sizes = [rng.randrange(1, 50) for _ in range(rng.randrange(1, 9))]
+        found = differencing(sizes, k)
+        assert len(found) == k and sorted(i for own in found for i in own) == list(range(len(sizes)))
+        ratios.append(max(sum(sizes[i] for i in own) for own in found) / least_largest(sizes, k))
+    assert min(ratios) >= 1 and max(ratios) <= 4 / 3 and np.mean(ratios) < 1.05
 
 
 def test_differencing_is_even():
@@ -95,6 +133,7 @@ def test_differencing_is_even():
 
 
 def full_viterbi(coder, chars):
+    """The search over all positions at once, for models with log probabilities."""
     best = [(0, -1, ())]
     for j, c in enumerate(chars, 1):
         raw = c.encode()
@@ -109,14 +148,50 @@ def full_viterbi(coder, chars):
     return coder._path(dict(enumerate(best)), 0, len(chars))
 
 
-def test_streaming_viterbi_equals_the_full_search(rows):
-    coder = P.load(vocabulary_path(P.MODEL))
-    for text in [*ODD, *(t for _, t in rows if t and len(t) < 2000)]:
+def merged_ids(coder, chars):
+    """What merging neighbours one by one makes of ``chars``."""
+    parts = list(chars)
+    while True:
+        ranks = [coder.rank.get(a + b, float("inf")) for a, b in zip(parts, parts[1:], strict=False)]
+        if not ranks or min(ranks) == float("inf"):
+            break
+        at = ranks.index(min(ranks))
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    ids = {text: n for n, text in ((n, b.decode().replace(" ", P.SPACE)) for n, b in coder.bytes_of.items() if n not in coder.byte_ids)}
+    return [x for p in parts for x in ([ids[p]] if p in ids else [coder.byte_ids[b] for b in p.encode()])]
+
+
+def test_ids_are_the_library_s(rows):
+    """Of a merge-ranked model: the library's ids, whole texts of any kind; the search alone gives the same."""
+    import sentencepiece
+
+    path = vocabulary_path(P.MODEL)
+    coder, library = P.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert coder.merges
+    for text in [*ODD, *(t for _, t in rows if t)]:
         ids = coder.encode(text)
         assert coder.decode(ids) == text
         if "▁" not in text and text:
-            chars = "▁" + text.replace(" ", "▁")
-            assert ids.tolist() == list(coder.stream(chars)) == full_viterbi(coder, chars)
+            assert ids.tolist() == library.encode(text)
+            if len(text) < 2000:
+                assert ids.tolist() == list(coder.stream("▁" + text.replace(" ", "▁")))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc", max_size=60), st.permutations(["ab", "ba", "aa", "bb"]), st.permutations(["aab", "abb", "bab", "aba", "aaa", "bbb", "cab"]), st.permutations(["abab", "aabb", "baab"]))
+def test_search_equals_merging(text, twos, threes, fours):
+    """Any ranks behind those of their parts, ties of places and pieces that merging never makes."""
+    singles = [("a", 300, -90.0), ("b", 301, -91.0)]
+    coder = P.PieceCoder([*singles, *((x, 302 + k, float(-k)) for k, x in enumerate([*twos, *threes, *fours]))], list(range(256)), merges=True)
+    assert list(coder.stream(text)) == merged_ids(coder, text)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abc", max_size=80), st.lists(st.floats(-9, -0.5), min_size=8, max_size=8))
+def test_streaming_viterbi_equals_the_full_search(text, scores):
+    pieces = ["a", "b", "ab", "ba", "aab", "abb", "bab", "abab"]
+    coder = P.PieceCoder([(x, 300 + k, s) for k, (x, s) in enumerate(zip(pieces, scores, strict=True))], list(range(256)))
+    assert list(coder.stream(text)) == full_viterbi(coder, text)
 
 
 def test_streaming_window_is_bounded():
@@ -173,6 +248,28 @@ def test_sharding(docs, rows):
         assert own == list(range(len(own))) and 0 <= k <= 7
 
 
+def test_ends_against_a_list(spark):
+    """Lookups and the least capacity, with a table too coarse to hold the answers."""
+    from docflow.llm import sharding as S
+
+    rng = random.Random(6)
+    for _ in range(4):
+        sizes = [rng.choice([1, 5, rng.randrange(1, 400)]) for _ in range(rng.randrange(9, 120))]
+        places = [0, *np.cumsum(sizes).tolist()]
+        frame = spark.createDataFrame([(x,) for x in places[1:]], "end long")
+        old, S.FIRST_SPLIT, S.SPLIT = (S.FIRST_SPLIT, S.SPLIT), 5, 3
+        try:
+            ends = S.Ends(frame, places[-1])
+            capacity = S.smallest_capacity(ends, max(sizes), 4)
+            assert capacity == least_capacity(sizes, 4)
+            for x in rng.sample(range(places[-1]), 3):
+                assert ends.floor(x) == max(p for p in places if p <= x) and ends.ceil(x) == min(p for p in places if p >= x)
+            cut = S.cuts(ends, capacity, 4)
+            assert max(b - a for a, b in zip([0, *cut], [*cut, places[-1]], strict=True)) <= capacity and set(cut) <= set(places)
+        finally:
+            S.FIRST_SPLIT, S.SPLIT = old
+
+
 def test_sharding_odd_rows(spark, empty):
     assert shard_documents(empty).count() == 0
     out = shard_documents(make(spark, [(None, "a"), (None, None), (4, "b" * 900), (4, "b" * 900)])).collect()
