@@ -54,3 +54,25 @@ def test_near_stage_against_brute_force(spark):
     assert sum(0.8 <= s < 0.85 for s in seen) > 10 and sum(0.7 < s < 0.8 for s in seen) > 10
     kept = {r["doc_id"] for r in C.near(spark, make(spark, rows), "").collect()}
     assert kept == {i for i, g in group.items() if i == g}
+
+
+def test_rows_without_ids_of_their_own(spark):
+    """Null and repeated ids, repeated rows and clashing names: each row has its own verdict."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    one, two, three = text(60), text(70), text(80)
+    rows = make(spark, [(None, one), (None, two), (None, "junk"), (7, three), (7, three), (7, "a " * 90), (8, two)])
+    for name in ("kept_id", "dedup", "kept", "words", "row", "label"):
+        rows = rows.withColumn(name, F.lit(name))
+    for stage in (C.quality, C.exact, C.near, C.substrings):
+        rows = spark.createDataFrame(stage(spark, rows, "").collect(), rows.schema)
+        assert rows.columns[-6:] == ["kept_id", "dedup", "kept", "words", "row", "label"]
+    assert sorted(r["text"] for r in rows.collect()) == sorted([one, two, three])
+    assert {r["kept"] for r in rows.collect()} == {"kept"}
+
+
+def test_empty_pipeline(spark, empty):
+    for _, stage in C.STAGES[:4]:
+        assert stage(spark, empty, "").columns == empty.columns and stage(spark, empty, "").count() == 0
