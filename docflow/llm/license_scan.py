@@ -1,16 +1,19 @@
 """License scans with a positional index of rare words.
 
 Base: the places where the words of a fixed phrase stand consecutively.  The
-method adds labels: licence templates are kept as an index from word to (template,
-position), without common words.  Each occurrence of an indexed word votes for its
-templates at its relative position with its IDF, measured over all documents, and
-the postings that agree on one position are intersected.  A template counts when the
-agreeing words carry enough of its weight and its mandatory phrases stand at that
-position.
-
-All is done with DataFrame functions.  One pass over the texts keeps, for each
-document, only the places of indexed words; the rest works on those.  The
-templates and their words are a fixed table, so what is broadcast is bounded.
+method adds labels: passages of licence texts and notices are kept as an index from
+word to (passage, position).  IDF, measured over all documents, picks the words: of
+each passage those of the highest IDF that carry most of its weight.  Each occurrence
+of an indexed word votes for its passages at its relative position with its IDF, and
+the postings that agree on one position are intersected.  A passage counts when the
+agreeing words carry enough of the weight of its indexed words and its mandatory
+phrases stand at that position.  All indexed words of a document vote.
+
+All is done with DataFrame functions.  One pass over the texts counts the documents of
+each passage word, a second keeps the places of indexed words and of phrase words
+near them; the rest works on those, by joins, so a text of many hits costs no more than
+its hits.  The passages and their words are a fixed table, so what is broadcast, or
+counted on the driver, is bounded.
 
 Defined results: a null text counts as empty.  Rows are judged one by one, so
 repeats are judged alike, and null ids are kept.  With an empty table the result is
@@ -19,6 +22,9 @@ empty.  Other input columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,69 +41,130 @@ BASE = {
     "mit license": "mit",
 }
 
-# Fixed values: (label, template text, mandatory phrases).
+# Fixed values: (label, passage of a public licence text, or notice; mandatory phrases).
 TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
-    ("agpl", "licensed under the gnu affero general public license", ["affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc0", "released under cc0 1 0 universal", ["cc0 1 0"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("proprietary", "all rights reserved", ["all rights reserved"]),
-]
-
-# Template words too common to be looked up.  They are not in the index;
-# their places count only beside an indexed word, to verify phrases.
-COMMON = [
-    "0", "1", "2", "3", "4", "a", "all", "and", "any", "are", "by", "following", "for", "form", "forms", "in", "is", "of", "or", "that",
-    "the", "this", "to", "under", "use", "v", "with", "without",
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["apache org licenses", "in compliance with the license"]),
+    ("mit", "Released under the MIT License", ["mit license"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["permission notice shall be included", "substantial portions"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ["permission is hereby granted", "free of charge"]),
+    ("gpl-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ["gnu general public license", "version 2 of the license"]),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
+    ("gpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu general public license", "version 3 of the license"]),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
+    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["lesser general public license", "free software foundation"]),
+    ("lgpl", "Licensed under the GNU Lesser General Public License", ["lesser general public license"]),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ["affero general public license", "free software foundation"]),
+    ("agpl", "Licensed under the GNU Affero General Public License", ["affero general public license"]),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["endorse or promote products", "specific prior written permission"]),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["permission to use copy modify", "fee is hereby granted"]),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ["mozilla public license", "source code form"]),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0.", ["boost software license"]),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", ["in no event will the authors be held liable"]),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", ["altered source versions must be plainly marked"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["attribution noncommercial 4 0"]),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["attribution sharealike 4 0"]),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
+    ("cc0", "the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work", ["associated cc0 with", "waived all copyright"]),
+    ("cc0", "Released under CC0 1.0 Universal", ["cc0 1 0"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ["free and unencumbered software"]),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.", ["verbatim or modified copies", "as long as the name is changed"]),
+    ("proprietary", "All rights reserved", ["all rights reserved"]),
 ]
-#: Words on either side of an indexed word in which common ones are kept.
-REACH = 2
 
-#: Part of a template's weight that words at one relative position must carry.
+#: Part of a passage's IDF that its indexed words carry, and how many places of it at most.
+INDEX_WEIGHT = 0.8
+INDEX_PLACES = 16
+#: Part of the weight of a passage's indexed words that words at one relative position must carry.
 COVERAGE = 0.6
 
 
-def _table() -> list[tuple[int, str, str, int]]:
-    """(template, label, word, position) of every indexed template word."""
-    return [(t, label, w, p) for t, (label, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w not in COMMON]
+def _words(text: str) -> list[str]:
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+
+
+PASSAGES = [(label, _words(text), [p.split() for p in phrases]) for label, text, phrases in TEMPLATES]
+
+
+def _needs(words: list[str], phrases: list[list[str]]) -> dict[int, str]:
+    """The places of a passage's mandatory phrases and their words."""
+    out: dict[int, str] = {}
+    for phrase in phrases:
+        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        out |= {at + k: w for k, w in enumerate(phrase)}
+    return out
+
+
+def _index(idf: dict[str, float]) -> list[list[int]]:
+    """Of each passage, the places of its highest-IDF words that carry enough of its weight."""
+    out = []
+    for _, words, _ in PASSAGES:
+        order = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
+        whole, got, places = sum(idf[w] for w in words), 0.0, []
+        for i in order[:INDEX_PLACES]:
+            if got >= INDEX_WEIGHT * whole:
+                break
+            places.append(i)
+            got += idf[words[i]]
+        out.append(places)
+    return out
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, _, w, _ in _table()} | {w for phrase in BASE for w in phrase.split() if w not in COMMON})
+def _reach(index: list[list[int]], idf: dict[str, float]) -> tuple[set[str], int]:
+    """Words whose places are looked for, and how far from the nearest one a phrase word may stand."""
+    anchors, reach = set(), 0
+    for (_, words, phrases), places in zip(PASSAGES, index, strict=True):
+        anchors |= {words[i] for i in places}
+        reach = max([reach, *(min(abs(at - i) for i in places) for at in _needs(words, phrases))])
+    for phrase in map(str.split, BASE):
+        at = max(range(len(phrase)), key=lambda i: idf[phrase[i]])
+        anchors.add(phrase[at])
+        reach = max(reach, at, len(phrase) - 1 - at)
+    return anchors, reach
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_words and hits: (place, word) of every indexed word and of common ones beside them, in order."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # lower() may fold characters beyond ASCII onto template words, so the few found are held against A-Z only.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
+    """IDF of every passage and base word over all documents, on the driver: one number a word of the fixed table."""
+    words = sorted({w for _, ws, _ in PASSAGES for w in ws} | {w for phrase in BASE for w in phrase.split()})
+    # One row a document and word of the table; lower() is exact for these up to a few foreign letters.
+    found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.lower(w)), lambda w: w.isin(words)))
+    rows = _texts(docs).select(F.explode(F.concat(F.array(F.lit("")), found)).alias("word"))
+    df = {r["word"]: r["count"] for r in rows.groupBy("word").count().collect()}
+    n = df.get("", 0)
+    return {w: max(math.log((n + 1) / (df.get(w, 0) + 0.5)), 1e-6) for w in words}
+
+
+def places(docs: DataFrame, anchors: set[str], reach: int) -> DataFrame:
+    """doc_id, row, n_words and hits: (at, word) of every anchor and of phrase words within reach, in order."""
+    wanted = sorted({w for _, ws, phrases in PASSAGES for p in phrases for w in p} | {w for phrase in BASE for w in phrase.split()} | anchors)
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    vocabulary = _vocabulary()
 
-    def hits(ws: Column) -> Column:
-        rare = lambda w: F.coalesce(F.lower(w).isin(vocabulary), F.lit(False))
+    def near(ws: Column, at: Column) -> Column:
+        # From each anchor's reach, without what the one before has reached.
+        def own(p: Column, i: Column) -> Column:
+            low = F.greatest(F.lit(0), p - reach, F.when(i > 0, F.get(at, i - 1) + reach + 1).otherwise(0))
+            high = F.least(F.size(ws) - 1, p + reach)
+            spread = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            return F.transform(spread, lambda k: F.struct(k.cast("long").alias("at"), ascii_lower(F.get(ws, k)).alias("word")))
 
-        def wanted(w: Column, i: Column) -> Column:
-            beside = F.lit(False)
-            for k in range(1, REACH + 1):
-                beside = beside | rare(F.get(ws, i - k)) | rare(F.get(ws, i + k))
-            return F.when(F.lower(w).isin(vocabulary), True).when(F.lower(w).isin(COMMON), beside).otherwise(False)
+        return F.filter(F.flatten(F.transform(at, own)), lambda x: x["word"].isin(wanted))
 
-        return F.filter(F.transform(ws, lambda w, i: F.when(wanted(w, i), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    def hits(ws: Column) -> Column:
+        # lower() may fold characters beyond ASCII onto an anchor; the words kept are held against A-Z only.
+        at = F.filter(F.transform(ws, lambda w, i: F.when(F.lower(w).isin(sorted(anchors)), i)), lambda i: i.isNotNull())
+        return let(at, lambda a: near(ws, a))
 
     both = let(found, lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), hits(ws).alias("hits")))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), both.alias("found"))
-    exact = F.filter(F.transform("found.hits", lambda x: F.struct(x["at"].cast("long").alias("at"), ascii_lower(x["word"]).alias("word"))), lambda x: x["word"].isin(vocabulary + COMMON))
-    return rows.select("doc_id", "row", "found.n_words", exact.alias("hits"))
+    rows = _texts(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), both.alias("found"))
+    return rows.select("doc_id", "row", "found.n_words", "found.hits")
 
 
 def _starts(hits: Column, phrase: str) -> Column:
@@ -117,36 +184,32 @@ def _starts(hits: Column, phrase: str) -> Column:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: base counts and labels, the method's labels and score."""
     spark = docs.sparkSession
-    rows = materialize(places(docs), "op2-places")
+    idf = inverse_frequencies(docs)
+    index = _index(idf)
+    rows = materialize(places(docs, *_reach(index, idf)), "op2-places")
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(_starts(F.col("hits"), phrase), lambda at: F.struct(at.alias("at"), F.lit(label).alias("label")))
 
-    bases = F.flatten(F.array(*[labelled(*item) for item in BASE.items()]))
-    rows = rows.withColumn("base", bases)
-    # IDF over all documents; one row a template word.
-    words = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = rows.count()
-    entry = lambda t, label, w, p: F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.lit(w).alias("word"), F.lit(p).alias("position"))
-    table = spark.range(1).select(F.inline(F.array(*[entry(*row) for row in _table()])))
-    idf = table.select("word").distinct().join(counts, "word", "left")
-    idf = idf.select("word", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + F.lit(0.5))).alias("idf"))
-    index = materialize(table.join(idf, "word").withColumn("idf", F.greatest("idf", F.lit(1e-6))), "op2-index")
-    weights = index.groupBy("template").agg(F.sum("idf").alias("weight"))
-    rows_hit = rows.where(F.size("hits") > 0)
-    # Postings at a relative position: all indexed words of the template vote there.
-    postings = F.broadcast(index.select("template", "label", "word", "position", "idf"))
-    placed = rows_hit.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
-    votes = placed.join(postings, "word").select("row", "template", "label", "word", (F.col("at") - F.col("position")).alias("begin"), "position", "idf")
-    agreed = votes.groupBy("row", "template", "label", "begin").agg(F.sum("idf").alias("got"))
-    agreed = agreed.join(F.broadcast(weights), "template").withColumn("score", F.least(F.col("got") / F.col("weight"), F.lit(1.0)))
-    agreed = agreed.where(F.col("score") >= COVERAGE)
-    # Mandatory phrases: every one must stand at its own place relative to the template's begin.
-    hits = rows.select("row", "hits").join(agreed.groupBy("row").agg(F.collect_set(F.struct("template", "label", "begin", "score")).alias("found")), "row")
-    verified = F.filter("found", lambda x: _verified(F.col("hits"), x))
-    best = hits.select("row", F.array_distinct(F.transform(verified, lambda x: x["label"])).alias("more"), F.array_max(F.transform(verified, lambda x: x["score"])).alias("best"))
-    out = rows.join(best, "row", "left")
+    def table(columns: str, entries: list[tuple]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(entries, columns))  # of the fixed table's size
+
+    postings = table("template int, word string, position int, idf double", [(t, PASSAGES[t][1][i], i, idf[PASSAGES[t][1][i]]) for t, own in enumerate(index) for i in own])
+    weights = table("template int, label string, weight double", [(t, PASSAGES[t][0], sum(idf[PASSAGES[t][1][i]] for i in own)) for t, own in enumerate(index)])
+    needs = [(t, at, w) for t, (_, words, phrases) in enumerate(PASSAGES) for at, w in _needs(words, phrases).items()]
+    counts = table("template int, needed long", [(t, sum(n[0] == t for n in needs)) for t in range(len(PASSAGES))])
+    # Postings at a relative position: all indexed words of the passage vote there.
+    placed = rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
+    votes = placed.join(postings, "word").select("row", "template", (F.col("at") - F.col("position")).alias("begin"), "idf")
+    agreed = votes.groupBy("row", "template", "begin").agg(F.sum("idf").alias("got")).join(weights, "template")
+    agreed = agreed.withColumn("score", F.least(F.col("got") / F.col("weight"), F.lit(1.0))).where(F.col("score") >= COVERAGE)
+    agreed = materialize(agreed.select("row", "template", "begin", "label", "score"), "op2-agreed")
+    # Mandatory phrases: each of their words must stand at its own place behind the passage's begin.
+    asked = agreed.join(table("template int, offset int, word string", needs), "template").withColumn("at", F.col("begin") + F.col("offset"))
+    verified = asked.join(placed, ["row", "at", "word"]).groupBy("row", "template", "begin", "label", "score").count()
+    verified = verified.join(counts, "template").where(F.col("count") == F.col("needed"))
+    best = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))  # a label each at most
+    out = rows.withColumn("base", F.flatten(F.array(*[labelled(*item) for item in BASE.items()]))).join(best, "row", "left")
     base = F.array_distinct(F.transform("base", lambda x: x["label"]))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     at = F.transform("base", lambda x: x["at"])
@@ -160,17 +223,3 @@ def license_scan(docs: DataFrame) -> DataFrame:
         joined(F.concat(base, F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
         F.coalesce(F.greatest("best", F.when(F.size("base") > 0, F.lit(0.5))), F.lit(0.0)).alias("score"),
     )
-
-
-def _verified(hits: Column, found: Column) -> Column:
-    """Whether the mandatory phrases of a found template stand where it begins."""
-    out = F.lit(False)
-    for t, (_, text, phrases) in enumerate(TEMPLATES):
-        words = text.split()
-        places = [next(i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()) for p in phrases]
-        need = F.lit(True)
-        for phrase, place in zip(phrases, places, strict=True):
-            for k, w in enumerate(phrase.split()):
-                need = need & F.array_contains(hits, F.struct((found["begin"] + place + k).alias("at"), F.lit(w).alias("word")))
-        out = out | ((found["template"] == t) & need)
-    return out
