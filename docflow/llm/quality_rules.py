@@ -5,14 +5,16 @@ windows.  Beyond them a document is compared with the reference of its language:
 two histograms, of character classes and of common words, are held against the
 medians of all documents of that language that the base rules pass, by Jensen-Shannon
 distance (base 2, 0 to 1).  Documents under a minimum length, and languages with
-too few documents, are not judged by divergence.
+too few documents, are not judged by divergence.  Every language has a reference of its
+own; one without a list of common words here is judged by character classes alone.
 
 All is done with DataFrame functions.  The corpus statistics are one small row a
-language; languages outside the table below share one row, so their number is
-bounded.
+language.  Languages are codes of two or three letters, so there are 18,253 rows at
+most, of 300 bytes.
 
-Defined results: a null text counts as empty, has no words and fails.  A null or
-unknown ``lang`` falls in the shared row.  Rows are judged one by one, so repeats
+Defined results: a null text counts as empty, has no words and fails.  Of ``lang`` the
+letters before a hyphen or underscore count, in lower case; null, and what is no code of
+two or three letters a-z, is one language ``other``.  Rows are judged one by one, so repeats
 and null ids need no care.  An empty table gives an empty result.  Other input
 columns are ignored.
 """
@@ -24,15 +26,24 @@ from pyspark.sql import functions as F
 
 from docflow.llm.common import let, materialize
 
-# Frequent function words of each language.
+# Frequent function words of each language, twelve each.
 COMMON_WORDS = {
+    "cs": ["a", "je", "na", "v", "se", "to", "že", "s", "z", "do", "o", "i"],
+    "da": ["og", "i", "at", "det", "er", "en", "til", "af", "på", "for", "med", "der"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "ist"],
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "dans"],
+    "it": ["di", "e", "il", "la", "che", "in", "a", "per", "un", "è", "del", "non"],
+    "nl": ["de", "het", "een", "en", "van", "in", "is", "dat", "op", "te", "zijn", "met"],
+    "pl": ["i", "w", "na", "z", "do", "się", "nie", "to", "że", "jest", "o", "po"],
+    "pt": ["de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "os"],
+    "ru": ["и", "в", "не", "на", "что", "с", "по", "как", "к", "он", "из", "у"],
+    "sv": ["och", "i", "att", "det", "som", "en", "på", "är", "av", "för", "med", "till"],
+    "tr": ["ve", "bir", "bu", "da", "de", "için", "ile", "o", "çok", "ne", "gibi", "daha"],
 }
+N_COMMON = 12
 OTHER = "other"
-OTHER_WORDS = ["the", "of", "and", "der", "die", "und", "que", "el", "y", "de", "la", "et"]
 #: Character classes that are counted; the last class is what none of them has.
 CLASSES = [r"\p{Lu}", r"\p{Nd}", r"""[.,;:!?'"()-]""", r"[#*$%&|<>]", r"[\x20\x09-\x0D]"]
 SYMBOLS = CLASSES[3]
@@ -82,14 +93,16 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def _language(lang: Column) -> Column:
-    return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit(OTHER))
+    code = F.regexp_extract(F.lower(lang), r"^([a-z]{2,3})([-_].*)?$", 1)
+    return F.when(code != "", code).otherwise(F.lit(OTHER))
 
 
 def _common(language: Column) -> Column:
-    out = F.when(F.lit(False), F.array(*map(F.lit, OTHER_WORDS)))
+    """The common words of a language; none where the table has none."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
     for key, words in COMMON_WORDS.items():
         out = out.when(language == key, F.array(*map(F.lit, words)))
-    return out.otherwise(F.array(*map(F.lit, OTHER_WORDS)))
+    return out.otherwise(F.array().cast("array<string>"))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -123,6 +136,9 @@ def features(docs: DataFrame) -> DataFrame:
         n_letters.alias("n_letters"),
     )
     rest = F.col("n_letters") - F.aggregate("common", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    # Languages without a list have one class, so that their word distance is 0.
+    none = F.array(*[F.lit(0).cast("long")] * N_COMMON)
+    rows = rows.withColumn("common", F.when(F.size("common") > 0, F.col("common")).otherwise(none))
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("common", F.concat("common", F.array(rest))).withColumn("base_failed", failed).drop("n_letters")
 
@@ -136,7 +152,7 @@ def references(feats: DataFrame) -> DataFrame:
     share = lambda c, k: F.get(c, F.lit(k)) / F.greatest(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), F.lit(1.0))
     medians = lambda c, n: F.array(*[F.percentile_approx(share(c, k), 0.5, 10000) for k in range(n)])
     good = feats.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS)).groupBy("language")
-    refs = good.agg(F.count(F.lit(1)).alias("docs"), medians("chars", len(CLASSES) + 1).alias("ref_chars"), medians("common", len(OTHER_WORDS) + 1).alias("ref_common"))
+    refs = good.agg(F.count(F.lit(1)).alias("docs"), medians("chars", len(CLASSES) + 1).alias("ref_chars"), medians("common", N_COMMON + 1).alias("ref_common"))
     return refs.where(F.col("docs") >= MIN_REFERENCE_DOCS).drop("docs")
 
 
@@ -153,7 +169,7 @@ def distance(a: Column, b: Column) -> Column:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts, both distances and the verdict."""
     feats = materialize(features(docs), "op8-features")
-    judged = feats.join(F.broadcast(references(feats)), "language", "left")  # five rows at most
+    judged = feats.join(F.broadcast(references(feats)), "language", "left")  # one row a language code
     judged = judged.withColumn("char_distance", distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", distance(F.col("common"), F.col("ref_common")))
     slack = LENGTH_SLACK / F.greatest(F.col("n_words"), F.lit(1))
     far = (F.col("char_distance") > MAX_CHAR_DISTANCE + slack) | (F.col("word_distance") > MAX_WORD_DISTANCE + slack)

@@ -83,7 +83,7 @@ def _quality_sql() -> str:
     """SQL for the quality rules, with the word lists and bounds of the operator."""
     lists = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.COMMON_WORDS.items())
     counts = ", ".join(f"length(regexp_replace(text, '[^{k[1:-1] if k.startswith('[') else k}]+', '', 'g'))".replace("'\"()-", "''\"()-") for k in rules.CLASSES)
-    n, k = len(rules.CLASSES) + 1, len(rules.OTHER_WORDS) + 1
+    n, k = len(rules.CLASSES) + 1, rules.N_COMMON + 1
     share = lambda c, i: f"quantile_disc({c}[{i}] / greatest(list_sum({c}), 1), 0.5)"
     medians = lambda c, m: "[" + ", ".join(share(c, i + 1) for i in range(m)) + "]"
     part = lambda p, m: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END"
@@ -93,17 +93,17 @@ def _quality_sql() -> str:
     )
     return rf"""
 WITH d AS (
-  SELECT doc_id, CASE WHEN lang IN {tuple(rules.COMMON_WORDS)} THEN lang ELSE 'other' END AS language, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, CASE WHEN regexp_full_match(lower(lang), '[a-z]{{2,3}}([-_].*)?') THEN regexp_extract(lower(lang), '^[a-z]+') ELSE 'other' END AS language, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS letters,
-         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, [{counts}] AS ks, CASE language {lists} ELSE {rules.OTHER_WORDS} END AS cw FROM d
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, [{counts}] AS ks, CASE language {lists} ELSE []::VARCHAR[] END AS cw FROM d
 ), g AS (
   SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
 ), r AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1) GROUP BY doc_id
 ), f AS (
   SELECT w.doc_id, language, len(ws) AS n_words, length(text) - ks[5] AS word_chars, ks[4] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-         list_append(ks, length(text) - list_sum(ks)) AS chars, list_transform(cw, lambda x: len(list_filter(letters, lambda y: y = x))) AS cs, len(letters) AS nl FROM w LEFT JOIN r USING (doc_id)
+         list_append(ks, length(text) - list_sum(ks)) AS chars, CASE WHEN len(cw) > 0 THEN list_transform(cw, lambda x: len(list_filter(letters, lambda y: y = x))) ELSE list_transform(range({rules.N_COMMON}), lambda x: 0::BIGINT) END AS cs, len(letters) AS nl FROM w LEFT JOIN r USING (doc_id)
 ), h AS (
   SELECT *, list_append(cs, nl - list_sum(cs)) AS common, n_words < {rules.MIN_BASE_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f
 ), q AS (

@@ -39,6 +39,17 @@ def test_divergence_drops_shouting(spark, empty):
     assert all(out[k] for k in range(40)) and not out[100] and not out[101]
 
 
+def test_every_language_has_its_reference(spark):
+    """A small language beside a large one, without a word list and in another script, is held against its own."""
+    rng = np.random.default_rng(8)
+    word = lambda low, n: "".join(chr(low + rng.integers(n)) for _ in range(6))
+    rows = [(k, " ".join(word(0x61, 26) for _ in range(60)), "xx") for k in range(90)] + [(100 + k, " ".join(word(0x430, 32) for _ in range(60)), "KK-Cyrl") for k in range(30)]
+    rows += [(200, " ".join(word(0x41, 26) for _ in range(60)), "kk"), (201, " ".join(word(0x430, 32) for _ in range(60)), "not a code"), (202, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["kept"] for r in quality_rules(docs).collect()}
+    assert all(out[i] for i, _, lang in rows if i < 200) and not out[200] and out[201] and not out[202]
+
+
 def license_truth(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(k, label) for phrase, label in L.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
