@@ -118,7 +118,7 @@ class PieceCoder:
                 return True
 
     def _follows(self, left: str | None, piece: str) -> bool:
-        """Whether merging could have made ``piece`` behind ``left`` (None: nothing that merges)."""
+        """Whether merging could have made ``piece`` behind ``left`` (None: the front)."""
         if left is None:
             return len(piece) == 1 or self._halves(piece) is not None
         found = self.pairs.get((left, piece))
@@ -162,7 +162,7 @@ class PieceCoder:
             if top is None or not merges:
                 raw = c.encode("utf-8", "surrogatepass")
                 if top is None or best[end][0] + BYTE_SCORE * len(raw) >= top[0]:
-                    top = (best[end][0] + BYTE_SCORE * len(raw), end, tuple([self.byte_ids[b] for b in raw]), None)
+                    top = (best[end][0] + BYTE_SCORE * len(raw), end, tuple([self.byte_ids[b] for b in raw]), c)
             end += 1
             best[end] = top
             cursors = alive
