@@ -192,12 +192,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
         return F.transform(_starts(F.col("hits"), phrase), lambda at: F.struct(at.alias("at"), F.lit(label).alias("label")))
 
     def table(columns: str, entries: list[tuple]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(entries, columns))  # of the fixed table's size
+        """Literal rows, as many as the fixed table has."""
+        names = columns.split()
+        rows = [F.struct(*[F.lit(value).alias(name) for name, value in zip(names, entry, strict=True)]) for entry in entries]
+        return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
 
-    postings = table("template int, word string, position int, idf double", [(t, PASSAGES[t][1][i], i, idf[PASSAGES[t][1][i]]) for t, own in enumerate(index) for i in own])
-    weights = table("template int, label string, weight double", [(t, PASSAGES[t][0], sum(idf[PASSAGES[t][1][i]] for i in own)) for t, own in enumerate(index)])
+    postings = table("template word position idf", [(t, PASSAGES[t][1][i], i, idf[PASSAGES[t][1][i]]) for t, own in enumerate(index) for i in own])
+    weights = table("template label weight", [(t, PASSAGES[t][0], sum(idf[PASSAGES[t][1][i]] for i in own)) for t, own in enumerate(index)])
     needs = [(t, at, w) for t, (_, words, phrases) in enumerate(PASSAGES) for at, w in _needs(words, phrases).items()]
-    counts = table("template int, needed long", [(t, sum(n[0] == t for n in needs)) for t in range(len(PASSAGES))])
+    counts = table("template needed", [(t, sum(n[0] == t for n in needs)) for t in range(len(PASSAGES))])
     # Postings at a relative position: all indexed words of the passage vote there.
     placed = rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
     votes = placed.join(postings, "word").select("row", "template", (F.col("at") - F.col("position")).alias("begin"), "idf")
@@ -205,7 +208,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     agreed = agreed.withColumn("score", F.least(F.col("got") / F.col("weight"), F.lit(1.0))).where(F.col("score") >= COVERAGE)
     agreed = materialize(agreed.select("row", "template", "begin", "label", "score"), "op2-agreed")
     # Mandatory phrases: each of their words must stand at its own place behind the passage's begin.
-    asked = agreed.join(table("template int, offset int, word string", needs), "template").withColumn("at", F.col("begin") + F.col("offset"))
+    asked = agreed.join(table("template offset word", needs), "template").withColumn("at", F.col("begin") + F.col("offset"))
     verified = asked.join(placed, ["row", "at", "word"]).groupBy("row", "template", "begin", "label", "score").count()
     verified = verified.join(counts, "template").where(F.col("count") == F.col("needed"))
     best = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))  # a label each at most
