@@ -113,7 +113,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(3)
         at = np.asarray(lists.offsets)
-        values = np.asarray(lists.values).astype("<u4")
+        values = np.asarray(lists.values).astype("<i4", copy=False).view("<u4")  # no copy of a batch's ids
         sums = [zlib.crc32(values[at[k] : at[k + 1]].data) for k in range(len(lists))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

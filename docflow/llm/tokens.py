@@ -18,8 +18,10 @@ import pyarrow as pa
 
 from docflow.llm.wordhash import buffers
 
-#: Parts that a worker keeps; at the bound the memo starts anew.
-MEMO_PARTS = 1_000_000
+#: Bytes of parts and their ids that a worker keeps; at the bound the memo starts anew.
+MEMO_BYTES = 96 << 20
+#: Bytes of an entry beside its text and ids.
+_ENTRY = 200
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
@@ -48,6 +50,7 @@ class Encoder:
         self.code = "H" if self.model.get_vocab_size() <= 65536 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
         ids = [self.model.encode(x, add_special_tokens=False).ids for x in ("Word x,! 1", "word", "x", ",!", "1")]
         #: Whether white space is dropped and letters are lower-cased and parted from marks; else texts are encoded whole.
         self.parted = ids[0] == sum(ids[1:], [])
@@ -62,17 +65,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.parts(t) for t in texts]
         new = set().union(*parts).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_PARTS:
+        if self.memo_bytes > MEMO_BYTES:
             self.memo.clear()
+            self.memo_bytes = 0
             new = set().union(*parts)
         todo = list(new)
         for k in range(0, len(todo), 10_000):
             some = todo[k : k + 10_000]
             for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[p] = array(self.code, e.ids).tobytes()
+                self.memo[p] = ids = array(self.code, e.ids).tobytes()
+                self.memo_bytes += _ENTRY + len(p) + len(ids)
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, own)), self.kind) for own in parts]
         if not self.parted:
             self.memo.clear()
+            self.memo_bytes = 0
         return out
 
 
