@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from docflow.functions.text import FOLD_FROM, FOLD_TO
+from docflow.functions.text import FOLD_FROM, FOLD_TO, NORMALIZE_STEPS
 
 
 def row_udf(fn: Callable, kind: DataType) -> Callable[..., Column]:
@@ -35,7 +35,7 @@ def row_udf(fn: Callable, kind: DataType) -> Callable[..., Column]:
     return lambda **columns: F.arrow_udf(run, kind)(F.struct(*[c.alias(n) for n, c in columns.items()]))
 
 
-_STEPS = [(re.compile(p), n) for p, n in ((r"<br/?>", " "), (r"\s+", " "), (r"\*\*(.*?)\*\*", r"\1"), (r"__(.*?)__", r"\1"), (r"</?b>", ""), (r"</?i>", ""), (r"\*(.*?)\*", r"\1"), (r"_(.*?)_", r"\1"))]
+_STEPS = [(re.compile(p), n) for p, n in NORMALIZE_STEPS]
 _FOLDS = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
@@ -48,8 +48,22 @@ def normalize(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", text).translate(_FOLDS)
 
 
+def _trim(a: str | list, b: str | list) -> tuple[int, int]:
+    """Lengths of the common front and, behind it, of the common end."""
+    most = min(len(a), len(b))
+    front = 0
+    while front < most and a[front] == b[front]:
+        front += 1
+    end = 0
+    while end < most - front and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return front, end
+
+
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence with one big integer as the row of the table."""
+    front, end = _trim(a, b)
+    a, b = a[front : len(a) - end], b[front : len(b) - end]
     if len(a) > len(b):
         a, b = b, a
     places: dict[str, int] = {}
@@ -60,7 +74,7 @@ def lcs_length(a: str, b: str) -> int:
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return front + end + len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -68,48 +82,101 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if not a and not b else 2 * lcs_length(a, b) / (len(a) + len(b))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def partial_ratio(query: str, text: str) -> float:
-    """The best ratio of the shorter text with any window of its length in the other, edges cut short included."""
+    """The best ratio of the shorter text with any window of its length in the other, edges cut short included.
+
+    All windows go through the table at once: each has a row of bits, 64 a word, and
+    a step takes the next character of every window.
+    """
     if len(query) > len(text):
         query, text = text, query
     if not query:
         return 1.0 if not text else 0.0
     if query in text:
         return 1.0
-    n, best, kinds = len(query), 0.0, Counter(query)
-    for start in range(1 - n, len(text)):
-        window = text[max(start, 0) : start + n]
-        # Characters in common bound the common subsequence.
-        bound = 2 * sum((kinds & Counter(window)).values()) / (n + len(window))
-        if bound > best:
-            best = max(best, ratio(query, window))
+    n = len(query)
+    # Character numbers; 0 stands for what the query lacks, and for places beyond the text.
+    kinds, q = np.unique(_codes(query), return_inverse=True)
+    codes = _codes(text)
+    at = np.minimum(np.searchsorted(kinds, codes), len(kinds) - 1)
+    numbers = np.zeros(len(text) + 2 * (n - 1), np.int64)
+    numbers[n - 1 : n - 1 + len(text)] = np.where(kinds[at] == codes, at + 1, 0)
+    words = -(-n // 64)
+    masks = np.zeros((words, len(kinds) + 1), np.uint64)
+    for k, kind in enumerate(q.tolist()):
+        masks[k // 64, kind + 1] |= np.uint64(1 << k % 64)
+    windows = len(text) + n - 1
+    best = 0.0
+    for lo in range(0, windows, _WINDOWS):
+        hi = min(windows, lo + _WINDOWS)
+        rows = [np.full(hi - lo, 2**64 - 1, np.uint64) for _ in range(words)]
+        for k in range(n):
+            own = numbers[lo + k : hi + k]
+            carry = np.uint64(0)
+            for w in range(words):
+                row = rows[w]
+                hit = row & masks[w][own]
+                total = row + hit
+                over = total < row
+                if w:
+                    total = total + carry
+                    over |= (total < carry) & (carry > 0)
+                carry = over.astype(np.uint64)
+                rows[w] = total | (row & ~hit)
+        rest = np.uint64((1 << (n - 1) % 64 + 1) - 1)
+        common = n - sum(np.bitwise_count(rows[w] if w < words - 1 else rows[w] & rest).astype(np.int64) for w in range(words))
+        starts = np.arange(lo, hi) - (n - 1)
+        lengths = np.minimum(starts + n, len(text)) - np.maximum(starts, 0)
+        best = max(best, float((2 * common / (n + lengths)).max()))
     return best
 
 
+#: Windows whose rows are held at a time.
+_WINDOWS = 1 << 16
+
+
+def _ends(pattern: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in ``text`` the least distance of ``pattern`` to a part that ends there, and that part's start."""
+    codes = _codes(text)
+    row, origin = np.zeros(len(codes) + 1, np.int64), np.arange(len(codes) + 1)
+    steps = np.arange(len(codes) + 1)
+    for i, c in enumerate(pattern, 1):
+        other = np.empty_like(row)
+        from_ = np.empty_like(origin)
+        other[0], from_[0] = i, 0
+        diagonal, above = row[:-1] + (codes != ord(c)), row[1:] + 1
+        other[1:] = np.minimum(diagonal, above)
+        from_[1:] = np.where(diagonal <= above, origin[:-1], origin[1:])
+        # Insertions run along the row: a running minimum of value - place.
+        slack = other - steps
+        lowest = np.minimum.accumulate(slack)
+        at = np.maximum.accumulate(np.where(slack == lowest, steps, 0))
+        row, origin = lowest + steps, from_[at]
+    return row, origin
+
+
 def near_matches(pattern: str, text: str, most: int) -> list[tuple[int, int, int]]:
     """(start, end, distance) of the best places where ``pattern`` occurs with up to ``most`` edits.
 
-    Neighbouring ends of one place give one match, the closest.
+    Neighbouring ends of one place give one match, the closest.  An empty pattern has none.
     """
+    if not pattern:
+        return []
     if most == 0:
         return [(m.start(), m.end(), 0) for m in re.finditer(re.escape(pattern), text)]
-    m = len(pattern)
-    column, origin = list(range(m + 1)), [0] * (m + 1)
+    row, origin = _ends(pattern, text)
     found: list[tuple[int, int, int]] = []
-    for j, c in enumerate(text, 1):
-        before, before_origin = column, origin
-        column, origin = [0] * (m + 1), [0] * (m + 1)
-        origin[0] = j
-        for i in range(1, m + 1):
-            options = ((before[i - 1] + (pattern[i - 1] != c), before_origin[i - 1]), (before[i] + 1, before_origin[i]), (column[i - 1] + 1, origin[i - 1]))
-            column[i], origin[i] = min(options, key=lambda o: o[0])
-        if column[m] <= most:
-            match = (origin[m], j, column[m])
-            if found and match[0] < found[-1][1]:
-                if match[2] < found[-1][2]:
-                    found[-1] = match
-            else:
-                found.append(match)
+    for j in (np.flatnonzero(row[1:] <= most) + 1).tolist():
+        match = (int(origin[j]), j, int(row[j]))
+        if found and match[0] < found[-1][1]:
+            if match[2] < found[-1][2]:
+                found[-1] = match
+        else:
+            found.append(match)
     return found
 
 
@@ -117,31 +184,36 @@ def best_substring(needle: str, text: str) -> tuple[int, int, float]:
     """The part of ``text`` closest to ``needle``: (start, end, 1 - distance / length)."""
     if not needle:
         return (0, 0, 1.0)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    row, origin = np.zeros(len(codes) + 1), np.arange(len(codes) + 1)
-    steps = np.arange(len(codes) + 1)
-    for i, c in enumerate(needle, 1):
-        other = np.empty_like(row)
-        from_ = np.empty_like(origin)
-        other[0], from_[0] = i, 0
-        diagonal, above = row[:-1] + (codes != ord(c)), row[1:] + 1
-        other[1:] = np.minimum(diagonal, above)
-        from_[1:] = np.where(diagonal <= above, origin[:-1], origin[1:])
-        # Insertions run along the row: a running minimum of value - place.
-        slack = other - steps
-        lowest = np.minimum.accumulate(slack)
-        at = np.maximum.accumulate(np.where(slack == lowest, steps, 0))
-        other, from_ = lowest + steps, from_[at]
-        row, origin = other, from_
+    row, origin = _ends(needle, text)
     end = int(row.argmin())
     return int(origin[end]), end, float(max(0.0, 1 - row[end] / len(needle)))
 
 
-def align(a: list[str], b: list[str], match: int = 1, mismatch: int = -1, gap: int = -1, fill: str = "▁") -> tuple[list[str], list[str]]:
-    """Global alignment of token lists; gaps are filled."""
-    kinds = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([kinds[w] for w in s], np.int64) for s in (a, b))
+#: Cells of an alignment's table that are held at a time.
+_CELLS = 1 << 22
+
+
+def _last_row(x: np.ndarray, y: np.ndarray, match: int, mismatch: int, gap: int) -> np.ndarray:
+    """Scores of all of ``x`` against each front of ``y``."""
+    steps = np.arange(len(y) + 1) * gap
+    row = steps.copy()
+    for i, c in enumerate(x, 1):
+        best = np.empty_like(row)
+        best[0] = i * gap
+        best[1:] = np.maximum(row[:-1] + np.where(y == c, match, mismatch), row[1:] + gap)
+        row = np.maximum.accumulate(best - steps) + steps
+    return row
+
+
+def _path(x: np.ndarray, y: np.ndarray, match: int, mismatch: int, gap: int) -> list[tuple[int, int]]:
+    """Steps (1, 1), (1, 0) and (0, 1) of a best alignment; halves ``x`` while the table would be large."""
     n, m = len(x), len(y)
+    if (n + 1) * (m + 1) > _CELLS and n > 1:
+        half = n // 2
+        ahead = _last_row(x[:half], y, match, mismatch, gap)
+        behind = _last_row(x[half:][::-1], y[::-1], match, mismatch, gap)[::-1]
+        cut = int((ahead + behind).argmax())
+        return _path(x[:half], y[:cut], match, mismatch, gap) + _path(x[half:], y[cut:], match, mismatch, gap)
     steps = np.arange(m + 1) * gap
     table = np.zeros((n + 1, m + 1), np.int64)
     table[0] = steps
@@ -150,22 +222,26 @@ def align(a: list[str], b: list[str], match: int = 1, mismatch: int = -1, gap: i
         best[0] = i * gap
         best[1:] = np.maximum(table[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), table[i - 1, 1:] + gap)
         table[i] = np.maximum.accumulate(best - steps) + steps
-    out_a, out_b = [], []
+    out = []
     i, j = n, m
     while i or j:
         if i and j and table[i, j] == table[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            out_a.append(a[i])
-            out_b.append(b[j])
-        elif i and table[i, j] == table[i - 1, j] + gap:
-            i -= 1
-            out_a.append(a[i])
-            out_b.append(fill)
+            step = (1, 1)
         else:
-            j -= 1
-            out_a.append(fill)
-            out_b.append(b[j])
-    return out_a[::-1], out_b[::-1]
+            step = (1, 0) if i and table[i, j] == table[i - 1, j] + gap else (0, 1)
+        out.append(step)
+        i, j = i - step[0], j - step[1]
+    return out[::-1]
+
+
+def align(a: list[str], b: list[str], match: int = 1, mismatch: int = -1, gap: int = -1, fill: str = "▁") -> tuple[list[str], list[str]]:
+    """Global alignment of token lists; gaps are filled.  Memory grows with the lists, not with their product."""
+    front, end = _trim(a, b)  # equal ends are aligned in some best alignment
+    kinds = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([kinds[w] for w in s[front : len(s) - end]], np.int64) for s in (a, b))
+    path = [(1, 1)] * front + _path(x, y, match, mismatch, gap) + [(1, 1)] * end
+    one, two = iter(a), iter(b)
+    return [next(one) if i else fill for i, _ in path], [next(two) if j else fill for _, j in path]
 
 
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -202,14 +278,29 @@ def paragraph_similarity(gold: str, pred: str, window: int = 1, least_gap: int =
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a row at a time."""
-    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, c in enumerate(x, 1):
-        best = np.concatenate([[i], np.minimum(row[:-1] + (y != c), row[1:] + 1)])
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Levenshtein distance; differences of neighbouring cells are the bits of big integers."""
+    front, end = _trim(a, b)
+    a, b = a[front : len(a) - end], b[front : len(b) - end]
+    if len(a) > len(b):
+        a, b = b, a
+    n = len(a)
+    if not n:
+        return len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, last, distance = (1 << n) - 1, 1 << (n - 1), n
+    rises, falls = full, 0
+    for c in b:
+        hit = places.get(c, 0)
+        down = hit | falls
+        across = (((hit & rises) + rises) ^ rises) | hit
+        up = falls | (full & ~(across | rises))
+        drop = rises & across
+        distance += bool(up & last) - bool(drop & last)
+        up, drop = (up << 1 | 1) & full, drop << 1 & full
+        rises, falls = drop | (full & ~(down | up)), up & down
+    return distance
 
 
 def match_texts(pred: list[str], target: list[str], most: int) -> tuple[dict[int, int], dict[int, int]]:

@@ -16,10 +16,14 @@ ALNUM = r"[\p{L}\p{N}]"
 FOLD_FROM = "‘’‚“”„＿–—‑‒−\u00b5"
 FOLD_TO = "'''\"\"\"_-----\u03bc"
 
+# What is replaced, in order, before texts are compared; \\1 is the first group.
+NORMALIZE_STEPS = [(r"<br/?>", " "), (r"\s+", " "), (r"\*\*(.*?)\*\*", r"\1"), (r"__(.*?)__", r"\1"), (r"</?b>", ""), (r"</?i>", ""), (r"\*(.*?)\*", r"\1"), (r"_(.*?)_", r"\1")]
+
 # The marks of the page formats that are read here.
 IMAGE = r"!\[.*?\]\(.*?\)"
 HTML_TABLE = r"(?is)<table.*?</table>"
-TAGGED_TABLE = r"(?is)<POSICUBE_TABLE_KV>.*?</POSICUBE_TABLE_KV>"
+TABLE_TAG = "POSICUBE_TABLE_KV"
+TAGGED_TABLE = rf"(?is)<{TABLE_TAG}>.*?</{TABLE_TAG}>"
 INLINE_MATH = r"(?s)(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)"
 INLINE_LATEX = r"(?s)\\\((.+?)\\\)"
 BLOCK_MATH = r"(?s)\$\$(.+?)\$\$"
@@ -48,7 +52,7 @@ def words(text: Column) -> Column:
 
 def normalize_ascii(text: Column) -> Column:
     """Canonical text for comparisons, up to the Unicode form (see ``textudf.normalize``)."""
-    text = replace_all(text, (r"<br/?>", " "), (r"\s+", " "), (r"\*\*(.*?)\*\*", "$1"), (r"__(.*?)__", "$1"), (r"</?b>", ""), (r"</?i>", ""), (r"\*(.*?)\*", "$1"), (r"_(.*?)_", "$1"))
+    text = replace_all(text, *[(pattern, new.replace("\\", "$")) for pattern, new in NORMALIZE_STEPS])
     return F.translate(text, FOLD_FROM, FOLD_TO)
 
 
@@ -103,7 +107,7 @@ def remove_tables(text: Column, version: str = "") -> Column:
     if version == "1.9":
         text = replace_all(text, (r"(?s)<style.*?</style>", ""), (r"(?s)<table.*?</table>", ""))
     elif version == "1.10":
-        text = F.regexp_replace(text, r"(?s)<POSICUBE_TABLE_KV>.*?</POSICUBE_TABLE_KV>", "")
+        text = F.regexp_replace(text, rf"(?s)<{TABLE_TAG}>.*?</{TABLE_TAG}>", "")
     return strip(text)
 
 
@@ -150,13 +154,13 @@ def extract_lists(text: Column) -> Column:
 
 
 def detect_table_type(text: Column) -> Column:
-    return F.when(text.rlike(TAGGED_TABLE), "posicube").when(text.rlike(HTML_TABLE), "html")
+    return F.when(text.rlike(TAGGED_TABLE), "tagged").when(text.rlike(HTML_TABLE), "html")
 
 
 def extract_tables(text: Column) -> Column:
     found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     kind = detect_table_type(text)
-    return F.when(kind == "posicube", found(TAGGED_TABLE)).when(kind == "html", found(HTML_TABLE)).otherwise(F.array().cast("array<string>"))
+    return F.when(kind == "tagged", found(TAGGED_TABLE)).when(kind == "html", found(HTML_TABLE)).otherwise(F.array().cast("array<string>"))
 
 
 def extract_images(text: Column) -> Column:
@@ -183,7 +187,7 @@ def extract_formulas(text: Column) -> Column:
 def extract_text(text: Column) -> Column:
     """Text without images and tables."""
     kind, plain = detect_table_type(text), F.regexp_replace(text, IMAGE, "")
-    plain = F.when(kind == "posicube", F.regexp_replace(plain, TAGGED_TABLE, "")).when(kind == "html", F.regexp_replace(plain, HTML_TABLE, "")).otherwise(plain)
+    plain = F.when(kind == "tagged", F.regexp_replace(plain, TAGGED_TABLE, "")).when(kind == "html", F.regexp_replace(plain, HTML_TABLE, "")).otherwise(plain)
     return strip(replace_all(plain, (r"\n{2,}", "\n"), (r"[ \t]+", " ")))
 
 

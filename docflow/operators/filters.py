@@ -108,9 +108,11 @@ def alnum_count(text: Column) -> Column:
 
 
 def trailing_repeats(text: Column, sizes: int = 5) -> Column:
-    """How often the last n characters repeat at the end, for n of 1 to ``sizes``; white space is collapsed."""
-    plain = T.strip(F.regexp_replace(text, r"\s+", " "))
-    back = F.reverse(plain)
+    """How often the last n characters repeat at the end, for n of 1 to ``sizes``.
+
+    Runs of white space count as one space, also at the ends.  Shorter texts have no repeats.
+    """
+    back = F.reverse(F.regexp_replace(text, r"(?U)\s+", " "))
 
     def repeats(n: int) -> Column:
         # The longest prefix of the reversed text with period n: possessive, so no back-tracking.

@@ -47,15 +47,29 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str, late: str) -> D
     return events.dropDuplicates(keys)
 
 
-def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Write what a stream has now to a Parquet folder (append) or table in memory (other modes), and read it."""
+def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Write what a stream has now to a Parquet folder, and read it.
+
+    Complete results replace each other.  Update results have the last row of every
+    key in ``keys``: each batch writes a table of its own from the one before, so a batch
+    that is run again gives the same.
+    """
     spark = stream.sparkSession
     if mode == "append":
         stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(folder)
-    # Complete and update results replace each other: every batch overwrites or upserts by rewriting the folder.
+    if mode == "update" and not keys:
+        raise ValueError("update results are merged by keys")
+    last = [-1]
+
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(folder)
+        if mode == "update" and batch:
+            before = spark.read.schema(stream.schema).parquet(f"{folder}/batch={batch - 1}")
+            df = before.join(df.select(*keys), keys, "left_anti").unionByName(df)
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        last[0] = batch
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(folder)
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch={last[0]}")
