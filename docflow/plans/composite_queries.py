@@ -14,8 +14,9 @@ from docflow.operators import packs as K
 from docflow.operators import rules as R
 from docflow.operators import sampling as S
 from docflow.plans import extensions as E
+from docflow.operators.presence import passages_in, run_hashes
 from docflow.plans.registry import Tables, query
-from docflow.plans.table_queries import NGRAM, VOTES
+from docflow.plans.table_queries import NGRAM, VOTES_SQL, votes
 from docflow.plans.text_queries import attributed
 
 c = F.col
@@ -63,24 +64,28 @@ def _(t):
     return D.workspace_statistics(rows, "n_chars", "one", "zero", n(), 5000).select("docs", "tokens", "long_docs")
 
 
-BENCH = "WITH x AS (SELECT b.item_id, b.item_id % 4 AS category, d.source AS candidate, avg(CASE WHEN contains(lower(d.text), lower(substring(b.text, 1, 30))) THEN 1.0 ELSE 0.0 END) AS score FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 GROUP BY ALL), y AS (SELECT candidate, category, avg((score > 0.5)::INT) AS r FROM x GROUP BY 1, 2)"
+BENCH = "WITH hit AS (SELECT DISTINCT b.item_id, d.source FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))), y AS (SELECT c.source AS candidate, b.item_id % 4 AS category, avg((h.item_id IS NOT NULL)::INT) AS r FROM (SELECT DISTINCT source FROM documents) c CROSS JOIN benchmark b LEFT JOIN hit h ON h.source = c.source AND h.item_id = b.item_id GROUP BY ALL)"
 
 
 @query("pip_04_udf_04_benchmark", BENCH + " SELECT candidate, CAST(category AS VARCHAR) AS category, round(r, 6) AS rate FROM y UNION ALL SELECT candidate, 'overall', round(avg(r), 6) FROM y GROUP BY 1")
 def _(t):
-    # The tests' side is prepared before the join.
-    tests = t.benchmark.select("item_id", (c("item_id") % 4).cast("string").alias("category"), F.lower(F.substring("text", 1, 30)).alias("wanted"))
-    outputs = t.documents.select((c("doc_id") % 40).alias("slot"), c("source").alias("candidate"), F.lower("text").alias("md"))
-    scored = tests.join(outputs, c("item_id") % 40 == c("slot")).groupBy("candidate", "category", "item_id").agg(F.avg(F.contains(c("md"), c("wanted")).cast("int")).alias("score"))
-    report = C.macro_report(scored.withColumn("passed", (c("score") > 0.5).cast("int")), "candidate", "category", "passed")
+    # Every candidate (a source) takes every test: does one of its documents hold the whole passage?
+    tests = t.benchmark.select("item_id", (c("item_id") % 4).cast("string").alias("category"))
+    names = [r["category"] for r in tests.select("category").distinct().orderBy("category").collect()]  # the benchmark's categories
+    candidates = t.documents.select(c("source").alias("candidate")).distinct()
+    asked = candidates.select("candidate", F.explode(F.array(*map(F.lit, names))).alias("category")).join(tests, "category")
+    hits = passages_in(t.benchmark, "item_id", t.documents, "doc_id").join(t.documents.select("doc_id", c("source").alias("candidate")), "doc_id").select("item_id", "candidate").distinct()
+    scored = asked.join(hits.withColumn("hit", F.lit(1)), ["item_id", "candidate"], "left").withColumn("passed", F.coalesce("hit", F.lit(0)))
+    report = C.macro_report(scored, "candidate", "category", "passed")
     return report.select("candidate", "category", F.round("rate", 6).alias("rate"))
 
 
 @query("pip_05_udf_01_02_07_ext_35_38_41_evaluation")
 def _(t):
-    target = F.concat(F.lit("# T\n"), F.left("text", F.lit(200)), F.lit(" $x^2$"))
-    pairs = t.documents.select(c("doc_id").cast("string").alias("rel"), target.alias("target"), F.regexp_replace(target, "e", "3").alias("pred"))
-    return E.evaluate(pairs, ["text_edit", "reading_order", "formula"])
+    target = F.concat(F.lit("# T\n"), c("text"), F.lit(" $x^2$\n## U\n- one\n- two\n![a](b.png)<!-- bbox: 1, 2, 30, 4 -->\n<table><tr><td>1</td><td>"), "role", F.lit("</td></tr></table>\n```py\nx = 1\n```"))
+    rel = F.concat(c("conv_id").cast("string"), F.lit("/"), c("turn").cast("string"))
+    pairs = t.conversations.select(rel.alias("rel"), target.alias("target"), F.regexp_replace(target, "e", "3").alias("pred"))
+    return E.evaluate(pairs, sorted(E.METRICS.names()))
 
 
 @query("pip_06_rul_02_03_05_06_rule_variants", "SELECT doc_id, coalesce(quality = 1, false) AND NOT coalesce(toxic = 1, false) AS v1, NOT coalesce(quality = 1, false) OR coalesce(toxic = 1, false) AS v2 FROM documents LEFT JOIN labels USING (doc_id)")
@@ -99,11 +104,8 @@ def _(t):
 
 @query("pip_08_decontamination", NGRAM + ", hit AS (SELECT DISTINCT doc_id FROM gn JOIN bn USING (k)) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)")
 def _(t):
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        rows = df.select(key, X.words(c("text")).alias("w")).where(F.size("w") >= 8)
-        return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: i)).alias("i"), "w").select(key, F.array_join(F.slice("w", c("i"), F.lit(8)), " ").alias("k"))
-
-    hit = grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id").select("k"), "k", "left_semi").select("doc_id").distinct()
+    grams = lambda df, key: df.select(key, F.explode(run_hashes(X.words(c("text")), 8)).alias("k"))
+    hit = grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id").select("k").distinct(), "k", "left_semi").select("doc_id").distinct()
     return t.documents.select("doc_id").join(hit, "doc_id", "left_anti")
 
 
@@ -122,16 +124,14 @@ def _(t):
 
 @query("pip_11_alignment_report")
 def _(t):
-    rows = t.documents.where("n_chars < 2000").select("doc_id", F.left("text", F.lit(120)).alias("gold"), F.regexp_replace(F.left("text", F.lit(120)), "the", "tha").alias("pred"))
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("gold"), F.coalesce(F.regexp_replace("text", "the", "tha"), F.lit("")).alias("pred"))
     scored = rows.select("doc_id", F.length("gold").alias("size"), Z.row_udf(Z.document_similarity, T.DoubleType())(gold=c("gold"), pred=c("pred")).alias("a"))
     return scored.agg(F.round(F.sum("a") / n(), 6).alias("by_page"), F.round(F.sum(c("a") * c("size")) / F.sum("size"), 6).alias("by_char"))
 
 
-@query("pip_12_ext_31_33_head_to_head", "SELECT * FROM (VALUES ('a', 'c', 37, 38), ('a', 'd', 29, 41), ('a', 'b', 25, 45), ('b', 'c', 53, 26), ('b', 'd', 31, 49), ('c', 'd', 20, 71)) v(first, second, wins, losses)")
+@query("pip_12_ext_31_33_head_to_head", VOTES_SQL)
 def _(t):
-    votes = t.spark.createDataFrame(VOTES, "a string, b string, wins int, losses int")
-    swap = c("a") > c("b")
-    return votes.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), F.when(swap, c("losses")).otherwise(c("wins")).alias("wins"), F.when(swap, c("wins")).otherwise(c("losses")).alias("losses"))
+    return votes(t)
 
 
 @query("pip_14_15_udf_03_curation_chain", "SELECT doc_id, '<|bbox_start|> ' || lang AS text FROM documents WHERE doc_id % 4 = 0 AND length(source) > 3")

@@ -120,6 +120,74 @@ def formula(pairs: DataFrame) -> DataFrame:
     return rows.select("rel", F.when(total > 0, got / total).otherwise(1.0).alias("formula_cdm"))
 
 
+def _python_metric(fn: Callable, prepare: Callable[[Column], Column], names: tuple[str, ...]) -> Callable[[DataFrame], DataFrame]:
+    """A metric of values that ``prepare`` takes from both texts, scored one by one in Python."""
+    from pyspark.sql import types as T
+
+    from docflow.functions.fuzzy import row_udf
+
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(pairs: DataFrame) -> DataFrame:
+        score = row_udf(fn, kind)(pred=prepare(F.col("pred")), target=prepare(F.col("target")))
+        return pairs.select("rel", score.alias("s")).select("rel", *[F.col(f"s.{n}").alias(n) for n in names])
+
+    return run
+
+
+@METRICS.add("headings", "precision and recall of headings, by text and by level")
+def headings(pairs: DataFrame) -> DataFrame:
+    from docflow.functions import fuzzy, text
+
+    return _python_metric(lambda pred, target: fuzzy.heading_scores(pred, target), text.extract_headings, ("text_p", "text_r", "level_p", "level_r"))(pairs)
+
+
+@METRICS.add("table_trees", "tree similarity of tables, with and without their texts")
+def table_trees(pairs: DataFrame) -> DataFrame:
+    from docflow.functions import tables, text
+
+    return _python_metric(lambda pred, target: tables.table_scores(pred, target), text.extract_tables, ("teds_structure", "teds_text"))(pairs)
+
+
+@METRICS.add("table_cells", "precision, recall and similarity of matched table cells")
+def table_cells(pairs: DataFrame) -> DataFrame:
+    from docflow.functions import tables, text
+
+    return _python_metric(lambda pred, target: tables.table_f1(pred, target) or {}, text.extract_tables, ("p", "r", "f1", "avg_sim"))(pairs)
+
+
+@METRICS.add("code_trees", "tree similarity of fenced code")
+def code_trees(pairs: DataFrame) -> DataFrame:
+    from docflow.functions import fuzzy
+
+    return _python_metric(lambda pred, target: {"code_ted": fuzzy.tree_similarity(fuzzy.code_tree(pred or ""), fuzzy.code_tree(target or ""))}, lambda x: x, ("code_ted",))(pairs)
+
+
+def box_scores(pred: list[list[float]], target: list[list[float]]) -> dict:
+    """Mean overlap of target boxes [x, y, w, h] with the free box that overlaps each most, and how many found one."""
+
+    def overlap(a: list[float], b: list[float]) -> float:
+        w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+        h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+        inter = max(0.0, w) * max(0.0, h)
+        return inter / (a[2] * a[3] + b[2] * b[3] - inter) if inter else 0.0
+
+    free, total = list(range(len(pred))), 0.0
+    for b in target:
+        best = max(((overlap(pred[k], b), -k) for k in free), default=None)
+        if best and best[0] > 0:
+            free.remove(-best[1])
+            total += best[0]
+    return {"iou": total / len(target) if target else None, "pairs": float(len(pred) - len(free))}
+
+
+@METRICS.add("image_boxes", "overlap of the boxes that image comments name")
+def image_boxes(pairs: DataFrame) -> DataFrame:
+    from docflow.functions import text
+
+    return _python_metric(box_scores, text.extract_image_boxes, ("iou", "pairs"))(pairs)
+
+
 def evaluate(pairs: DataFrame, metrics: list[str]) -> DataFrame:
     """Per-document metrics side by side, under a first row of averages."""
     out = None

@@ -13,6 +13,8 @@ from docflow.functions import fuzzy as Z
 from docflow.functions import html as H
 from docflow.functions import tables as G
 from docflow.functions import text as X
+from docflow.operators.presence import passages_in
+from docflow.plans.extensions import box_scores
 from docflow.plans.registry import Tables, query
 from docflow.plans.text_queries import markdown_pages
 from docflow.sources import files as S
@@ -28,42 +30,46 @@ def struct(**kinds: T.DataType) -> T.StructType:
 
 
 def scratch(t: Tables) -> str:
-    """A fresh folder below the shared one."""
+    """A fresh folder below the shared one; on a cluster that must be named."""
     for read in (lambda: t.spark.conf.get("spark.checkpoint.dir"), lambda: t.spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         try:
             if base := read():
                 return f"{base.rstrip('/')}/docflow-{uuid.uuid4().hex}"
         except Exception:  # noqa: BLE001  an unset setting is an error
             continue
+    if t.spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="docflow-") + "/x"
 
 
 def _two(t: Tables) -> DataFrame:
-    """Pairs of short texts: a document's first 80 characters, and those with a word changed."""
-    a = F.left("text", F.lit(80))
-    return t.documents.select("doc_id", a.alias("a"), F.regexp_replace(a, r"^(\S+)\s+\S+", "$1 XX").alias("b"))
+    """Pairs of whole texts: a turn of a conversation and the one after it, or itself with words changed."""
+    rows = t.conversations.select("conv_id", "turn", c("text").alias("a"))
+    after = t.conversations.select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("after"))
+    return rows.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", "a", F.coalesce("after", F.regexp_replace("a", r"(\S+)\s+e\S*", "$1 XX")).alias("b"))
 
 
-@query("str_01_normalize_nfc", "SELECT doc_id, nfc_normalize(translate(regexp_replace(left(text, 200), '\\s+', ' ', 'g'), '‘’‚“”„＿–—‑‒−µ', '''''''\"\"\"_-----μ')) AS out FROM documents WHERE NOT regexp_matches(left(text, 200), '[*_<]')")
+NORMAL = "".join("regexp_replace(" for _ in X.NORMALIZE_STEPS) + "text" + "".join(f", '{p}', '{n}', 'g')" for p, n in X.NORMALIZE_STEPS)
+
+
+@query("str_01_normalize_nfc", f"SELECT doc_id, translate(nfc_normalize({NORMAL}), '‘’‚“”„＿–—‑‒−µ', '\"\"\"_-----μ') AS out FROM documents")
 def _(t):
-    rows = t.documents.where(~F.left("text", F.lit(200)).rlike("[*_<]"))
-    return rows.select("doc_id", Z.row_udf(Z.normalize, STRING)(text=F.left("text", F.lit(200))).alias("out"))
+    return t.documents.select("doc_id", Z.row_udf(Z.normalize, STRING)(text=c("text")).alias("out"))
 
 
 @query("str_05_fuzzy_ratio")
 def _(t):
-    return _two(t).select("doc_id", F.round(Z.row_udf(Z.ratio, DOUBLE)(a=c("a"), b=c("b")), 6).alias("ratio"))
+    return _two(t).select("conv_id", "turn", F.round(Z.row_udf(Z.ratio, DOUBLE)(a=c("a"), b=c("b")), 6).alias("ratio"))
 
 
-@query("str_06_presence_exact", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE contains(lower(d.text), lower(substring(b.text, 1, 40)))")
+@query("str_06_presence_exact", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def _(t):
-    rows = t.benchmark.select("item_id", F.lower(F.substring("text", 1, 40)).alias("q")).join(t.documents, c("item_id") % 40 == c("doc_id") % 40)
-    return rows.where(F.contains(F.lower("text"), c("q"))).select("item_id", "doc_id")
+    return passages_in(t.benchmark, "item_id", t.documents, "doc_id")
 
 
 @query("str_06_presence_fuzzy")
 def _(t):
-    rows = t.documents.select("doc_id", F.left("text", F.lit(300)).alias("text"), F.regexp_replace(F.substring("text", 20, 30), "e", "3").alias("query"))
+    rows = t.documents.select("doc_id", "text", F.regexp_replace(F.substring("text", 20, 30), "e", "3").alias("query"))
     return rows.select("doc_id", F.round(Z.row_udf(Z.partial_ratio, DOUBLE)(query=c("query"), text=c("text")), 6).alias("ratio"))
 
 
@@ -73,8 +79,8 @@ def _(t):
         a, b = Z.near_matches(before, text, 2), Z.near_matches(after, text, 2)
         return bool(a and b) and min(x[0] for x in a) < max(x[0] for x in b)
 
-    rows = t.documents.where(F.length("text") > 200).select("doc_id", F.left("text", F.lit(200)).alias("text"), F.substring("text", 11, 20).alias("before"), F.substring("text", 91, 20).alias("after"))
-    return rows.select("doc_id", Z.row_udf(ordered, BOOL)(text=c("text"), before=c("before"), after=c("after")).alias("ordered"))
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.regexp_replace(F.substring("text", 11, 20), "^.", "#").alias("before"), F.regexp_replace(F.substring("text", -40, 20), ".$", "#").alias("after"))
+    return rows.select("doc_id", Z.row_udf(ordered, BOOL)(text=c("text"), before=F.coalesce("before", F.lit("")), after=F.coalesce("after", F.lit(""))).alias("ordered"))
 
 
 @query("str_08_best_substring")
@@ -83,7 +89,7 @@ def _(t):
         s, e, sim = Z.best_substring(needle, text)
         return {"start": s, "end": e, "similarity": sim}
 
-    rows = t.documents.select("doc_id", F.left("text", F.lit(400)).alias("text"), F.substring("text", 50, 40).alias("needle"))
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.regexp_replace(F.substring("text", 50, 40), "n", "m"), F.lit("")).alias("needle"))
     out = Z.row_udf(best, struct(start=T.IntegerType(), end=T.IntegerType(), similarity=DOUBLE))(needle=c("needle"), text=c("text"))
     return rows.select("doc_id", out.alias("x")).select("doc_id", "x.*")
 
@@ -100,19 +106,19 @@ def _(t):
 def _(t):
     from docflow.functions.latex import linearize
 
-    elements = F.transform(F.slice(F.split("text", r"\s+"), 1, 40), lambda w, i: F.struct((F.pmod(F.xxhash64(w), F.lit(600))).cast("double").alias("x"), (i * 10).cast("double").alias("y"), w.alias("text")))
+    elements = F.transform(F.split("text", r"\s+"), lambda w, i: F.struct((F.pmod(F.xxhash64(w), F.lit(600))).cast("double").alias("x"), (i * 10).cast("double").alias("y"), w.alias("text")))
     return t.documents.select("doc_id", Z.row_udf(linearize, STRING)(elements=elements, limit=F.lit(200), seed=c("doc_id")).alias("out"))
 
 
 @query("str_38_39_40_token_alignment")
 def _(t):
     rows = _two(t)
-    return rows.select("doc_id", F.round(Z.row_udf(lambda a, b: Z.document_similarity(a, b), DOUBLE)(a=c("a"), b=c("b")), 6).alias("document"), F.round(Z.row_udf(lambda a, b: Z.paragraph_similarity(a, b), DOUBLE)(a=c("a"), b=c("b")), 6).alias("paragraph"))
+    return rows.select("conv_id", "turn", F.round(Z.row_udf(lambda a, b: Z.document_similarity(a, b), DOUBLE)(a=c("a"), b=c("b")), 6).alias("document"), F.round(Z.row_udf(lambda a, b: Z.paragraph_similarity(a, b), DOUBLE)(a=c("a"), b=c("b")), 6).alias("paragraph"))
 
 
 @query("str_41_42_bleu_and_sequence")
 def _(t):
-    return _two(t).select("doc_id", F.round(Z.row_udf(lambda a, b: Z.bleu(a, b), DOUBLE)(a=c("a"), b=c("b")), 6).alias("bleu"), F.round(Z.row_udf(Z.sequence_ratio, DOUBLE)(a=c("a"), b=c("b")), 6).alias("sequence"))
+    return _two(t).select("conv_id", "turn", F.round(Z.row_udf(lambda a, b: Z.bleu(a, b), DOUBLE)(a=c("a"), b=c("b")), 6).alias("bleu"), F.round(Z.row_udf(Z.sequence_ratio, DOUBLE)(a=c("a"), b=c("b")), 6).alias("sequence"))
 
 
 @query("joi_26_best_sentence")
@@ -125,14 +131,13 @@ def _(t):
                 out.append({"base": s, "match": top[2], "ratio": round(top[0], 6)})
         return out
 
-    first, second = F.slice(X.sentences(c("text")), 1, 3), F.slice(X.sentences(F.regexp_replace("text", "on", "0n")), 1, 3)
     kind = T.ArrayType(struct(base=STRING, match=STRING, ratio=DOUBLE))
-    return t.documents.select("doc_id", F.inline(Z.row_udf(best, kind)(base=first, other=second)))
+    return _two(t).select("conv_id", "turn", F.inline(Z.row_udf(best, kind)(base=X.sentences(c("a")), other=X.sentences(c("b")))))
 
 
 @query("ext_32_diff_marks")
 def _(t):
-    return _two(t).select("doc_id", Z.row_udf(Z.diff_marks, STRING)(a=c("a"), b=c("b")).alias("marks"))
+    return _two(t).select("conv_id", "turn", Z.row_udf(Z.diff_marks, STRING)(a=c("a"), b=c("b")).alias("marks"))
 
 
 @query("arr_01_03_heading_scores")
@@ -148,11 +153,8 @@ def _(t):
         d, n = Z.adjacency_distance(pred, target)
         return {"distance": d, "pairs": n}
 
-    a = F.slice(X.split_paragraphs(c("text")), 1, 4)
-    b = F.slice(X.split_paragraphs(F.regexp_replace("text", "\n", " ")), 1, 4)
-    cut = lambda p: F.transform(p, lambda s: F.left(s, F.lit(100)))
-    out = Z.row_udf(score, struct(distance=DOUBLE, pairs=T.IntegerType()))(pred=cut(a), target=cut(b))
-    return t.documents.select("doc_id", out.alias("x")).select("doc_id", "x.*")
+    out = Z.row_udf(score, struct(distance=DOUBLE, pairs=T.IntegerType()))(pred=F.split("a", "\n"), target=F.split("b", "\n"))
+    return _two(t).select("conv_id", "turn", out.alias("x")).select("conv_id", "turn", "x.*")
 
 
 CELLS = T.ArrayType(struct(table=T.IntegerType(), row=T.IntegerType(), col=T.IntegerType(), text=STRING, header=BOOL))
@@ -220,24 +222,8 @@ def _(t):
 
 @query("geo_02_joi_21_box_match")
 def _(t):
-    def score(pred: list[list[float]], target: list[list[float]]) -> dict:
-        free, total = list(range(len(pred))), 0.0
-        for b in target:
-            best = max(((_iou(pred[k], b), -k) for k in free), default=None)
-            if best and best[0] > 0:
-                free.remove(-best[1])
-                total += best[0]
-        return {"iou": total / len(target) if target else None, "pairs": len(pred) - len(free)}
-
     boxes = lambda shift: F.transform(F.sequence(F.lit(1), (c("doc_id") % 3 + 1).cast("int")), lambda k: F.array(*[x.cast("double") for x in (k * 20 + shift, k * 10, F.lit(15), F.lit(8))]))
-    return t.documents.select("doc_id", Z.row_udf(score, struct(iou=DOUBLE, pairs=T.IntegerType()))(pred=boxes(3), target=boxes(0)).alias("s")).select("doc_id", "s.*")
-
-
-def _iou(a: list[float], b: list[float]) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    inter = max(0.0, w) * max(0.0, h)
-    return inter / (a[2] * a[3] + b[2] * b[3] - inter) if inter else 0.0
+    return t.documents.select("doc_id", Z.row_udf(box_scores, struct(iou=DOUBLE, pairs=DOUBLE))(pred=boxes(3), target=boxes(0)).alias("s")).select("doc_id", "s.iou", c("s.pairs").cast("int").alias("pairs"))
 
 
 # ---- sources and sinks ------------------------------------------------------------------------------
@@ -279,12 +265,12 @@ def _(t):
     return W.tarballs(rows, 200_000).select("chunk", "bin", F.size("members").alias("members"), F.length("tar").alias("bytes"))
 
 
-@query("snk_11_02_13_front_matter_files", "SELECT 'line_' || doc_id AS name, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || source AS value FROM documents WHERE doc_id < 20")
+@query("snk_11_02_13_front_matter_files", "SELECT 'line_' || doc_id AS name, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || source AS value FROM documents")
 def _(t):
     folder = scratch(t)
     page = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "source")
-    W.write_text_files(t.documents.where("doc_id < 20").select(F.concat(F.lit("line_"), c("doc_id").cast("string")).alias("n"), page.alias("p")), folder, "n", "p")
-    return t.spark.read.text(folder, wholetext=True).select("name", F.regexp_replace("value", "\x00$", "").alias("value"))
+    W.write_text_files(t.documents.select(F.concat(F.lit("line_"), c("doc_id").cast("string")).alias("n"), page.alias("p")), folder, "n", "p")
+    return W.read_text_files(t.spark, folder)
 
 
 @query("snk_12_concat_by_source", "SELECT source, string_agg(lang, chr(10) ORDER BY doc_id, lang) AS lang FROM documents GROUP BY 1")
@@ -299,24 +285,28 @@ def _(t):
     return W.upsert(old, new, "doc_id", "age").select("doc_id", "v")
 
 
-@query("snk_16_src_11_work_index", "SELECT sha1(lang) AS key, count(*) AS items FROM documents GROUP BY 1")
+@query("snk_16_src_11_work_index", "SELECT sha1(lang || '_' || doc_id // 500) AS key, count(*) AS items FROM documents GROUP BY 1")
 def _(t):
     folder = scratch(t)
-    rows = t.documents.groupBy("lang").agg(F.concat_ws(",", F.sha1(F.first("lang")), F.collect_list(F.concat(F.lit('"a,'), c("doc_id").cast("string"), F.lit('"')))).alias("value"))
+    # A work item has five hundred ids at most.
+    work = F.concat("lang", F.lit("_"), F.floor(c("doc_id") / 500).cast("string"))
+    rows = t.documents.groupBy(work.alias("work")).agg(F.collect_list(F.concat(F.lit('"a,'), c("doc_id").cast("string"), F.lit('"'))).alias("items"))
+    rows = rows.select(F.concat_ws(",", F.sha1("work"), "items").alias("value"))
     rows.select("value").write.option("compression", "gzip").text(folder)
     return S.ragged_csv(t.spark.read.text(folder), "value").select("key", F.size("items").cast("long").alias("items"))
 
 
-@query("src_08_09_file_listing", "SELECT 1 AS files")
+@query("src_08_09_file_listing", "SELECT lang, true AS sized FROM documents GROUP BY 1")
 def _(t):
     folder = scratch(t)
-    t.documents.select("doc_id").coalesce(1).write.parquet(folder)
-    return S.list_files(t.spark, f"{folder}/*.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    t.documents.select("doc_id", "lang").write.partitionBy("lang").parquet(folder)
+    found = S.list_files(t.spark, f"{folder}/*/*.parquet")
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg((F.min("length") > 0).alias("sized"))
 
 
-@query("src_16_18_markdown_files", "SELECT 'd' || doc_id || '.md' AS rel FROM documents WHERE doc_id < 3")
+@query("src_16_18_markdown_files", "SELECT 'd' || doc_id || '.md' AS rel FROM documents")
 def _(t):
-    names = t.documents.where("doc_id < 3").select(F.concat(F.lit("d"), c("doc_id").cast("string"), F.lit(".md")).alias("rel"))
+    names = t.documents.select(F.concat(F.lit("d"), c("doc_id").cast("string"), F.lit(".md")).alias("rel"))
     pdfs = names.select(F.regexp_replace("rel", "md$", "pdf").alias("path"), F.lit(1).alias("pages"))
     return S.pairs_of_files(names, pdfs).select("rel")
 
@@ -379,6 +369,13 @@ def _(t):
     return out.select("event_type", F.round("lifetime", 9).alias("lifetime"), F.round("recent", 9).alias("recent"))
 
 
+@query("stm_update_counts", "SELECT user_id % 10 AS worker, event_type AS state, count(*) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    folder = scratch(t)
+    stream = _event_stream(t).groupBy((c("user_id") % 10).alias("worker"), c("event_type").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return M.run_available(stream, f"{folder}-out", f"{folder}-state", "update", ["worker", "state"])
+
+
 @query("stm_03_keyed_counts", "SELECT user_id % 10 AS worker, event_type AS state, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     folder = scratch(t)

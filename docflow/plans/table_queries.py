@@ -10,6 +10,7 @@ from docflow.operators import compare as C
 from docflow.operators import documents as D
 from docflow.operators import packs as K
 from docflow.operators import sampling as S
+from docflow.operators.presence import passages_in, run_hashes
 from docflow.plans.registry import Tables, query
 
 c = F.col
@@ -242,9 +243,11 @@ def _(t):
     return t.documents.where("lang = 'en'").join(t.labels, "doc_id").select("doc_id", "quality")
 
 
-@query("joi_04_agg_06_test_scores", "WITH s AS (SELECT b.item_id, d.source AS candidate, CASE WHEN d.doc_id IS NULL THEN 0.0 ELSE CAST(d.n_chars % 2 AS DOUBLE) END AS passed FROM benchmark b LEFT JOIN documents d ON d.doc_id % 40 = b.item_id) SELECT item_id, candidate, round(avg(passed), 6) AS score, avg(passed) > 0.5 AS ok FROM s GROUP BY 1, 2")
+@query("joi_04_agg_06_test_scores", "SELECT b.item_id, d.source AS candidate, round(avg(CASE WHEN d.doc_id IS NULL THEN 0.0 ELSE CAST(d.n_chars % 2 AS DOUBLE) END), 6) AS score, avg(CASE WHEN d.doc_id IS NULL THEN 0.0 ELSE CAST(d.n_chars % 2 AS DOUBLE) END) > 0.5 AS ok FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1, 2")
 def _(t):
-    rows = t.benchmark.join(t.documents, c("doc_id") % 40 == c("item_id"), "left").select("item_id", c("source").alias("candidate"), F.coalesce((c("n_chars") % 2).cast("double"), F.lit(0.0)).alias("passed"))
+    # A test's pages are the documents that hold its passage; without any it has no candidate.
+    pages = passages_in(t.benchmark, "item_id", t.documents, "doc_id").join(t.documents.select("doc_id", "source", "n_chars"), "doc_id")
+    rows = t.benchmark.select("item_id").join(pages, "item_id", "left").select("item_id", c("source").alias("candidate"), F.coalesce((c("n_chars") % 2).cast("double"), F.lit(0.0)).alias("passed"))
     return rows.groupBy("item_id", "candidate").agg(F.round(F.avg("passed"), 6).alias("score"), (F.avg("passed") > 0.5).alias("ok"))
 
 
@@ -302,13 +305,12 @@ def _(t):
     return a.join(b, "conv_id").where("left_turn < right_turn")
 
 
-@query("joi_19_agg_38_votes", "SELECT least(a, b) AS first, greatest(a, b) AS second, count(*) FILTER (w = least(a, b)) AS wins, count(*) FILTER (w = greatest(a, b)) AS losses FROM (SELECT event_type AS a, CASE user_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END AS b, CASE WHEN value > 50 THEN event_type ELSE CASE user_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END END AS w FROM events) WHERE a <> b GROUP BY 1, 2")
+VOTES_SQL = "SELECT least(a, b) AS first, greatest(a, b) AS second, count(*) FILTER (w = least(a, b)) AS wins, count(*) FILTER (w = greatest(a, b)) AS losses FROM (SELECT event_type AS a, CASE user_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END AS b, CASE WHEN value > 50 THEN event_type ELSE CASE user_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END END AS w FROM events) WHERE a <> b GROUP BY 1, 2"
+
+
+@query("joi_19_agg_38_votes", VOTES_SQL)
 def _(t):
-    b = F.when(c("user_id") % 3 == 0, "click").when(c("user_id") % 3 == 1, "view").otherwise("signup")
-    rows = t.events.select(c("event_type").alias("a"), b.alias("b"), F.when(c("value") > 50, c("event_type")).otherwise(b).alias("w")).where("a != b")
-    first, second = F.least("a", "b"), F.greatest("a", "b")
-    keyed = rows.select(first.alias("first"), second.alias("second"), "w")
-    return keyed.groupBy("first", "second").agg(F.count_if(c("w") == c("first")).alias("wins"), F.count_if(c("w") == c("second")).alias("losses"))
+    return votes(t)
 
 
 @query("joi_20_order_test", "SELECT conv_id, min(turn) FILTER (role = 'user') < max(turn) FILTER (role = 'assistant') AS ordered FROM conversations GROUP BY conv_id")
@@ -503,26 +505,35 @@ def _(t):
     return C.stratified_permutation(scores, names[0], names[1], "candidate", "category", "passed", 2000)
 
 
-#: Invented votes between four methods.
-VOTES = [("d", "c", 71, 20), ("d", "b", 49, 31), ("d", "a", 41, 29), ("b", "c", 53, 26), ("c", "a", 38, 37), ("a", "b", 25, 45)]
+def votes(t: Tables) -> DataFrame:
+    """Votes between event types: each event against the type that its user stands for, won by values over 50."""
+    b = F.when(c("user_id") % 3 == 0, "click").when(c("user_id") % 3 == 1, "view").otherwise("signup")
+    rows = t.events.select(c("event_type").alias("a"), b.alias("b"), F.when(c("value") > 50, c("event_type")).otherwise(b).alias("w")).where("a != b")
+    keyed = rows.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), "w")
+    return keyed.groupBy("first", "second").agg(F.count_if(c("w") == c("first")).alias("wins"), F.count_if(c("w") == c("second")).alias("losses"))
+
+
+def _pairs(t: Tables) -> list[tuple[str, str, int, int]]:
+    """The votes on the driver: a row a pair of types."""
+    return [tuple(r) for r in votes(t).orderBy("first", "second").collect()]
 
 
 @query("agg_39_sequential_elo")
 def _(t):
-    return t.spark.createDataFrame(sorted(C.elo_arena(VOTES).items()), "method string, rating double")
+    return t.spark.createDataFrame(sorted(C.elo_arena(_pairs(t)).items()), "method string, rating double")
 
 
 @query("agg_40_srt_08_bootstrapped_elo")
 def _(t):
-    return C.bootstrap_elo(VOTES, t.spark, 200).orderBy(F.desc("mean"))
+    return C.bootstrap_elo(_pairs(t), t.spark, 100).orderBy(F.desc("mean"))
 
 
-MED = "WITH a AS (SELECT conv_id, turn, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) AS x FROM conversations), d AS (SELECT p.conv_id, p.turn, round(avg(levenshtein(p.x, q.x) / greatest(length(p.x), length(q.x), 1)), 9) AS m FROM a p JOIN a q ON p.conv_id = q.conv_id AND p.turn <> q.turn GROUP BY 1, 2) SELECT conv_id, arg_min(turn, (m, turn)) AS turn, round(min(m), 6) AS mean_distance FROM d GROUP BY 1"
+MED = "WITH a AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS x FROM conversations), d AS (SELECT p.conv_id, p.turn, round(avg(levenshtein(p.x, q.x) / greatest(length(p.x), length(q.x), 1)), 9) AS m FROM a p JOIN a q ON p.conv_id = q.conv_id AND p.turn <> q.turn GROUP BY 1, 2) SELECT conv_id, arg_min(turn, (m, turn)) AS turn, round(min(m), 6) AS mean_distance FROM d GROUP BY 1"
 
 
 @query("agg_41_medoid", MED)
 def _(t):
-    rows = t.conversations.select("conv_id", "turn", F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(30)).alias("x"))
+    rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("x"))
     return C.medoid(rows, "conv_id", "turn", "x").select("conv_id", "turn", F.round("mean_distance", 6).alias("mean_distance"))
 
 
@@ -534,7 +545,7 @@ def _(t):
 
 @query("agg_43_medoid_reward", MED.replace(" SELECT conv_id, arg_min(turn, (m, turn)) AS turn, round(min(m), 6) AS mean_distance FROM d GROUP BY 1", " SELECT conv_id, turn, round(1 - m / greatest(max(m) OVER (PARTITION BY conv_id), 1e-9), 6) AS reward FROM d"))
 def _(t):
-    rows = t.conversations.select("conv_id", "turn", F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(30)).alias("x"))
+    rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("x"))
     other = rows.select("conv_id", c("turn").alias("t2"), c("x").alias("y"))
     d = rows.join(other, "conv_id").where("turn != t2").groupBy("conv_id", "turn").agg(F.round(F.avg(X.normalized_levenshtein(c("x"), c("y"))), 9).alias("m"))
     return d.select("conv_id", "turn", F.round(1 - c("m") / F.greatest(F.max("m").over(Window.partitionBy("conv_id")), F.lit(1e-9)), 6).alias("reward"))
@@ -565,12 +576,12 @@ NGRAM = r"WITH g AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text
 
 @query("agg_48_ngram_overlap", NGRAM + " SELECT gn.doc_id, count(*) AS grams, count(bn.k) AS matched FROM gn LEFT JOIN bn ON bn.k = gn.k GROUP BY 1")
 def _(t):
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        rows = df.select(key, X.words(c("text")).alias("w")).where(F.size("w") >= 8)
-        return rows.select(key, F.explode(F.sequence(F.lit(1), F.size("w") - 7)).alias("i"), "w").select(key, F.array_join(F.slice("w", c("i"), F.lit(8)), " ").alias("k"))
-
-    bench = grams(t.benchmark, "item_id").select("k").distinct().withColumn("hit", F.lit(1))
-    return grams(t.documents, "doc_id").join(bench, "k", "left").groupBy("doc_id").agg(one().alias("grams"), F.count("hit").alias("matched"))
+    grams = lambda df, key: df.select(key, run_hashes(X.words(c("text")), 8).alias("k"))
+    bench = grams(t.benchmark, "item_id").select(F.explode("k").alias("k")).distinct()
+    rows = grams(t.documents, "doc_id").where(F.size("k") > 0)
+    # Only runs leave the document's row, and only those found come back, as counts.
+    hits = rows.select("doc_id", F.explode("k").alias("k")).join(bench, "k", "left_semi").groupBy("doc_id").agg(one().alias("matched"))
+    return rows.select("doc_id", F.size("k").cast("long").alias("grams")).join(hits, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
 
 
 @query("agg_49_srt_04_votes_per_base", "SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY 1, 2) WHERE r <= 2")

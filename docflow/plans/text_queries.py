@@ -14,8 +14,8 @@ from docflow.operators import filters as P
 from docflow.operators import rules as R
 from docflow.plans.registry import Tables, query
 
-# A Markdown page as (Spark expression, SQL expression) over doc_id and the first words of a text.
-HEAD = "regexp_replace(substring(text, 1, 120), '[^A-Za-z ]', '', 'g')"
+# A Markdown page as (Spark expression, SQL expression) over doc_id and the letters of a whole text.
+HEAD = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 MD_SQL = (
     "('# Title ' || doc_id || chr(10) || chr(10) || '> ' || {h} || chr(10) || '## Part **two**' || chr(10) || '- item ' || lang || chr(10) || '* ' || source || chr(10) || '1. one' || chr(10) || "
     "'| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || doc_id || ' |' || chr(10) || 'An $x_' || doc_id || '$ and $$y=' || n_chars || '$$ and \\(z\\) ![alt ' || lang || '](img_' || doc_id || '.png) [link](http://e.x/' || doc_id || ') `code` ===== ' || chr(10) || chr(10) || chr(10) || chr(10) || "
@@ -25,7 +25,7 @@ PAGES_SQL = f"WITH p AS (SELECT doc_id, lang, source, n_chars, {MD_SQL} AS md FR
 
 
 def markdown_pages(t: Tables) -> DataFrame:
-    h = F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z ]", "")
+    h = F.regexp_replace("text", "[^A-Za-z ]", "")
     parts = [
         "# Title ", F.col("doc_id"), "\n\n> ", h, "\n## Part **two**\n- item ", F.col("lang"), "\n* ", F.col("source"), "\n1. one\n| a | b |\n|---|---|\n| 1 | ", F.col("doc_id"),
         " |\nAn $x_", F.col("doc_id"), "$ and $$y=", F.col("n_chars"), "$$ and \\(z\\) ![alt ", F.col("lang"), "](img_", F.col("doc_id"), ".png) [link](http://e.x/", F.col("doc_id"),
@@ -89,13 +89,14 @@ ASCII = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 @query(
     "str_03_04_edit_distance",
-    f"WITH p AS (SELECT doc_id, left({ASCII}, 40) AS a, left(reverse({ASCII}), 40) AS b FROM documents) SELECT doc_id, round(levenshtein(a, b) / greatest(length(b), 1), 4) AS to_truth, round(levenshtein(a, b) / greatest(length(a), length(b), 1), 4) AS to_longer FROM p",
+    "WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS x FROM conversations), p AS (SELECT a.conv_id, a.turn, a.x AS a, coalesce(b.x, reverse(a.x)) AS b FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, round(levenshtein(a, b) / greatest(length(b), 1), 4) AS to_truth, round(levenshtein(a, b) / greatest(length(a), length(b), 1), 4) AS to_longer FROM p",
 )
 def _(t: Tables) -> DataFrame:
-    ascii_text = F.regexp_replace("text", "[^A-Za-z ]", "")
-    rows = t.documents.select("doc_id", F.left(ascii_text, F.lit(40)).alias("a"), F.left(F.reverse(ascii_text), F.lit(40)).alias("b"))
+    rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("a"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    rows = rows.join(after, ["conv_id", "turn"], "left").withColumn("b", F.coalesce("b", F.reverse("a")))
     a, b = F.col("a"), F.col("b")
-    return rows.select("doc_id", F.round(X.edit_distance_to_truth(a, b), 4).alias("to_truth"), F.round(X.normalized_levenshtein(a, b), 4).alias("to_longer"))
+    return rows.select("conv_id", "turn", F.round(X.edit_distance_to_truth(a, b), 4).alias("to_truth"), F.round(X.normalized_levenshtein(a, b), 4).alias("to_longer"))
 
 
 FRONT_SQL = "'---' || chr(10) || 'primary_language: ' || lang || chr(10) || 'is_rotation_valid: True' || chr(10) || 'rotation_correction: ' || (doc_id % 4) * 90 || chr(10) || 'is_table: False' || chr(10) || 'is_diagram: ' || CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END || chr(10) || '---' || chr(10) || source"
@@ -235,9 +236,9 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", P.trailing_repeats(F.col("text")).alias("repeats"))
 
 
-@query("flt_15_ngram_accept", r"SELECT doc_id, regexp_full_match(g, '[A-Za-z0-9.,!?() ]+\n?') AND length(trim(g)) > 9 AS ok FROM (SELECT doc_id, left(text, 30) AS g FROM documents)")
+@query("flt_15_ngram_accept", r"SELECT doc_id, regexp_full_match(g, '[A-Za-z0-9.,!?() ]+\n?') AND length(trim(g)) > 9 AS ok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS g FROM documents)")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", P.ngram_acceptable(F.left("text", F.lit(30)), 3).alias("ok"))
+    return t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("g")).select("doc_id", P.ngram_acceptable(F.col("g"), 3).alias("ok"))
 
 
 @query("flt_16_triage", "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN value < 10 THEN 'overrun' ELSE 'good' END AS verdict, count(*) AS n FROM events GROUP BY 1")
@@ -260,15 +261,17 @@ def _(t: Tables) -> DataFrame:
     return out.where(F.col("fallback") <= 0.004 * F.col("pages"))
 
 
-@query("flt_21_22_mined_tests", r"SELECT doc_id, (x.a LIKE '%' || x.s || '%') AS contradicted, regexp_matches(s, '[\p{L}\p{N}]') AND NOT regexp_matches(s, '[$]') AS valid FROM (SELECT doc_id, text AS a, substring(text, 20, 12) AS s FROM documents) x")
+@query("flt_21_22_mined_tests", r"SELECT doc_id, contains(x.a, x.s) AS contradicted, regexp_matches(s, '[\p{L}\p{N}]') AND NOT regexp_matches(s, '[$]') AS valid FROM (SELECT d.doc_id, d.text AS a, coalesce(string_split(e.text, chr(10))[1], d.source) AS s FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1) x")
 def _(t: Tables) -> DataFrame:
-    s = F.substring("text", 20, 12)
-    return t.documents.select("doc_id", F.contains(F.col("text"), s).alias("contradicted"), P.mined_text_valid(s).alias("valid"))
+    # The first line of the next document, held against the whole text.
+    after = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
+    s = F.coalesce("line", "source")
+    return t.documents.join(after, "doc_id", "left").select("doc_id", F.contains(F.col("text"), s).alias("contradicted"), P.mined_text_valid(s).alias("valid"))
 
 
-@query("flt_23_24_short_texts", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 3)) AS long_lines, length(trim(left(text, 2))) < 3 AS trivial FROM documents")
+@query("flt_23_24_short_texts", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 3)) AS long_lines, length(trim(text)) < 3 AS trivial FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 3)).cast("long").alias("long_lines"), P.both_trivial(F.left("text", F.lit(2)), F.lit("")).alias("trivial"))
+    return t.documents.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 3)).cast("long").alias("long_lines"), P.both_trivial(F.col("text"), F.lit("")).alias("trivial"))
 
 
 TRUTH, GUESS = "quality:any and not toxic:any", "alpha:avg>0.75 and not spam:any"

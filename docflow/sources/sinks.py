@@ -7,7 +7,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators.packs import bin_rows
@@ -34,9 +34,14 @@ def write_packaged(rows: DataFrame, path: str, compression: str = "snappy") -> N
     rows.select("id", *[c for c in rows.columns if c != "id"]).write.option("compression", compression).parquet(path)
 
 
-def write_text_files(pages: DataFrame, path: str, name: str, text: str) -> None:
-    """One folder a page with its text, named by ``name``."""
-    pages.select(F.col(name).alias("name"), F.col(text).alias("value")).write.partitionBy("name").option("lineSep", "\x00").text(path)
+def write_text_files(pages: DataFrame, path: str, name: str, text: str, per_file: int = 10_000) -> None:
+    """Pages with their names as JSON lines, ``per_file`` a file at most: one file a page would be millions of tiny ones."""
+    pages.select(F.col(name).alias("name"), F.col(text).alias("value")).write.option("maxRecordsPerFile", per_file).json(path)
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """name and value of pages that :func:`write_text_files` wrote."""
+    return spark.read.schema("name string, value string").json(path)
 
 
 def concat_by_source(docs: DataFrame, source: str, order: str, text: str) -> DataFrame:
