@@ -12,14 +12,16 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 
 from docflow.llm.wordhash import buffers
 
-#: Bytes of parts and their ids that a worker keeps; at the bound the memo starts anew.
-MEMO_BYTES = 96 << 20
+#: Bytes of parts and their ids in one of a worker's two memos.  When the younger is full, the
+#: older goes; parts that recur move from it to the younger, so frequent ones stay.
+MEMO_BYTES = 80 << 20
 #: Bytes of an entry beside its text and ids.
 _ENTRY = 200
 VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +30,7 @@ END_ID = 1
 #: Texts of ASCII and Latin letters without quotes and control characters: these
 #: characters lower-case one by one and never compose, so their parts are plain.
 _PLAIN = re.compile(r"[\t-\r !-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _PART = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 _encoders: dict[str, Encoder] = {}
@@ -50,6 +53,7 @@ class Encoder:
         self.code = "H" if self.model.get_vocab_size() <= 65536 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_bytes = 0
         ids = [self.model.encode(x, add_special_tokens=False).ids for x in ("Word x,! 1", "word", "x", ",!", "1")]
         #: Whether white space is dropped and letters are lower-cased and parted from marks; else texts are encoded whole.
@@ -62,19 +66,39 @@ class Encoder:
             return _PART.findall(text.lower())
         return [c.decode() for c in text.encode().split()]  # ASCII white space: every other character stays in its chunk
 
+    def _keep(self, parts: list[str], ids: list[bytes]) -> None:
+        if not ids:
+            return
+        self.memo.update(zip(parts, ids, strict=True))
+        self.memo_bytes += _ENTRY * len(ids) + sum(map(len, parts)) + sum(map(len, ids))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text and cut where the library says a word begins; none if it sees other words."""
+        found = self.model.encode(" ".join(words), add_special_tokens=False)
+        cuts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
+        if len(cuts) != len(words):
+            return []
+        raw = np.array(found.ids, self.kind).tobytes()
+        at = [*(cuts * self.kind.itemsize).tolist(), len(raw)]
+        return [raw[a:b] for a, b in pairwise(at)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.parts(t) for t in texts]
-        new = set().union(*parts).difference(self.memo)
         if self.memo_bytes > MEMO_BYTES:
-            self.memo.clear()
-            self.memo_bytes = 0
-            new = set().union(*parts)
-        todo = list(new)
-        for k in range(0, len(todo), 10_000):
-            some = todo[k : k + 10_000]
-            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[p] = ids = array(self.code, e.ids).tobytes()
-                self.memo_bytes += _ENTRY + len(p) + len(ids)
+            self.older, self.memo, self.memo_bytes = self.memo, {}, 0
+        todo = []
+        for p in set().union(*parts).difference(self.memo):
+            if (ids := self.older.get(p)) is None:
+                todo.append(p)
+            else:
+                self._keep([p], [ids])
+        plain = [p for p in todo if self.parted and _WORD.fullmatch(p)]
+        for some, ids in ((x, self._words(x)) for x in (plain[k : k + 10_000] for k in range(0, len(plain), 10_000))):
+            self._keep(some, ids)
+        rest = [p for p in todo if p not in self.memo]
+        for k in range(0, len(rest), 10_000):
+            some = rest[k : k + 10_000]
+            self._keep(some, [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)])
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, own)), self.kind) for own in parts]
         if not self.parted:
             self.memo.clear()
