@@ -69,22 +69,24 @@ def elo_expected(a: Column, b: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), (b - a) / 400))
 
 
-def _bootstrap(batches: Iterator[pd.DataFrame], scores: dict[str, np.ndarray], seed: int) -> Iterator[pd.DataFrame]:
+def _bootstrap(batches: Iterator[pd.DataFrame], held: list[tuple[np.ndarray, np.ndarray]], seed: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch["id"]:
             rng = np.random.default_rng([seed, int(r)])
-            out.append(float(np.mean([s[rng.integers(0, len(s), len(s))].mean() for s in scores.values()])))
+            # Drawing n scores with replacement is drawing how often each value comes.
+            out.append(float(np.mean([rng.multinomial(n.sum(), n / n.sum()) @ v / n.sum() for v, n in held])))
         yield pd.DataFrame({"mean": out})
 
 
 def bootstrap_interval(scores: DataFrame, category: str, score: str, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of the macro mean, resampled within categories.
 
-    Test scores are few (a benchmark's, not a corpus's) and travel to the replicates,
-    which are spread over tasks.
+    What is drawn from are counts of each score in each category over all rows: the
+    driver holds a row a category and score.  Null scores do not count.
     """
-    held = {r[category]: np.array(r["s"], float) for r in scores.groupBy(category).agg(F.sort_array(F.collect_list(F.col(score).cast("double"))).alias("s")).collect()}
+    counts = scores.where(F.col(score).isNotNull()).groupBy(F.col(category).alias("g"), F.col(score).cast("double").alias("v")).count().orderBy("g", "v").toPandas()
+    held = [(g["v"].to_numpy(float), g["count"].to_numpy(np.int64)) for _, g in counts.groupby("g", dropna=False)]
     means = scores.sparkSession.range(replicates).mapInPandas(lambda b: _bootstrap(b, held, seed), "mean double")
     tail = (1 - level) / 2
     return means.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))

@@ -2,40 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def greedy_bins(sizes: Column, limit: int, overhead: int = 1024) -> Column:
-    """The bin of every item of an ordered array; a bin closes when the next item would exceed the limit.
-
-    An item over the limit raises an error.
-    """
-    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("held"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        need = size + overhead
-        full = (acc["held"] > 0) & (acc["held"] + need > limit)
-        number = acc["bin"] + F.when(full, 1).otherwise(0)
-        return F.struct(number.alias("bin"), F.when(full, need).otherwise(acc["held"] + need).alias("held"), F.concat(acc["out"], F.array(number)).alias("out"))
-
-    return F.when(F.exists(sizes, lambda s: s + overhead > limit), F.raise_error(F.lit("an item exceeds the bin size")).cast("array<bigint>")).otherwise(F.aggregate(sizes, start, step)["out"])
+from pyspark.sql import types as T
 
 
 def bin_rows(df: DataFrame, group: str, order: str, size: str, limit: int, overhead: int = 1024) -> DataFrame:
     """Rows with the bin they fall into, packed in order within each group.
 
-    Groups bound what one task holds; split a large input into groups first.
+    A bin closes when the next item would exceed the limit; an item over the limit raises an
+    error.  Which bin an item falls into depends on all before it, so a group's sizes pass
+    through one task, sorted and a batch at a time: memory does not grow with the group.
     """
-    items = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("i"))
-    bins = greedy_bins(F.transform("i", lambda x: x["s"]), limit, overhead)
-    rows = items.select(group, F.inline(F.zip_with("i", bins, lambda a, b: F.struct(a["o"].alias(order), b.alias("bin")))))
-    return df.join(rows, [group, order])
-
-
-def chunks(df: DataFrame, order: str, size: int, group: str | None = None) -> DataFrame:
-    """Fixed-size chunks of sorted rows."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
+    keys = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    schema = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField(order, df.schema[order].dataType), T.StructField("bin", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held = object(), 0, 0
+        for batch in batches:
+            bins = []
+            for g, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                need = s + overhead
+                if need > limit:
+                    raise ValueError("an item exceeds the bin size")
+                if g != now:
+                    now, number, held = g, 0, 0
+                if held and held + need > limit:
+                    number, held = number + 1, 0
+                held += need
+                bins.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.int64())], [group, order, "bin"])
+
+    placed = keys.repartition("g").sortWithinPartitions("g", "o").mapInArrow(run, schema)
+    return df.join(placed, [group, order])
+
+
+def chunks(df: DataFrame, order: str, size: int, group: str) -> DataFrame:
+    """Fixed-size chunks of the sorted rows of each group."""
+    w = Window.partitionBy(group).orderBy(order)
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
 
 

@@ -153,3 +153,22 @@ def test_update_stream_keeps_keys_of_earlier_batches(spark, tmp_path):
     assert run() == {("a", 6), ("b", 1)}
     with pytest.raises(ValueError, match="keys"):
         M.run_available(spark.readStream.schema("k string").parquet(folder), "x", "y", "update")
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    from docflow.operators.compare import bootstrap_interval
+
+    rows = [(g, float(k % 4 == 0), k) for g in ("a", "b") for k in range(400)] + [("a", None, 0)]
+    out = bootstrap_interval(spark.createDataFrame(rows, "g string, s double, k int"), "g", "s", 500).first()
+    assert 0.2 < out["low"] < 0.25 < out["high"] < 0.3
+
+
+def test_bins_restart_by_group_and_refuse_large_items(spark):
+    from docflow.operators.packs import bin_rows
+
+    rows = [(g, k, 40) for g in ("a", None, "b") for k in range(5)]
+    df = spark.createDataFrame(rows, "g string, k int, s int")
+    out = sorted((r["g"], r["k"], r["bin"]) for r in bin_rows(df, "g", "k", "s", 100, 10).collect())
+    assert out == [(g, k, k // 2) for g in ("a", "b") for k in range(5)]  # null groups join with nothing
+    with pytest.raises(Exception, match="exceeds the bin size"):
+        bin_rows(df, "g", "k", "s", 40, 10).collect()
