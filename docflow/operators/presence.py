@@ -11,19 +11,23 @@ from docflow.functions import text as T
 RUN = 8
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value: Catalyst would else evaluate it anew for every element of a lambda that uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def run_hashes(words: Column, run: int = RUN) -> Column:
     """Two hashes of every run of words, as structs; none where there are fewer words.
 
-    Rows with these are 16 bytes a run, however long the words are.
+    Words are hashed once, and runs from those hashes, so no run is written out as text.
     """
 
-    def hashes(w: Column) -> Column:
-        joined = lambda i: F.array_join(F.slice(w, i, run), " ")
-        both = lambda i: F.struct(F.xxhash64(joined(i)).alias("h1"), F.xxhash64(joined(i), F.lit(run)).alias("h2"))
-        return F.when(F.size(w) >= run, F.transform(F.sequence(F.lit(1), F.size(w) - run + 1), both)).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
+    def of(h: Column) -> Column:
+        here = lambda i: [F.get(h, i + k) for k in range(run)]
+        both = lambda i: F.struct(F.xxhash64(*here(i)).alias("h1"), F.xxhash64(F.lit(run), *here(i)).alias("h2"))
+        return F.when(F.size(h) >= run, F.transform(F.sequence(F.lit(0), F.size(h) - run), both)).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
 
-    # Bound to a variable: Catalyst would split the text anew for every run.
-    return F.element_at(F.transform(F.array(words), hashes), 1)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def passages_in(passages: DataFrame, key: str, docs: DataFrame, doc_key: str, text: str = "text") -> DataFrame:
@@ -42,7 +46,7 @@ def passages_in(passages: DataFrame, key: str, docs: DataFrame, doc_key: str, te
     worded = rows.select(doc_key, T.words(F.col("body")).alias("words"))
     for size in sizes:
         keys = own.where(F.col("run") == size).select(key, F.get(run_hashes(F.col("inner"), size), F.lit(0)).alias("h"))
-        hits = worded.select(doc_key, F.explode(F.array_distinct(run_hashes(F.col("words"), size))).alias("h")).join(keys, "h").select(key, doc_key)
+        hits = worded.select(doc_key, F.explode(run_hashes(F.col("words"), size)).alias("h")).join(keys, "h").select(key, doc_key).distinct()
         found = hits.join(own.select(key, "passage"), key).join(rows, doc_key)
         out = out.unionByName(found.where(F.contains("body", F.col("passage"))).select(key, doc_key))
     return out

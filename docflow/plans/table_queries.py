@@ -576,12 +576,12 @@ NGRAM = r"WITH g AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text
 
 @query("agg_48_ngram_overlap", NGRAM + " SELECT gn.doc_id, count(*) AS grams, count(bn.k) AS matched FROM gn LEFT JOIN bn ON bn.k = gn.k GROUP BY 1")
 def _(t):
-    grams = lambda df, key: df.select(key, run_hashes(X.words(c("text")), 8).alias("k"))
-    bench = grams(t.benchmark, "item_id").select(F.explode("k").alias("k")).distinct()
-    rows = grams(t.documents, "doc_id").where(F.size("k") > 0)
+    grams = lambda df, key: df.select(key, F.explode(run_hashes(X.words(c("text")), 8)).alias("k"))
+    bench = grams(t.benchmark, "item_id").select("k").distinct()
     # Only runs leave the document's row, and only those found come back, as counts.
-    hits = rows.select("doc_id", F.explode("k").alias("k")).join(bench, "k", "left_semi").groupBy("doc_id").agg(one().alias("matched"))
-    return rows.select("doc_id", F.size("k").cast("long").alias("grams")).join(hits, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
+    hits = grams(t.documents, "doc_id").join(bench, "k", "left_semi").groupBy("doc_id").agg(one().alias("matched"))
+    rows = t.documents.select("doc_id", (F.size(X.words(c("text"))) - 7).cast("long").alias("grams")).where("grams > 0")
+    return rows.join(hits, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
 
 
 @query("agg_49_srt_04_votes_per_base", "SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY 1, 2) WHERE r <= 2")
