@@ -172,28 +172,16 @@ def _(t):
     return t.documents.select("doc_id").join(bad, "doc_id", "left").select("doc_id", c("bad").isNull().alias("renders"))
 
 
-@query("joi_22_box_components")
-def _(t):
-    def merge(boxes: list[list[float]], tolerance: float) -> list[list[float]]:
-        """Boxes that overlap within the tolerance become their hull, until none do."""
-        boxes, again = [list(b) for b in boxes], True
-        while again:
-            again = False
-            for i in range(len(boxes)):
-                for j in range(i + 1, len(boxes)):
-                    a, b = boxes[i], boxes[j]
-                    if not (a[2] < b[0] - tolerance or a[0] > b[2] + tolerance or a[3] < b[1] - tolerance or a[1] > b[3] + tolerance):
-                        boxes[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                        del boxes[j]
-                        again = True
-                        break
-                if again:
-                    break
-        return boxes
-
-    boxes = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.array(*[x.cast("double") for x in (k * (c("doc_id") % 7 + 5), F.lit(0), k * (c("doc_id") % 7 + 5) + 8, F.lit(4))]))
-    out = Z.row_udf(merge, T.ArrayType(T.ArrayType(T.DoubleType())))(boxes=boxes, tolerance=F.lit(0.5))
-    return t.documents.select("doc_id", F.size(out).alias("merged"))
+BOXES = "SELECT l_orderkey, l_linenumber AS k, l_quantity AS x0, 10 * l_discount AS y0, l_quantity + 8 AS x1, 10 * l_discount + 0.3 AS y1 FROM lineitem"
+
+
+@query("joi_22_box_components", f"WITH RECURSIVE b AS ({BOXES}), e AS (SELECT a.l_orderkey, a.k, o.k AS k2 FROM b a JOIN b o USING (l_orderkey) WHERE greatest(a.x0, o.x0) - least(a.x1, o.x1) <= 0.5 AND greatest(a.y0, o.y0) - least(a.y1, o.y1) <= 0.5), r AS (SELECT l_orderkey, k, k2 FROM e UNION SELECT r.l_orderkey, r.k, e.k2 FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.k = r.k2), m AS (SELECT l_orderkey, k, min(k2) AS root FROM r GROUP BY ALL) SELECT l_orderkey, count(DISTINCT root) AS merged FROM m GROUP BY 1")
+def _(t):
+    # An order is a page, its lines are boxes.
+    box = F.array(c("l_quantity"), 10 * c("l_discount"), c("l_quantity") + 8, 10 * c("l_discount") + 0.3)
+    pages = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
+    out = Z.row_udf(Z.merge_boxes, T.ArrayType(T.ArrayType(T.DoubleType())))(boxes=c("boxes"), tolerance=F.lit(0.5))
+    return pages.select("l_orderkey", F.size(out).cast("long").alias("merged"))
 
 
 @query("geo_05_equation_layout")
@@ -219,19 +207,6 @@ def _(t):
     return t.documents.select("doc_id", out.alias("same"))
 
 
-@query("snk_08_14_src_24_ext_12_14_18_test_index", "SELECT source AS pdf, count(*) AS tests, count(*) FILTER (doc_id % 4 = 0) AS rejected FROM documents GROUP BY 1")
-def _(t):
-    rows = t.documents.select(c("source").alias("pdf"), c("doc_id").alias("id"), F.when(c("doc_id") % 4 == 0, "rejected").alias("checked"))
-    index = rows.groupBy("pdf").agg(F.collect_set("id").alias("ids"), F.collect_set(F.when(c("checked") == "rejected", c("id"))).alias("bad"))
-    return index.select("pdf", F.size("ids").cast("long").alias("tests"), F.size("bad").cast("long").alias("rejected"))
-
-
-@query("src_10_stm_06_08_ext_53_done_flags", "SELECT sha1(source) AS hash FROM documents WHERE lang = 'en' GROUP BY source")
-def _(t):
-    flags = t.documents.where("lang = 'en'").select(F.concat(F.lit("done_flags/done_"), F.sha1("source"), F.lit(".flag")).alias("path")).distinct()
-    return flags.select(F.regexp_extract("path", r"done_([0-9a-f]+)\.flag$", 1).alias("hash"))
-
-
 @query("stm_09_growing_repeats", "SELECT doc_id, CAST(doc_id % 20 + 1 AS INTEGER) AS repeats FROM documents")
 def _(t):
     from docflow.operators.filters import trailing_repeats
@@ -373,8 +348,3 @@ def _(t):
 @query("ext_49_annotation_detail", "SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS bucket, doc_id FROM labels")
 def _(t):
     return t.labels.select(D.first_true({"toxic": c("toxic") == 1}, "clean").alias("bucket"), "doc_id")
-
-
-@query("udf_08_storage_listing", "SELECT count(DISTINCT source) AS n FROM documents")
-def _(t):
-    return t.documents.agg(F.count_distinct("source").alias("n"))

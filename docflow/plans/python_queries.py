@@ -19,7 +19,9 @@ from docflow.plans.registry import Tables, query
 from docflow.plans.text_queries import markdown_pages
 from docflow.sources import files as S
 from docflow.sources import sinks as W
+from docflow.sources import store as B
 from docflow.streaming import metrics as M
+from docflow.streaming.batches import advance
 
 c = F.col
 DOUBLE, STRING, BOOL = T.DoubleType(), T.StringType(), T.BooleanType()
@@ -259,10 +261,16 @@ def _(t):
     return t.spark.read.schema("id string, lang string, n_chars long").parquet(folder)
 
 
-@query("snk_06_tarballs")
+TARRED = "WITH RECURSIVE r AS (SELECT source, doc_id, octet_length(encode(coalesce(text, ''))) + 1024 AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id || '.txt') AS k FROM documents), b AS (SELECT source, doc_id, k, n AS held, 0 AS bin FROM r WHERE k = 1 UNION ALL SELECT r.source, r.doc_id, r.k, CASE WHEN b.held + r.n > 2000000 THEN r.n ELSE b.held + r.n END, CASE WHEN b.held + r.n > 2000000 THEN b.bin + 1 ELSE b.bin END FROM b JOIN r ON r.source = b.source AND r.k = b.k + 1)"
+
+
+@query("snk_06_tarballs", TARRED + " SELECT source || '_' || lpad(CAST(bin AS VARCHAR), 5, '0') || '.tar.gz' AS chunk, doc_id || '.txt' AS name, octet_length(encode(coalesce(text, ''))) AS size FROM b JOIN documents USING (source, doc_id)")
 def _(t):
-    rows = t.documents.select(c("source").alias("chunk"), F.concat(c("doc_id").cast("string"), F.lit(".txt")).alias("name"), c("text").cast("binary").alias("content"))
-    return W.tarballs(rows, 200_000).select("chunk", "bin", F.size("members").alias("members"), F.length("tar").alias("bytes"))
+    rows = t.documents.select(c("source").alias("chunk"), F.concat(c("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    folder = scratch(t)
+    manifest = W.write_tarballs(rows, folder, 2_000_000)
+    held = W.read_tarballs(t.spark, folder)
+    return held.join(manifest.select("chunk", c("arcname").alias("name")), ["chunk", "name"])
 
 
 @query("snk_11_02_13_front_matter_files", "SELECT 'line_' || doc_id AS name, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || source AS value FROM documents")
@@ -292,29 +300,91 @@ def _(t):
     work = F.concat("lang", F.lit("_"), F.floor(c("doc_id") / 500).cast("string"))
     rows = t.documents.groupBy(work.alias("work")).agg(F.collect_list(F.concat(F.lit('"a,'), c("doc_id").cast("string"), F.lit('"'))).alias("items"))
     rows = rows.select(F.concat_ws(",", F.sha1("work"), "items").alias("value"))
-    rows.select("value").write.option("compression", "gzip").text(folder)
-    return S.ragged_csv(t.spark.read.text(folder), "value").select("key", F.size("items").cast("long").alias("items"))
+    B.write_zstd_lines(rows, folder, "value")
+    return S.ragged_csv(S.read_zstd_lines(t.spark, folder)).select("key", F.size("items").cast("long").alias("items"))
 
 
-@query("src_08_09_file_listing", "SELECT lang, true AS sized FROM documents GROUP BY 1")
+@query("src_08_09_file_listing", "SELECT lang, true AS sized, 'PAR1' AS head FROM documents GROUP BY 1")
 def _(t):
     folder = scratch(t)
     t.documents.select("doc_id", "lang").write.partitionBy("lang").parquet(folder)
-    found = S.list_files(t.spark, f"{folder}/*/*.parquet")
-    return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg((F.min("length") > 0).alias("sized"))
+    pattern = f"{folder}/*/*.parquet"
+    found = S.list_files(t.spark, pattern).join(S.read_range(t.spark, pattern, 0, 4), "path")
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg((F.min("length") > 0).alias("sized"), F.max(c("content").cast("string")).alias("head"))
+
+
+@query("src_16_18_markdown_files", "SELECT source || '.md' AS rel, '# ' || source AS md FROM documents GROUP BY source HAVING min(doc_id) % 3 = 1 ORDER BY 1")
+def _(t):
+    # Each source has a Markdown file, and a PDF of none, one or two pages.
+    folder = scratch(t)
+    rows = t.documents.groupBy("source").agg((F.min("doc_id") % 3).cast("int").alias("pages"))
+    B.write_files(rows.select(F.concat("source", F.lit(".md")).alias("n"), F.concat(F.lit("# "), "source").alias("b")), folder, "n", "b")
+    page = F.concat(F.lit("%PDF-1.4\n<< /Type /Pages >>\n"), F.repeat(F.lit("<< /Type /Page >>\n"), c("pages")))
+    B.write_files(rows.select(F.concat("source", F.lit(".pdf")).alias("n"), page.alias("b")), folder, "n", "b")
+    pdfs = S.read_range(t.spark, f"{folder}/*.pdf").where(S.file_kind(c("content")) == "pdf")
+    pdfs = pdfs.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), S.pdf_pages(c("content")).alias("pages"))
+    return S.pairs_of_files(S.read_markdown(t.spark, folder), pdfs).select("rel", "md")
+
+
+HEADS = ["255044462D312E34", "89504E470D0A1A0A00", "FFD8FFE000", "0001"]
+
+
+@query("src_21_magic_bytes", "SELECT source, CASE min(doc_id) % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'jpeg' END AS kind FROM documents GROUP BY source")
+def _(t):
+    folder = scratch(t)
+    rows = t.documents.groupBy("source").agg(F.unhex(F.get(F.array(*map(F.lit, HEADS)), (F.min("doc_id") % 4).cast("int"))).alias("head"))
+    B.write_files(rows, folder, "source", "head")
+    return S.read_range(t.spark, f"{folder}/*").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), S.file_kind(c("content")).alias("kind"))
 
 
-@query("src_16_18_markdown_files", "SELECT 'd' || doc_id || '.md' AS rel FROM documents")
+@query("src_10_stm_06_08_ext_53_done_flags", "SELECT sha1(source) AS work_hash FROM documents WHERE lang = 'en' GROUP BY source")
 def _(t):
-    names = t.documents.select(F.concat(F.lit("d"), c("doc_id").cast("string"), F.lit(".md")).alias("rel"))
-    pdfs = names.select(F.regexp_replace("rel", "md$", "pdf").alias("path"), F.lit(1).alias("pages"))
-    return S.pairs_of_files(names, pdfs).select("rel")
+    store = B.WorkStore(t.spark, scratch(t))
+    store.mark_done(t.documents.where("lang = 'en'").select(F.sha1("source").alias("work_hash")).distinct())
+    return store.done()
+
+
+@query("udf_08_storage_listing", "SELECT sha1(lang) AS work_hash, count(DISTINCT source) AS paths FROM documents WHERE lang NOT IN ('en', 'de') GROUP BY lang")
+def _(t):
+    # Items of one language are finished, of another in work; the others are pending.
+    store = B.WorkStore(t.spark, scratch(t))
+    items = t.documents.select(F.sha1("lang").alias("work_hash"), "source").distinct().groupBy("work_hash").agg(F.collect_list("source").alias("paths"))
+    store.save_index(items)
+    of = lambda lang: t.spark.range(1).select(F.sha1(F.lit(lang).cast("binary")).alias("work_hash"))
+    store.lock(of("en").union(of("de")))
+    store.mark_done(of("en"))
+    return store.pending().select("work_hash", F.size("paths").cast("long").alias("paths"))
+
+
+@query("snk_08_14_src_24_ext_12_14_18_test_index", "SELECT source AS pdf, count(*) AS tests, count(*) FILTER (doc_id % 4 = 0) AS rejected FROM documents GROUP BY 1")
+def _(t):
+    # Test definitions are written and read, counted by PDF, and reported as HTML, which is read back.
+    folder = f"{scratch(t)}/documents"
+    tests = t.documents.select(c("source").alias("pdf"), c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 4 == 0, "rejected").alias("checked"))
+    W.write_tests(tests, folder)
+    index = t.spark.read.schema("pdf string, id string, checked string").json(folder)
+    counts = index.groupBy("pdf").agg(F.count("id").alias("tests"), F.count_if(c("checked") == "rejected").alias("rejected"))
+    report = S.attributes_folder(folder, "report")
+    W.write_html_rows(counts, report)
+    cells = F.regexp_extract_all("value", F.lit("<td>(.*?)</td>"), F.lit(1))
+    return t.spark.read.text(report).select(cells.alias("x")).select(c("x")[0].alias("pdf"), c("x")[1].cast("long").alias("tests"), c("x")[2].cast("long").alias("rejected"))
+
+
+@query("snk_09_csv_report", "WITH r AS (SELECT lang, avg(n_chars) AS n FROM documents GROUP BY lang) SELECT 'average' AS lang, round(avg(n), 4) AS n FROM r UNION ALL SELECT lang, round(n, 4) FROM r")
+def _(t):
+    folder = scratch(t)
+    W.write_report(t.documents.groupBy("lang").agg(F.avg("n_chars").alias("n")), folder, "lang")
+    return t.spark.read.schema("lang string, n double").option("header", True).csv(folder).select("lang", F.round("n", 4).alias("n"))
+
+
+REPORTS = "CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'expired' END"
 
 
-@query("src_21_magic_bytes", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'jpeg' END AS kind FROM documents")
+@query("stm_07_batch_states", f"WITH s AS (SELECT source AS folder, doc_id AS file, n_chars AS size, CASE doc_id % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'init' ELSE 'completed' END AS state, {REPORTS} AS status, toxic = 0 AS success FROM documents LEFT JOIN labels USING (doc_id)), w AS (SELECT *, coalesce(sum(size) FILTER (state = 'processing') OVER (PARTITION BY folder), 0) + coalesce(sum(size) FILTER (state = 'init') OVER (PARTITION BY folder ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s) SELECT folder, file, size, CASE WHEN state = 'processing' AND status = 'completed' THEN CASE WHEN success THEN 'completed' ELSE 'errored_out' END WHEN state = 'processing' AND status = 'expired' THEN 'errored_out' WHEN state = 'init' AND used < 20000 THEN 'processing' ELSE state END AS state FROM w")
 def _(t):
-    heads = F.get(F.array(*map(F.lit, ["255044462D312E34", "89504E470D0A1A0A00", "FFD8FFE000", "0001"])), (c("doc_id") % 4).cast("int"))
-    return t.documents.select("doc_id", S.file_kind(F.unhex(heads)).alias("kind"))
+    state = t.documents.select(c("source").alias("folder"), c("doc_id").alias("file"), c("n_chars").alias("size"), F.element_at(F.array(*map(F.lit, ("processing", "init", "completed"))), (c("doc_id") % 3 + 1).cast("int")).alias("state"))
+    reports = t.documents.join(t.labels, "doc_id").select(c("source").alias("folder"), c("doc_id").alias("file"), F.expr(REPORTS).alias("status"), (c("toxic") == 0).alias("success"))
+    return advance(state, reports, 20_000)
 
 
 # ---- streams ----------------------------------------------------------------------------------------

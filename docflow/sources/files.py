@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,6 +50,33 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "length", "modificationTime")
 
 
+def read_range(spark: SparkSession, pattern: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """path and the bytes [start, end) of files under a glob; to their end where that is None."""
+    part = F.substring("content", start + 1, 2**31 - 1 if end is None else end - start)
+    return spark.read.format("binaryFile").load(pattern).select("path", part.alias("content"))
+
+
+def with_backoff[R](read: Callable[[], R], attempts: int = 8, factor: float = 2, fatal: tuple[type[Exception], ...] = (PermissionError, FileNotFoundError), sleep: Callable[[float], None] = time.sleep) -> R:
+    """What ``read`` gives; errors but the ``fatal`` ones are tried again, after factor ** k seconds each.
+
+    For clients of services outside.  Spark retries its own reads by task.
+    """
+    for k in range(attempts):
+        try:
+            return read()
+        except fatal:
+            raise
+        except Exception as error:  # noqa: BLE001  any other failure may pass
+            last = error
+            sleep(factor**k)
+    raise RuntimeError(f"gave up after {attempts} attempts") from last
+
+
+def pdf_pages(content: Column) -> Column:
+    """Pages of a PDF by its plain page objects; those in compressed object streams are not seen."""
+    return F.size(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"), F.lit(0)))
+
+
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """Whole Markdown files with their relative paths."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators.packs import bin_rows
@@ -56,6 +58,7 @@ def tarballs(records: DataFrame, limit: int, group: str = "chunk", name: str = "
     placed = bin_rows(sized, group, name, "_size", limit)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(name)
         buffer = io.BytesIO()
         with tarfile.open(fileobj=buffer, mode="w") as tar:
             for n, body in zip(rows[name], rows[content], strict=True):
@@ -65,7 +68,72 @@ def tarballs(records: DataFrame, limit: int, group: str = "chunk", name: str = "
         return pd.DataFrame({group: [rows[group].iloc[0]], "bin": [rows["bin"].iloc[0]], "tar": [buffer.getvalue()], "members": [list(rows[name])]})
 
     kinds = dict(records.dtypes)
-    return placed.sortWithinPartitions(name).groupBy(group, "bin").applyInPandas(pack, f"{group} {kinds[group]}, bin long, tar binary, members array<string>")
+    return placed.groupBy(group, "bin").applyInPandas(pack, f"{group} {kinds[group]}, bin long, tar binary, members array<string>")
+
+
+def write_tarballs(records: DataFrame, path: str, limit: int, group: str = "chunk", name: str = "name", content: str = "content") -> DataFrame:
+    """Write gzipped tar files under a byte limit and a manifest, and read the manifest: chunk, arcname, relpath.
+
+    Files are ``path``/tar/{group}_{bin}.tar.gz; the manifest is JSON lines below ``path``/manifest.
+    The same records give the same bytes.  A file over the limit is an error.
+    """
+    from docflow.sources.store import put_file
+
+    spark, folder = records.sparkSession, f"{path.rstrip('/')}/tar"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tar_name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packed = gzip.compress(body, mtime=0)
+                if len(packed) > limit:
+                    raise ValueError(f"{tar_name} exceeds {limit} bytes")
+                put_file(folder, tar_name, packed)
+            yield batch.select([0, 2])
+
+    bins = tarballs(records, limit, group, name, content)
+    tar_name = F.format_string("%s_%05d.tar.gz", F.col(group).cast("string"), F.col("bin"))
+    done = bins.select(tar_name.alias("chunk"), "tar", "members").mapInArrow(put, "chunk string, members array<string>")
+    rows = done.select("chunk", F.explode("members").alias("arcname")).withColumn("relpath", F.concat_ws(":", "chunk", "arcname"))
+    rows.write.json(f"{path.rstrip('/')}/manifest")
+    return spark.read.schema("chunk string, arcname string, relpath string").json(f"{path.rstrip('/')}/manifest")
+
+
+def read_tarballs(spark: SparkSession, path: str) -> DataFrame:
+    """chunk, name and size of the members of tar files that :func:`write_tarballs` wrote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(body), mode="r:gz") as tar:
+                    members = tar.getmembers()
+                yield pa.RecordBatch.from_arrays([pa.array([file.rsplit("/", 1)[-1]] * len(members)), pa.array([m.name for m in members], pa.string()), pa.array([m.size for m in members], pa.int64())], ["chunk", "name", "size"])
+
+    return spark.read.format("binaryFile").load(f"{path.rstrip('/')}/tar/*.tar.gz").select("path", "content").mapInArrow(run, "chunk string, name string, size long")
+
+
+def write_report(detail: DataFrame, path: str, label: str) -> None:
+    """CSV files of a report; a row of averages, labelled ``average``, is in the first."""
+    numbers = [n for n, kind in detail.dtypes if n != label and kind in ("double", "float", "int", "bigint")]
+    average = detail.agg(*[F.avg(n).alias(n) for n in numbers]).withColumn(label, F.lit("average"))
+    rows = average.unionByName(detail.select(label, *[F.col(n).cast("double") for n in numbers]))
+    rows.select(label, *numbers).write.option("header", True).csv(path)
+
+
+def write_tests(tests: DataFrame, path: str) -> None:
+    """Test definitions as JSON lines; fields without a value are left out."""
+    tests.write.option("ignoreNullFields", True).json(path)
+
+
+def _escaped(value: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(a), F.lit(b))
+    return value
+
+
+def write_html_rows(rows: DataFrame, path: str) -> None:
+    """Rows as HTML table rows in text files, all of them: for reports of any size."""
+    cells = [F.concat(F.lit("<td>"), _escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in rows.columns]
+    rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value")).write.text(path)
 
 
 def upsert(cache: DataFrame, new: DataFrame, key: str, age: str) -> DataFrame:
