@@ -451,31 +451,3 @@ def code_tree(text: str) -> Tree:
 
 def tree_similarity(a: Tree, b: Tree) -> float:
     return max(0.0, 1 - tree_distance(a, b) / max(a.size(), b.size(), 1))
-
-
-def merge_boxes(boxes: list[list[float]], tolerance: float = 0.5) -> list[list[float]]:
-    """The hull [x0, y0, x1, y1] of each group of boxes that chains of neighbours connect.
-
-    Neighbours are at most ``tolerance`` apart both ways.  Boxes are swept by x, so only
-    those that reach the sweep are compared.
-    """
-    order, root, open_ = sorted(range(len(boxes)), key=lambda k: boxes[k][0]), list(range(len(boxes))), []
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for k in order:
-        x0, y0, _, y1 = boxes[k]
-        open_ = [j for j in open_ if x0 - boxes[j][2] <= tolerance]
-        for j in open_:
-            if max(y0, boxes[j][1]) - min(y1, boxes[j][3]) <= tolerance:
-                root[top(k)] = top(j)
-        open_.append(k)
-    hulls: dict[int, list[float]] = {}
-    for k, b in enumerate(boxes):
-        h = hulls.setdefault(top(k), list(b))
-        hulls[top(k)] = [min(h[0], b[0]), min(h[1], b[1]), max(h[2], b[2]), max(h[3], b[3])]
-    return list(hulls.values())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions import fuzzy as Z
+from docflow.functions import layout as L
 from docflow.functions import text as X
 from docflow.operators import compare as C
 from docflow.operators import documents as D
@@ -172,7 +173,7 @@ def _(t):
     return t.documents.select("doc_id").join(bad, "doc_id", "left").select("doc_id", c("bad").isNull().alias("renders"))
 
 
-BOXES = "SELECT l_orderkey, l_linenumber AS k, l_quantity AS x0, 10 * l_discount AS y0, l_quantity + 8 AS x1, 10 * l_discount + 0.3 AS y1 FROM lineitem"
+BOXES = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_discount) AS k, l_quantity AS x0, 10 * l_discount AS y0, l_quantity + 8 AS x1, 10 * l_discount + 0.3 AS y1 FROM lineitem"
 
 
 @query("joi_22_box_components", f"WITH RECURSIVE b AS ({BOXES}), e AS (SELECT a.l_orderkey, a.k, o.k AS k2 FROM b a JOIN b o USING (l_orderkey) WHERE greatest(a.x0, o.x0) - least(a.x1, o.x1) <= 0.5 AND greatest(a.y0, o.y0) - least(a.y1, o.y1) <= 0.5), r AS (SELECT l_orderkey, k, k2 FROM e UNION SELECT r.l_orderkey, r.k, e.k2 FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.k = r.k2), m AS (SELECT l_orderkey, k, min(k2) AS root FROM r GROUP BY ALL) SELECT l_orderkey, count(DISTINCT root) AS merged FROM m GROUP BY 1")
@@ -180,31 +181,18 @@ def _(t):
     # An order is a page, its lines are boxes.
     box = F.array(c("l_quantity"), 10 * c("l_discount"), c("l_quantity") + 8, 10 * c("l_discount") + 0.3)
     pages = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
-    out = Z.row_udf(Z.merge_boxes, T.ArrayType(T.ArrayType(T.DoubleType())))(boxes=c("boxes"), tolerance=F.lit(0.5))
+    out = Z.row_udf(L.merge_boxes, T.ArrayType(T.ArrayType(T.DoubleType())))(boxes=c("boxes"), tolerance=F.lit(0.5))
     return pages.select("l_orderkey", F.size(out).cast("long").alias("merged"))
 
 
 @query("geo_05_equation_layout")
 def _(t):
-    def same(reference: list[dict], other: list[dict]) -> bool:
-        """Whether every reference symbol has its own counterpart with the same neighbours to the right and below."""
-
-        def neighbours(spans: list[dict], a: dict) -> tuple:
-            right = min((b["x"], b["text"]) for b in spans if b["x"] > a["x"] + 1 and abs(b["y"] - a["y"]) <= 5) if any(b["x"] > a["x"] + 1 and abs(b["y"] - a["y"]) <= 5 for b in spans) else None
-            below = min((b["y"], b["text"]) for b in spans if b["y"] > a["y"] + 5 and abs(b["x"] - a["x"]) <= 5) if any(b["y"] > a["y"] + 5 and abs(b["x"] - a["x"]) <= 5 for b in spans) else None
-            return a["text"], right and right[1], below and below[1]
-
-        left = [neighbours(other, b) for b in other]
-        for a in reference:
-            key = neighbours(reference, a)
-            if key not in left:
-                return False
-            left.remove(key)
-        return True
-
-    spans = lambda last: F.array(*[F.struct(F.lit(s).alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for s, x, y in (("a", 0, 0), ("+", 10, 0))], F.struct(last.alias("text"), F.lit(20.0).alias("x"), F.lit(0.0).alias("y")))
-    out = Z.row_udf(same, T.BooleanType())(reference=spans(F.lit("b")), other=spans(F.when(c("doc_id") % 2 == 0, "b").otherwise("c")))
-    return t.documents.select("doc_id", out.alias("same"))
+    # An order's lines are symbols; the other formula shows the status of a returned line in place of its flag.
+    span = lambda text: F.struct(text.alias("text"), (4 * c("l_quantity")).alias("x"), (60 * c("l_discount")).alias("y"), F.lit(4.0).alias("w"), F.lit(4.0).alias("h"))
+    shown = F.when((c("l_returnflag") == "R") & (c("l_tax") > 0.06), c("l_linestatus")).otherwise(c("l_returnflag"))
+    both = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(span(c("l_returnflag")).alias("r"), span(shown).alias("o")))).alias("s"))
+    out = Z.row_udf(L.same_layout, T.BooleanType())(reference=F.transform("s", lambda x: x["r"]), other=F.transform("s", lambda x: x["o"]))
+    return both.select("l_orderkey", out.alias("same"))
 
 
 @query("stm_09_growing_repeats", "SELECT doc_id, CAST(doc_id % 20 + 1 AS INTEGER) AS repeats FROM documents")

@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.functions.fuzzy import merge_boxes
+from docflow.functions.layout import SIDES, merge_boxes, same_formula, same_layout
 from docflow.sources import files, sinks, store
 from docflow.streaming.batches import advance
 
@@ -99,3 +100,45 @@ def test_box_groups_equal_brute_force():
             groups = [g for g in groups if g not in joined] + [set().union(*joined, {i})]
         hulls = [[min(boxes[k][0] for k in g), min(boxes[k][1] for k in g), max(boxes[k][2] for k in g), max(boxes[k][3] for k in g)] for g in groups]
         assert sorted(merge_boxes(boxes)) == sorted(hulls)
+
+
+def _brute(reference, other):
+    """Any injection that keeps texts and, by the stated rule, neighbours."""
+
+    def near(spans, i):
+        x, y = spans[i]["x"] + spans[i]["w"] / 2, spans[i]["y"] + spans[i]["h"] / 2
+        for dx, dy in SIDES:
+            best = None
+            for k, s in enumerate(spans):
+                ox, oy = s["x"] + s["w"] / 2 - x, s["y"] + s["h"] / 2 - y
+                along, off = (ox * dx, abs(oy)) if dx else (oy * dy, abs(ox))
+                if along > 0 and off <= 5 and (best is None or along < best[0]):
+                    best = (along, k)
+            yield best and best[1]
+
+    a, b = [list(near(other, i)) for i in range(len(other))], [list(near(reference, i)) for i in range(len(reference))]
+    for f in itertools.permutations(range(len(reference)), len(other)):
+        if all(other[i]["text"] == reference[f[i]]["text"] and all(h is None or (q is not None and (f[h] == q if h < i else reference[q]["text"] == other[h]["text"])) for h, q in zip(a[i], b[f[i]], strict=True)) for i in range(len(other))):
+            return True
+    return False
+
+
+def test_layout_equals_brute_force():
+    rng, seen = random.Random(7), set()
+    for _ in range(400):
+        spans = [{"text": rng.choice("ab"), "x": 8.0 * rng.randint(0, 3), "y": 8.0 * rng.randint(0, 2), "w": 4.0, "h": 4.0} for _ in range(rng.randint(0, 5))]
+        other = [dict(s) for s in spans if rng.random() < 0.9]
+        rng.shuffle(other)
+        if other and rng.random() < 0.4:
+            other[0]["x"] += 8
+        assert same_layout(spans, other) == _brute(spans, other)
+        seen.add(same_layout(spans, other))
+    assert seen == {True, False}
+    wide = [{"text": "ab" * 300, "x": 0.0, "y": 0.0, "w": 6000.0, "h": 5.0}]
+    assert same_layout(wide, [{"text": "ab", "x": 0.0, "y": 0.0, "w": 20.0, "h": 5.0}]) and not same_layout([], wide)
+
+
+def test_formulas_agree_by_markup():
+    one = {"mathml": "<math><semantics><mi>x</mi><annotation>x</annotation></semantics></math>", "spans": []}
+    other = {"mathml": "<math><semantics> <mi>x</mi> <mi>y</mi><annotation>xy</annotation></semantics></math>", "spans": [{"text": "q", "x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0}]}
+    assert same_formula(one, other) and not same_formula(other | {"mathml": "<math>z</math>", "spans": []}, other)
