@@ -10,6 +10,7 @@ from docflow.llm import quality_rules as rules
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.license_scan import license_scan
 from docflow.llm.minhash_dedup import near_duplicates
+from docflow.llm.ngram_join import ngram_join
 from docflow.llm.packing import pack_documents
 from docflow.llm.quality_classifier import quality_scores
 from docflow.llm.quality_rules import quality_rules
@@ -68,6 +69,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_documents(spark, sf_dir))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_documents(spark, sf_dir))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op11_ngram_join": op11_ngram_join,
     "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
 }
@@ -157,6 +163,25 @@ k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE k.component_id END AS component_id,
        n.doc_id = CASE WHEN n.n = 0 THEN n.doc_id ELSE k.component_id END AS kept
 FROM n LEFT JOIN c ON c.h = n.h AND n.n > 0 LEFT JOIN k ON k.rep = c.rep
+""",
+    "op11_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END AS sh FROM w
+), n AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS h, sh FROM s),
+c AS (SELECT h, min(doc_id) AS rep, any_value(n) AS n, arg_min(sh, doc_id) AS sh FROM n WHERE n > 0 GROUP BY h),
+e AS (SELECT rep, n, unnest(sh) AS x FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+  AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE k.component_id END AS component_id
+FROM n LEFT JOIN c ON c.h = n.h AND n.n > 0 LEFT JOIN k ON k.rep = c.rep
 """,
     "op9_substring_dedup": r"""
 WITH w AS (
