@@ -1,14 +1,24 @@
-"""Which texts hold which passages: candidates by shared word runs, then whole strings."""
+"""Which texts hold which passages or runs of words: looked up in the text's own row, then compared whole."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from docflow.functions import text as T
+from docflow.operators.bits import bit_map, in_map
+from docflow.operators.fuzzy_join import GRAMS, gram_hashes
 
 #: Words of a run that is looked up.
 RUN = 8
+#: Bits of the map of what is looked up, as a power of two (2 MB).
+MAP_BITS = 24
 
 
 def _let(value: Column, body) -> Column:
@@ -30,23 +40,72 @@ def run_hashes(words: Column, run: int = RUN) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
+def kept_runs(rows: DataFrame, key: str, runs: Column, words: np.ndarray) -> DataFrame:
+    """(key, h): the runs of each row whose bits the map has.  Runs that nobody asks for stay in their row."""
+    kind = rows.schema[key]
+    schema = StructType([kind, *StructType.fromDDL("h struct<h1:bigint,h2:bigint>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = batch.column(1).flatten()
+            if len(flat):
+                at = np.flatnonzero(in_map(flat.field(0).to_numpy(zero_copy_only=False), words))
+                owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), flat.take(pa.array(at)).cast(arrow.field(1).type)], schema=arrow)
+
+    return rows.select(key, runs.alias("runs")).mapInArrow(run, schema)
+
+
+def shared_runs(docs: DataFrame, key: str, asked: DataFrame, run: int = RUN, text: str = "text") -> DataFrame:
+    """(key, h): every place of a document where a run of ``run`` words stands that ``asked`` (text) has too."""
+    own = asked.select(F.explode(run_hashes(T.words(F.col("text")), run)).alias("h")).distinct()
+    words = bit_map(own.select("h.h1"), MAP_BITS)
+    return kept_runs(docs, key, run_hashes(T.words(F.col(text)), run), words).join(own, "h", "left_semi")
+
+
+def _grams(key: StructField, words: np.ndarray, sizes: set[int]):
+    """The distinct grams of each text that some passage may begin with."""
+    arrow = to_arrow_schema(StructType([key, *StructType.fromDDL("size int, gram long").fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for k, text in enumerate(batch.column(1)):
+                    for size, grams in gram_hashes(text.as_py() or "", sizes).items():
+                        found = np.unique(grams[in_map(grams, words)])
+                        if len(found):
+                            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(found)), pa.array(np.full(len(found), size, np.int32)), pa.array(found)], schema=arrow)
+
+    return run
+
+
+def _first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The gram that each passage begins with, as long as the passage allows."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            passages = batch.column(1).to_pylist()
+            sizes = [next(g for g in GRAMS if g <= len(p)) for p in passages]
+            grams = [int(gram_hashes(p[:g], {g})[g][0]) for p, g in zip(passages, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(grams, pa.int64())], ["number", "passage", "size", "gram"])
+
+
 def passages_in(passages: DataFrame, key: str, docs: DataFrame, doc_key: str, text: str = "text") -> DataFrame:
     """(key, doc_key) where the document holds the whole passage, lower-cased, as a string.
 
-    A passage's first and last words may be parts of longer ones in the document; the words
-    between are whole there.  So it is looked up by the first run of those, of eight
-    or as many as there are.  Passages of one or two words are compared with every document:
-    they are a set of queries, held in blocks of the passages' table.
+    Documents are read once for all passages: their grams (runs of 16 characters, or fewer for
+    short passages) are held against a map of the passages' first ones, those found are joined, and
+    candidates compared whole.  Empty and null passages are in no document.
     """
-    own = passages.select(key, F.lower(text).alias("passage")).withColumn("inner", T.words(F.col("passage")))
-    own = own.withColumn("inner", F.slice("inner", F.lit(2), F.greatest(F.size("inner") - 2, F.lit(0)))).withColumn("run", F.least(F.size("inner"), F.lit(RUN)))
+    own = passages.where(F.length(text) > 0).select(key, F.lower(text).alias("passage"))
+    asked = own.select("passage").distinct().select(F.xxhash64("passage").alias("number"), "passage").mapInArrow(_first_grams, "number long, passage string, size int, gram long")
+    sizes = {r["size"] for r in asked.select("size").distinct().collect()}  # five at most
+    words = bit_map(asked.select("gram"), MAP_BITS)
     rows = docs.select(doc_key, F.lower(text).alias("body"))
-    sizes = sorted(r["run"] for r in own.where("run > 0").select("run").distinct().collect())  # eight at most
-    out = rows.join(own.where("run = 0").select(key, "passage"), F.contains("body", F.col("passage"))).select(key, doc_key)
-    worded = rows.select(doc_key, T.words(F.col("body")).alias("words"))
-    for size in sizes:
-        keys = own.where(F.col("run") == size).select(key, F.get(run_hashes(F.col("inner"), size), F.lit(0)).alias("h"))
-        hits = worded.select(doc_key, F.explode(run_hashes(F.col("words"), size)).alias("h")).join(keys, "h").select(key, doc_key).distinct()
-        found = hits.join(own.select(key, "passage"), key).join(rows, doc_key)
-        out = out.unionByName(found.where(F.contains("body", F.col("passage"))).select(key, doc_key))
-    return out
+    field = rows.schema[doc_key]
+    grams = rows.mapInArrow(_grams(field, words, sizes), StructType([field, *StructType.fromDDL("size int, gram long").fields]))
+    met = grams.join(asked, ["size", "gram"]).select(F.col(doc_key).alias("met_key"), "passage")
+    held = met.groupBy("met_key").agg(F.collect_set("passage").alias("asked"))
+    found = rows.join(held, F.col(doc_key).eqNullSafe(F.col("met_key"))).select(doc_key, F.explode(F.filter("asked", lambda p: F.contains(F.col("body"), p))).alias("found"))
+    return found.join(own, F.col("found") == F.col("passage")).select(key, doc_key).distinct()

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.scratch import written
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -189,11 +191,18 @@ def image_boxes(pairs: DataFrame) -> DataFrame:
 
 
 def evaluate(pairs: DataFrame, metrics: list[str]) -> DataFrame:
-    """Per-document metrics side by side, under a first row of averages."""
-    out = None
+    """Metrics of each pair (rel, pred, target) side by side, under a first row of averages.
+
+    A metric gets what is known of a pair so far as its ``rel`` and gives it back beside its values,
+    so all are columns of one pass and every pair stays one row, also where ``rel`` is null or
+    repeats.  A metric of a null text is what the metric makes of it.
+    """
+    out = pairs.select("rel", "pred", "target")
     for name in metrics:
-        found = METRICS.get(name)(pairs)
-        out = found if out is None else out.join(found, "rel")
-    values = [c for c in out.columns if c != "rel"]
+        known = F.struct(*[F.col(c) for c in out.columns])
+        found = METRICS.get(name)(out.select(known.alias("rel"), "pred", "target"))
+        out = found.select("rel.*", *[c for c in found.columns if c != "rel"])
+    values = [c for c in out.columns if c not in ("rel", "pred", "target")]
+    out = written(out.select("rel", *values), "evaluation")
     average = out.agg(*[F.avg(c).alias(c) for c in values]).withColumn("rel", F.lit("average"))
     return average.unionByName(out).select("rel", *[F.round(c, 4).alias(c) for c in values])

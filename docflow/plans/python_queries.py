@@ -13,6 +13,7 @@ from docflow.functions import fuzzy as Z
 from docflow.functions import html as H
 from docflow.functions import tables as G
 from docflow.functions import text as X
+from docflow.operators.fuzzy_join import fuzzy_join, order_join
 from docflow.operators.presence import passages_in
 from docflow.plans.extensions import box_scores
 from docflow.plans.registry import Tables, query
@@ -75,6 +76,24 @@ def _(t):
     return rows.select("doc_id", F.round(Z.row_udf(Z.partial_ratio, DOUBLE)(query=c("query"), text=c("text")), 6).alias("ratio"))
 
 
+@query("str_06_udf_04_presence_tests")
+def _(t):
+    # Whole documents against the whole benchmark; tests differ in what they allow and where they look.
+    k = c("item_id")
+    tests = t.benchmark.select("item_id", F.when(k % 4 == 0, c("text")).otherwise(F.regexp_replace("text", r"^(.{12})[a-z]", "$1#")).alias("text"), (k % 4).cast("int").alias("diffs"), (k % 3 == 0).alias("cased"), F.when(k % 5 == 0, 4000).alias("first_n"), F.when(k % 5 == 1, 4000).alias("last_n"))
+    return fuzzy_join(tests, "item_id", t.documents, "doc_id")
+
+
+@query("str_07_joi_20_order_tests")
+def _(t):
+    # The front of a passage ahead of its end, and the other way round; two edits are allowed.
+    half = F.floor(F.length("text") / 2).cast("int")
+    front, end = F.regexp_replace(F.substring("text", F.lit(1), half), "^.", "#"), F.substring(c("text"), half + 1, F.length("text"))
+    back = c("item_id") % 2 == 1
+    tests = t.benchmark.select("item_id", F.when(back, end).otherwise(front).alias("before"), F.when(back, front).otherwise(end).alias("after"), F.lit(2).alias("diffs"))
+    return order_join(tests, "item_id", t.documents, "doc_id")
+
+
 @query("str_07_joi_20_near_order")
 def _(t):
     def ordered(text: str, before: str, after: str) -> bool:

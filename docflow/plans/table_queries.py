@@ -10,7 +10,8 @@ from docflow.operators import compare as C
 from docflow.operators import documents as D
 from docflow.operators import packs as K
 from docflow.operators import sampling as S
-from docflow.operators.presence import passages_in, run_hashes
+from docflow.operators.ordered import numbered
+from docflow.operators.presence import passages_in, shared_runs
 from docflow.plans.registry import Tables, query
 
 c = F.col
@@ -416,8 +417,8 @@ def _(t):
 
 @query("agg_16_empirical_cdf", "SELECT event_id, round(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) / count(*) OVER (PARTITION BY event_type), 9) AS cdf FROM events")
 def _(t):
-    w = Window.partitionBy("event_type")
-    return t.events.select("event_id", F.round(F.row_number().over(w.orderBy("value", "event_id")) / one().over(w), 9).alias("cdf"))
+    ranked = numbered(t.events.select("event_id", "event_type", "value"), ["event_type"], ["value", "event_id"])
+    return ranked.select("event_id", F.round((c("row") + 1) / c("rows"), 9).alias("cdf"))
 
 
 @query("agg_16_value_summary", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS middle FROM events WHERE isfinite(value) GROUP BY 1 HAVING count(*) >= 5")
@@ -576,10 +577,8 @@ NGRAM = r"WITH g AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text
 
 @query("agg_48_ngram_overlap", NGRAM + " SELECT gn.doc_id, count(*) AS grams, count(bn.k) AS matched FROM gn LEFT JOIN bn ON bn.k = gn.k GROUP BY 1")
 def _(t):
-    grams = lambda df, key: df.select(key, F.explode(run_hashes(X.words(c("text")), 8)).alias("k"))
-    bench = grams(t.benchmark, "item_id").select("k").distinct()
-    # Only runs leave the document's row, and only those found come back, as counts.
-    hits = grams(t.documents, "doc_id").join(bench, "k", "left_semi").groupBy("doc_id").agg(one().alias("matched"))
+    # Runs are tested where their document lies; only those found leave its row.
+    hits = shared_runs(t.documents, "doc_id", t.benchmark).groupBy("doc_id").agg(one().alias("matched"))
     rows = t.documents.select("doc_id", (F.size(X.words(c("text"))) - 7).cast("long").alias("grams")).where("grams > 0")
     return rows.join(hits, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
 
@@ -613,7 +612,7 @@ def _(t):
 
 @query("win_03_chunks", "SELECT o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / 50) AS BIGINT) AS chunk FROM orders")
 def _(t):
-    return K.chunks(t.orders, "o_orderkey", 50, "o_orderstatus").select("o_orderkey", "chunk")
+    return K.chunks(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", 50, "o_orderstatus").select("o_orderkey", "chunk")
 
 
 BINS = "WITH RECURSIVE s AS (SELECT source, doc_id, n_chars + 1024 AS need, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), b AS (SELECT source, doc_id, i, need AS held, 0 AS bin FROM s WHERE i = 1 UNION ALL SELECT s.source, s.doc_id, s.i, CASE WHEN b.held + s.need > 300000 THEN s.need ELSE b.held + s.need END, b.bin + CASE WHEN b.held + s.need > 300000 THEN 1 ELSE 0 END FROM b JOIN s ON s.source = b.source AND s.i = b.i + 1) SELECT doc_id, CAST(bin AS BIGINT) AS bin FROM b"
@@ -663,7 +662,7 @@ def _(t):
 
 @query("win_12_line_index", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line FROM documents")
 def _(t):
-    return t.documents.select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("line"))
+    return numbered(t.documents.select("doc_id", "source"), ["source"], ["doc_id"]).select("doc_id", c("row").alias("line"))
 
 
 @query("srt_01_02_bottom_k", "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 10")
