@@ -196,19 +196,41 @@ def parse_markdown(text: Column) -> Column:
 
 
 def harvest_equations(text: Column) -> Column:
-    """Equations between $$, \\[, \\( and $; each pass works on what the last left."""
+    """Equations between \\(, \\[, $$ and $, in that order; each pass works on what the last left."""
     out = F.array().cast("array<string>")
-    for pattern in (BLOCK_MATH, r"(?s)\\\[(.+?)\\\]", r"(?s)\\\((.+?)\\\)", r"(?s)\$(.+?)\$"):
-        out = F.concat(out, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    for pattern in (INLINE_LATEX, r"(?s)\\\[(.+?)\\\]", BLOCK_MATH, r"(?s)\$(.+?)\$"):
+        out = F.concat(out, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), strip))
         text = F.regexp_replace(text, pattern, "")
-    return F.filter(F.transform(out, strip), lambda x: x != "")
+    return out
+
+
+#: Environments and marks of display formulas in TeX sources, then inline ones, each with its name.
+TEX_MATH = (
+    ("$$", r"\$\$(.*?)\$\$"),
+    ("equation", r"\\begin\{equation\}(.*?)\\end\{equation\}"),
+    ("equation*", r"\\begin\{equation\*\}(.*?)\\end\{equation\*\}"),
+    ("align", r"\\begin\{align\}(.*?)\\end\{align\}"),
+    ("align*", r"\\begin\{align\*\}(.*?)\\end\{align\*\}"),
+    ("displaymath", r"\\begin\{displaymath\}(.*?)\\end\{displaymath\}"),
+    ("displaymath", r"\\\[(.*?)\\\]"),
+    ("inline", r"\$(.*?)\$"),
+    ("inline", r"\\\((.*?)\\\)"),
+)
+
+
+def tex_equations(text: Column) -> Column:
+    """Formulas of TeX sources (kind, equation); every pattern reads the whole text, so overlaps are kept."""
+
+    def named(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"(?s){pattern}"), F.lit(1))
+        return F.transform(found, lambda e: F.struct(F.lit(kind).alias("kind"), strip(e).alias("equation")))
+
+    return F.filter(F.concat(*[named(*x) for x in TEX_MATH]), lambda x: x["equation"] != "")
 
 
 def harvest_tex_math(text: Column) -> Column:
-    """Formulas of TeX sources: display environments and inline marks; overlaps are kept."""
-    names = ["equation", "align", "gather", "multline", "eqnarray"]
-    patterns = [rf"(?s)\\begin\{{{n}\*?\}}(.*?)\\end\{{{n}\*?\}}" for n in names] + [BLOCK_MATH, r"(?s)\\\[(.*?)\\\]", INLINE_MATH, INLINE_LATEX]
-    return F.filter(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]), strip), lambda x: x != "")
+    """The formulas of :func:`tex_equations` alone."""
+    return F.transform(tex_equations(text), lambda x: x["equation"])
 
 
 def normalize_latex_brackets(text: Column) -> Column:

@@ -82,9 +82,33 @@ def has_latex_outside_math(text: Column) -> Column:
     return out
 
 
+#: A tag: its slash, its name, and the slash at its end.
+TAG = r"<(/?)([a-zA-Z][^\s/>]*)[^>]*?(/?)>"
+
+
+def _closes(tags: Column) -> Column:
+    """Whether tags, in order, close each other: an end tag closes the last open one of its name and all within it."""
+    part = lambda tag, k: F.regexp_extract(tag, TAG, k)
+    start = F.struct(F.lit(True).alias("ok"), F.array().cast("array<string>").alias("open"))
+
+    def step(acc: Column, tag: Column) -> Column:
+        name = F.lower(part(tag, 2))
+        place = F.array_position(F.reverse(acc["open"]), name)
+        left = F.slice(acc["open"], F.lit(1), F.greatest((F.size(acc["open"]) - place).cast("int"), F.lit(0)))
+        closed = F.struct((acc["ok"] & (place > 0)).alias("ok"), F.when(place > 0, left).otherwise(acc["open"]).alias("open"))
+        opened = F.struct(acc["ok"].alias("ok"), F.array_append(acc["open"], name).alias("open"))
+        return F.when(part(tag, 3) == "/", acc).when(part(tag, 1) == "/", closed).otherwise(opened)
+
+    return F.aggregate(tags, start, step, lambda acc: acc["ok"] & (F.size(acc["open"]) == 0))
+
+
 def balanced_html_tables(text: Column) -> Column:
+    """Whether every HTML table is whole: as many ends as begins, and within each the tags close each other."""
     count = lambda p: F.regexp_count(text, F.lit(p))
-    return count(r"(?i)<table\b") == count(r"(?i)</table\s*>")
+    tables = F.regexp_extract_all(text, F.lit(r"(?is)<table\b[^>]*>.*?</table>"), F.lit(0))
+    whole = F.forall(tables, lambda x: _closes(F.regexp_extract_all(x, F.lit(TAG), F.lit(0))))
+    begins = count(r"(?i)<table\b[^>]*>")
+    return ~F.contains(F.lower(text), F.lit("<table")) | ((begins == count(r"(?i)</table>")) & ((begins == 0) | (F.size(tables) > 0)) & whole)
 
 
 def has_break_in_cell(text: Column) -> Column:

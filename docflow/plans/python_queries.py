@@ -13,16 +13,20 @@ from docflow.functions import fuzzy as Z
 from docflow.functions import html as H
 from docflow.functions import tables as G
 from docflow.functions import text as X
+from docflow.functions import udtf as U
+from docflow.operators import variants as V
 from docflow.operators.fuzzy_join import fuzzy_join, order_join
 from docflow.operators.presence import passages_in
 from docflow.plans.extensions import box_scores
 from docflow.plans.registry import Tables, query
 from docflow.plans.text_queries import markdown_pages
+from docflow.sources import bundles as N
 from docflow.sources import files as S
 from docflow.sources import sinks as W
 from docflow.sources import store as B
 from docflow.streaming import metrics as M
 from docflow.streaming.batches import advance
+from docflow.streaming.state import rocksdb, runs
 
 c = F.col
 DOUBLE, STRING, BOOL = T.DoubleType(), T.StringType(), T.BooleanType()
@@ -472,6 +476,87 @@ def _(t):
     return M.run_available(stream, f"{folder}-out", f"{folder}-state", "complete")
 
 
+RUNS_SQL = """WITH e AS (SELECT user_id % 40 AS k, ts, event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, event_type = 'error') AS i FROM e),
+c AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cleared, lag(ts) OVER (PARTITION BY k ORDER BY i) AS before, lag(event_type) OVER (PARTITION BY k ORDER BY i) AS kind FROM o),
+n AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND kind <> 'error' AND ts - before > INTERVAL 10 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS silences FROM c),
+r AS (SELECT k, coalesce(cleared, 0) AS cleared, silences, min(ts) AS a, max(ts) AS b, count(*) AS n FROM n WHERE event_type <> 'error' GROUP BY ALL),
+x AS (SELECT r.*, (SELECT min(ts) FROM e WHERE e.k = r.k AND e.event_type = 'error' AND e.ts >= r.b) AS stop, (SELECT max(ts) FROM e) AS latest FROM r)
+SELECT CAST(k AS VARCHAR) AS key, CASE WHEN stop - b <= INTERVAL 10 HOUR THEN 'clear' ELSE 'silence' END AS ended, a AS first, b AS last, n FROM x WHERE stop IS NOT NULL OR b + INTERVAL 10 HOUR < latest - INTERVAL 1 HOUR"""
+
+
+@query("stm_03_runs_with_clear", RUNS_SQL)
+def _(t):
+    # Two starts of one stream: what is open when the first ends goes on from the checkpoint.
+    folder = scratch(t)
+    middle = "2024-01-16"
+    for k, half in enumerate((c("ts") < middle, c("ts") >= middle)):
+        t.events.where(half).coalesce(1).write.mode("append").parquet(f"{folder}-in/part={k}")
+        stream = t.spark.readStream.schema(t.events.schema).parquet(f"{folder}-in/part=*").withColumn("key", c("user_id") % 40)
+        with rocksdb(t.spark):
+            out = M.run_available(runs(stream, "key", "ts", "event_type", "error", 10 * 3600 * 1000, "1 hour"), f"{folder}-out", f"{folder}-state")
+    return out.select("key", "ended", c("first").cast("timestamp_ntz").alias("first"), c("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+# Labels as spans of JSON whose values are booleans, numbers, texts that spell numbers, other texts and nulls.
+MIXED = {
+    0: '{"quality": [[0, 10, %b], [10, 20, %q]], "note": [[0, 5, "%s"]]}',
+    1: '{"quality": [[0, 10, "%q"], [10, 20, 0.25]], "note": [[0, 5, null]]}',
+    2: '{"quality": [[0, 10, null], [3, 4]], "note": []}',
+    3: '{"quality": [[0, 10, ""], [1, 2, "low"]]}',
+    4: 'no json {"quality"',
+    5: '{"quality": [[0, 10, %q], [10, 20, %t]], "note": [[0, 5, [1]], [5, 6, {}]]}',
+}
+MIXED_SQL = "CASE l.doc_id % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in MIXED.items()) + " END"
+MIXED_SQL = f"replace(replace(replace(replace({MIXED_SQL}, '%b', CASE WHEN quality = 1 THEN 'true' ELSE 'false' END), '%q', CAST(quality AS VARCHAR)), '%s', d.source), '%t', CAST(toxic AS VARCHAR))"
+VALUES_SQL = f"""WITH r AS (SELECT l.doc_id, {MIXED_SQL} AS x FROM labels l JOIN documents d USING (doc_id)), j AS (SELECT doc_id, CASE WHEN json_valid(x) THEN x END AS x FROM r),
+s AS (SELECT doc_id, unnest(json_extract(x, '$.quality[*]')) AS e FROM j), v AS (SELECT doc_id, json_type(e, '$[2]') AS k, json_extract_string(e, '$[2]') AS v FROM s WHERE json_array_length(e) >= 3 AND json_type(e, '$[2]') <> 'NULL'),
+w AS (SELECT doc_id, CASE WHEN k = 'BOOLEAN' THEN v = 'true' WHEN k = 'VARCHAR' THEN length(v) > 0 ELSE CAST(v AS DOUBLE) <> 0 END AS holds, CASE WHEN k = 'BOOLEAN' THEN (v = 'true')::INT::DOUBLE ELSE TRY_CAST(v AS DOUBLE) END AS num FROM v),
+a AS (SELECT doc_id, bool_or(holds) AS any_, bool_and(holds) AS all_, CASE WHEN count(num) = count(*) THEN avg(num) END AS mean FROM w GROUP BY 1)"""
+
+
+def _mixed(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents.select("doc_id", "source"), "doc_id")
+    text = F.lit(None).cast("string")
+    for k, pattern in MIXED.items():
+        text = F.when(c("doc_id") % 6 == k, pattern).otherwise(text)
+    for mark, value in (("%b", F.when(c("quality") == 1, "true").otherwise("false")), ("%q", c("quality").cast("string")), ("%s", c("source")), ("%t", c("toxic").cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    return rows.select("doc_id", text.alias("x"))
+
+
+@query("rul_04_05_06_variant_rules", f"{VALUES_SQL} SELECT doc_id, coalesce(any_, false) AS any_true, coalesce(all_, false) AS all_true, coalesce(mean > 0.3, false) AND NOT coalesce(all_, false) AS mixed FROM r LEFT JOIN a USING (doc_id)")
+def _(t):
+    rule = lambda r: V.compile_rule(r, c("x"))
+    return _mixed(t).select("doc_id", rule("quality:any").alias("any_true"), rule("quality:all").alias("all_true"), rule("quality:avg>0.3 and not quality:all").alias("mixed"))
+
+
+@query("src_06_jsn_01_prj_10_value_kinds", "WITH e AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(k) AS numbers, CAST(sum(k) AS BIGINT) AS total FROM e GROUP BY 1")
+def _(t):
+    props = F.try_parse_json("props")
+    k = F.try_variant_get(props, "$.k", "bigint")
+    return t.events.select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("k").alias("numbers"), F.sum("k").alias("total"))
+
+
+@query("udtf_word_ngrams", r"SELECT doc_id, count(*) AS n, count(DISTINCT g) AS distinct_n, max(g) AS last FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents)) GROUP BY 1")
+def _(t):
+    U.register(t.spark)
+    t.documents.createOrReplaceTempView("ngram_documents")
+    return t.spark.sql("SELECT key AS doc_id, count(*) AS n, count(DISTINCT ngram) AS distinct_n, max(ngram) AS last FROM word_ngrams(TABLE(SELECT doc_id, text FROM ngram_documents), 3) GROUP BY key")
+
+
+@query("snk_06_16_src_11_bundles", "SELECT source || '/' || lang AS bundle, count(*) AS files, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, md5(string_agg(doc_id || ':' || md5(coalesce(text, '')), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+def _(t):
+    folder = scratch(t)
+    N.register(t.spark)
+    rows = t.documents.select(F.concat_ws("/", "source", "lang").alias("bundle"), c("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    rows.repartition("bundle").sortWithinPartitions("bundle", "name").write.format(N.FORMAT).mode("append").save(folder)
+    back = t.spark.read.format(N.FORMAT).load(folder)
+    item = F.struct(c("name").cast("long").alias("id"), F.concat_ws(":", "name", F.md5("content")).alias("x"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["x"]), ",")
+    return back.groupBy("bundle").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.md5(parts).alias("digest"))
+
+
 @query("stm_07_10_incremental", "SELECT event_id FROM events")
 def _(t):
     folder = scratch(t)

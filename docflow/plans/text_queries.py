@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions import text as X
+from docflow.operators import coherency as H
 from docflow.operators import filters as P
+from docflow.operators import language as L
 from docflow.operators import rules as R
 from docflow.plans.registry import Tables, query
 
@@ -64,7 +66,7 @@ page_query("str_21_extract_tables", lambda c: F.concat(X.detect_table_type(c), F
 page_query("str_22_extract_images", lambda c: F.concat(F.to_json(X.extract_images(c)), F.to_json(X.extract_image_boxes(c))), "'[{\"alt\":\"alt ' || lang || '\",\"url\":\"img_' || doc_id || '.png\",\"raw\":\"![alt ' || lang || '](img_' || doc_id || '.png)\"}][[' || doc_id || '.0,2.0,30.5,4.0]]'")
 page_query("str_23_extract_formulas", lambda c: F.array_join(X.extract_formulas(c), "|"), "'y=' || n_chars || '|x_' || doc_id")
 page_query("str_24_parse_markdown", lambda c: F.concat_ws("#", F.size(X.parse_markdown(c)["tables"]).cast("string"), X.parse_markdown(c)["table_type"], F.length(X.parse_markdown(c)["text"]).cast("string")), r"'1#html#' || length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[.*?\]\(.*?\)', '', 'g'), '(?is)<table.*?</table>', '', 'g'), '\n{2,}', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'))")
-page_query("str_25_harvest_equations", lambda c: F.array_join(X.harvest_equations(c), "|"), "'y=' || n_chars || '|z|x_' || doc_id")
+page_query("str_25_harvest_equations", lambda c: F.array_join(X.harvest_equations(c), "|"), "'z|y=' || n_chars || '|x_' || doc_id")
 page_query("str_26_harvest_tex_math", lambda c: F.array_join(X.harvest_tex_math(c), "|"), "'y=' || n_chars || '|x_' || doc_id || '|z'")
 page_query("str_27_latex_brackets", X.normalize_latex_brackets, r"regexp_replace(regexp_replace(md, '(?s)\$\$(.+?)\$\$', '\\[\1\\]', 'g'), '(?s)\$([^$]+?)\$', '\\(\1\\)', 'g')")
 page_query("str_29_bbox_tokens", X.bbox_tokens, "replace(replace(md, '<!-- bbox:', '<|bbox_start|>'), '-->', '<|bbox_end|>')")
@@ -214,15 +216,122 @@ def _(t: Tables) -> DataFrame:
     return t.documents.where(P.keeps_language(F.col("lang"), ["en", "fr"])).select("doc_id")
 
 
+GRAMS_SQL = r"SELECT doc_id, lang, unnest(flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 1), lambda i: substr('_' || w || '_', i, 3))))) AS gram FROM documents"
+DETECT_SQL = f"""WITH g AS ({GRAMS_SQL}), c AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+tot AS (SELECT lang, sum(n) AS total FROM c GROUP BY 1), f AS (SELECT DISTINCT gram FROM c JOIN tot USING (lang) WHERE n * {L.PROFILE} >= total),
+m AS (SELECT gram, l.lang, coalesce(c.n, 0) AS n FROM f CROSS JOIN (SELECT lang FROM tot) l LEFT JOIN c USING (gram, lang)),
+s AS (SELECT lang, sum(n) AS t, count(*) AS v FROM m GROUP BY 1), pr AS (SELECT gram, m.lang, ln((n + 1) / (t + v)) AS p FROM m JOIN s USING (lang)),
+d AS (SELECT doc_id, pr.lang, count(*) AS grams, round(sum(p) / count(*), 9) AS score FROM g JOIN pr USING (gram) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS k, score - lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS lead FROM d),
+o AS (SELECT x.doc_id, x.text, coalesce(grams, 0) AS grams, CASE WHEN grams >= {L.LEAST_GRAMS} AND coalesce(lead, 0) >= {L.LEAST_LEAD} THEN r.lang ELSE 'unknown' END AS language, round(lead, 6) AS lead FROM documents x LEFT JOIN r ON r.doc_id = x.doc_id AND k = 1)"""
+
+
+def detected(t: Tables) -> DataFrame:
+    """The language of every document, by profiles of four fifths of the documents."""
+    return L.detect(t.documents, "doc_id", *L.profiles(t.documents.where("doc_id % 5 != 0")))
+
+
+@query("flt_04_language_detection", f"{DETECT_SQL} SELECT doc_id, grams, language, lead FROM o")
+def _(t: Tables) -> DataFrame:
+    return detected(t)
+
+
+@query("flt_02_04_detected_filter", f"{DETECT_SQL} SELECT doc_id, CASE WHEN length(text) < 200 THEN NULL WHEN {ALPHA_SQL} < 0.5 THEN NULL WHEN NOT (language = 'unknown' OR language IN ('en', 'de')) THEN 'language' WHEN len({WORDS_SQL}) > 0 AND len(list_filter({WORDS_SQL}, lambda x: list_contains({SPAM_SQL}, x))) > 0.004 * len({WORDS_SQL}) THEN 'spam' END AS reason FROM o")
+def _(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "text").join(detected(t).select("doc_id", "language"), "doc_id")
+    return rows.select("doc_id", P.drop_reason(F.col("text"), F.nullif("language", F.lit(L.UNKNOWN)), F.lit(False), ["en", "de"]).alias("reason"))
+
+
+COHERENT_SQL = rf"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), u AS (SELECT unnest(ws) AS w FROM w), f AS (SELECT w, count(*) AS n, ln({H.BACK_OFF} * count(*) / sum(count(*)) OVER ()) AS fall FROM u GROUP BY 1),
+p AS (SELECT doc_id, i - 1 AS i, ws[i] AS a, ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)), k AS (SELECT a, b, ln(count(*) / any_value(f.n)) AS score FROM p JOIN f ON f.w = a GROUP BY a, b HAVING count(*) >= {H.KNOWN}),
+c AS (SELECT doc_id, i // {H.CHUNK} AS chunk, avg(coalesce(score, fall)) AS mean FROM p LEFT JOIN k USING (a, b) LEFT JOIN f ON f.w = p.b GROUP BY ALL)
+SELECT doc_id, round(avg(mean), 6) AS coherency, count(*) AS chunks, round(min(mean), 6) AS worst FROM c GROUP BY 1"""
+
+
+@query("str_49_coherency", COHERENT_SQL)
+def _(t: Tables) -> DataFrame:
+    found = H.coherency(t.documents, ["doc_id"], H.bigram_model(t.documents))
+    return found.select("doc_id", F.round("coherency", 6).alias("coherency"), "chunks", F.round("worst", 6).alias("worst"))
+
+
+@query("str_49_srt_05_coherent_candidate")
+def _(t: Tables) -> DataFrame:
+    # Three ways to take the text from a page; the one that reads best under a model of the documents.
+    plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " ")
+    ways = {"tags_dropped": F.regexp_replace(plain, "<[^>]*>", ""), "tags_spaced": F.regexp_replace(plain, "<[^>]*>", " "), "as_it_is": F.col("html")}
+    candidates = t.pages.select("page_id", F.explode(F.array(*[F.struct(F.lit(n).alias("engine"), x.alias("text")) for n, x in ways.items()])).alias("x")).select("page_id", "x.*")
+    return H.most_coherent(candidates, "page_id", "engine", H.bigram_model(t.documents)).select("page_id", "engine", F.round("coherency", 6).alias("coherency"))
+
+
 @query("flt_05_upright", "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 = 0")
 def _(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     return t.documents.where(P.is_upright(d % 5 != 0, (d % 4) * 90)).select("doc_id")
 
 
-@query("flt_10_html_tables", r"SELECT page_id, len(regexp_extract_all(html, '(?i)<table\b')) = len(regexp_extract_all(html, '(?i)</table\s*>')) AS balanced FROM pages")
+# Each page's own body as a table: its tags close or do not as the page has them; some pages lack the end, some have no table.
+TABLED = "CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '<article>', '<article><table>') ELSE regexp_replace(regexp_replace(html, '<article>', '<article><TABLE class=x>'), '</article>', '</table></article>') END"
+TAGS_SQL = r"regexp_extract_all(x, '<(/?)([a-zA-Z][^\s/>]*)[^>]*?(/?)>', {})"
+
+
+@query(
+    "flt_10_html_tables",
+    rf"""WITH RECURSIVE p AS (SELECT page_id, {TABLED} AS html FROM pages),
+b AS (SELECT *, regexp_extract_all(html, '(?is)<table\b[^>]*>.*?</table>') AS ts, len(regexp_extract_all(html, '(?i)<table\b[^>]*>')) AS n, len(regexp_extract_all(html, '(?i)</table>')) AS m FROM p),
+u AS (SELECT page_id, k, ts[k] AS x FROM (SELECT page_id, ts, unnest(range(1, len(ts) + 1)) AS k FROM b)),
+g AS (SELECT page_id, k, {TAGS_SQL.format(1)} AS e, {TAGS_SQL.format(2)} AS nm, {TAGS_SQL.format(3)} AS s FROM u),
+w AS (SELECT page_id, k, 0 AS i, []::VARCHAR[] AS o, true AS ok FROM g
+      UNION ALL
+      SELECT w.page_id, w.k, w.i + 1, CASE WHEN s[i + 1] = '/' THEN o WHEN e[i + 1] <> '/' THEN list_append(o, lower(nm[i + 1])) WHEN list_contains(o, lower(nm[i + 1])) THEN o[1:len(o) - list_position(list_reverse(o), lower(nm[i + 1]))] ELSE o END,
+             ok AND (s[i + 1] = '/' OR e[i + 1] <> '/' OR list_contains(o, lower(nm[i + 1])))
+      FROM w JOIN g ON g.page_id = w.page_id AND g.k = w.k WHERE i < len(e)),
+f AS (SELECT w.page_id, bool_and(ok AND len(o) = 0) AS good FROM w JOIN g ON g.page_id = w.page_id AND g.k = w.k WHERE i = len(e) GROUP BY 1)
+SELECT b.page_id, NOT contains(lower(html), '<table') OR (n = m AND (n = 0 OR len(ts) > 0) AND coalesce(good, true)) AS balanced FROM b LEFT JOIN f USING (page_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    k, html = F.col("page_id") % 5, F.col("html")
+    tabled = F.when(k == 0, html).when(k == 1, F.regexp_replace(html, "<article>", "<article><table>")).otherwise(F.regexp_replace(F.regexp_replace(html, "<article>", "<article><TABLE class=x>"), "</article>", "</table></article>"))
+    return t.pages.select("page_id", P.balanced_html_tables(tabled).alias("balanced"))
+
+
+# Marks in place of frequent words of the corpus, so that they nest, cross and stay open as the texts have it.
+MARKED = {" the ": " $ ", " de ": r" \( ", " and ": r" \) ", " en ": r" \[ ", " la ": r" \] ", " of ": " $$ ", " der ": r" \begin{align*}", " die ": r" \end{align*} "}
+MARKED_SQL = "coalesce(text, '')"
+for _word, _mark in MARKED.items():
+    MARKED_SQL = f"replace({MARKED_SQL}, '{_word}', '{_mark}')"
+STRIPPED = r"list_transform({}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+
+
+def marked(t: Tables) -> Column:
+    out = F.coalesce("text", F.lit(""))
+    for word, mark in MARKED.items():
+        out = F.replace(out, F.lit(word), F.lit(mark))
+    return out
+
+
+def _passes() -> str:
+    """SQL of the passes in their order: each pattern's matches, then the text without them."""
+    sql, lists = f"SELECT doc_id, {MARKED_SQL} AS x0 FROM documents", []
+    for k, p in enumerate((r"\\\((.+?)\\\)", r"\\\[(.+?)\\\]", r"\$\$(.+?)\$\$", r"\$(.+?)\$")):
+        lists.append(STRIPPED.format(f"regexp_extract_all(x{k}, '(?s){p}', 1)"))
+        sql = f"SELECT *, regexp_replace(x{k}, '(?s){p}', '', 'g') AS x{k + 1} FROM ({sql})"
+    return f"SELECT doc_id, array_to_string(list_concat(list_concat({lists[0]}, {lists[1]}), list_concat({lists[2]}, {lists[3]})), '|') AS found FROM ({sql})"
+
+
+@query("str_25_nested_equations", _passes())
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", marked(t).alias("x")).select("doc_id", F.array_join(X.harvest_equations(F.col("x")), "|").alias("found"))
+
+
+_TEX = "[]"
+for _kind, _pattern in X.TEX_MATH:
+    _TEX = f"list_concat({_TEX}, list_transform({STRIPPED.format(f'regexp_extract_all(x, {chr(39)}(?s){_pattern}{chr(39)}, 1)')}, lambda y: '{_kind}:' || y))"
+
+
+@query("str_26_tex_equations", f"SELECT doc_id, array_to_string(list_filter({_TEX}, lambda y: NOT ends_with(y, ':') OR length(regexp_extract(y, ':(.*)', 1)) > 0), '|') AS found FROM (SELECT doc_id, {MARKED_SQL} AS x FROM documents)")
 def _(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", P.balanced_html_tables(F.col("html")).alias("balanced"))
+    found = X.tex_equations(F.col("x"))
+    return t.documents.select("doc_id", marked(t).alias("x")).select("doc_id", F.array_join(F.transform(found, lambda f: F.concat(f["kind"], F.lit(":"), f["equation"])), "|").alias("found"))
 
 
 @query("flt_14_baseline_test")
