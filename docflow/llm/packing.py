@@ -1,17 +1,16 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Documents are tokenized and gathered into blocks of bounded size.  Pieces of a
-full sequence are cut off long documents first.  The rest of a block is dealt to
-``k`` windows, ``k`` the fewest that could hold it: partial partitions are merged,
-those with the largest imbalance first and in opposite order, which evens the
-windows out.  Where a window exceeds the capacity, ``k`` rises, by up to one window
-in a hundred (``RISE``), and the pieces are dealt anew.
-
-Documents of half a sequence and more leave windows of two or three pieces, which no
-differencing evens out; letting ``k`` rise until they fit would pad one sequence in
-ten.  So what still exceeds a window at the highest ``k`` is cut off its longest
-piece, just the excess, and goes to the windows with the most room, where differencing
-has left it.  Padding is under ``RISE`` plus one sequence a block.
+full sequence are cut off long documents first; the rests are cut into parts of about a
+third of a sequence (``PART``) and what is left over, of which a large one gives off an eighth.  A block's parts are dealt to ``k`` windows, ``k``
+the fewest that could hold them: partial partitions are merged, those with the largest
+imbalance first and in opposite order, which evens the windows out.  Wherever a window
+exceeds the capacity, ``k`` rises and all parts are dealt anew, until every window fits.
+
+Whole rests, up to a sequence each, would not come out even: two or three of them fill a
+window.  Parts of a third do, with the small ones to even them out, so that ``k`` rises by
+under one window in a hundred.
+Parts of one document that follow each other in a window are one piece.
 
 Defined results: a null text counts as empty and has only its end id.  Rows that
 repeat a ``doc_id`` are separate documents; a null ``doc_id`` stays null.  An
@@ -25,6 +24,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ from docflow.llm.tokens import encoded, vocabulary_path
 SEQUENCE_TOKENS = 2048
 #: Tokens that one block holds in memory.
 BLOCK_TOKENS = 1 << 20
-#: Part by which the number of windows may rise above the fewest.
-RISE = 0.01
+#: The longest part of a rest, as a part of a sequence.
+PART = 700 / 2048
 #: Sequence numbers that one partition may use.
 _PER_PARTITION = 1 << 40
 
@@ -84,46 +84,45 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return [*found.values(), *([] for _ in range(k - len(found)))]
 
 
-def _cut_excess(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
-    """Move what exceeds a window from its longest piece to the windows with the most room."""
-    sums = [sum(p[2] for p in own) for own in windows]
-    room = [(sums[j] - capacity, j) for j in range(len(windows)) if sums[j] < capacity]
-    heapq.heapify(room)
-    for j in sorted((j for j in range(len(windows)) if sums[j] > capacity), key=lambda j: -sums[j]):
-        excess = sums[j] - capacity
-        while excess:
-            longest = max(range(len(windows[j])), key=lambda i: windows[j][i][2])
-            n, at, length = windows[j][longest]
-            free, to = heapq.heappop(room)
-            moved = min(length, excess, -free)
-            windows[j][longest : longest + 1] = [(n, at, length - moved)] if length > moved else []
-            windows[to].append((n, at + length - moved, moved))
-            excess -= moved
-            if free + moved:
-                heapq.heappush(room, (free + moved, to))
-
-
-def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS, rise: float = RISE) -> list[list[tuple[int, int, int]]]:
+def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS, part: float = PART) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (item, start, length), none over ``capacity``."""
-    full, rests = [], []
+    full, parts = [], []
+    longest = max(1, int(capacity * part))
     for n, length in enumerate(lengths):
         whole = length // capacity * capacity
         full += [[(n, at, capacity)] for at in range(0, whole, capacity)]
-        if length > whole:
-            rests.append((n, whole, length - whole))
-    sizes = [r[2] for r in rests]
+        parts += [(n, at, size) for at, size in _parts(whole, length, longest)]
+    sizes = [p[2] for p in parts]
     k = -(-sum(sizes) // capacity)
-    most = k + max(1, int(k * rise)) if rests else 0
     windows: list[list[tuple[int, int, int]]] = []
-    while k <= most and rests:
-        windows = [[rests[i] for i in own] for own in differencing(sizes, k)]
+    while parts:
+        windows = [sorted(parts[i] for i in own) for own in differencing(sizes, k)]
         top = max(sum(p[2] for p in own) for own in windows)
         if top <= capacity:
             break
-        # The mean must fall by as much as the fullest window exceeds.
-        k = most if k < most < -(-k * top // capacity) else max(k + 1, -(-k * top // capacity))
-    _cut_excess(windows, capacity)
-    return full + [w for w in windows if w]
+        # Half of what would bring the mean down by the excess: fuller windows come down first.
+        k += max(1, -(-k * (top - capacity) // (2 * capacity)))
+    return full + [_joined(w) for w in windows if w]
+
+
+def _parts(start: int, end: int, longest: int) -> list[tuple[int, int]]:
+    """Parts (start, length) of a rest: the longest, then what is left; an eighth of that apart if it is large."""
+    cuts = [*range(start, end, longest), end]
+    if len(cuts) > 1 and cuts[-1] - cuts[-2] > max(longest // 2, 8):
+        cuts.insert(-1, end - (end - cuts[-2]) // 8)
+    return [(a, b - a) for a, b in pairwise(cuts) if b > a]
+
+
+def _joined(window: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Parts that follow each other in their document as one piece."""
+    out = window[:1]
+    for n, at, length in window[1:]:
+        m, start, have = out[-1]
+        if m == n and start + have == at:
+            out[-1] = (n, start, have + length)
+        else:
+            out.append((n, at, length))
+    return out
 
 
 def _packed(path: str, capacity: int, block_tokens: int):

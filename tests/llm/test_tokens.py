@@ -95,11 +95,22 @@ def test_pack_wastes_little():
         assert all(a[2] == b[1] for a, b in zip(cover, cover[1:], strict=False) if a[0] == b[0]) and sum(b - a for _, a, b in cover) == sum(lengths)
 
 
-def test_window_count_rises_before_pieces_are_cut():
-    """7 + 7 + 7 fit no two windows of 11; in three they stay whole."""
-    assert sorted(pack([7, 7, 7], 11)) == [[(0, 0, 7)], [(1, 0, 7)], [(2, 0, 7)]]
-    assert len(pack([6] * 10, 11)) == 7  # one more than the fewest, then only the excess is cut
-    assert len(pack([5, 6, 4, 7, 3, 8], 11)) == 3 and max(len(own) for own in pack([5, 6, 4, 7, 3, 8], 11)) == 2
+def test_window_count_rises_until_all_windows_fit():
+    whole = 1.0  # rests are not cut
+    assert sorted(pack([7, 7, 7], 11, whole)) == [[(0, 0, 7)], [(1, 0, 7)], [(2, 0, 7)]]
+    assert len(pack([6] * 10, 11, whole)) == 10
+    assert len(pack([5, 6, 4, 7, 3, 8], 11, whole)) == 3 and max(len(own) for own in pack([5, 6, 4, 7, 3, 8], 11, whole)) == 2
+    assert len(pack([6] * 10, 11)) == 7  # parts of 3, three to a window
+
+
+def test_padding_of_ordinary_lengths():
+    """Of a block of documents, under one token in a hundred is padding; neighbouring parts are one piece."""
+    rng = np.random.default_rng(5)
+    lengths = np.clip(rng.lognormal(6.4, 1.0, 800), 5, 40_000).astype(int).tolist()
+    found = pack(lengths)
+    assert sum(lengths) > 0.99 * 2048 * len(found) and max(sum(p[2] for p in own) for own in found) <= 2048
+    assert sum(map(len, found)) < 2.3 * len(lengths)
+    assert not any(a[0] == b[0] and a[1] + a[2] == b[1] for own in found for a, b in zip(own, own[1:], strict=False))
 
 
 def least_largest(sizes, k):
