@@ -4,9 +4,14 @@ Base rules count words, symbols, repeated lines and words in repeated five-word
 windows.  Beyond them a document is compared with the reference of its language:
 two histograms, of character classes and of common words, are held against the
 medians of all documents of that language that the base rules pass, by Jensen-Shannon
-distance (base 2, 0 to 1).  Documents under a minimum length, and languages with
-too few documents, are not judged by divergence.  Every language has a reference of its
-own; one without a list of common words here is judged by character classes alone.
+distance (base 2, 0 to 1).  Documents under a minimum length are not judged by
+divergence.  Every language has a reference of its own, drawn towards that of all languages
+by the weight of ``PRIOR_DOCS`` documents: so a rare language leans on the whole corpus, and
+there is no number of documents at which judging sets in.  One without a list of common
+words here is judged by character classes alone.
+
+Medians come from counts of shares in fixed bins, so they do not depend on how rows are
+dealt to tasks.
 
 All is done with DataFrame functions.  The corpus statistics are one small row a
 language.  Languages are codes of two or three letters, so there are 18,253 rows at
@@ -21,7 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.common import let, materialize
@@ -44,6 +49,8 @@ COMMON_WORDS = {
 }
 N_COMMON = 12
 OTHER = "other"
+#: The whole corpus, which is no language.
+ALL = "all languages"
 #: Character classes that are counted; the last class is what none of them has.
 CLASSES = [r"\p{Lu}", r"\p{Nd}", r"""[.,;:!?'"()-]""", r"[#*$%&|<>]", r"[\x20\x09-\x0D]"]
 SYMBOLS = CLASSES[3]
@@ -51,9 +58,11 @@ SPACE = r"[\x20\x09-\x0D]"
 MIN_BASE_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Words from which divergence is judged, and documents that make a reference.
+#: Words from which divergence is judged, and documents that the reference of all languages counts for in each.
 MIN_WORDS = 50
-MIN_REFERENCE_DOCS = 20
+PRIOR_DOCS = 20
+#: Bins of a share, from 0 to 1.
+BINS = 1 << 14
 MAX_CHAR_DISTANCE = 0.18
 MAX_WORD_DISTANCE = 0.4
 #: Short texts scatter more: 1/n_words times this is added to both bounds.
@@ -147,13 +156,25 @@ def references(feats: DataFrame) -> DataFrame:
     """One row a language: the median share of each class and word among documents that pass the base rules.
 
     Medians, not sums: junk that the base rules pass, and very long texts, do not
-    move them.  percentile_approx merges summaries of a bounded size.
+    move them.  A median is the least bin that half of the documents do not exceed.  That of the
+    language counts as often as it has documents, that of all documents :data:`PRIOR_DOCS` times.
     """
-    share = lambda c, k: F.get(c, F.lit(k)) / F.greatest(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), F.lit(1.0))
-    medians = lambda c, n: F.array(*[F.percentile_approx(share(c, k), 0.5, 10000) for k in range(n)])
-    good = feats.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS)).groupBy("language")
-    refs = good.agg(F.count(F.lit(1)).alias("docs"), medians("chars", len(CLASSES) + 1).alias("ref_chars"), medians("common", N_COMMON + 1).alias("ref_common"))
-    return refs.where(F.col("docs") >= MIN_REFERENCE_DOCS).drop("docs")
+    total = lambda c: F.greatest(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), F.lit(1.0))
+    shares = lambda c, n: [F.floor(F.get(c, F.lit(k)) / total(c) * BINS).cast("int") for k in range(n)]
+    n = len(CLASSES) + 1
+    good = feats.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS))
+    rows = good.select("language", F.posexplode(F.array(*shares("chars", n), *shares("common", N_COMMON + 1))).alias("slot", "bin"))
+    # Counts by language first, a row a bin at most; the whole corpus is their sum.
+    counts = rows.groupBy("language", "slot", "bin").agg(F.count(F.lit(1)).alias("docs"))
+    counts = counts.unionByName(counts.groupBy("slot", "bin").agg(F.sum("docs").alias("docs")).withColumn("language", F.lit(ALL)))
+    within = Window.partitionBy("language", "slot")
+    ranked = counts.withColumn("below", F.sum("docs").over(within.orderBy("bin"))).withColumn("all", F.sum("docs").over(within))
+    medians = ranked.where(2 * F.col("below") >= F.col("all")).groupBy("language", "slot").agg(F.min("bin").alias("bin"), F.first("all").alias("docs"))
+    pooled = medians.where(F.col("language") == ALL).select(F.col("slot").alias("p_slot"), F.col("bin").alias("p_bin"))
+    drawn = (F.col("docs") * F.col("bin") + PRIOR_DOCS * F.col("p_bin")) / (F.col("docs") + PRIOR_DOCS)
+    both = medians.where(F.col("language") != ALL).join(F.broadcast(pooled), F.col("slot") == F.col("p_slot"))  # one row a slot
+    lists = both.groupBy("language").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", drawn.alias("value")))), lambda x: x["value"]).alias("values"))
+    return lists.select("language", F.slice("values", 1, n).alias("ref_chars"), F.slice("values", n + 1, N_COMMON + 1).alias("ref_common"))
 
 
 def distance(a: Column, b: Column) -> Column:

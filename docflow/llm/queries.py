@@ -102,8 +102,8 @@ def _quality_sql() -> str:
     lists = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.COMMON_WORDS.items())
     counts = ", ".join(f"length(regexp_replace(text, '[^{k[1:-1] if k.startswith('[') else k}]+', '', 'g'))".replace("'\"()-", "''\"()-") for k in rules.CLASSES)
     n, k = len(rules.CLASSES) + 1, rules.N_COMMON + 1
-    share = lambda c, i: f"quantile_disc({c}[{i}] / greatest(list_sum({c}), 1), 0.5)"
-    medians = lambda c, m: "[" + ", ".join(share(c, i + 1) for i in range(m)) + "]"
+    share = lambda c, i: f"CAST(floor({c}[{i}] / greatest(list_sum({c}), 1) * {rules.BINS}) AS INTEGER)"
+    bins = lambda c, m: "[" + ", ".join(share(c, i + 1) for i in range(m)) + "]"
     part = lambda p, m: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END"
     distance = lambda a, b: (
         f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(list_zip(list_transform({a}, lambda x: x / list_sum({a})), list_transform({b}, lambda x: x / list_sum({b}))), "
@@ -124,8 +124,15 @@ WITH d AS (
          list_append(ks, length(text) - list_sum(ks)) AS chars, CASE WHEN len(cw) > 0 THEN list_transform(cw, lambda x: len(list_filter(letters, lambda y: y = x))) ELSE list_transform(range({rules.N_COMMON}), lambda x: 0::BIGINT) END AS cs, len(letters) AS nl FROM w LEFT JOIN r USING (doc_id)
 ), h AS (
   SELECT *, list_append(cs, nl - list_sum(cs)) AS common, n_words < {rules.MIN_BASE_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f
+), b AS (
+  SELECT language, unnest(range(1, {n + k} + 1)) AS slot, unnest(list_concat({bins('chars', n)}, {bins('common', k)})) AS bin FROM h WHERE NOT base_failed AND n_words >= {rules.MIN_WORDS}
+), md AS (
+  SELECT language, slot, quantile_disc(bin, 0.5) AS bin, count(*) AS docs FROM b GROUP BY ALL
+), pl AS (SELECT slot, quantile_disc(bin, 0.5) AS bin FROM b GROUP BY 1),
+dr AS (
+  SELECT language, list((docs * md.bin + {rules.PRIOR_DOCS} * pl.bin) / (docs + {rules.PRIOR_DOCS}) ORDER BY slot) AS v FROM md JOIN pl USING (slot) GROUP BY 1
 ), q AS (
-  SELECT language, {medians('chars', n)} AS rc, {medians('common', k)} AS rw FROM h WHERE NOT base_failed AND n_words >= {rules.MIN_WORDS} GROUP BY language HAVING count(*) >= {rules.MIN_REFERENCE_DOCS}
+  SELECT language, v[1:{n}] AS rc, v[{n + 1}:{n + k}] AS rw FROM dr
 ), x AS (
   SELECT h.*, {distance('chars', 'rc')} AS dc, {distance('common', 'rw')} AS dw FROM h LEFT JOIN q USING (language)
 )
