@@ -41,6 +41,9 @@ BASE = {
     "mit license": "mit",
 }
 
+#: The label of a notice that tells something only where no licence stands beside it: many licence texts begin with it.
+RESERVED = "proprietary"
+
 # Fixed values: (label, passage of a public licence text, or notice; mandatory phrases).
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
@@ -73,7 +76,19 @@ TEMPLATES = [
     ("cc0", "Released under CC0 1.0 Universal", ["cc0 1 0"]),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ["free and unencumbered software"]),
     ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.", ["verbatim or modified copies", "as long as the name is changed"]),
-    ("proprietary", "All rights reserved", ["all rights reserved"]),
+    # Heads of whole texts.
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", ["gnu general public license version 2 june 1991"]),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["gnu general public license version 3 29 june 2007"]),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", ["lesser general public license version 2 1"]),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["lesser general public license version 3"]),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", ["affero general public license version 3"]),
+    ("apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", ["apache license version 2 0 january 2004"]),
+    ("apache-2.0", "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.", ["use reproduction and distribution as defined by sections 1 through 9"]),
+    ("mpl-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.", ["mozilla public license version 2 0", "owns covered software"]),
+    ("epl-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE", ["eclipse public license v 2 0"]),
+    ("bsl-1.0", "Boost Software License - Version 1.0 - August 17th, 2003", ["boost software license version 1 0"]),
+    ("cc0", "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES", ["cc0 1 0 universal"]),
+    (RESERVED, "All rights reserved", ["all rights reserved"]),
 ]
 
 #: Part of a passage's IDF that its indexed words carry, and how many places of it at most.
@@ -215,6 +230,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     out = rows.withColumn("base", F.flatten(F.array(*[labelled(*item) for item in BASE.items()]))).join(best, "row", "left")
     base = F.array_distinct(F.transform("base", lambda x: x["label"]))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    every = F.concat(base, F.coalesce("more", F.array().cast("array<string>")))
+    licences = F.filter(every, lambda x: x != RESERVED)
+    every = F.when(F.size(licences) > 0, licences).otherwise(every)
     at = F.transform("base", lambda x: x["at"])
     return out.select(
         "doc_id",
@@ -223,6 +241,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"),
         joined(base).alias("base_labels"),
-        joined(F.concat(base, F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        joined(every).alias("labels"),
         F.coalesce(F.greatest("best", F.when(F.size("base") > 0, F.lit(0.5))), F.lit(0.0)).alias("score"),
     )
