@@ -39,12 +39,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.common import materialize, release
 from docflow.llm.minhash_dedup import GAIN, _further_pairs, _placed, _second_stars, components, shingle_sets
 from docflow.llm.wordhash import buffers, groups, lists, mix, named
+from docflow.operators.bits import bit_map, in_map
 
 SHINGLE = 4
 #: Percent of the union that the intersection must reach.
@@ -52,7 +53,7 @@ THRESHOLD = 85
 #: Parts of a band up to which a part without elements is made up for, and levels of that.
 REHASHED = 32
 DEPTH = 6
-#: Elements a part on average below which the elements themselves are the signatures then.
+#: Elements a part, in the largest sets of a band, below which the elements themselves are the signatures then.
 SPARSE = 4
 #: Bits of the map of shared signatures, as a power of two (8 MB).
 MAP_BITS = 26
@@ -81,18 +82,19 @@ def _parted(values: np.ndarray, parts: np.ndarray | np.uint64, path: np.ndarray
     return ((mix(values ^ path) >> np.uint64(32)) * parts) >> np.uint64(32)
 
 
-def _anew(values: np.ndarray, parts: int, path: np.uint64, depth: int) -> list[np.ndarray]:
-    """Signatures of one set in place of those of an empty part that ``path`` names."""
-    if depth == DEPTH or parts * SPARSE > len(values):
+def _anew(values: np.ndarray, parts: int, high: int, path: np.uint64, depth: int) -> list[np.ndarray]:
+    """Signatures of one set of a band in place of those of an empty part that ``path`` names."""
+    if depth == DEPTH or parts * SPARSE > high:
         return [mix(mix(values + _VALUE) + path)]
     at = _parted(values, np.uint64(parts), path).astype(np.int64)
     sums = np.zeros(parts, np.uint64)
     np.add.at(sums, at, mix(values + _VALUE))
-    names = mix(path * _PATH + np.arange(parts, dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        names = mix(path * _PATH + np.arange(parts, dtype=np.uint64))
     full = np.bincount(at, minlength=parts) > 0
     out = [mix(sums[full] + names[full])]
     for name in names[~full]:
-        out += _anew(values, parts, name, depth + 1)
+        out += _anew(values, parts, high, name, depth + 1)
     return out
 
 
@@ -127,7 +129,7 @@ def signatures(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[np.nd
             out[doc].append(found[cuts[k] : cuts[k + 1]])
         for gap in np.flatnonzero(~full & (parts <= REHASHED)[holder]):
             k = holder[gap]
-            out[live[k]] += _anew(sets[live[k]], int(parts[k]), names[gap], 1)
+            out[live[k]] += _anew(sets[live[k]], int(parts[k]), int(highs[band[k]]), names[gap], 1)
     return [np.unique(np.concatenate(s)) if s else np.zeros(0, np.uint64) for s in out]
 
 
@@ -151,27 +153,6 @@ def _nodes(texts: pa.Array) -> list[bytes]:
     return [named(view[at[k] : at[k + 1]], hashlib.md5)[0] for k in range(len(texts))]
 
 
-def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """A map of ``2**bits`` bits in which those of the column's hashes (a long) are set.
-
-    Tasks combine the bits of a word, so a word a row at most reaches the driver.
-    """
-    (name,) = hashes.columns
-    word = F.shiftrightunsigned(name, 64 - bits + 6)
-    rows = hashes.select(word.alias("word"), F.expr(f"shiftleft(1L, cast({name} & 63 AS INT))").alias("bit"))
-    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
-    return out
-
-
-def in_map(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Whether the bits of hashes are set: always for those that set them, seldom for others."""
-    own = hashes.view(np.uint64)
-    shift = np.uint64(64 - (len(words).bit_length() - 1))
-    return (words[(own >> shift).astype(np.int64)] >> (own & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _shared_only(words: np.ndarray):
     """Documents with signatures in the map, and those signatures."""
 
@@ -189,7 +170,7 @@ def _shared_only(words: np.ndarray):
     return run
 
 
-def _needed_sets(width: int, words: np.ndarray):
+def _needed(words: np.ndarray):
     """Texts whose document the map has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,20 +181,33 @@ def _needed_sets(width: int, words: np.ndarray):
     return run
 
 
-def _sets(width: int):
-    """node and its whole sorted set, of texts that have the node's words."""
+def _spread(width: int):
+    """A row for each star of a class: star, node and the class's whole sorted set, of texts that have its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in groups(batch.column(1)):
+            for lo, hi in groups(batch.column(3)):
                 part = batch.slice(lo, hi - lo)
-                nodes = part.column(0).to_pylist()
-                part = part.filter(pa.array([a == b for a, b in zip(_nodes(part.column(1)), nodes, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists([s.view(np.int64) for s in shingle_sets(part.column(1), width)], pa.int64())], ["node", "shingles"])
+                names = part.column(1).to_pylist()
+                part = part.filter(pa.array([a == b for a, b in zip(_nodes(part.column(3)), names, strict=True)], pa.bool_()))
+                for node, stars, shingles in zip(part.column(0).to_pylist(), part.column(2), shingle_sets(part.column(3), width), strict=True):
+                    n = len(stars)
+                    yield pa.RecordBatch.from_arrays([stars.values, pa.array([node] * n, pa.int64()), lists([shingles.view(np.int64)] * n, pa.int64())], ["star", "node", "shingles"])
 
     return run
 
 
+def _common(a: str, b: str) -> Column:
+    """Elements that two members of one star share, from how each differs from the star.
+
+    ``{a}_off`` are the elements of the star that a member lacks or, where ``{a}_has``, those that it has.
+    """
+    x, y = F.col(f"{a}_off"), F.col(f"{b}_off")
+    one, two = F.col(f"{a}_has"), F.col(f"{b}_has")
+    inside = F.when(one & two, F.size(F.array_intersect(x, y))).when(one, F.size(F.array_except(x, y))).when(two, F.size(F.array_except(y, x))).otherwise(F.col(f"{a}_ns") - F.size(F.array_union(x, y)))
+    return inside + F.size(F.array_intersect(f"{a}_extra", f"{b}_extra"))
+
+
 def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -225,12 +219,13 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     rows = texts.mapInArrow(_signed(width, threshold), "doc_id long, node binary, n_shingles long, signatures array<long>")
     seen = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "op11-signed")
     many = seen.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = bit_map(many.select("signature"))
+    shared = bit_map(many.select("signature"), MAP_BITS)
     release(spark)
-    reps = seen.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
+    # From here a class goes by the row of its first document.
+    reps = seen.where("n_shingles > 0").groupBy(F.col("node").alias("name")).agg(F.min("doc_id").alias("rep"), F.min("row").alias("node"))
     reps = materialize(reps, "op11-classes")
     held = seen.select("row", "node", "signatures").mapInArrow(_shared_only(shared), "row long, node binary, signatures array<long>")
-    held = materialize(held.join(reps.select(F.col("row").alias("first")), F.col("row") == F.col("first"), "left_semi"), "op11-held")
+    held = materialize(held.join(reps.select(F.col("node").alias("first")), F.col("row") == F.col("first"), "left_semi").select(F.col("row").alias("node"), "signatures"), "op11-held")
     own = held.select("node", F.explode("signatures").alias("signature"))
     crowds = own.groupBy("signature").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(own.join(crowds, "signature"), "op11-members")
@@ -239,24 +234,31 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     stars = ranked.groupBy("signature").agg(F.max(F.struct("rank", "node")).alias("top")).select("signature", F.col("top.node").alias("star"))
     spokes = materialize(members.select("signature", "node").join(stars, "signature").where("node != star").select("star", "node").distinct(), "op11-spokes")
     release(spark, held, members)
-    sets = _whole_sets(spokes.select(F.explode(F.array("star", "node")).alias("node")).distinct(), reps, texts, width)
-    # A member's set meets its star's name first, so that the star's own set is not copied to each of them.
-    full = spokes.join(sets.toDF("node", "y"), "node").join(sets.toDF("star", "x"), "star")
-    common, n = F.size(F.array_intersect("x", "y")), F.size("y")
+    spread = _sets_by_star(spokes, seen, reps, texts, width)
+    whole = spread.where("star = node").select("star", F.col("shingles").alias("x"))
+    full = spread.where("star != node").withColumnRenamed("shingles", "y").join(whole, "star")
+    extra, n, ns = F.array_except("y", "x"), F.size("y"), F.size("x")
     prefix = (n - F.ceil(n * (threshold / 100) - 1e-9) + 1).cast("int")
-    fresh = F.slice(F.array_sort(F.array_except("y", "x")), F.lit(1), prefix)
-    checked = materialize(full.select("star", "node", n.alias("n"), F.size("x").alias("ns"), common.alias("common"), fresh.alias("fresh")), "op11-checked")
+    has = (n - F.size("extra")) * 2 < ns
+    full = full.withColumn("extra", extra).select("star", "node", n.alias("n"), ns.alias("ns"), (n - F.size("extra")).alias("common"), "extra", F.slice("extra", F.lit(1), prefix).alias("fresh"), has.alias("has"), F.when(has, F.array_intersect("x", "y")).otherwise(F.array_except("x", "y")).alias("off"))
+    checked = materialize(full, "op11-checked")
+    release(spark, spread)
     linked = F.col("common") * 100 >= (F.col("n") + F.col("ns") - F.col("common")) * threshold
     links = checked.where(linked).select(F.col("star").alias("a"), F.col("node").alias("b"))
     labels = components(links)
+    sized = checked.select("star", "node", "n", "ns", "common", "fresh")
+    starred = materialize(checked.groupBy("node").agg(F.collect_set("star").alias("stars")), "op11-starred")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that link."""
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("ns"), F.size("y").alias("n"))
-        return materialize(sized.where(linked).select("a", "b"), "op11-more")
-
-    placed = _placed(checked, labels)
+        """The pairs that link, by how both differ from a star that they share."""
+        side = lambda k: checked.select("star", F.col("node").alias(k), F.col("ns").alias(f"{k}_ns"), F.col("n").alias(f"{k}_n"), F.col("extra").alias(f"{k}_extra"), F.col("has").alias(f"{k}_has"), F.col("off").alias(f"{k}_off"))
+        # One of the stars that both have: any tells the same.
+        asked = pairs.join(starred.toDF("a", "a_stars"), "a").join(starred.toDF("b", "b_stars"), "b")
+        asked = asked.select("a", "b", F.array_min(F.array_intersect("a_stars", "b_stars")).alias("star"))
+        both = asked.join(side("a"), ["star", "a"]).join(side("b"), ["star", "b"]).withColumn("shared", _common("a", "b"))
+        return materialize(both.where(F.col("shared") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("shared")) * threshold).select("a", "b"), "op11-more")
+
+    placed = _placed(sized, labels)
     outsiders = placed.where("outside").count()
     while outsiders:
         more = confirmed(_second_stars(placed, threshold))
@@ -265,7 +267,7 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
         links = links.unionByName(more)
         release(spark, labels, placed)
         labels = components(links)
-        placed = _placed(checked, labels)
+        placed = _placed(sized, labels)
         before, outsiders = outsiders, placed.where("outside").count()
         if outsiders > before * (1 - GAIN):
             break
@@ -275,26 +277,27 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
         if more.limit(1).count():
             labels = components(links.unionByName(more))
         release(spark, pairs, placed)
-    lowest = reps.select("node", "rep").join(labels, "node")
+    lowest = reps.select("name", "node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = lowest.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    placed_at = lowest.join(least, "comp").select("node", "component_id")
-    named_at = reps.select("node", "rep").join(placed_at, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = seen.select("doc_id", "node", "n_shingles").join(named_at, "node", "left")
+    named_at = lowest.join(least, "comp").select("name", "component_id")
+    out = seen.select("doc_id", "node", "n_shingles").join(named_at, F.col("node") == F.col("name"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id")), "op11-components")
-    release(spark, seen, reps, spokes, sets, checked, labels)
+    release(spark, seen, reps, spokes, checked, starred, labels)
     return out
 
 
-def _whole_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """node and its whole set, made anew from the texts of its first document."""
-    need = materialize(nodes.join(reps, "node").select("node", F.col("rep").alias("r_id")), "op11-need")
-    words = bit_map(need.select(F.xxhash64("r_id").alias("h")))
-    marked = texts.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-    some = marked.mapInArrow(_needed_sets(width, words), "doc_id long, text string")
-    found = some.join(need, F.col("doc_id").eqNullSafe(F.col("r_id"))).select("node", "text")
-    # Rows that repeat both id and words make the same set.
-    sets = found.mapInArrow(_sets(width), "node binary, shingles array<long>").dropDuplicates(["node"])
-    out = materialize(sets, "op11-sets")
+def _sets_by_star(spokes: DataFrame, seen: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """star, node and the node's whole set, made anew from the texts of its first document; stars stand beside themselves too."""
+    asked = spokes.select("node", "star").unionByName(spokes.select(F.col("star").alias("node"), "star")).distinct()
+    asked = asked.groupBy("node").agg(F.collect_list("star").alias("stars"))
+    need = materialize(asked.join(reps, "node").select("node", "name", F.col("rep").alias("r_id"), "stars"), "op11-need")
+    words = bit_map(need.select(F.xxhash64("r_id").alias("h")), MAP_BITS)
+    some = texts.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(_needed(words), "doc_id long, text string")
+    found = some.join(need, F.col("doc_id").eqNullSafe(F.col("r_id"))).select("node", "name", "stars", "text")
+    sets = found.mapInArrow(_spread(width), "star long, node long, shingles array<long>")
+    # Rows that repeat both id and words make the same set again.
+    repeats = seen.groupBy("node", "doc_id").count().where("count > 1").limit(1).count()
+    out = materialize(sets.dropDuplicates(["star", "node"]) if repeats else sets, "op11-sets")
     release(texts.sparkSession, need)
     return out

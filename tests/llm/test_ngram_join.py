@@ -7,8 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docflow.llm import ngram_join as nj
-from docflow.llm.ngram_join import bands, bit_map, in_map, ngram_join, signatures
+from docflow.llm.ngram_join import bands, ngram_join, signatures
 from tests.llm.conftest import make
 
 
@@ -83,9 +82,10 @@ def test_bands_cover_neighbours():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.integers(1, 400), st.randoms(), st.sampled_from([60, 85, 95]))
-def test_sets_at_the_threshold_share_a_signature(n, rng, threshold):
+@given(st.integers(1, 400), st.integers(0, 10**9), st.sampled_from([60, 85, 95]))
+def test_sets_at_the_threshold_share_a_signature(n, seed, threshold):
     """As many differences as the threshold allows, in any mixture of lost and new elements."""
+    rng = random.Random(seed)
     a = {rng.randrange(2**63) for _ in range(n)}
     b = set(a)
     while True:
@@ -119,10 +119,3 @@ def test_unlike_sets_share_none():
     own = signatures(sets)
     assert len(np.unique(np.concatenate(own))) == sum(map(len, own))
     assert all(len(s) < 0.5 * 300 for s in own)
-
-
-def test_bit_map(spark):
-    some = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
-    words = bit_map(spark.createDataFrame([(int(x),) for x in some], "h long"), 16)
-    assert in_map(some, words).all() and nj.in_map(np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000), words).mean() < 0.15
-    assert not in_map(some, bit_map(spark.createDataFrame([], "h long"), 16)).any()
