@@ -195,10 +195,10 @@ def parse_markdown(text: Column) -> Column:
     return F.struct(extract_text(text).alias("text"), extract_tables(text).alias("tables"), extract_images(text).alias("images"), extract_image_boxes(text).alias("image_bboxes"), extract_formulas(text).alias("formulas"), detect_table_type(text).alias("table_type"))
 
 
-def harvest_equations(text: Column) -> Column:
-    """Equations between \\(, \\[, $$ and $, in that order; each pass works on what the last left."""
+def harvest_equations(text: Column, dollars: bool = True) -> Column:
+    """Equations between \\(, \\[ and, with ``dollars``, $$ and $, in that order; each pass works on what the last left."""
     out = F.array().cast("array<string>")
-    for pattern in (INLINE_LATEX, r"(?s)\\\[(.+?)\\\]", BLOCK_MATH, r"(?s)\$(.+?)\$"):
+    for pattern in (INLINE_LATEX, r"(?s)\\\[(.+?)\\\]", BLOCK_MATH, r"(?s)\$(.+?)\$")[: 4 if dollars else 2]:
         out = F.concat(out, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), strip))
         text = F.regexp_replace(text, pattern, "")
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from docflow.functions import fuzzy as Z
 from docflow.functions import layout as L
 from docflow.functions import text as X
+from docflow.operators import bench as N
 from docflow.operators import compare as C
 from docflow.operators import documents as D
 from docflow.operators import packs as K
@@ -20,7 +21,7 @@ from docflow.operators.presence import passages_in, shared_runs
 from docflow.operators.spans import around, box_groups, pieces
 from docflow.plans.registry import Tables, query
 from docflow.plans.table_queries import NGRAM, VOTES_SQL, votes
-from docflow.plans.text_queries import attributed
+from docflow.plans.text_queries import attributed, markdown_pages
 
 c = F.col
 
@@ -85,6 +86,25 @@ def _(t):
     return rates.unionByName(overall).select("candidate", "category", F.round("rate", 6).alias("rate"))
 
 
+@query("pip_04_udf_04_all_tests")
+def _(t):
+    # Every page has a test of each type; one candidate gives pages back as they are, one with slips, one lacks a third of them.
+    d, pdf = c("doc_id"), c("doc_id").cast("string")
+    pages = markdown_pages(t).join(t.documents.select("doc_id", "text"), "doc_id")
+    test = lambda kind, **fields: F.struct(F.lit(kind).alias("type"), *[(fields[k] if k in fields else F.lit(None)).cast(v).alias(k) for k, v in N.FIELDS.items() if k not in ("type", "category")])
+    slip = F.regexp_replace(F.substring("text", 30, 60), "^(.{9}).", "$1#")
+    kinds = [
+        test("present", text=slip, max_diffs=F.lit(2)), test("absent", text=F.lit("this sentence stands on none of the pages")), test("order", before=F.substring("text", 10, 30), after=F.substring("text", -30, 30), max_diffs=F.lit(1)),
+        test("table", cell=pdf, up=F.lit("b")), test("math", math=F.concat(F.lit("x_"), pdf)), test("baseline", max_repeats=F.lit(30)),
+    ]
+    tests = pages.select(pdf.alias("pdf"), F.lit(1).alias("page"), F.explode(F.array(*kinds)).alias("x")).select("pdf", "page", F.concat_ws("_", "pdf", "x.type").alias("id"), "x.*")
+    given = ((F.lit("as_it_is"), c("md")), (F.lit("slips"), F.regexp_replace("md", "th", "tn")), (F.when(d % 3 != 0, "lacks"), c("md")))
+    made = F.array(*[F.struct(name.alias("candidate"), md.alias("md")) for name, md in given])
+    outputs = pages.select(pdf.alias("pdf"), F.lit(1).alias("page"), F.inline(made)).where("candidate IS NOT NULL")
+    out = N.report(tests, N.run_tests(tests, outputs), outputs.select("candidate"), 200)
+    return out.select("candidate", "category", "tests", *[F.round(x, 6).alias(x) for x in ("rate", "low", "high")])
+
+
 @query("pip_05_udf_01_02_07_ext_35_38_41_evaluation")
 def _(t):
     target = F.concat(F.lit("# T\n"), c("text"), F.lit(" $x^2$\n## U\n- one\n- two\n![a](b.png)<!-- bbox: 1, 2, 30, 4 -->\n<table><tr><td>1</td><td>"), "role", F.lit("</td></tr></table>\n```py\nx = 1\n```"))
@@ -160,6 +180,15 @@ def _(t):
     return t.documents.select("doc_id", F.struct(F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length("text").cast("long").alias("chars")).alias("r")).select("doc_id", "r.*")
 
 
+@query("arr_04_ext_42_text_records")
+def _(t):
+    # A turn with headings and a list, against itself with slips; the heading and list report is some of its columns.
+    page = lambda head, x: F.concat(F.lit("# "), head, F.lit("\n\n"), x, F.lit("\n\n- "), "role", F.lit("\n- end\n"))
+    rel = F.concat_ws("/", "conv_id", "turn")
+    pairs = t.conversations.select(rel.alias("rel"), page(F.lit("Title"), F.regexp_replace("text", " the ", " tne ")).alias("pred"), page(F.when(c("turn") % 2 == 0, "Title").otherwise("Another"), c("text")).alias("target"))
+    return E.text_records(pairs)
+
+
 @query("prj_18_column_order", "SELECT doc_id, lang, n_chars, source FROM documents")
 def _(t):
     preferred = ["doc_id", "lang", "missing"]

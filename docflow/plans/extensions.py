@@ -165,6 +165,65 @@ def code_trees(pairs: DataFrame) -> DataFrame:
     return _python_metric(lambda pred, target: {"code_ted": fuzzy.tree_similarity(fuzzy.code_tree(pred or ""), fuzzy.code_tree(target or ""))}, lambda x: x, ("code_ted",))(pairs)
 
 
+_RECORD = (
+    "heading_structure_p double, heading_structure_r double, heading_structure_f1 double, level_p double, level_r double, level_f1 double, list_p double, list_r double, list_f1 double, "
+    "text_edit double, text_edit_sim double, paragraph_pairs long, contents_sim double, has_heading_gt boolean, has_list_gt boolean"
+)
+
+
+def _text_record(pred: dict, target: dict) -> dict | None:
+    """What the text metrics say of one pair of prepared pages; none where neither has text."""
+    from docflow.functions import fuzzy
+
+    if not pred["text"].strip() and not target["text"].strip():
+        return None
+    f1 = lambda p, r: None if p is None or r is None else 2 * p * r / (p + r) if p + r else 0.0
+    heads = fuzzy.heading_scores(pred["headings"], target["headings"])
+    as_heads = lambda side: [{"text": x, "level": 1} for x in side["lists"]]
+    lists = fuzzy.heading_scores(as_heads(pred), as_heads(target))
+    distance, pairs = fuzzy.adjacency_distance(pred["paragraphs"], target["paragraphs"])
+    flat = ["\n\n".join(x["paragraphs"]) for x in (pred, target)]
+    same = 1.0 if not any(x.strip() for x in flat) else 0.0 if not all(x.strip() for x in flat) else fuzzy.document_similarity(flat[1], flat[0])
+    return {
+        "heading_structure_p": heads["text_p"], "heading_structure_r": heads["text_r"], "heading_structure_f1": f1(heads["text_p"], heads["text_r"]), "level_p": heads["level_p"], "level_r": heads["level_r"], "level_f1": f1(heads["level_p"], heads["level_r"]),
+        "list_p": lists["text_p"], "list_r": lists["text_r"], "list_f1": f1(lists["text_p"], lists["text_r"]), "text_edit": distance, "text_edit_sim": max(0.0, 1 - distance), "paragraph_pairs": pairs, "contents_sim": same,
+        "has_heading_gt": bool(target["headings"]), "has_list_gt": bool(target["lists"]),
+    }
+
+
+def text_records(pairs: DataFrame) -> DataFrame:
+    """(rel, ...): the record of text metrics of each pair (rel, pred, target); pairs without any text give none.
+
+    Pages are prepared as columns (images and tables go before headings and lists are taken), then scored
+    in one pass.  Null pages are empty.
+    """
+    from docflow.functions import text as X
+
+    def prepared(name: str) -> Column:
+        raw = F.coalesce(F.col(name), F.lit(""))
+        bare = X.remove_tables(X.remove_images(raw), "1.9")
+        own = X.prepare_for_text_edit(raw, "1.9")
+        return F.struct(X.extract_headings(bare).alias("headings"), X.extract_lists(bare).alias("lists"), own.alias("text"), X.split_paragraphs(own).alias("paragraphs"))
+
+    schema = pairs.select("rel").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_text_record(p, g) for p, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            keep = [k for k, x in enumerate(found) if x is not None]
+            names = [x.split()[0] for x in _RECORD.split(", ")]
+            kinds = {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+            columns = [pa.array([found[k][n] for k in keep], kinds[x.split()[1]]) for n, x in zip(names, _RECORD.split(", "), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *columns], ["rel", *names])
+
+    return pairs.select("rel", prepared("pred").alias("pred"), prepared("target").alias("target")).mapInArrow(run, f"rel {schema['rel'].dataType.simpleString()}, {_RECORD}")
+
+
+def f1_report(records: DataFrame) -> DataFrame:
+    """The heading and list columns of text records."""
+    return records.select("rel", *[f"{k}_{m}" for k in ("heading_structure", "level", "list") for m in ("p", "r", "f1")])
+
+
 def box_scores(pred: list[list[float]], target: list[list[float]]) -> dict:
     """Mean overlap of target boxes [x, y, w, h] with the free box that overlaps each most, and how many found one."""
 

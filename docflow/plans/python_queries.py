@@ -304,6 +304,27 @@ def _(t):
     return W.read_text_files(t.spark, folder)
 
 
+@query("snk_02_11_13_markdown_files", "SELECT source || '/' || lang || '/' || doc_id || '.md' AS path, md5('---' || chr(10) || 'primary_language: ' || lang || chr(10) || 'is_rotation_valid: True' || chr(10) || 'rotation_correction: 0' || chr(10) || 'is_table: False' || chr(10) || 'is_diagram: False' || chr(10) || '---' || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || text END) AS digest FROM documents")
+def _(t):
+    # Whole texts under front matter, a file a document in the tree of its source.
+    folder = scratch(t)
+    page = X.render_front_matter(c("lang"), F.lit(True), F.lit(0), F.lit(False), F.lit(False), c("text"))
+    rows = t.documents.select(F.concat_ws("/", "source", "lang", F.concat(c("doc_id").cast("string"), F.lit(".pdf"))).alias("path"), page.alias("page"))
+    W.write_markdown_tree(rows, folder, "path", "page")
+    return W.read_markdown_tree(t.spark, folder).select("path", F.md5("text").alias("digest"))
+
+
+HOSTS = r"SELECT regexp_extract(url, '^\w+://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1"
+
+
+@query("snk_10_summary_files", f"WITH h AS ({HOSTS}) SELECT 'map' AS kind, host, n FROM h UNION ALL (SELECT 'top', host, n FROM h ORDER BY n DESC, host LIMIT 20) UNION ALL (SELECT 'sample', host, n FROM h ORDER BY md5(host || '7'), host LIMIT 10)")
+def _(t):
+    folder = scratch(t)
+    W.write_summaries(t.pages.groupBy(X.url_host(c("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")), folder, "host", "n", 20, 10, "7")
+    kinds = [t.spark.read.option("header", True).schema("host string, n long").csv(f"{folder}/{k}").select(F.lit(k).alias("kind"), "host", "n") for k in ("map", "top", "sample")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 @query("snk_12_concat_by_source", "SELECT source, string_agg(lang, chr(10) ORDER BY doc_id, lang) AS lang FROM documents GROUP BY 1")
 def _(t):
     return W.concat_by_source(t.documents, "source", "doc_id", "lang")

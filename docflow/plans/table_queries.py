@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docflow.functions import text as X
 from docflow.operators import compare as C
 from docflow.operators import documents as D
+from docflow.operators import harvest as V
 from docflow.operators import packs as K
 from docflow.operators import sampling as S
 from docflow.operators.ordered import numbered
@@ -288,10 +289,11 @@ def _(t):
     return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
 
 
-@query("joi_13_14_15_skip_done", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-06-01')")
+@query("joi_13_14_15_skip_done", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 150000)")
 def _(t):
-    done = t.lineitem.where("l_shipdate > timestamp'1998-06-01'").select("l_partkey")
-    return t.part.join(done, c("p_partkey") == c("l_partkey"), "left_anti").select("p_partkey")
+    # Customers without a large order that is settled or open: what is done is skipped.
+    done = t.orders.where("o_orderstatus <> 'P' AND o_totalprice > 150000").select("o_custkey")
+    return t.customer.join(done, c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
 
 
 @query("joi_16_all_rejected", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'R')")
@@ -319,10 +321,64 @@ def _(t):
     return t.conversations.groupBy("conv_id").agg((F.min(F.when(c("role") == "user", c("turn"))) < F.max(F.when(c("role") == "assistant", c("turn")))).alias("ordered"))
 
 
-@query("joi_23_url_provenance", "SELECT p.url, string_agg(DISTINCT d.source, ',' ORDER BY d.source) AS sources FROM pages p JOIN documents d ON d.doc_id % 50 = p.page_id GROUP BY p.url")
+PLAIN_URL = r"regexp_replace(lower(regexp_extract({0}, '^[^/]*')) || regexp_replace({0}, '^[^/]*', ''), '/$', '')".format(r"regexp_replace(regexp_replace({}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '')")
+
+
+@query(
+    "joi_23_url_provenance",
+    r"WITH l AS (SELECT " + PLAIN_URL.format(*["url"] * 2) + r" AS u, 'part_' || page_id % 7 AS f FROM pages WHERE page_id % 3 <> 0), o AS (SELECT " + PLAIN_URL.format(*["url || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END"] * 2)
+    + r" AS u, regexp_extract(url, '^\w+://([^/?#]*)', 1) AS f FROM pages WHERE page_id % 5 <> 0) SELECT l.u AS url, string_agg(DISTINCT l.f, ',' ORDER BY l.f) AS files, string_agg(DISTINCT o.f, ',' ORDER BY o.f) AS origins FROM l JOIN o USING (u) GROUP BY l.u",
+)
+def _(t):
+    # Two lists of addresses, written differently, each with where an address stands.
+    local = t.pages.where("page_id % 3 != 0").select("url", F.concat(F.lit("part_"), (c("page_id") % 7).cast("string")).alias("file"))
+    other = t.pages.where("page_id % 5 != 0").select(F.concat("url", F.when(c("page_id") % 2 == 0, "#x").otherwise("")).alias("url"), X.url_host(c("url")).alias("file"))
+    found = V.shared_urls(local, other)
+    return found.select("url", F.array_join("files", ",").alias("files"), F.array_join("origins", ",").alias("origins"))
+
+
+@query("src_17_candidate_outputs", r"WITH n AS (SELECT 'out/' || source || CASE WHEN doc_id % 9 = 0 THEN '_page' ELSE '_pg' END || doc_id % 50 || '_repeat' || doc_id % 3 || CASE WHEN doc_id % 11 = 0 THEN '.txt' ELSE '.md' END AS path FROM documents) SELECT regexp_extract(path, 'out/(.+)_pg(\d+)_repeat(\d+)\.md$', 1) AS pdf, CAST(regexp_extract(path, '_pg(\d+)_', 1) AS INTEGER) AS page, count(DISTINCT regexp_extract(path, '_repeat(\d+)', 1)) AS repeats FROM n WHERE regexp_matches(path, '_pg\d+_repeat\d+\.md$') GROUP BY 1, 2")
+def _(t):
+    d = c("doc_id")
+    name = F.concat(F.lit("out/"), "source", F.when(d % 9 == 0, "_page").otherwise("_pg"), (d % 50).cast("string"), F.lit("_repeat"), (d % 3).cast("string"), F.when(d % 11 == 0, ".txt").otherwise(".md"))
+    return V.outputs_by_name(t.documents.select(name.alias("path"))).groupBy("pdf", "page").agg(F.count_distinct("repeat").alias("repeats"))
+
+
+@query("src_25_votes_with_metadata", "SELECT role || ':' || turn AS left_metadata, vote, count(*) AS n FROM (SELECT role, turn, CASE WHEN length(text) % 3 = 0 THEN 'left' WHEN length(text) % 3 = 1 THEN 'right' ELSE 'both_bad' END AS vote FROM conversations WHERE turn % 4 <> 3) GROUP BY ALL")
+def _(t):
+    # A page of entries a conversation, and a store of votes that knows some entries only.
+    key = F.concat_ws("/", "conv_id", "turn")
+    entry = F.format_string('<div class="entry gold eval" data-entry-id="%s"\n data-left-metadata="%s" data-right-metadata="x"><p>...</p></div>', key, F.concat_ws(":", "role", "turn"))
+    pages = t.conversations.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("html"))
+    size = F.length("text") % 3
+    vote = F.struct(F.concat_ws("_", "conv_id", "turn"), F.when(size == 0, "left").when(size == 1, "right").otherwise("both_bad"))
+    stores = t.conversations.where("turn % 4 != 3").groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(vote))).alias("store"))
+    return V.votes_with_metadata(pages, stores).groupBy("left_metadata", "vote").agg(one().alias("n"))
+
+
+@query("ext_31_rating_reports", "SELECT event_type AS name, user_id % 20 AS k, round(round(avg(value) * 10, 2), 2) AS rating, round(max(value), 1) AS high FROM events GROUP BY 1, 2")
+def _(t):
+    by = t.events.groupBy((c("user_id") % 20).alias("k"), "event_type").agg(F.round(F.avg("value") * 10, 2).alias("r"), F.round(F.max("value"), 1).alias("h"))
+    line = F.format_string("%s  %.2f ± 1.5 [0.0, %.1f]", "event_type", "r", "h")
+    reports = by.groupBy("k").agg(F.concat(F.lit("Ratings\n=======\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("value"))
+    return V.ratings(reports, keep=("k",)).select("name", "k", "rating", "high")
+
+
+@query("ext_33_blind_sides", "SELECT doc_id, CASE WHEN substr(md5(doc_id || 's'), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'left' ELSE 'right' END AS gold_side, md5(CASE WHEN substr(md5(doc_id || 's'), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN text ELSE reverse(text) END) AS left_md5 FROM documents")
+def _(t):
+    pairs = t.documents.select("doc_id", c("text").alias("gold"), F.reverse("text").alias("other"))
+    return V.blind_sides(pairs, "doc_id", "gold", "other", "s").select("doc_id", "gold_side", F.md5("left").alias("left_md5"))
+
+
+@query("ext_24_archive_records", "SELECT doc_id || '-' || doc_id || 'o1-page-' || CASE WHEN doc_id % 2 = 0 THEN doc_id % 9 ELSE 1 END AS name, md5(text) AS digest FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0")
 def _(t):
-    rows = t.pages.join(t.documents, c("doc_id") % 50 == c("page_id"))
-    return rows.groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    # Records as JSON: restricted ones, tags of machines, objects of other types, pages without numbers.
+    d, text = c("doc_id"), c("doc_id").cast("string")
+    thing = lambda k, kind: F.struct(F.concat(text, F.lit(k)).alias("objectId"), kind.alias("objectType"), F.lit("http://e.x/").alias("objectUrl"))
+    record = F.struct(F.struct(F.when(d % 3 != 0, "Unrestricted").otherwise("Restricted - Partly").alias("status")).alias("accessRestriction"), F.array(thing("o1", F.when(d % 5 != 0, "Image (JPG)").otherwise("Audio")), thing("o2", F.lit("Image (TIFF)"))).alias("digitalObjects"))
+    said = F.array(F.struct(F.struct(text.alias("naId"), F.concat(text, F.lit("o1")).alias("objectId"), F.when(d % 2 == 0, (d % 9).cast("int")).alias("pageNum")).alias("target"), F.lit("Transcription").alias("contributionType"), c("text").alias("contribution")))
+    records = t.documents.select(F.to_json(F.struct(record.alias("record"), F.array(F.struct((d % 4 == 0).alias("aiMachineGenerated"))).alias("record_tag"), said.alias("record_transcription"))).alias("value"))
+    return V.archive_pages(records).select("name", F.md5("transcription").alias("digest"))
 
 
 @query("joi_24_preferred_match", "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'label' WHEN item_id IS NOT NULL THEN 'bench' ELSE 'none' END AS found FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id")

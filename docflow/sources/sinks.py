@@ -155,3 +155,28 @@ def zstd_lines(lines: Iterator[str]) -> bytes:
     import zstandard
 
     return zstandard.ZstdCompressor().compress("".join(x + "\n" for x in lines).encode())
+
+
+def write_markdown_tree(docs: DataFrame, folder: str, path: str, page: str) -> int:
+    """A Markdown file a document: the document's path below ``folder``, its extension replaced by .md; how many files.
+
+    For trees that people read; corpora belong into files of many rows.
+    """
+    from docflow.sources.store import write_files
+
+    name = F.concat(F.regexp_replace(path, r"\.[^./]+$", ""), F.lit(".md"))
+    return write_files(docs.select(name.alias("name"), F.encode(F.col(page), "utf-8").alias("content")), folder, "name", "content")
+
+
+def read_markdown_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of the Markdown files below a folder; paths are relative to it.  Spark does not list empty files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/", "")
+    return found.select(below.alias("path"), F.decode("content", "utf-8").alias("text"))
+
+
+def write_summaries(rows: DataFrame, folder: str, key: str, count: str, top: int = 1000, sample: int = 100, seed: str = "0") -> None:
+    """Three CSV folders: ``map`` has all rows, ``top`` the most frequent, ``sample`` some by a hash of their key."""
+    rows.write.option("header", True).csv(f"{folder}/map")
+    rows.orderBy(F.desc(count), key).limit(top).write.option("header", True).csv(f"{folder}/top")
+    rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(sample).write.option("header", True).csv(f"{folder}/sample")

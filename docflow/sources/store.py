@@ -36,6 +36,8 @@ def put_file(folder: str, name: str, content: bytes) -> None:
     own = f"{base}/_{uuid.uuid4().hex}"
     with system.open_output_stream(own, compression=None) as out:
         out.write(content)
+    if "/" in name:
+        system.create_dir(f"{base}/{name.rpartition('/')[0]}", recursive=True)
     system.move(own, f"{base}/{name}")
 
 
