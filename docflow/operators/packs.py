@@ -168,15 +168,9 @@ def merge_spans(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
 
 
 def gap_runs(items: Column, gap: str, least: int) -> Column:
-    """Runs of ``least`` and more gap tokens in an array, as [start, end)."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("from"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def close(acc: Column) -> Column:
-        run = F.struct(acc["from"].alias("start"), acc["i"].alias("end"))
-        return F.when((acc["from"] >= 0) & (acc["i"] - acc["from"] >= least), F.concat(acc["out"], F.array(run))).otherwise(acc["out"])
-
-    def step(acc: Column, x: Column) -> Column:
-        begun = F.when(acc["from"] < 0, acc["i"]).otherwise(acc["from"])
-        return F.struct((acc["i"] + 1).alias("i"), F.when(x == gap, begun).otherwise(-1).alias("from"), F.when(x == gap, acc["out"]).otherwise(close(acc)).alias("out"))
-
-    return F.aggregate(items, zero, step, close)
+    """Runs of ``least`` and more gap tokens in an array, as [start, end).  A null is no gap."""
+    other = F.filter(F.transform(items, lambda x, i: F.when(~x.eqNullSafe(F.lit(gap)), i)), lambda i: i.isNotNull())
+    # A run lies between neighbours of what is no gap, the array's ends included.
+    edges = F.concat(F.array(F.lit(-1)), other, F.array(F.size(items)))
+    pairs = F.arrays_zip(F.slice(edges, F.lit(1), F.size(edges) - 1).alias("a"), F.slice(edges, F.lit(2), F.size(edges) - 1).alias("b"))
+    return F.filter(F.transform(pairs, lambda p: F.struct((p["a"] + 1).alias("start"), p["b"].alias("end"))), lambda r: r["end"] - r["start"] >= least)

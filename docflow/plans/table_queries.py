@@ -699,6 +699,15 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(runs, ",").alias("runs"))
 
 
+@query("win_08_short_word_runs", r"WITH w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda x: x <> '') AS ws FROM documents)), g AS (SELECT doc_id, i - 1 AS i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM w WHERE length(ws[i]) <= 3), k AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY doc_id, i - r HAVING count(*) >= 4) SELECT doc_id, count(*) AS runs, string_agg(a || '-' || b, ',' ORDER BY a) AS places FROM k GROUP BY 1")
+def _(t):
+    # Runs of four and more short words in whole texts.
+    words = F.filter(F.split("text", "[ \\n\\t]+"), lambda w: w != "")
+    runs = K.gap_runs(F.transform(words, lambda w: F.when(F.length(w) <= 3, "-").otherwise(w)), "-", 4)
+    rows = t.documents.select("doc_id", runs.alias("r")).where(F.size("r") > 0)
+    return rows.select("doc_id", F.size("r").cast("long").alias("runs"), F.array_join(F.transform("r", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("places"))
+
+
 @query("win_09_merge_spans", "WITH s AS (SELECT l_suppkey AS g, l_partkey AS a, l_partkey + l_linenumber AS b FROM lineitem), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY g ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM s), r AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT g, min(a) AS a, max(b) AS b FROM r GROUP BY g, k")
 def _(t):
     spans = t.lineitem.select(c("l_suppkey").alias("g"), c("l_partkey").alias("a"), (c("l_partkey") + c("l_linenumber")).alias("b"))
