@@ -176,6 +176,23 @@ def _(t):
     return t.conversations.select("conv_id", "turn", E.REWARDS.get("role")(c("role")).alias("reward"))
 
 
+CHAINED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+CHAINED = r"regexp_replace(regexp_replace(" + CHAINED + r", '={3,}', '===', 'g'), '-{3,}', '---', 'g')"
+
+
+@query("pip_14_15_udf_03_text_chain", f"SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, {CHAINED} AS x FROM documents WHERE lang <> 'fr') WHERE length(x) >= 200")
+def _(t):
+    # Steps over whole texts: keep, clean, clean, drop what is short then.
+    return E.chain(
+        t.documents.select("doc_id", "lang", "text"),
+        lambda d: d.where("lang != 'fr'"),
+        lambda d: d.withColumn("text", X.normalize_whitespace(c("text"))),
+        lambda d: d.withColumn("text", X.collapse_repeated_symbols(c("text"))),
+        lambda d: d.where(F.length("text") >= 200),
+        lambda d: d.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest")),
+    )
+
+
 @query("arr_04_ext_42_document_record", "SELECT doc_id, len(string_split(text, chr(10))) AS lines, length(text) AS chars FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.struct(F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length("text").cast("long").alias("chars")).alias("r")).select("doc_id", "r.*")
@@ -322,7 +339,7 @@ def _(t):
 
 GAP, SENTENCE = r"[^\p{L}\s]{3,}", r"[^.!?\n]*[.!?\n]|[^.!?\n]+$"
 STRETCH, GAP_SQL = r"[^\p{L}\s]+|[\p{L}\s]+", "regexp_extract_all(text, '{}')"
-SPANS_SQL = "SELECT doc_id, i - 1 AS i, CAST(coalesce(list_sum(list_transform(ps[:i - 1], lambda x: length(x))), 0) AS INTEGER) AS a, ps[i] AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, {} AS ps FROM documents))"
+SPANS_SQL = "SELECT doc_id, i - 1 AS i, CAST(coalesce(list_sum(list_transform(ps[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, ps[i] AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, {} AS ps FROM documents))"
 
 
 @query("ext_34_win_10_gap_sentences", f"WITH s AS ({SPANS_SQL.format(GAP_SQL.format(SENTENCE))}), st AS (SELECT *, a + length(p) AS b, max(i) OVER (PARTITION BY doc_id) AS most FROM s), g AS (SELECT doc_id, a, a + length(p) AS b FROM ({SPANS_SQL.format(GAP_SQL.format(STRETCH))}) WHERE regexp_full_match(p, '[^\\p{{L}}\\s]{{3,}}')), j AS (SELECT g.doc_id, g.a, g.b, min(st.i) AS lo, max(st.i) AS hi, any_value(most) AS most FROM g JOIN st ON st.doc_id = g.doc_id AND st.a < g.b AND g.a < st.b GROUP BY ALL), k AS (SELECT doc_id, a, b, greatest(lo - 1, 0) AS lo, least(hi + 1, most) AS hi FROM j) SELECT k.doc_id, k.a AS gap_start, k.b AS gap_end, x.a AS start, y.b AS \"end\" FROM k JOIN st x ON x.doc_id = k.doc_id AND x.i = k.lo JOIN st y ON y.doc_id = k.doc_id AND y.i = k.hi")

@@ -6,6 +6,7 @@ pattern of marks around real words, on both engines alike.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -254,6 +255,16 @@ def _(t: Tables) -> DataFrame:
     return found.select("doc_id", F.round("coherency", 6).alias("coherency"), "chunks", F.round("worst", 6).alias("worst"))
 
 
+@query("pip_07_flt_25_ext_50_51_coherency_tags", COHERENT_SQL.replace("SELECT doc_id, round(avg(mean), 6) AS coherency, count(*) AS chunks, round(min(mean), 6) AS worst FROM c GROUP BY 1", "SELECT d.doc_id, 'bigram_incoherent' AS name, d.n_chars AS \"end\", coalesce(m < -7.5, true) AS value FROM documents d LEFT JOIN (SELECT doc_id, avg(mean) AS m FROM c GROUP BY 1) x USING (doc_id)"))
+def _(t: Tables) -> DataFrame:
+    # Attributes that a model makes: one span a document, under the model's name; texts too short to judge count as incoherent.
+    found = H.coherency(t.documents, ["doc_id"], H.bigram_model(t.documents)).select(F.col("doc_id").alias("d"), "coherency")
+    rows = t.documents.join(found, F.col("doc_id") == F.col("d"), "left")
+    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), F.coalesce(F.col("coherency") < -7.5, F.lit(True)).alias("value")))
+    tagged = rows.select("doc_id", F.transform_keys(F.create_map(F.lit("incoherent"), span), lambda k, v: F.concat(F.lit("bigram_"), k)).alias("a"))
+    return tagged.select("doc_id", F.explode("a").alias("name", "s")).select("doc_id", "name", F.get("s", F.lit(0))["end"].alias("end"), F.get("s", F.lit(0))["value"].alias("value"))
+
+
 @query("str_49_srt_05_coherent_candidate")
 def _(t: Tables) -> DataFrame:
     # Three ways to take the text from a page; the one that reads best under a model of the documents.
@@ -430,6 +441,14 @@ def _(t: Tables) -> DataFrame:
     return R.leaf_statistics(attributed(t), TRUTH)
 
 
-@query("rul_01_08_rule_text", "SELECT '(quality:any and not toxic:any)' AS canonical")
+@query("rul_01_08_rule_text", "SELECT lang, source, '((' || lang || ':any and not ' || regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g') || ':all) or n:avg>' || count(*) || '.5)' AS canonical, 3 AS leaves FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2, regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g')")
 def _(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.lit(str(R.parse(TRUTH))).alias("canonical"))
+    # A rule for each language and source of the corpus, parsed and written back.
+    @F.arrow_udf("struct<canonical:string,leaves:int>")
+    def parsed(rules: pa.Array) -> pa.Array:
+        trees = [R.parse(x) for x in rules.to_pylist()]
+        return pa.array([{"canonical": str(x), "leaves": len(R.leaves(x))} for x in trees], pa.struct([("canonical", pa.string()), ("leaves", pa.int32())]))
+
+    names = t.documents.where("lang IS NOT NULL AND source IS NOT NULL").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    rule = F.concat("lang", F.lit(":any and not "), F.regexp_replace("source", "[^A-Za-z0-9_]", "_"), F.lit(":all or (n:avg>"), F.col("n").cast("string"), F.lit(".5)"))
+    return names.select("lang", "source", parsed(rule).alias("x")).select("lang", "source", "x.*")
