@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
 
 
 def normalize_ascii(text: Column) -> Column:
-    """Canonical text for comparisons, up to the Unicode form (see ``textudf.normalize``)."""
+    """Canonical text for comparisons, up to the Unicode form (see ``fuzzy.normalize``)."""
     text = replace_all(text, *[(pattern, new.replace("\\", "$")) for pattern, new in NORMALIZE_STEPS])
     return F.translate(text, FOLD_FROM, FOLD_TO)
 

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.ordered import numbered
+
 
 def conditional_mean(value: Column, has: Column) -> Column:
     """The mean over rows that have the element, or over all if none has."""
@@ -59,10 +61,9 @@ def macro_report(scores: DataFrame, candidate: str, category: str, passed: str)
     return by.unionByName(overall)
 
 
-def empirical_cdf(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows with their rank over the count: ties take successive steps."""
-    w = Window.partitionBy(group)
-    return df.withColumn("cdf", F.row_number().over(w.orderBy(value)) / F.count(F.lit(1)).over(w))
+def empirical_cdf(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """Rows with their rank over the count of their group: ties take successive steps."""
+    return numbered(df, [group], list(order)).withColumn("cdf", (F.col("row") + 1) / F.col("rows")).select(*df.columns, "cdf")
 
 
 def elo_expected(a: Column, b: Column) -> Column:

@@ -479,8 +479,8 @@ def _(t):
 
 @query("agg_16_empirical_cdf", "SELECT event_id, round(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) / count(*) OVER (PARTITION BY event_type), 9) AS cdf FROM events")
 def _(t):
-    ranked = numbered(t.events.select("event_id", "event_type", "value"), ["event_type"], ["value", "event_id"])
-    return ranked.select("event_id", F.round((c("row") + 1) / c("rows"), 9).alias("cdf"))
+    ranked = C.empirical_cdf(t.events.select("event_id", "event_type", "value"), "event_type", "value", "event_id")
+    return ranked.select("event_id", F.round("cdf", 9).alias("cdf"))
 
 
 @query("agg_16_value_summary", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS middle FROM events WHERE isfinite(value) GROUP BY 1 HAVING count(*) >= 5")
