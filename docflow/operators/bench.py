@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from docflow.functions import fuzzy as Z
 from docflow.functions import tables as G
 from docflow.functions import text as X
 from docflow.operators import filters as P
+from docflow.operators.scratch import written
 
 FIELDS = {
     "category": "string", "type": "string", "text": "string", "max_diffs": "int", "case_sensitive": "boolean", "first_n": "int", "last_n": "int", "before": "string", "after": "string", "cell": "string", "up": "string", "down": "string",
@@ -40,10 +42,12 @@ FIELDS = {
 NEAR = ("up", "down", "left", "right", "top_heading", "left_heading")
 #: Types that need the page's text in Python.
 TEXTUAL = ("present", "absent", "order", "table")
+#: Tests whose weights a task keeps for the next candidate's score.
+_HELD = 4096
 _RESULT = "candidate string, category string, id string, passed boolean, explanation string"
 
 
-def _presence(test: dict, body: str) -> tuple[bool, str]:
+def _presence(test: dict, body: str, explain: bool) -> tuple[bool, str]:
     query = Z.normalize(test["text"]) or ""
     if not query.strip():
         return False, "no text to look for"
@@ -55,12 +59,10 @@ def _presence(test: dict, body: str) -> tuple[bool, str]:
         body = body[:first] + body[-last:]
     elif first or last:
         body = body[:first] if first else body[-last:]
-    least = 1 - (test["max_diffs"] or 0) / len(query)
-    best = Z.partial_ratio(query, body)
-    found = best >= least - 1e-12
-    if found == (test["type"] == "present"):
+    most = test["max_diffs"] or 0
+    if Z.holds(query, body, most) == (test["type"] == "present"):
         return True, ""
-    return False, f"{test['type']}: best match {best:.3f} against {least:.3f}"
+    return False, f"{test['type']}: best match {Z.partial_ratio(query, body):.3f} against {1 - most / len(query):.3f}" if explain else test["type"]
 
 
 def _order(test: dict, body: str) -> tuple[bool, str]:
@@ -80,18 +82,21 @@ def _table(test: dict, text: str) -> tuple[bool, str]:
     return (True, "") if G.table_test(text, Z.normalize(test["cell"]), test["max_diffs"] or 0, **near) else (False, "table: no such cell")
 
 
-def _textual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for candidate, md, tests in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            text = md.as_py() or ""
-            body = Z.normalize(text)
-            for test in tests.as_py():
-                passed, why = _table(test, text) if test["type"] == "table" else _order(test, body) if test["type"] == "order" else _presence(test, body)
-                out.append((candidate, test["category"], test["id"], passed, why))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["candidate", "category", "id", "passed", "explanation"])
+def _textual(explain: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for candidate, md, tests in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = md.as_py() or ""
+                body = Z.normalize(text)
+                for test in tests.as_py():
+                    passed, why = _table(test, text) if test["type"] == "table" else _order(test, body) if test["type"] == "order" else _presence(test, body, explain)
+                    out.append((candidate, test["category"], test["id"], passed, why))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["candidate", "category", "id", "passed", "explanation"])
+
+    return run
 
 
 def complete(tests: DataFrame) -> DataFrame:
@@ -101,12 +106,15 @@ def complete(tests: DataFrame) -> DataFrame:
     return tests.where("pdf IS NOT NULL AND page IS NOT NULL AND id IS NOT NULL").select("pdf", "page", F.col("id").cast("string").alias("id"), *[v.alias(k) for k, v in own.items()])
 
 
-def run_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(candidate, category, id, passed, explanation) for each test (pdf, page, id, type, ...) on each output (candidate, pdf, page, md)."""
+def run_tests(tests: DataFrame, outputs: DataFrame, explain: bool = True) -> DataFrame:
+    """(candidate, category, id, passed, explanation) for each test (pdf, page, id, type, ...) on each output (candidate, pdf, page, md).
+
+    Without ``explain`` failed presence tests do not say how close the best match is, which takes a whole text to find.
+    """
     own = complete(tests)
     pages = outputs.select("candidate", "pdf", "page", F.coalesce("md", F.lit("")).alias("md"))
     text = own.where(F.col("type").isin(*TEXTUAL)).groupBy("pdf", "page").agg(F.collect_list(F.struct("id", *FIELDS)).alias("tests"))
-    done = pages.join(text, ["pdf", "page"]).select("candidate", "md", "tests").mapInArrow(_textual, _RESULT)
+    done = pages.join(text, ["pdf", "page"]).select("candidate", "md", "tests").mapInArrow(_textual(explain), _RESULT)
     rest = pages.join(own.where(~F.coalesce(F.col("type").isin(*TEXTUAL), F.lit(False))), ["pdf", "page"])
     dollars = X.harvest_equations(F.col("md"))
     without = X.harvest_equations(F.col("md"), dollars=False)
@@ -122,9 +130,14 @@ def _weighted(replicates: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+
+        @lru_cache(_HELD)
+        def drawn(category: str, key: str) -> np.ndarray:
+            return np.random.default_rng([seed, zlib.crc32(f"{category}\0{key}".encode())]).poisson(1.0, replicates)
+
         for batch in batches:
             for candidate, category, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                weights = np.random.default_rng([seed, zlib.crc32(f"{category}\0{key}".encode())]).poisson(1.0, replicates)
+                weights = drawn(category, key)
                 own = sums.setdefault((candidate, category), np.zeros(replicates))
                 own += weights * value
         for (candidate, category), total in sums.items():
@@ -141,7 +154,10 @@ def report(tests: DataFrame, results: DataFrame, candidates: DataFrame, replicat
     """
     own = complete(tests).select("category", "id").distinct()
     sizes = own.groupBy("category").agg(F.count(F.lit(1)).alias("tests"))
-    scores = results.groupBy("candidate", "category", "id").agg(F.avg(F.col("passed").cast("double")).alias("score"))
+    # All candidates' scores of a test stand in one task, so that its weights are drawn once.  Rates and draws
+    # read the scores from a table: results would else be made twice.
+    scores = results.select("candidate", "category", "id", "passed").repartition("category", "id").groupBy("candidate", "category", "id").agg(F.avg(F.col("passed").cast("double")).alias("score"))
+    scores = written(scores, "bench-scores")
     sums = scores.groupBy("candidate", "category").agg(F.sum("score").alias("got"))
     grid = candidates.select("candidate").distinct().join(sizes.agg(F.collect_list(F.struct("category", "tests")).alias("s"))).select("candidate", F.inline("s"))
     rates = grid.join(sums, ["candidate", "category"], "left").select("candidate", "category", "tests", (F.coalesce("got", F.lit(0.0)) / F.col("tests")).alias("rate"))

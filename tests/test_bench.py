@@ -49,3 +49,21 @@ def test_report(spark):
     assert tuple(rows["y", "overall"])[3:] == (1, 1, 1) and tuple(rows["z", "overall"])[3:] == (0, 0, 0)
     again = report(tests.repartition(7), results.repartition(5), outputs.select("candidate"), 400).where("category = 'overall' AND candidate = 'x'").first()
     assert again["low"] == pytest.approx(x["low"]) and again["high"] == pytest.approx(x["high"])
+
+
+def test_results_are_made_once(spark, tmp_path):
+    """Rates and intervals read the scores from one table."""
+    tests = spark.createDataFrame([("p", k, f"t{k}", "present", "word") for k in range(20)], "pdf string, page int, id string, type string, text string")
+    log = str(tmp_path / "log")
+
+    def made(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    results = spark.createDataFrame([("x", "present", f"t{k}", k % 2 == 0, "") for k in range(20)], "candidate string, category string, id string, passed boolean, explanation string").mapInArrow(made, "candidate string, category string, id string, passed boolean, explanation string")
+    out = report(tests, results, spark.createDataFrame([("x",)], "candidate string"), 50)
+    assert {r["rate"] for r in out.collect()} == {0.5}
+    with open(log) as f:
+        assert len(f.read()) == 20

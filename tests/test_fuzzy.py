@@ -172,3 +172,23 @@ def test_bins_restart_by_group_and_refuse_large_items(spark):
     assert out == [(g, k, k // 2) for g in ("", "a", "b") for k in range(5)]  # a null group is a group
     with pytest.raises(Exception, match="exceeds the bin size"):
         bin_rows(df, "g", "k", "s", 40, 10).collect()
+
+
+def test_pieces_decide_like_the_whole_table(monkeypatch):
+    """Windows and matches around exact pieces are those of the whole text, of which only stretches are read."""
+    rng, letters = random.Random(3), "abcd "
+    for k in range(3000):
+        text = "".join(rng.choice(letters[: 2 + k % 4]) for _ in range(rng.randint(1, 90)))
+        at = rng.randrange(len(text))
+        query = list(text[at : at + rng.randint(8, 40)])
+        for _ in range(rng.randint(0, 3)):
+            query.insert(rng.randrange(len(query)), rng.choice("ab#"))
+            del query[rng.randrange(len(query))]
+        query, most = "".join(query), rng.randint(0, 3)
+        assert Z.holds(query, text, most) == (Z.partial_ratio(query, text) >= 1 - most / len(query) - 1e-12)
+        assert not most or Z.near_matches(query, text, most) == Z._near(query, text, most)
+    read: list[int] = []
+    ends = Z._ends
+    monkeypatch.setattr(Z, "_ends", lambda pattern, text: (read.append(len(text)), ends(pattern, text))[1])
+    text = "x" * 50_000 + "the quick brown fox" + "y" * 50_000
+    assert Z.near_matches("the quick brawn fox", text, 2) == [(50_000, 50_019, 1)] and sum(read) < 500
