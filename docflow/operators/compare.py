@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -141,28 +142,41 @@ def stratified_permutation(scores: DataFrame, first: str, second: str, candidate
     return tried.agg((F.sum("hits") / F.sum("tried")).alias("p"), F.lit(seen).alias("difference"))
 
 
-def elo_arena(pairs: list[tuple[str, str, int, int]], k: float = 32.0, start: float = 1500.0) -> dict[str, float]:
+def elo_arena(pairs: Iterable[tuple[str, str, int, int]], k: float = 32.0, start: float = 1500.0) -> dict[str, float]:
     """Ratings after playing each pair's wins, then its losses, in order."""
     ratings: dict[str, float] = {}
     for a, b, wins, losses in pairs:
-        for result in [1.0] * wins + [0.0] * losses:
+        for result in chain(repeat(1.0, wins), repeat(0.0, losses)):
             ra, rb = ratings.setdefault(a, start), ratings.setdefault(b, start)
             expected = 1 / (1 + 10 ** ((rb - ra) / 400))
             ratings[a], ratings[b] = ra + k * (result - expected), rb - k * (result - expected)
     return ratings
 
 
+#: Games that are unpacked at a time.
+_GAMES = 1 << 16
+
+
 def bootstrap_elo(pairs: list[tuple[str, str, int, int]], spark, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean, deviation and 95 % interval of ratings when pair rows are resampled; replicates are spread over tasks."""
+    """Mean, deviation and 95 % interval of ratings when pair rows are resampled; replicates are spread over tasks.
+
+    A replicate plays its games in random order.  They are numbers of pair and winner, a byte each up to 128
+    pairs, and are shuffled in place.
+    """
+    kind = np.min_scalar_type(max(2 * len(pairs) - 1, 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch["id"]:
                 rng = np.random.default_rng([seed, int(r)])
-                drawn = [pairs[i] for i in rng.integers(0, len(pairs), len(pairs))]
-                games = [(a, b, 1, 0) for a, b, w, _ in drawn for _ in range(w)] + [(a, b, 0, 1) for a, b, _, x in drawn for _ in range(x)]
-                rows += elo_arena([games[i] for i in rng.permutation(len(games))]).items()
+                drawn = rng.integers(0, len(pairs), len(pairs))
+                won, lost = (np.repeat((drawn + side * len(pairs)).astype(kind), [pairs[i][2 + side] for i in drawn]) for side in (0, 1))
+                games = np.concatenate([won, lost])
+                del won, lost
+                rng.shuffle(games)
+                single = [(a, b, 1, 0) for a, b, *_ in pairs] + [(a, b, 0, 1) for a, b, *_ in pairs]
+                rows += elo_arena(single[g] for lo in range(0, len(games), _GAMES) for g in games[lo : lo + _GAMES].tolist()).items()
             yield pd.DataFrame(rows, columns=["method", "rating"])
 
     out = spark.range(replicates).mapInPandas(run, "method string, rating double")
