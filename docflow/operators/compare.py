@@ -183,12 +183,19 @@ def bootstrap_elo(pairs: list[tuple[str, str, int, int]], spark, replicates: int
     return out.groupBy("method").agg(F.avg("rating").alias("mean"), F.stddev("rating").alias("std"), F.percentile("rating", F.lit(0.025)).alias("low"), F.percentile("rating", F.lit(0.975)).alias("high"))
 
 
+def pair_means(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """(group, key, mean): each text's mean distance to the others of its group; each pair is compared once."""
+    a, b = df.select(group, key, text), df.select(F.col(group).alias("g2"), F.col(key).alias("k2"), F.col(text).alias("t2"))
+    d = F.levenshtein(F.col(text), F.col("t2")) / F.greatest(F.length(text), F.length("t2"), F.lit(1))
+    pairs = a.join(b, (F.col(group) == F.col("g2")) & (F.col(key) < F.col("k2"))).select(group, key, "k2", d.alias("d"))
+    both = pairs.select(group, F.explode(F.array(key, "k2")).alias(key), "d")
+    return both.groupBy(group, key).agg(F.round(F.avg("d"), 9).alias("mean"))  # equal up to the order of additions is equal
+
+
 def medoid(df: DataFrame, group: str, key: str, text: str, least: int = 2) -> DataFrame:
     """Each group's text with the least mean distance to the others; the first key wins ties."""
     sized = df.join(df.groupBy(group).count().where(F.col("count") >= least).select(group), group)
-    a, b = sized.alias("a"), sized.select(F.col(group).alias("g2"), F.col(key).alias("k2"), F.col(text).alias("t2")).alias("b")
-    d = F.levenshtein(F.col(text), F.col("t2")) / F.greatest(F.length(text), F.length("t2"), F.lit(1))
-    means = a.join(b, (F.col(group) == F.col("g2")) & (F.col(key) != F.col("k2"))).groupBy(group, key).agg(F.round(F.avg(d), 9).alias("mean"))  # equal up to the order of additions is equal
+    means = pair_means(sized, group, key, text)
     return means.groupBy(group).agg(F.min(F.struct("mean", key)).alias("m")).select(group, F.col(f"m.{key}").alias(key), F.col("m.mean").alias("mean_distance"))
 
 

@@ -609,8 +609,7 @@ def _(t):
 @query("agg_43_medoid_reward", MED.replace(" SELECT conv_id, arg_min(turn, (m, turn)) AS turn, round(min(m), 6) AS mean_distance FROM d GROUP BY 1", " SELECT conv_id, turn, round(1 - m / greatest(max(m) OVER (PARTITION BY conv_id), 1e-9), 6) AS reward FROM d"))
 def _(t):
     rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("x"))
-    other = rows.select("conv_id", c("turn").alias("t2"), c("x").alias("y"))
-    d = rows.join(other, "conv_id").where("turn != t2").groupBy("conv_id", "turn").agg(F.round(F.avg(X.normalized_levenshtein(c("x"), c("y"))), 9).alias("m"))
+    d = C.pair_means(rows, "conv_id", "turn", "x").withColumnRenamed("mean", "m")
     return d.select("conv_id", "turn", F.round(1 - c("m") / F.greatest(F.max("m").over(Window.partitionBy("conv_id")), F.lit(1e-9)), 6).alias("reward"))
 
 
@@ -710,7 +709,8 @@ def _(t):
     # Runs of four and more short words in whole texts.
     words = F.filter(F.split("text", "[ \\n\\t]+"), lambda w: w != "")
     runs = K.gap_runs(F.transform(words, lambda w: F.when(F.length(w) <= 3, "-").otherwise(w)), "-", 4)
-    rows = t.documents.select("doc_id", runs.alias("r")).where(F.size("r") > 0)
+    # Exploded and gathered in its row, so that the runs of a text are found once.
+    rows = t.documents.select("doc_id", F.explode(F.array(runs)).alias("r")).where(F.size("r") > 0)
     return rows.select("doc_id", F.size("r").cast("long").alias("runs"), F.array_join(F.transform("r", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("places"))
 
 

@@ -43,3 +43,13 @@ def test_columns_of_elements_are_written_like_lists(spark):
     df = spark.createDataFrame(rows, "k long, e array<struct<x double, y double, text string>>")
     got = {r["k"]: r["out"] for r in df.select("k", L.linearize_column(F.col("e"), 40, F.col("k")).alias("out")).collect()}
     assert got == {k: L.linearize([{"x": x, "y": y, "text": t} for x, y, t in e or []], 40, k) for k, e in rows}
+
+
+def test_pairs_of_a_group_are_compared_once(spark):
+    rows = spark.createDataFrame([(g, k, "kitten sitting mitten"[k : k + 9 + g]) for g in range(3) for k in range(5)], "g int, k int, x string")
+    means = C.pair_means(rows, "g", "k", "x")
+    assert "< k2" in means._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["g"], r["k"]): r["mean"] for r in means.collect()}
+    text = {(r["g"], r["k"]): r["x"] for r in rows.collect()}
+    far = lambda a, b: Z.edit_distance(a, b) / max(len(a), len(b))
+    assert got == {(g, k): pytest.approx(sum(far(x, text[g, o]) for o in range(5) if o != k) / 4, abs=1e-8) for (g, k), x in text.items()}
