@@ -169,8 +169,13 @@ def merge_spans(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
 
 def gap_runs(items: Column, gap: str, least: int) -> Column:
     """Runs of ``least`` and more gap tokens in an array, as [start, end).  A null is no gap."""
-    other = F.filter(F.transform(items, lambda x, i: F.when(~x.eqNullSafe(F.lit(gap)), i)), lambda i: i.isNotNull())
-    # A run lies between neighbours of what is no gap, the array's ends included.
-    edges = F.concat(F.array(F.lit(-1)), other, F.array(F.size(items)))
-    pairs = F.arrays_zip(F.slice(edges, F.lit(1), F.size(edges) - 1).alias("a"), F.slice(edges, F.lit(2), F.size(edges) - 1).alias("b"))
-    return F.filter(F.transform(pairs, lambda p: F.struct((p["a"] + 1).alias("start"), p["b"].alias("end"))), lambda r: r["end"] - r["start"] >= least)
+
+    def found(items: Column) -> Column:
+        other = F.filter(F.transform(items, lambda x, i: F.when(~x.eqNullSafe(F.lit(gap)), i)), lambda i: i.isNotNull())
+        # A run lies between neighbours of what is no gap, the array's ends included.
+        ahead, behind = F.concat(F.array(F.lit(-1)), other), F.concat(other, F.array(F.size(items)))
+        ends = F.zip_with(ahead, behind, lambda a, b: F.struct((a + 1).alias("start"), b.alias("end")))
+        return F.filter(ends, lambda r: r["end"] - r["start"] >= least)
+
+    # Bound by a lambda: Catalyst would else make the items anew at every use.
+    return F.get(F.transform(F.array(items), found), F.lit(0))

@@ -53,3 +53,11 @@ def test_pairs_of_a_group_are_compared_once(spark):
     text = {(r["g"], r["k"]): r["x"] for r in rows.collect()}
     far = lambda a, b: Z.edit_distance(a, b) / max(len(a), len(b))
     assert got == {(g, k): pytest.approx(sum(far(x, text[g, o]) for o in range(5) if o != k) / 4, abs=1e-8) for (g, k), x in text.items()}
+
+
+def test_runs_are_found_once_a_text(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    runs = spark.range(1).select(K.gap_runs(F.split(F.col("id").cast("string"), "1"), "-", 2).alias("r"))
+    assert plan(runs).count("split(") == 1
+    asked = entry.queries()["win_08_short_word_runs"](spark, "/root/testdata/sf0.001")
+    assert plan(asked).count("split(") == 1
