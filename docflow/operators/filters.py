@@ -67,7 +67,8 @@ def has_markdown_table(text: Column) -> Column:
 
 
 def has_math_symbols(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?is)<table\b.*?</table>", "").rlike(f"[{MATH_SYMBOLS}]")
+    # One range holds all symbols but the sign of negation; few texts have any of it, and a range is tested faster than a set.
+    return text.rlike(r"[\x{ac}\x{2200}-\x{22ff}]") & F.regexp_replace(text, r"(?is)<table\b.*?</table>", "").rlike(f"[{MATH_SYMBOLS}]")
 
 
 def has_latex_table(text: Column) -> Column:

@@ -61,3 +61,10 @@ def test_runs_are_found_once_a_text(spark):
     assert plan(runs).count("split(") == 1
     asked = entry.queries()["win_08_short_word_runs"](spark, "/root/testdata/sf0.001")
     assert plan(asked).count("split(") == 1
+
+
+def test_symbols_lie_in_the_range_that_is_tested_first(spark):
+    rows = spark.createDataFrame([(s, f"a {s} b", f"a <table>{s}</table> b") for s in [*P.MATH_SYMBOLS, "x", "\u2261"]], "s string, t string, u string")
+    got = {r["s"]: (r["out"], r["inside"]) for r in rows.select("s", P.has_math_symbols(F.col("t")).alias("out"), P.has_math_symbols(F.col("u")).alias("inside")).collect()}
+    assert got == {s: (s in P.MATH_SYMBOLS, False) for s in got}
+    assert "2200" in rows.select(P.has_math_symbols(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
