@@ -227,9 +227,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang
 o AS (SELECT x.doc_id, x.text, coalesce(grams, 0) AS grams, CASE WHEN grams >= {L.LEAST_GRAMS} AND coalesce(lead, 0) >= {L.LEAST_LEAD} THEN r.lang ELSE 'unknown' END AS language, round(lead, 6) AS lead FROM documents x LEFT JOIN r ON r.doc_id = x.doc_id AND k = 1)"""
 
 
-def detected(t: Tables) -> DataFrame:
-    """The language of every document, by profiles of four fifths of the documents."""
-    return L.detect(t.documents, "doc_id", *L.profiles(t.documents.where("doc_id % 5 != 0")))
+def detected(t: Tables, **more: Column) -> DataFrame:
+    """The language of every document, by profiles of four fifths of the documents, and more columns."""
+    return L.detect(t.documents.withColumns(more), "doc_id", *L.profiles(t.documents.where("doc_id % 5 != 0")), keep=tuple(more))
 
 
 @query("flt_04_language_detection", f"{DETECT_SQL} SELECT doc_id, grams, language, lead FROM o")
@@ -239,8 +239,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("flt_02_04_detected_filter", f"{DETECT_SQL} SELECT doc_id, CASE WHEN length(text) < 200 THEN NULL WHEN {ALPHA_SQL} < 0.5 THEN NULL WHEN NOT (language = 'unknown' OR language IN ('en', 'de')) THEN 'language' WHEN len({WORDS_SQL}) > 0 AND len(list_filter({WORDS_SQL}, lambda x: list_contains({SPAM_SQL}, x))) > 0.004 * len({WORDS_SQL}) THEN 'spam' END AS reason FROM o")
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "text").join(detected(t).select("doc_id", "language"), "doc_id")
-    return rows.select("doc_id", P.drop_reason(F.col("text"), F.nullif("language", F.lit(L.UNKNOWN)), F.lit(False), ["en", "de"]).alias("reason"))
+    # What a text gives with a language that is kept, and with one that is not: both are told in its row, so no text is shuffled.
+    reason = lambda lang: P.drop_reason(F.col("text"), F.lit(lang).cast("string"), F.lit(False), ["en", "de"])
+    rows = detected(t, kept=reason(None), foreign=reason(L.UNKNOWN))
+    return rows.select("doc_id", F.when(P.keeps_language(F.nullif("language", F.lit(L.UNKNOWN)), ["en", "de"]), F.col("kept")).otherwise(F.col("foreign")).alias("reason"))
 
 
 COHERENT_SQL = rf"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), u AS (SELECT unnest(ws) AS w FROM w), f AS (SELECT w, count(*) AS n, ln({H.BACK_OFF} * count(*) / sum(count(*)) OVER ()) AS fall FROM u GROUP BY 1),

@@ -11,6 +11,7 @@ from docflow.functions import fuzzy as Z
 from docflow.functions import latex as L
 from docflow.operators import compare as C
 from docflow.operators import filters as P
+from docflow.operators import language as N
 from docflow.operators import packs as K
 
 
@@ -68,3 +69,15 @@ def test_symbols_lie_in_the_range_that_is_tested_first(spark):
     got = {r["s"]: (r["out"], r["inside"]) for r in rows.select("s", P.has_math_symbols(F.col("t")).alias("out"), P.has_math_symbols(F.col("u")).alias("inside")).collect()}
     assert got == {s: (s in P.MATH_SYMBOLS, False) for s in got}
     assert "2200" in rows.select(P.has_math_symbols(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_languages_looked_up_and_joined_agree(spark, monkeypatch):
+    """Where the profile is held and where it is joined; the profile is counted once, from words."""
+    rows = [(k, ("de", "en", None)[k % 3], t) for k, t in enumerate(["der Hund und die Katze", "the dog and the cat", "und the  _a_", "Ein Haus, ein Baum!", "a house-a tree", "\U00010428\U00010428 \u00c4\u00d6", "", None, "...", "x"] * 2)]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string")
+    table, names = N.profiles(docs)
+    assert names == ["de", "en"] and "split(" not in table._jdf.queryExecution().optimizedPlan().toString()
+    out = lambda: sorted(map(tuple, N.detect(docs, "id", table, names, keep=("lang",)).collect()))
+    held = out()
+    monkeypatch.setattr(N, "HELD_SCORES", 0)
+    assert held == out() and len(held) == len(rows) and {r[3] for r in held} == {"de", "en", "unknown"}
