@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.operators.graph import components
+from docflow.operators.scratch import written
 
 #: Characters of a cell, about a few sentences.
 CELL = 512
@@ -50,12 +53,63 @@ def around(gaps: DataFrame, units: DataFrame, key: str, reach: int, cell: int =
     return asked.join(first, [key, "low"]).join(last, [key, "high"]).select(key, "start", "end", "low", "high", "from", "to")
 
 
+#: Boxes up to which a page is grouped in one row.
+ROW_BOXES = 64
+
+
+def _firsts(tolerance: float):
+    """For each page, a list of boxes (x0, y0, x1, y1), the number of the first box of each one's group."""
+
+    def run(pages: pa.Array) -> pa.Array:
+        flat, sizes = pages.flatten(), pages.value_lengths().to_numpy()
+        corners = [flat.field(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("x0", "y0", "x1", "y1")]
+        fine = ((corners[0] <= corners[2]) & (corners[1] <= corners[3])).tolist()
+        x0, y0, x1, y1 = (v.tolist() for v in corners)
+        out: list[int] = []
+        lo = 0
+        for n in sizes.tolist():
+            root = list(range(n))
+            for i in range(1, n):
+                p = lo + i
+                if not fine[p]:
+                    continue
+                for j in range(i):
+                    q = lo + j
+                    if fine[q] and root[i] != root[j] and max(x0[p], x0[q]) - min(x1[p], x1[q]) <= tolerance and max(y0[p], y0[q]) - min(y1[p], y1[q]) <= tolerance:
+                        new, old = sorted((root[i], root[j]))
+                        root = [new if r == old else r for r in root]
+            out += root
+            lo += n
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(out, pa.int32()))
+
+    run.__annotations__ = {"pages": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<int>")
+
+
 def box_groups(boxes: DataFrame, page: str, box: str, tolerance: float, cell: tuple[float, float]) -> DataFrame:
     """(page, box, group): boxes (x0, y0, x1, y1) of a page that touch up to ``tolerance``, directly or over others.
 
-    The group is the least box in it.  Boxes stand in the cells of a grid that they touch, grown by half the
-    tolerance; a pair counts in the cell where the later corners lie.  A box whose
-    corners are null or out of order stands alone.  ``box`` is unique in its page.
+    The group is the least box in it.  A box whose corners are null or out of order stands alone, as do those
+    without a page.  ``box`` is unique in its page.  Pages of up to :data:`ROW_BOXES` boxes are grouped in one
+    row each; larger ones spread over tasks.
+    """
+    large = written(boxes.where(F.col(page).isNotNull()).groupBy(page).count().where(F.col("count") > ROW_BOXES).select(page), "large-pages")
+    some = large.limit(1).count() > 0
+    few = boxes.where(F.col(page).isNotNull())
+    few = few.join(large, page, "left_anti") if some else few
+    held = few.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(box).alias("box"), "x0", "y0", "x1", "y1"))).alias("b"))
+    firsts = _firsts(tolerance)(F.transform("b", lambda x: F.struct(*[x[n].alias(n) for n in ("x0", "y0", "x1", "y1")])))
+    rows = held.select(page, "b", firsts.alias("f")).select(page, "b", F.posexplode("f").alias("i", "f"))
+    at = lambda k: F.get("b", F.col(k))["box"]
+    out = rows.select(page, at("i").alias(box), at("f").alias("group")).unionByName(boxes.where(F.col(page).isNull()).select(page, box, F.col(box).alias("group")))
+    return out.unionByName(_linked_groups(boxes.join(large, page, "left_semi"), page, box, tolerance, cell)) if some else out
+
+
+def _linked_groups(boxes: DataFrame, page: str, box: str, tolerance: float, cell: tuple[float, float]) -> DataFrame:
+    """The groups of :func:`box_groups` by a join of boxes in cells and the components of its links.
+
+    Boxes stand in the cells of a grid that they touch, grown by half the tolerance; a pair counts in the cell where
+    the later corners lie.
     """
     half = tolerance / 2
     node = F.struct(F.col(page).alias("page"), F.col(box).alias("box"))

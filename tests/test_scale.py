@@ -1,18 +1,23 @@
 """What a query does at size: what is made once stays made once, and memory does not follow the data."""
 
+import random
 import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from docflow.functions import fuzzy as Z
 from docflow.functions import latex as L
+from docflow.functions import layout as Y
 from docflow.operators import compare as C
 from docflow.operators import filters as P
 from docflow.operators import language as N
 from docflow.operators import packs as K
+from docflow.operators import spans as B
+from docflow.sources import bundles as U
 
 
 def test_replicates_hold_a_byte_a_game():
@@ -81,3 +86,15 @@ def test_languages_looked_up_and_joined_agree(spark, monkeypatch):
     held = out()
     monkeypatch.setattr(N, "HELD_SCORES", 0)
     assert held == out() and len(held) == len(rows) and {r[3] for r in held} == {"de", "en", "unknown"}
+
+
+def test_small_pages_are_grouped_like_large_ones(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(p if p < 7 else None, k, *(lambda x, y: (x, y, x + rng.random() * 9 - 1, y + rng.random() * 3))(rng.random() * 40, rng.random() * 9)) for p in range(8) for k in range(12)] + [(1, 99, None, 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "p int, k int, x0 double, y0 double, x1 double, y1 double")
+    out = lambda: sorted(map(str, B.box_groups(boxes, "p", "k", 0.5, (16.0, 1.0)).collect()))
+    held = out()
+    assert "Join" not in B.box_groups(boxes, "p", "k", 0.5, (16.0, 1.0))._jdf.queryExecution().optimizedPlan().toString()
+    for most in (0, 11):
+        monkeypatch.setattr(B, "ROW_BOXES", most)
+        assert out() == held and len(held) == len(rows)
