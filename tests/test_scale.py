@@ -98,3 +98,12 @@ def test_small_pages_are_grouped_like_large_ones(spark, monkeypatch):
     for most in (0, 11):
         monkeypatch.setattr(B, "ROW_BOXES", most)
         assert out() == held and len(held) == len(rows)
+
+
+def test_equal_formulas_need_no_search(monkeypatch):
+    spans = [{"text": "ab", "x": 3.0 * k, "y": 7.0 * (k % 3), "w": 4.0, "h": 4.0} for k in range(6)]
+    near = Y._nearest(Y._symbols(spans), 5)
+    slow = lambda s, x, y, dx, dy: min((((ox - x) * dx + (oy - y) * dy, k) for k, (_, ox, oy) in enumerate(s) if (ox - x) * dx + (oy - y) * dy > 0 and (abs(oy - y) if dx else abs(ox - x)) <= 5), default=(0, None))[1]
+    assert near == [[slow(Y._symbols(spans), x, y, *side) for side in Y.SIDES] for _, x, y in Y._symbols(spans)]
+    monkeypatch.setattr(Y, "_nearest", None)
+    assert Y.same_layout(spans, list(spans)) and Y.same_layout([], [])
