@@ -64,7 +64,8 @@ class BundleWriter(DataSourceArrowWriter):
 
         held = 0
         for batch in iterator:
-            for bundle, name, content in zip(*(batch.column(c).to_pylist() for c in ("bundle", "name", "content")), strict=True):
+            for bundle, name, content in zip(*(batch.column(c) for c in ("bundle", "name", "content")), strict=True):
+                bundle, name, content = bundle.as_py(), name.as_py(), content.as_py()
                 if bundle is None or name is None:
                     raise ValueError("a file without a bundle or a name")
                 if not now or now[1] != bundle or held > self.limit:
@@ -75,6 +76,7 @@ class BundleWriter(DataSourceArrowWriter):
                 info = tarfile.TarInfo(name)
                 info.size = len(content or b"")
                 tar.addfile(info, io.BytesIO(content or b""))
+                tar.members.clear()  # tarfile keeps all it has met
                 now[2].append(name)
                 held += info.size
         close()
@@ -133,8 +135,9 @@ class BundleReader(DataSourceReader):
             return
         system, base = opened(self.folder)
         with system.open_input_stream(f"{base}/{partition.file}", compression=None) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
-            for info in tar:
+            while (info := tar.next()) is not None:
                 yield partition.bundle, info.name, tar.extractfile(info).read()
+                tar.members.clear()
 
 
 class BundleSource(DataSource):

@@ -107,3 +107,23 @@ def test_equal_formulas_need_no_search(monkeypatch):
     assert near == [[slow(Y._symbols(spans), x, y, *side) for side in Y.SIDES] for _, x, y in Y._symbols(spans)]
     monkeypatch.setattr(Y, "_nearest", None)
     assert Y.same_layout(spans, list(spans)) and Y.same_layout([], [])
+
+
+def test_bundles_forget_what_they_have_passed(tmp_path):
+    """A tar file of many members is written and read without a list of them."""
+    writer = U.BundleWriter(str(tmp_path), U.LIMIT, False)
+    n, names = 20_000, [f"{k:08d}" for k in range(20_000)]
+    batches = (pa.RecordBatch.from_pydict({"bundle": ["b"] * 1000, "name": names[lo : lo + 1000], "content": [b"x"] * 1000}) for lo in range(0, n, 1000))
+    tracemalloc.start()
+    message = writer.write(batches)
+    wrote = tracemalloc.get_traced_memory()[1]
+    writer.commit([message])
+    reader = U.BundleReader(str(tmp_path))
+    (part,) = reader.partitions()
+    tracemalloc.reset_peak()
+    start = tracemalloc.get_traced_memory()[0]
+    assert sum(1 for _ in reader.read(part)) == n
+    read = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    print("peak MB written, read:", wrote / 1e6, read / 1e6)
+    assert wrote < 6_000_000 and read < 3_000_000
