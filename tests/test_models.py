@@ -58,6 +58,22 @@ def test_coherency(spark):
     assert {(r["id"], r["way"]) for r in H.most_coherent(ways, "id", "way", H.bigram_model(docs)).collect()} == {(1, "y"), (3, "t")}
 
 
+def test_coherency_in_blocks(spark, monkeypatch):
+    rows = [(k % 7, f"a b c w{k % 5} a b") for k in range(40)] + [(None, "a b"), (None, "c a b"), (9, ""), (8, "q")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    score = lambda: {r["id"]: r for r in H.coherency(docs, ["id"], H.bigram_model(docs), chunk=3).collect()}
+    whole = score()
+    monkeypatch.setattr(H, "BLOCK", 16)  # many blocks, counts in many stretches
+    monkeypatch.setattr(H, "COUNTED", 4)
+    parted = score()
+    assert set(parted) == {*range(7), None} == set(whole)
+    for k, r in parted.items():
+        assert (r["chunks"], r["worst_chunk"]) == (whole[k]["chunks"], whole[k]["worst_chunk"]) and r["coherency"] == pytest.approx(whole[k]["coherency"]) and r["worst"] == pytest.approx(whole[k]["worst"])
+    # A row for each distinct word or pair is shuffled, none for each time it stands in a text.
+    plan = H.coherency(docs, ["id"], H.bigram_model(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 CASES = [
     ('{"a": [[0,1,false],[1,2,true]]}', "a:any", True), ('{"a": [[0,1,true],[1,2,null]]}', "a:all", True), ('{"a": [[0,1,null]]}', "a:all", False), ("{}", "a:any", False), ("{}", "not a:any", True),
     ('{"a": [[0,1,0.2],[1,2,0.5]]}', "a:avg>0.3", True), ('{"a": [[0,1,true]]}', "a:avg==1", True), ('{"a": [[0,1,"0.5"],[1,2,true]]}', "a:avg==0.75", True), ('{"a": [[0,1,"low"],[1,2,5]]}', "a:avg>0", False),
