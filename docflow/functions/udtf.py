@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
@@ -35,5 +36,49 @@ class WordNgrams:
             yield row[0], k, " ".join(words[k : k + n])
 
 
+@udtf(useArrow=True)
+class WordNgramCounts:
+    """``SELECT key, sum(n), sum(distinct_n) + count(DISTINCT ngram), max(last) FROM word_ngram_counts(TABLE(...), 3) GROUP BY key``.
+
+    What :class:`WordNgrams` finds, counted where it is found: a key with one text gives one row, of how many runs
+    (``n``), how many different ones and the last in order.  Where a key has more texts, each text's different runs
+    are rows of their own, with ``ngram`` and no ``distinct_n``, so no more than one text is held.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, n: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or len(rows.dataType.fields) < 2:
+            raise ValueError("word_ngram_counts takes a table of a key and a text")
+        if n.value is None or n.value < 1:
+            raise ValueError("word_ngram_counts takes a number of words")
+        key = rows.dataType.fields[0]
+        layout = StructType([StructField("key", key.dataType), StructField("n", LongType()), StructField("distinct_n", LongType()), StructField("last", StringType()), StructField("ngram", StringType())])
+        return AnalyzeResult(schema=layout, partitionBy=[PartitioningColumn(key.name)])
+
+    def __init__(self) -> None:
+        self.key, self.runs, self.texts = None, Counter(), 0
+
+    def _each(self) -> Iterator[tuple]:
+        for g, times in self.runs.items():
+            run = g.decode()
+            yield self.key, times, 0, run, run
+
+    def eval(self, row: Row, n: int) -> Iterator[tuple]:
+        words = (row[1] or "").encode().split()
+        runs = Counter(map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)))
+        if not runs:
+            return
+        if self.texts:
+            yield from self._each()
+        self.key, self.runs, self.texts = row[0], runs, self.texts + 1
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.texts == 1:
+            yield self.key, self.runs.total(), len(self.runs), max(self.runs).decode(), None
+        else:
+            yield from self._each()
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("word_ngrams", WordNgrams)
+    spark.udtf.register("word_ngram_counts", WordNgramCounts)

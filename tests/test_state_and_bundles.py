@@ -95,3 +95,17 @@ def test_word_ngrams_in_sql(spark):
     assert sorted(map(str, ((r["key"], r["place"], r["ngram"]) for r in got.collect()))) == sorted(map(str, [(1, 0, "a b"), (1, 1, "b c"), (2, 0, "x y z"), (None, 0, "p q")]))
     with pytest.raises(Exception, match="number of words"):
         spark.sql("SELECT * FROM word_ngrams(TABLE(SELECT id, text FROM texts), 0)").collect()
+
+
+def test_word_ngrams_are_counted_where_they_are_found(spark):
+    udtf.register(spark)
+    rows = [(1, "a b c a b"), (2, None), (2, "x y z"), (2, "x y  x y ä"), (3, "one"), (None, "p q"), (4, ""), (4, "p\tq\nr")]
+    spark.createDataFrame(rows, "id int, text string").createOrReplaceTempView("counted_texts")
+    table = "(TABLE(SELECT id, text FROM counted_texts), 2)"
+    counted = spark.sql(f"SELECT key, sum(n), sum(distinct_n) + count(DISTINCT ngram), max(last) FROM word_ngram_counts{table} GROUP BY key").collect()
+    single = spark.sql(f"SELECT key, count(*), count(DISTINCT ngram), max(ngram) FROM word_ngrams{table} GROUP BY key").collect()
+    assert sorted(map(str, map(tuple, counted))) == sorted(map(str, map(tuple, single))) and len(counted) == 4
+    # A key with one text is one row.
+    assert spark.sql(f"SELECT * FROM word_ngram_counts{table} WHERE key = 1").count() == 1
+    with pytest.raises(Exception, match="number of words"):
+        spark.sql("SELECT * FROM word_ngram_counts(TABLE(SELECT id, text FROM counted_texts), 0)").collect()
