@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,25 @@ def test_closest_compares_only_what_can_win(monkeypatch):
     monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: (calls.append(1), ratio(self))[1])
     assert Z.closest(base, other, 0.5) == [(-k, r) if r > 0.5 else None for r, k in want]
     assert len(calls) < len(base) * len(other) / 2 and Z.closest(base, [], 0.5) == [None] * 30
+
+
+def test_substitutions_are_aligned_without_a_table(monkeypatch):
+    draw, path = random.Random(5), Z._path
+    taken = 0
+    for _ in range(3000):
+        a = [draw.choice("abcd") for _ in range(draw.randrange(1, 9))]
+        b = [draw.choice("abcde") if draw.random() < 0.4 else x for x in a]
+        kinds = {w: k for k, w in enumerate("abcde")}
+        x, y = (np.array([kinds[w] for w in s], np.int64) for s in (a, b))
+        if Z._straight(x, y, 1, -1, -1):
+            taken += 1
+            assert path(x, y, 1, -1, -1) == [(1, 1)] * len(a)
+    assert taken > 300
+
+    def none(*_):
+        raise AssertionError("a table was made")
+
+    monkeypatch.setattr(Z, "_path", none)
+    words = [f"w{draw.randrange(2000)}" if draw.random() < 0.9 else "the" for _ in range(20000)]
+    gold = " ".join(words)
+    assert Z.document_similarity(gold, gold.replace("the", "tha")) == sum(w != "the" for w in words) / len(words)
