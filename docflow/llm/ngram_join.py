@@ -15,11 +15,12 @@ threshold differ in ``k = 2 * high * (1 - t) / (1 + t)`` elements at most.
    own; after :data:`DEPTH` levels, or where parts hold few elements, each element is a signature.  In larger bands, a pair that
    agrees on empty parts alone must spread its differences over all others one by one, which
    has a probability under 1e-14.
-2. Signatures are counted, one narrow row a signature and task.  Those that occur twice set
+2. Signatures are counted by 40 of their bits, one narrow row a signature and task.  Those that occur twice set
    the bits of a map of fixed size; only documents that have such a signature go on, with those
    signatures alone, one document for equal words (a *class*).
 3. Every class is compared on whole sets with the *star* of its signature, the member whose
-   signatures are the most populous.  Members that do not end in their star's component are
+   signatures are the most populous.  Texts travel to their stars, not sets, which take twice their room; what
+   differs is kept, and of that only the rows that pairs name are read again.  Members that do not end in their star's component are
    compared further under exact bounds (as for near duplicates), so groups of copies cost a
    comparison a member, and no link between different texts is lost.
 4. Components come from label propagation over the confirmed links.
@@ -57,6 +58,8 @@ DEPTH = 6
 SPARSE = 4
 #: Bits of the map of shared signatures, as a power of two (8 MB).
 MAP_BITS = 26
+#: Bits of a signature that are counted; those of the map are among them, the rest tells apart what shares a bit there.
+COUNTED = 40
 
 _SEED, _PATH, _VALUE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -153,8 +156,8 @@ def _nodes(texts: pa.Array) -> list[bytes]:
     return [named(view[at[k] : at[k + 1]], hashlib.md5)[0] for k in range(len(texts))]
 
 
-def _shared_only(words: np.ndarray):
-    """Documents with signatures in the map, and those signatures."""
+def _shared_only(words: np.ndarray, copies: np.ndarray):
+    """Documents with signatures in the map, those signatures, and whether the other map may have the document as a copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +168,8 @@ def _shared_only(words: np.ndarray):
             keep = np.diff(cuts, prepend=0) > 0
             left = np.split(own[good], cuts[:-1]) if len(sizes) else []
             rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists([x for x, k in zip(left, keep, strict=True) if k], pa.int64())], ["row", "node", "signatures"])
+            copy = in_map(batch.column(1).to_numpy()[keep], copies)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(copy), lists([x for x, k in zip(left, keep, strict=True) if k], pa.int64())], ["node", "copy", "signatures"])
 
     return run
 
@@ -181,22 +185,53 @@ def _needed(words: np.ndarray):
     return run
 
 
-def _spread(width: int):
-    """A row for each star of a class: star, node and the class's whole sorted set, of texts that have its words."""
+def _same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that have the words of the class that asks for them; ids may repeat with other words."""
+    for batch in batches:
+        for lo, hi in groups(batch.column(3)):
+            part = batch.slice(lo, hi - lo)
+            same = [a == b for a, b in zip(_nodes(part.column(3)), part.column(1).to_pylist(), strict=True)]
+            yield part.filter(pa.array(same, pa.bool_())).select(["node", "stars", "text"])
+
+
+def _against_star(width: int):
+    """How the set of each text differs from that of its star's text, which stands beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for lo, hi in groups(batch.column(3)):
+            for lo, hi in groups(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                names = part.column(1).to_pylist()
-                part = part.filter(pa.array([a == b for a, b in zip(_nodes(part.column(3)), names, strict=True)], pa.bool_()))
-                for node, stars, shingles in zip(part.column(0).to_pylist(), part.column(2), shingle_sets(part.column(3), width), strict=True):
-                    n = len(stars)
-                    yield pa.RecordBatch.from_arrays([stars.values, pa.array([node] * n, pa.int64()), lists([shingles.view(np.int64)] * n, pa.int64())], ["star", "node", "shingles"])
+                sizes, extras, offs = [], [], []
+                for k, (own, y) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(part.column(2), width), strict=True)):
+                    if own != star:  # rows of a star stand together
+                        star, x = own, shingle_sets(part.column(3)[k : k + 1], width)[0]
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    shared = x[at] == y
+                    inside = np.zeros(len(x), bool)
+                    inside[at[shared]] = True
+                    common = int(shared.sum())
+                    has = common * 2 < len(x)
+                    sizes.append((len(y), len(x), common, has))
+                    extras.append(y[~shared].view(np.int64))
+                    offs.append(x[inside == has].view(np.int64))
+                n, ns, common, has = zip(*sizes, strict=True)
+                columns = [part.column(0), part.column(1), *(pa.array(c, pa.int32()) for c in (n, ns, common)), lists(extras, pa.int64()), pa.array(has, pa.bool_()), lists(offs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["star", "node", "n", "ns", "common", "extra", "has", "off"])
 
     return run
 
 
+def _named_in(words: np.ndarray) -> Callable[[Column], Column]:
+    """Whether the map may have a hash: only the hash goes to Python, not the row."""
+
+    @F.arrow_udf("boolean")
+    def named_in(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_map(hashes.to_numpy(zero_copy_only=False), words))
+
+    return named_in
+
+
 def _common(a: str, b: str) -> Column:
     """Elements that two members of one star share, from how each differs from the star.
 
@@ -218,15 +253,21 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(_signed(width, threshold), "doc_id long, node binary, n_shingles long, signatures array<long>")
     seen = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "op11-signed")
-    many = seen.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = bit_map(many.select("signature"), MAP_BITS)
+    shared = bit_map(_repeated(seen), MAP_BITS)
     release(spark)
     # From here a class goes by the row of its first document.
     reps = seen.where("n_shingles > 0").groupBy(F.col("node").alias("name")).agg(F.min("doc_id").alias("rep"), F.min("row").alias("node"))
     reps = materialize(reps, "op11-classes")
-    held = seen.select("row", "node", "signatures").mapInArrow(_shared_only(shared), "row long, node binary, signatures array<long>")
-    held = materialize(held.join(reps.select(F.col("node").alias("first")), F.col("row") == F.col("first"), "left_semi").select(F.col("row").alias("node"), "signatures"), "op11-held")
-    own = held.select("node", F.explode("signatures").alias("signature"))
+    # Only what may be a copy is looked up among the first documents, so the signatures of others stay where they are.
+    firsts = reps.select(F.col("node").alias("first"))
+    copies = bit_map(seen.join(firsts, F.col("row") == F.col("first"), "left_anti").select(F.xxhash64("row").alias("h")), MAP_BITS)
+    held = seen.select("row", F.xxhash64("row").alias("h"), "signatures").mapInArrow(_shared_only(shared, copies), "node long, copy boolean, signatures array<long>")
+    held = materialize(held, "op11-held")
+    first = held.where("copy").join(firsts, F.col("node") == F.col("first"), "left_semi")
+    # The signatures of all documents are not read again.
+    wide, seen = seen, materialize(seen.select("doc_id", "node", "n_shingles"), "op11-seen")
+    release(spark, wide)
+    own = held.where("not copy").unionByName(first).select("node", F.explode("signatures").alias("signature"))
     crowds = own.groupBy("signature").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(own.join(crowds, "signature"), "op11-members")
     rank = members.groupBy("node").agg(F.sum("members").alias("rank"))
@@ -234,29 +275,32 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     stars = ranked.groupBy("signature").agg(F.max(F.struct("rank", "node")).alias("top")).select("signature", F.col("top.node").alias("star"))
     spokes = materialize(members.select("signature", "node").join(stars, "signature").where("node != star").select("star", "node").distinct(), "op11-spokes")
     release(spark, held, members)
-    spread = _sets_by_star(spokes, seen, reps, texts, width)
-    whole = spread.where("star = node").select("star", F.col("shingles").alias("x"))
-    full = spread.where("star != node").withColumnRenamed("shingles", "y").join(whole, "star")
-    extra, n, ns = F.array_except("y", "x"), F.size("y"), F.size("x")
-    prefix = (n - F.ceil(n * (threshold / 100) - 1e-9) + 1).cast("int")
-    has = (n - F.size("extra")) * 2 < ns
-    full = full.withColumn("extra", extra).select("star", "node", n.alias("n"), ns.alias("ns"), (n - F.size("extra")).alias("common"), "extra", F.slice("extra", F.lit(1), prefix).alias("fresh"), has.alias("has"), F.when(has, F.array_intersect("x", "y")).otherwise(F.array_except("x", "y")).alias("off"))
+    found = _texts_of(spokes, seen, reps, texts)
+    whole = found.where(F.array_contains("stars", F.col("node"))).select(F.col("node").alias("star"), F.col("text").alias("x"))
+    full = found.select(F.explode("stars").alias("star"), "node", F.col("text").alias("y")).where("star != node").join(whole, "star")
+    full = full.select("star", "node", "y", "x").mapInArrow(_against_star(width), "star long, node long, n int, ns int, common int, extra array<long>, has boolean, off array<long>")
     checked = materialize(full, "op11-checked")
-    release(spark, spread)
+    release(spark, found)
     linked = F.col("common") * 100 >= (F.col("n") + F.col("ns") - F.col("common")) * threshold
     links = checked.where(linked).select(F.col("star").alias("a"), F.col("node").alias("b"))
     labels = components(links)
-    sized = checked.select("star", "node", "n", "ns", "common", "fresh")
+    prefix = (F.col("n") - F.ceil(F.col("n") * (threshold / 100) - 1e-9) + 1).cast("int")
+    sized = checked.select("star", "node", "n", "ns", "common", F.slice("extra", F.lit(1), prefix).alias("fresh"))
     starred = materialize(checked.groupBy("node").agg(F.collect_set("star").alias("stars")), "op11-starred")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by how both differ from a star that they share."""
-        side = lambda k: checked.select("star", F.col("node").alias(k), F.col("ns").alias(f"{k}_ns"), F.col("n").alias(f"{k}_n"), F.col("extra").alias(f"{k}_extra"), F.col("has").alias(f"{k}_has"), F.col("off").alias(f"{k}_off"))
         # One of the stars that both have: any tells the same.
         asked = pairs.join(starred.toDF("a", "a_stars"), "a").join(starred.toDF("b", "b_stars"), "b")
-        asked = asked.select("a", "b", F.array_min(F.array_intersect("a_stars", "b_stars")).alias("star"))
+        asked = materialize(asked.select("a", "b", F.array_min(F.array_intersect("a_stars", "b_stars")).alias("star")), "op11-asked")
+        # Of the members' differences, only those rows are shuffled that a pair names.
+        words = bit_map(asked.select(F.explode(F.array(F.xxhash64("star", "a"), F.xxhash64("star", "b"))).alias("h")), MAP_BITS)
+        needed = checked.where(_named_in(words)(F.xxhash64("star", "node")))
+        side = lambda k: needed.select("star", F.col("node").alias(k), F.col("ns").alias(f"{k}_ns"), F.col("n").alias(f"{k}_n"), F.col("extra").alias(f"{k}_extra"), F.col("has").alias(f"{k}_has"), F.col("off").alias(f"{k}_off"))
         both = asked.join(side("a"), ["star", "a"]).join(side("b"), ["star", "b"]).withColumn("shared", _common("a", "b"))
-        return materialize(both.where(F.col("shared") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("shared")) * threshold).select("a", "b"), "op11-more")
+        out = materialize(both.where(F.col("shared") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("shared")) * threshold).select("a", "b"), "op11-more")
+        release(spark, asked)
+        return out
 
     placed = _placed(sized, labels)
     outsiders = placed.where("outside").count()
@@ -287,17 +331,26 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     return out
 
 
-def _sets_by_star(spokes: DataFrame, seen: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """star, node and the node's whole set, made anew from the texts of its first document; stars stand beside themselves too."""
+def _repeated(seen: DataFrame) -> DataFrame:
+    """The signatures that occur twice, without the bits that neither count nor map tell apart: a few more may be among them."""
+    top, low = COUNTED - 6, F.lit(63).cast("long")
+    signature = F.col("signature")
+    brief = F.shiftleft(F.shiftrightunsigned(signature, 64 - top), 6).bitwiseOR(signature.bitwiseAND(low))
+    many = seen.select(F.explode("signatures").alias("signature")).groupBy(brief.alias("brief")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return many.select(F.shiftleft(F.shiftright("brief", 6), 64 - top).bitwiseOR(F.col("brief").bitwiseAND(low)).alias("signature"))
+
+
+def _texts_of(spokes: DataFrame, seen: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, its stars and the text of its first document; stars are among their own."""
     asked = spokes.select("node", "star").unionByName(spokes.select(F.col("star").alias("node"), "star")).distinct()
     asked = asked.groupBy("node").agg(F.collect_list("star").alias("stars"))
     need = materialize(asked.join(reps, "node").select("node", "name", F.col("rep").alias("r_id"), "stars"), "op11-need")
     words = bit_map(need.select(F.xxhash64("r_id").alias("h")), MAP_BITS)
     some = texts.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(_needed(words), "doc_id long, text string")
     found = some.join(need, F.col("doc_id").eqNullSafe(F.col("r_id"))).select("node", "name", "stars", "text")
-    sets = found.mapInArrow(_spread(width), "star long, node long, shingles array<long>")
-    # Rows that repeat both id and words make the same set again.
+    found = found.mapInArrow(_same_words, "node long, stars array<long>, text string")
+    # Rows that repeat both id and words stand there again.
     repeats = seen.groupBy("node", "doc_id").count().where("count > 1").limit(1).count()
-    out = materialize(sets.dropDuplicates(["star", "node"]) if repeats else sets, "op11-sets")
+    out = materialize(found.dropDuplicates(["node"]) if repeats else found, "op11-texts")
     release(texts.sparkSession, need)
     return out

@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docflow.llm import ngram_join as N
 from docflow.llm.ngram_join import bands, ngram_join, signatures
+from docflow.operators.bits import bit_map, in_map
 from tests.llm.conftest import make
 
 
@@ -119,3 +121,23 @@ def test_unlike_sets_share_none():
     own = signatures(sets)
     assert len(np.unique(np.concatenate(own))) == sum(map(len, own))
     assert all(len(s) < 0.5 * 300 for s in own)
+
+
+def test_whole_sets_are_not_written(docs, rows, monkeypatch):
+    """Texts travel to their stars; of sets, only what differs from a star is written, once."""
+    written, real = {}, N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    monkeypatch.setattr(N, "release", lambda *tables: None)
+    assert found(ngram_join(docs)) == truth(rows)
+    assert [k for k, df in written.items() if "signatures" in df.columns] == ["op11-signed", "op11-held"]
+    assert not any("shingles" in df.columns for df in written.values())
+    sizes = written["op11-checked"].select(F.size("extra") + F.col("common") == F.col("n"), F.size("off") == F.least("common", F.col("ns") - F.col("common")))
+    assert "fresh" not in written["op11-checked"].columns and all(all(r) for r in sizes.collect())
+
+
+def test_repeated_signatures_are_in_the_map(spark):
+    rng = np.random.default_rng(6)
+    own = rng.integers(-(2**63), 2**63, 4000)
+    seen = spark.createDataFrame([(own[k : k + 40].tolist(),) for k in [*range(0, 4000, 40), *range(0, 400, 40)]], "signatures array<long>")
+    words = bit_map(N._repeated(seen), N.MAP_BITS)
+    assert in_map(own[:400], words).all() and in_map(own[400:], words).sum() < 10
