@@ -169,10 +169,10 @@ def write_markdown_tree(docs: DataFrame, folder: str, path: str, page: str) -> i
 
 
 def read_markdown_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of the Markdown files below a folder; paths are relative to it.  Spark does not list empty files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
-    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/", "")
-    return found.select(below.alias("path"), F.decode("content", "utf-8").alias("text"))
+    """(path, text) of the Markdown files below a folder; paths are relative to it.  Empty files are left out."""
+    from docflow.sources.store import read_files
+
+    return read_files(spark, folder, ".md").select("path", F.decode("content", "utf-8").alias("text"))
 
 
 def write_summaries(rows: DataFrame, folder: str, key: str, count: str, top: int = 1000, sample: int = 100, seed: str = "0") -> None:

@@ -19,8 +19,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.operators.scratch import written
 from docflow.sources.files import list_files, ragged_csv, read_zstd_lines
 
+#: Bytes of files that a task holds at a time, beside the last.
+HELD = 4 << 20
+
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the path within it."""
@@ -45,14 +49,85 @@ def write_files(rows: DataFrame, folder: str, name: str, content: str) -> int:
     """One file a row; how many.  For flags and small sets of files: pages belong into files of many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        made: set[str] = set()
         for batch in batches:
             for n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                put_file(folder, n, body or b"")
+                target = base + "/" + n
+                above = target.rpartition("/")[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                own = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(own, compression=None) as out:
+                    out.write(body or b"")
+                system.move(own, target)
             yield batch.select([0])
 
     return rows.select(F.col(name).alias("name"), F.col(content).cast("binary")).mapInArrow(run, "name string").count()
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's listings leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def read_files(spark: SparkSession, folder: str, ending: str) -> DataFrame:
+    """(path, content) of files below a folder whose names end so; paths are relative to it.  Hidden and empty files are left out.
+
+    Folders are listed by tasks, one level after the other, so no list of files passes through the driver; files
+    are opened by tasks, one after the other, without a reader of Spark's for each.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        base = base.rstrip("/")
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found = [x for x in system.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/"))) if not _hidden(x.base_name)]
+                found = [x for x in found if x.type == fs.FileType.Directory or (x.size and x.base_name.endswith(ending))]
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    names = [f"{at}/{x.base_name}".lstrip("/") for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x.type == fs.FileType.Directory for x in part], pa.bool_())], ["path", "inner"])
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        base = base.rstrip("/")
+        rows = lambda names, bodies: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+        for batch in batches:
+            names, bodies, held = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{base}/{name}", compression=None) as file:
+                    body = file.read()
+                names.append(name)
+                bodies.append(body)
+                held += len(body)
+                if held > HELD:
+                    yield rows(names, bodies)
+                    names, bodies, held = [], [], 0
+            if names:
+                yield rows(names, bodies)
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, files = spark.createDataFrame([("",)], "path string").repartition(1), []
+    while True:
+        found = written(level.mapInArrow(listed, "path string, inner boolean"), "listed")
+        files.append(found.where("not inner").select("path"))
+        level = found.where("inner").select("path")
+        inner = level.count()
+        if not inner:
+            break
+        level = level.repartition(min(own, inner), "path")
+    every = files[0]
+    for more in files[1:]:
+        every = every.unionByName(more)
+    n = every.count()
+    # Names are small and files are not: their number is dealt out, which Spark does not put together again.
+    tasks = max(1, min(own, -(-n // 500)), -(-n // 2000))
+    return every.repartition(tasks, "path").mapInArrow(taken, "path string, content binary")
+
+
 def write_zstd_lines(lines: DataFrame, folder: str, column: str = "line") -> int:
     """A zstd file of lines a partition, compressed as a stream; how many lines."""
 

@@ -142,3 +142,15 @@ def test_formulas_agree_by_markup():
     one = {"mathml": "<math><semantics><mi>x</mi><annotation>x</annotation></semantics></math>", "spans": []}
     other = {"mathml": "<math><semantics> <mi>x</mi> <mi>y</mi><annotation>xy</annotation></semantics></math>", "spans": [{"text": "q", "x": 0.0, "y": 0.0, "w": 1.0, "h": 1.0}]}
     assert same_formula(one, other) and not same_formula(other | {"mathml": "<math>z</math>", "spans": []}, other)
+
+
+def test_read_files_by_tasks(spark, tmp_path):
+    """Folders are listed by tasks: no list of files, and no reader of Spark's a file; hidden and empty files are left out."""
+    names = {f"a{k % 3}/b{k % 2}/{k}.md": f"text {k}" for k in range(40)} | {"top.md": "Ä", "a0/b0/x y%20.md": "z"}
+    other = {"a0/none.md": "", "a0/_own.md": "x", ".hid/q.md": "x", "_tmp/q.md": "x", "a0/n.txt": "x", "a0/k=1/_s=1.md": "kept"}
+    for name, text in (names | other).items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(text)
+    got = sinks.read_markdown_tree(spark, f"file:{tmp_path}/t/")
+    assert sorted(map(tuple, got.collect())) == sorted((names | {"a0/k=1/_s=1.md": "kept"}).items())
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
