@@ -18,11 +18,13 @@ threshold differ in ``k = 2 * high * (1 - t) / (1 + t)`` elements at most.
 2. Signatures are counted by 40 of their bits, one narrow row a signature and task.  Those that occur twice set
    the bits of a map of fixed size; only documents that have such a signature go on, with those
    signatures alone, one document for equal words (a *class*).
-3. Every class is compared on whole sets with the *star* of its signature, the member whose
-   signatures are the most populous.  Texts travel to their stars, not sets, which take twice their room; what
-   differs is kept, and of that only the rows that pairs name are read again.  Members that do not end in their star's component are
-   compared further under exact bounds (as for near duplicates), so groups of copies cost a
-   comparison a member, and no link between different texts is lost.
+3. Of the members of a signature, the *star* is the one whose signatures are the most populous.  A class has a
+   *sketch*, the parity of its elements in some bits an element.  Two sketches differ in no more bits than their sets
+   in elements, so a pair whose sketches differ in more than ``k`` bits is ruled out with certainty, without its texts.
+   Every class is compared with its stars so, and what is left on whole sets, for which texts travel to their stars.
+   Members that do not end in their star's component (*outsiders*) meet the star's other members by their
+   sketches, in blocks of bounded size; only pairs that these allow leave the join and are compared on whole sets.
+   So groups of copies cost a comparison a member, and no link between different texts is lost.
 4. Components come from label propagation over the confirmed links.
 
 Defined results: null and empty texts, and those of white space alone, have an empty set and
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.common import materialize, release
-from docflow.llm.minhash_dedup import GAIN, _further_pairs, _placed, _second_stars, components, shingle_sets
+from docflow.llm.minhash_dedup import _sizes_allow, components, shingle_sets
 from docflow.llm.wordhash import buffers, groups, lists, mix, named
 from docflow.operators.bits import bit_map, in_map
 
@@ -60,6 +62,10 @@ SPARSE = 4
 MAP_BITS = 26
 #: Bits of a signature that are counted; those of the map are among them, the rest tells apart what shares a bit there.
 COUNTED = 40
+#: Words of 64 bits of the least sketch, which is what outsiders are first compared by; a sketch has two bits an element at least.
+WORDS = 8
+#: Outsiders of a star that meet its members in one block.
+BLOCK = 1000
 
 _SEED, _PATH, _VALUE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -136,6 +142,20 @@ def signatures(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[np.nd
     return [np.unique(np.concatenate(s)) if s else np.zeros(0, np.uint64) for s in out]
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The parity of a set's elements in each of ``64 * WORDS`` bits, or twice, four times as many for larger sets."""
+    words = WORDS
+    while words * 32 < len(values):
+        words *= 2
+    at = (mix(values) & np.uint64(words * 64 - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=words * 64) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer words: bits that share a place there are added."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
 def _signed(width: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +163,8 @@ def _signed(width: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]],
                 texts = batch.column(1)[lo:hi]
                 sets = shingle_sets(texts, width)
                 found = [s.view(np.int64) for s in signatures(sets, threshold)]
-                columns = [batch.column(0)[lo:hi], pa.array(_nodes(texts), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists(found, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "signatures"])
+                columns = [batch.column(0)[lo:hi], pa.array(_nodes(texts), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists(found, pa.int64()), lists([sketch(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "signatures", "sketch"])
 
     return run
 
@@ -169,7 +189,8 @@ def _shared_only(words: np.ndarray, copies: np.ndarray):
             left = np.split(own[good], cuts[:-1]) if len(sizes) else []
             rows = pa.array(np.flatnonzero(keep))
             copy = in_map(batch.column(1).to_numpy()[keep], copies)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(copy), lists([x for x, k in zip(left, keep, strict=True) if k], pa.int64())], ["node", "copy", "signatures"])
+            columns = [batch.column(0).take(rows), pa.array(copy), lists([x for x, k in zip(left, keep, strict=True) if k], pa.int64()), batch.column(3).take(rows), batch.column(4).take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "copy", "signatures", "n", "sketch"])
 
     return run
 
@@ -232,15 +253,52 @@ def _named_in(words: np.ndarray) -> Callable[[Column], Column]:
     return named_in
 
 
-def _common(a: str, b: str) -> Column:
-    """Elements that two members of one star share, from how each differs from the star.
+def _sketches_allow(threshold: int) -> Callable[..., Column]:
+    """Whether sets of such sizes and sketches can reach the threshold at all."""
 
-    ``{a}_off`` are the elements of the star that a member lacks or, where ``{a}_has``, those that it has.
-    """
-    x, y = F.col(f"{a}_off"), F.col(f"{b}_off")
-    one, two = F.col(f"{a}_has"), F.col(f"{b}_has")
-    inside = F.when(one & two, F.size(F.array_intersect(x, y))).when(one, F.size(F.array_except(x, y))).when(two, F.size(F.array_except(y, x))).otherwise(F.col(f"{a}_ns") - F.size(F.array_union(x, y)))
-    return inside + F.size(F.array_intersect(f"{a}_extra", f"{b}_extra"))
+    @F.arrow_udf("boolean")
+    def allow(total: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        unlike = np.zeros(len(total), np.int64)
+        for k in range(len(total)):
+            x, y = (side[k].values.to_numpy() for side in (a, b))
+            least = min(len(x), len(y))
+            unlike[k] = np.bitwise_count((folded(x, least) ^ folded(y, least)).view(np.uint64)).sum()
+        return pa.array(unlike * (100 + threshold) <= total.to_numpy() * (100 - threshold))
+
+    return allow
+
+
+def _least(column: str) -> Column:
+    """Sketches of the least size."""
+
+    @F.arrow_udf("array<long>")
+    def least(sketches: pa.Array) -> pa.Array:
+        return lists([folded(sketches[k].values.to_numpy(), WORDS) for k in range(len(sketches))], pa.int64())
+
+    return least(column)
+
+
+def _outsider_pairs(spokes: DataFrame, labels: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of one star, one of them in another component than it and the other, that least sketches allow."""
+    placed = spokes.join(labels.toDF("node", "comp"), "node", "left").join(labels.toDF("star", "star_comp"), "star", "left")
+    comp = F.coalesce("comp", "node")
+    placed = placed.select("star", "node", comp.alias("comp"), (comp != F.coalesce("star_comp", "star")).alias("outside"))
+    # A star with one member has no further pair, nor has one without outsiders.
+    busy = placed.groupBy("star").agg(F.count(F.lit(1)).alias("m"), F.count_if("outside").alias("out")).where("m > 1 and out > 0")
+    blocks = F.floor((F.col("out") - 1) / BLOCK)
+    placed = placed.join(busy.select("star", blocks.alias("last")), "star").join(sketches, "node")
+    placed = materialize(placed.select("star", "node", "comp", "outside", "last", "n", _least("sketch").alias("least")), "op11-placed")
+    bits = [f"w{k}" for k in range(WORDS)]
+    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("outside").alias(f"o{x}"), *(F.col("least")[k].alias(f"{x}{w}") for k, w in enumerate(bits))]
+    left = placed.where("outside").select("star", F.pmod(F.xxhash64("node"), F.col("last") + 1).alias("block"), *side("a"))
+    right = placed.select("star", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"), *side("b"))
+    unlike = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in bits), F.lit(0))
+    fits = (F.col("ca") != F.col("cb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & _sizes_allow(F.col("na"), F.col("nb"), threshold)
+    fits = fits & (unlike * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold))
+    pairs = left.join(right, ["star", "block"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = materialize(pairs, "op11-pairs")
+    release(spokes.sparkSession, placed)
+    return out
 
 
 def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
@@ -251,7 +309,7 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_signed(width, threshold), "doc_id long, node binary, n_shingles long, signatures array<long>")
+    rows = texts.mapInArrow(_signed(width, threshold), "doc_id long, node binary, n_shingles long, signatures array<long>, sketch array<long>")
     seen = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "op11-signed")
     shared = bit_map(_repeated(seen), MAP_BITS)
     release(spark)
@@ -261,7 +319,7 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     # Only what may be a copy is looked up among the first documents, so the signatures of others stay where they are.
     firsts = reps.select(F.col("node").alias("first"))
     copies = bit_map(seen.join(firsts, F.col("row") == F.col("first"), "left_anti").select(F.xxhash64("row").alias("h")), MAP_BITS)
-    held = seen.select("row", F.xxhash64("row").alias("h"), "signatures").mapInArrow(_shared_only(shared, copies), "node long, copy boolean, signatures array<long>")
+    held = seen.select("row", F.xxhash64("row").alias("h"), "signatures", "n_shingles", "sketch").mapInArrow(_shared_only(shared, copies), "node long, copy boolean, signatures array<long>, n long, sketch array<long>")
     held = materialize(held, "op11-held")
     first = held.where("copy").join(firsts, F.col("node") == F.col("first"), "left_semi")
     # The signatures of all documents are not read again.
@@ -274,60 +332,36 @@ def ngram_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE
     ranked = members.select("signature", "node").join(rank, "node")
     stars = ranked.groupBy("signature").agg(F.max(F.struct("rank", "node")).alias("top")).select("signature", F.col("top.node").alias("star"))
     spokes = materialize(members.select("signature", "node").join(stars, "signature").where("node != star").select("star", "node").distinct(), "op11-spokes")
+    words = bit_map(spokes.select("star").union(spokes.select("node")).select(F.xxhash64("star").alias("h")), MAP_BITS)
+    sketches = materialize(held.where(_named_in(words)(F.xxhash64("node"))).select("node", "n", "sketch"), "op11-sketches")
     release(spark, held, members)
-    found = _texts_of(spokes, seen, reps, texts)
-    whole = found.where(F.array_contains("stars", F.col("node"))).select(F.col("node").alias("star"), F.col("text").alias("x"))
-    full = found.select(F.explode("stars").alias("star"), "node", F.col("text").alias("y")).where("star != node").join(whole, "star")
-    full = full.select("star", "node", "y", "x").mapInArrow(_against_star(width), "star long, node long, n int, ns int, common int, extra array<long>, has boolean, off array<long>")
-    checked = materialize(full, "op11-checked")
-    release(spark, found)
-    linked = F.col("common") * 100 >= (F.col("n") + F.col("ns") - F.col("common")) * threshold
-    links = checked.where(linked).select(F.col("star").alias("a"), F.col("node").alias("b"))
-    labels = components(links)
-    prefix = (F.col("n") - F.ceil(F.col("n") * (threshold / 100) - 1e-9) + 1).cast("int")
-    sized = checked.select("star", "node", "n", "ns", "common", F.slice("extra", F.lit(1), prefix).alias("fresh"))
-    starred = materialize(checked.groupBy("node").agg(F.collect_set("star").alias("stars")), "op11-starred")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by how both differ from a star that they share."""
-        # One of the stars that both have: any tells the same.
-        asked = pairs.join(starred.toDF("a", "a_stars"), "a").join(starred.toDF("b", "b_stars"), "b")
-        asked = materialize(asked.select("a", "b", F.array_min(F.array_intersect("a_stars", "b_stars")).alias("star")), "op11-asked")
-        # Of the members' differences, only those rows are shuffled that a pair names.
-        words = bit_map(asked.select(F.explode(F.array(F.xxhash64("star", "a"), F.xxhash64("star", "b"))).alias("h")), MAP_BITS)
-        needed = checked.where(_named_in(words)(F.xxhash64("star", "node")))
-        side = lambda k: needed.select("star", F.col("node").alias(k), F.col("ns").alias(f"{k}_ns"), F.col("n").alias(f"{k}_n"), F.col("extra").alias(f"{k}_extra"), F.col("has").alias(f"{k}_has"), F.col("off").alias(f"{k}_off"))
-        both = asked.join(side("a"), ["star", "a"]).join(side("b"), ["star", "b"]).withColumn("shared", _common("a", "b"))
-        out = materialize(both.where(F.col("shared") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("shared")) * threshold).select("a", "b"), "op11-more")
-        release(spark, asked)
-        return out
-
-    placed = _placed(sized, labels)
-    outsiders = placed.where("outside").count()
-    while outsiders:
-        more = confirmed(_second_stars(placed, threshold))
-        if not more.limit(1).count():
-            break
-        links = links.unionByName(more)
-        release(spark, labels, placed)
-        labels = components(links)
-        placed = _placed(sized, labels)
-        before, outsiders = outsiders, placed.where("outside").count()
-        if outsiders > before * (1 - GAIN):
-            break
-    if outsiders:
-        pairs = _further_pairs(placed, threshold)
-        more = confirmed(pairs)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-        release(spark, pairs, placed)
+        """The pairs (a, b) that link: sketches must allow it, whole sets decide."""
+        both = pairs.join(sketches.toDF("a", "a_n", "a_sketch"), "a").join(sketches.toDF("b", "b_n", "b_sketch"), "b")
+        allowed = _sizes_allow(F.col("a_n"), F.col("b_n"), threshold) & _sketches_allow(threshold)(F.col("a_n") + F.col("b_n"), "a_sketch", "b_sketch")
+        asked = materialize(both.where(allowed).select(F.col("a").alias("star"), F.col("b").alias("node")), "op11-asked")
+        found = _texts_of(asked, seen, reps, texts)
+        whole = found.where(F.array_contains("stars", F.col("node"))).select(F.col("node").alias("star"), F.col("text").alias("x"))
+        full = found.select(F.explode("stars").alias("star"), "node", F.col("text").alias("y")).where("star != node").join(whole, "star")
+        full = full.select("star", "node", "y", "x").mapInArrow(_against_star(width), "star long, node long, n int, ns int, common int, extra array<long>, has boolean, off array<long>")
+        checked = materialize(full, "op11-checked")
+        release(spark, asked, found)
+        return checked.where(F.col("common") * 100 >= (F.col("n") + F.col("ns") - F.col("common")) * threshold).select(F.col("star").alias("a"), F.col("node").alias("b"))
+
+    links = confirmed(spokes.toDF("a", "b"))
+    labels = components(links)
+    pairs = _outsider_pairs(spokes, labels, sketches, threshold)
+    if pairs.limit(1).count():
+        labels = components(links.unionByName(confirmed(pairs)))
+    release(spark, pairs)
     lowest = reps.select("name", "node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = lowest.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named_at = lowest.join(least, "comp").select("name", "component_id")
     out = seen.select("doc_id", "node", "n_shingles").join(named_at, F.col("node") == F.col("name"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id")), "op11-components")
-    release(spark, seen, reps, spokes, checked, starred, labels)
+    release(spark, seen, reps, spokes, sketches, links, labels)
     return out
 
 

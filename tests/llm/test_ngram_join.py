@@ -141,3 +141,43 @@ def test_repeated_signatures_are_in_the_map(spark):
     seen = spark.createDataFrame([(own[k : k + 40].tolist(),) for k in [*range(0, 4000, 40), *range(0, 400, 40)]], "signatures array<long>")
     words = bit_map(N._repeated(seen), N.MAP_BITS)
     assert in_map(own[:400], words).all() and in_map(own[400:], words).sum() < 10
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 200, 256, 257, 700, 5000):
+        full = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([full[rng.random(n) < 0.9], rng.integers(0, 2**63, n // 4 + 1, dtype=np.uint64)]))
+        one, two = N.sketch(full), N.sketch(other)
+        assert len(one) * 64 >= max(512, 2 * n)
+        for size in {N.WORDS, min(len(one), len(two))}:
+            apart = int(np.bitwise_count((N.folded(one, size) ^ N.folded(two, size)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(full, other)) and (apart - len(np.setxor1d(full, other))) % 2 == 0
+    far = [N.sketch(np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))) for _ in range(20)]
+    assert all(np.bitwise_count((a ^ b).view(np.uint64)).sum() * 185 > 600 * 15 for a, b in combinations(far, 2))
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_members_that_share_an_edit_make_few_pairs(spark, monkeypatch, block):
+    """Near copies with one edit in common and others of their own: nearly all pairs are ruled out by sketches."""
+    monkeypatch.setattr(N, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 81):
+        own = [*base[:70], "shared", *base[71:]]
+        for at in rng.sample([x for x in range(150) if x != 70], 5):
+            own[at] = f"e{k}at{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(100, rows[40][1] + " and"), (101, rows[50][1] + " or")]
+    asked, real = [], N.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "op11-asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    assert found(ngram_join(make(spark, rows))) == truth(rows)
+    assert sum(asked) < 2 * len(rows)
