@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from docflow.operators.scratch import written
 
@@ -94,23 +95,6 @@ def call_model(rows: DataFrame, request: Column, make_client: Callable[[], Calla
     return rows.withColumn("__request", request.cast("string")).mapInArrow(run, schema)
 
 
-@METRICS.add("text_edit", "mean edit distance over the longer text")
-def text_edit(pairs: DataFrame) -> DataFrame:
-    from docflow.functions.text import normalized_levenshtein, prepare_for_text_edit
-
-    d = normalized_levenshtein(prepare_for_text_edit(F.col("pred")), prepare_for_text_edit(F.col("target")))
-    return pairs.select("rel", d.alias("text_edit"), (1 - d).alias("text_edit_sim"))
-
-
-@METRICS.add("reading_order", "distance of the texts with lines trimmed")
-def reading_order(pairs: DataFrame) -> DataFrame:
-    from docflow.functions.text import normalized_levenshtein
-
-    trimmed = lambda c: F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    d = normalized_levenshtein(trimmed(F.col("pred")), trimmed(F.col("target")))
-    return pairs.select("rel", d.alias("reading_order_ned"), (1 - d).alias("reading_order"))
-
-
 @METRICS.add("formula", "characters of formulas that agree")
 def formula(pairs: DataFrame) -> DataFrame:
     from docflow.functions.text import extract_formulas
@@ -134,35 +118,90 @@ def _python_metric(fn: Callable, prepare: Callable[[Column], Column], names: tup
         score = row_udf(fn, kind)(pred=prepare(F.col("pred")), target=prepare(F.col("target")))
         return pairs.select("rel", score.alias("s")).select("rel", *[F.col(f"s.{n}").alias(n) for n in names])
 
+    run.parts = fn, prepare, kind
     return run
 
 
+def _parts_of(name: str) -> tuple[Callable, Callable[[Column], Column], DataType] | None:
+    """What a metric of :func:`_python_metric` scores, how it prepares a text and what it gives; none for others."""
+    return getattr(METRICS.get(name)(None), "parts", None) if METRICS.get(name) in _SCORED else None
+
+
+def _scored_at_once(pairs: DataFrame, parts: dict) -> DataFrame:
+    """``pairs`` with a column ``__scores``: a struct of what each metric gives, from one call of Python a batch."""
+    from pyspark.sql import types as T
+
+    from docflow.functions.fuzzy import row_udf
+
+    scores = {n: fn for n, (fn, _, _) in parts.items()}
+
+    def run(pred: dict, target: dict) -> dict:
+        return {n: fn(pred=pred[n], target=target[n]) for n, fn in scores.items()}
+
+    side = lambda c: F.struct(*[prepare(F.col(c)).alias(n) for n, (_, prepare, _) in parts.items()])
+    kind = T.StructType([T.StructField(n, k) for n, (_, _, k) in parts.items()])
+    return pairs.select("*", row_udf(run, kind)(pred=side("pred"), target=side("target")).alias("__scores"))
+
+
+def _distance_metric(prepare: Callable[[Column], Column], distance: str, similarity: str) -> Callable[[DataFrame], DataFrame]:
+    """The edit distance of prepared texts over the longer one, and what it lacks of 1.
+
+    Prepared texts stand once in the plan: as a native distance needs them many times, Spark takes longer to plan than to run.
+    """
+    from docflow.functions import fuzzy
+
+    def score(pred: str | None, target: str | None) -> dict:
+        d = fuzzy.normalized_distance(pred, target)
+        return {} if d is None else {distance: d, similarity: 1 - d}
+
+    return _python_metric(score, prepare, (distance, similarity))
+
+
+@METRICS.add("text_edit", "mean edit distance over the longer text")
+def text_edit(pairs: DataFrame) -> DataFrame:
+    from docflow.functions.text import prepare_for_text_edit
+
+    metric = _distance_metric(prepare_for_text_edit, "text_edit", "text_edit_sim")
+    return metric if pairs is None else metric(pairs)
+
+
+@METRICS.add("reading_order", "distance of the texts with lines trimmed")
+def reading_order(pairs: DataFrame) -> DataFrame:
+    trimmed = lambda c: F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    metric = _distance_metric(trimmed, "reading_order_ned", "reading_order")
+    return metric if pairs is None else metric(pairs)
+
+
 @METRICS.add("headings", "precision and recall of headings, by text and by level")
 def headings(pairs: DataFrame) -> DataFrame:
     from docflow.functions import fuzzy, text
 
-    return _python_metric(lambda pred, target: fuzzy.heading_scores(pred, target), text.extract_headings, ("text_p", "text_r", "level_p", "level_r"))(pairs)
+    metric = _python_metric(lambda pred, target: fuzzy.heading_scores(pred, target), text.extract_headings, ("text_p", "text_r", "level_p", "level_r"))
+    return metric if pairs is None else metric(pairs)
 
 
 @METRICS.add("table_trees", "tree similarity of tables, with and without their texts")
 def table_trees(pairs: DataFrame) -> DataFrame:
     from docflow.functions import tables, text
 
-    return _python_metric(lambda pred, target: tables.table_scores(pred, target), text.extract_tables, ("teds_structure", "teds_text"))(pairs)
+    metric = _python_metric(lambda pred, target: tables.table_scores(pred, target), text.extract_tables, ("teds_structure", "teds_text"))
+    return metric if pairs is None else metric(pairs)
 
 
 @METRICS.add("table_cells", "precision, recall and similarity of matched table cells")
 def table_cells(pairs: DataFrame) -> DataFrame:
     from docflow.functions import tables, text
 
-    return _python_metric(lambda pred, target: tables.table_f1(pred, target) or {}, text.extract_tables, ("p", "r", "f1", "avg_sim"))(pairs)
+    metric = _python_metric(lambda pred, target: tables.table_f1(pred, target) or {}, text.extract_tables, ("p", "r", "f1", "avg_sim"))
+    return metric if pairs is None else metric(pairs)
 
 
 @METRICS.add("code_trees", "tree similarity of fenced code")
 def code_trees(pairs: DataFrame) -> DataFrame:
     from docflow.functions import fuzzy
 
-    return _python_metric(lambda pred, target: {"code_ted": fuzzy.tree_similarity(fuzzy.code_tree(pred or ""), fuzzy.code_tree(target or ""))}, lambda x: x, ("code_ted",))(pairs)
+    metric = _python_metric(lambda pred, target: {"code_ted": fuzzy.tree_similarity(fuzzy.code_tree(pred or ""), fuzzy.code_tree(target or ""))}, lambda x: x, ("code_ted",))
+    return metric if pairs is None else metric(pairs)
 
 
 _RECORD = (
@@ -246,7 +285,11 @@ def box_scores(pred: list[list[float]], target: list[list[float]]) -> dict:
 def image_boxes(pairs: DataFrame) -> DataFrame:
     from docflow.functions import text
 
-    return _python_metric(box_scores, text.extract_image_boxes, ("iou", "pairs"))(pairs)
+    metric = _python_metric(box_scores, text.extract_image_boxes, ("iou", "pairs"))
+    return metric if pairs is None else metric(pairs)
+
+
+_SCORED = {headings, table_trees, table_cells, code_trees, image_boxes, text_edit, reading_order}
 
 
 def evaluate(pairs: DataFrame, metrics: list[str]) -> DataFrame:
@@ -256,12 +299,20 @@ def evaluate(pairs: DataFrame, metrics: list[str]) -> DataFrame:
     so all are columns of one pass and every pair stays one row, also where ``rel`` is null or
     repeats.  A metric of a null text is what the metric makes of it.
     """
-    out = pairs.select("rel", "pred", "target")
+    parts = {name: p for name in metrics if (p := _parts_of(name))}
+    out, values = pairs.select("rel", "pred", "target"), []
     for name in metrics:
+        if name in parts:
+            values.append([F.col("__scores")[name][n].alias(n) for n in parts[name][2].names])
+            continue
         known = F.struct(*[F.col(c) for c in out.columns])
         found = METRICS.get(name)(out.select(known.alias("rel"), "pred", "target"))
-        out = found.select("rel.*", *[c for c in found.columns if c != "rel"])
-    values = [c for c in out.columns if c not in ("rel", "pred", "target")]
+        values.append([c for c in found.columns if c != "rel"])
+        out = found.select("rel.*", *values[-1])
+    # Metrics in Python come last and at once: one by one, Spark takes longer to plan them than to run them.
+    out = _scored_at_once(out, parts) if parts else out
+    out = out.select("rel", *[c for own in values for c in own])
+    values = out.columns[1:]
     out = written(out.select("rel", *values), "evaluation")
     average = out.agg(*[F.avg(c).alias(c) for c in values]).withColumn("rel", F.lit("average"))
     return average.unionByName(out).select("rel", *[F.round(c, 4).alias(c) for c in values])

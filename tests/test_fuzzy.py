@@ -229,3 +229,41 @@ def test_substitutions_are_aligned_without_a_table(monkeypatch):
     words = [f"w{draw.randrange(2000)}" if draw.random() < 0.9 else "the" for _ in range(20000)]
     gold = " ".join(words)
     assert Z.document_similarity(gold, gold.replace("the", "tha")) == sum(w != "the" for w in words) / len(words)
+
+
+def test_replacements_tell_the_distance():
+    import random
+
+    from docflow.functions import fuzzy
+
+    rng = random.Random(4)
+    known = 0
+    for _ in range(400):
+        a = "".join(rng.choice("abcde") for _ in range(rng.randrange(12)))
+        b = rng.choice([a.replace("a", "3"), a[1:] + a[:1], "".join(rng.choice("abcde") for _ in range(rng.randrange(12)))])
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *row[1:]] if not b else row
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        found = fuzzy.replacements(a, b)
+        known += found is not None
+        assert found in (None, row[-1]) and fuzzy.edit_distance(a, b) == row[-1]
+    assert known > 100
+    assert fuzzy.normalized_distance(None, "a") is None and fuzzy.normalized_distance("", "") == 0
+
+
+def test_python_metrics_are_one_call(spark):
+    from docflow.plans import extensions as E
+
+    pairs = spark.createDataFrame([("a", "# T\nthr33 words", "# T\nthree words"), ("b", None, "x"), (None, "", "")], "rel string, pred string, target string")
+    plans, real = [], E.written
+    E.written = lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1]
+    try:
+        rows = {r["rel"]: r for r in E.evaluate(pairs, ["formula", "reading_order", "text_edit"]).collect()}
+    finally:
+        E.written = real
+    assert plans[0].count("ArrowEvalPython") == 1
+    assert rows["a"]["text_edit"] == round(2 / 13, 4) and rows["a"]["reading_order_ned"] == round(2 / 15, 4)
+    assert rows["b"]["text_edit"] is None and rows["b"]["reading_order"] is None and rows[None]["text_edit_sim"] == 1
