@@ -160,11 +160,18 @@ def chunks(df: DataFrame, order: str, size: int, group: str) -> DataFrame:
 
 
 def merge_spans(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Overlapping and touching spans of a group become one."""
-    w = Window.partitionBy(group).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1))
-    return marked.withColumn("_run", F.sum("_new").over(w)).groupBy(group, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+    """Overlapping and touching spans of a group become one.
+
+    Nulls stand last.  A span that does not reach its own start (no start or end, or an end ahead of it) and that
+    none before it reaches stays alone, each of its copies too.
+    """
+    w = Window.partitionBy(group).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
+    reach = lambda last: F.max(end).over(w.rowsBetween(Window.unboundedPreceding, last))
+    marked = df.withColumn("_new", F.when(F.col(start) <= reach(-1), 0).otherwise(1)).withColumn("_alone", ~F.coalesce(F.col(start) <= reach(0), F.lit(False)))
+    # Equal spans share a run here, in whatever order they come; those that stay alone share it with nothing else.
+    runs = marked.withColumn("_run", F.sum("_new").over(w)).groupBy(group, "_run")
+    merged = runs.agg(F.min(start).alias(start), F.max(end).alias(end), F.count_if("_alone").alias("_alone"))
+    return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_alone", F.lit(1))))).drop("_run", "_alone", "_copy")
 
 
 def gap_runs(items: Column, gap: str, least: int) -> Column:

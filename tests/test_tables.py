@@ -36,6 +36,13 @@ def test_gaps_and_spans(spark):
     assert sorted((r["a"], r["b"]) for r in K.merge_spans(spans, "g", "a", "b").collect()) == [(1, 5), (7, 8)]
 
 
+def test_spans_without_ends_merge_as_in_sql(spark):
+    # What the SQL of win_09_merge_spans makes of nulls, which stand last, and of ends ahead of their starts.
+    spans = spark.createDataFrame([("g", 1, None), ("g", 1, 3), ("g", 2, None), ("h", 4, None), ("h", 4, None), ("i", 5, 2), ("i", 5, 2), ("i", None, 9), ("i", None, 9), ("i", None, None)], "g string, a int, b int")
+    merged = [(r["g"], r["a"], r["b"]) for r in K.merge_spans(spans, "g", "a", "b").collect()]
+    assert sorted(merged, key=str) == sorted([("g", 1, 3), ("h", 4, None), ("h", 4, None), ("i", 5, 2), ("i", 5, 2), ("i", None, 9), ("i", None, 9), ("i", None, None)], key=str)
+
+
 def test_sampling_is_repeatable(spark):
     rows = spark.range(100).withColumn("g", F.col("id") % 4)
     pick = lambda df: sorted(r["id"] for r in S.sample_n(df, "id", 10, "3").collect())
