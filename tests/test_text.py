@@ -1,3 +1,7 @@
+import difflib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +58,19 @@ def test_fuzzy():
     assert Z.diff_marks("abc", "abd") == "ab[-c-][+d+]"
 
 
+def test_diff_marks_search_strings(monkeypatch):
+    # The blocks of difflib, without its table of equal characters.
+    draw = random.Random(4)
+    texts = ["".join(draw.choices(kinds, k=draw.randrange(40))) for kinds in ("ab", "abc", "etaoin \u00e9\U0001f600") for _ in range(200)]
+    wanted = [[tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]] for a, b in zip(texts, texts[1:], strict=False)]
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    for a, b, blocks in zip(texts, texts[1:], wanted, strict=False):
+        assert Z.common_blocks(a, b) == blocks
+        marked = Z.diff_marks(a, b)
+        assert re.sub(r"\[-.*?-\]|\[\+|\+\]", "", marked, flags=re.DOTALL) == b
+    assert Z.diff_marks("", "") == "" and Z.diff_marks("", "x") == "[+x+]" and Z.diff_marks("x" * 100_000, "x" * 100_000) == "x" * 100_000
+
+
 def test_trees():
     a = Z.markdown_tree("# A\ntext\n## B\n- x\n- y")
     assert Z.tree_distance(a, a) == 0 and Z.tree_similarity(a, Z.markdown_tree("# A\ntext")) < 1
