@@ -197,11 +197,16 @@ def parse_markdown(text: Column) -> Column:
 
 def harvest_equations(text: Column, dollars: bool = True) -> Column:
     """Equations between \\(, \\[ and, with ``dollars``, $$ and $, in that order; each pass works on what the last left."""
-    out = F.array().cast("array<string>")
-    for pattern in (INLINE_LATEX, r"(?s)\\\[(.+?)\\\]", BLOCK_MATH, r"(?s)\$(.+?)\$")[: 4 if dollars else 2]:
-        out = F.concat(out, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), strip))
-        text = F.regexp_replace(text, pattern, "")
-    return out
+    patterns = (INLINE_LATEX, r"(?s)\\\[(.+?)\\\]", BLOCK_MATH, r"(?s)\$(.+?)\$")[: 4 if dollars else 2]
+    found = lambda text, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), strip)
+    none = F.array().cast("array<string>")
+    out, left = none, text
+    for pattern in patterns:
+        out = F.concat(out, found(left, pattern))
+        left = F.regexp_replace(left, pattern, "")
+    # Passes before the last leave a text without their marks as it is.
+    plain = ~(F.contains(text, F.lit("\\(")) | F.contains(text, F.lit("\\[")) | (F.contains(text, F.lit("$$")) if dollars else F.lit(False)))
+    return F.when(plain, found(text, patterns[-1]) if dollars else none).otherwise(out)
 
 
 #: Environments and marks of display formulas in TeX sources, then inline ones, each with its name.

@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ NEAR = ("up", "down", "left", "right", "top_heading", "left_heading")
 TEXTUAL = ("present", "absent", "order", "table")
 #: Tests whose weights a task keeps for the next candidate's score.
 _HELD = 4096
+#: Different outputs of a page whose results are held.
+_ALIKE = 16
 _RESULT = "candidate string, category string, id string, passed boolean, explanation string"
 
 
@@ -69,10 +72,11 @@ def _order(test: dict, body: str) -> tuple[bool, str]:
     before, after, most = Z.normalize(test["before"]) or "", Z.normalize(test["after"]) or "", test["max_diffs"] or 0
     if not before.strip() or not after.strip() or most > min(len(before), len(after)) // 2:
         return False, "order: a text is missing or too short for its differences"
-    one, two = Z.near_matches(before, body, most), Z.near_matches(after, body, most)
-    if not one or not two:
-        return False, f"order: {'before' if not one else 'after'} not found"
-    return (True, "") if min(m[0] for m in one) < max(m[0] for m in two) else (False, "order: only the other way round")
+    one = Z.near_start(before, body, most)
+    two = None if one is None else Z.near_start(after, body, most, last=True)
+    if one is None or two is None:
+        return False, f"order: {'before' if one is None else 'after'} not found"
+    return (True, "") if one < two else (False, "order: only the other way round")
 
 
 def _table(test: dict, text: str) -> tuple[bool, str]:
@@ -82,16 +86,39 @@ def _table(test: dict, text: str) -> tuple[bool, str]:
     return (True, "") if G.table_test(text, Z.normalize(test["cell"]), test["max_diffs"] or 0, **near) else (False, "table: no such cell")
 
 
+def _tests(column: pa.ListArray) -> Iterator[list[dict]]:
+    """The tests of each row, read field by field."""
+    rows = column.flatten()
+    names = [f.name for f in rows.type]
+    values = [[None] * len(x) if x.null_count == len(x) else x.to_pylist() for x in rows.flatten()]
+    tests = iter([dict(zip(names, v, strict=True)) for v in zip(*values, strict=True)])
+    for size in pc.list_value_length(column).to_pylist():
+        yield [next(tests) for _ in range(size)]
+
+
 def _textual(explain: bool):
+    def judged(text: str, tests: list[dict]) -> list[tuple]:
+        body, out = Z.normalize(text), []
+        for test in tests:
+            passed, why = _table(test, text) if test["type"] == "table" else _order(test, body) if test["type"] == "order" else _presence(test, body, explain)
+            out.append((test["category"], test["id"], passed, why))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Outputs of a page follow each other mostly; of those that are alike one is judged.
+        page: list[dict] | None = None
+        held: dict[str, list[tuple]] = {}
         for batch in batches:
             out: list[tuple] = []
-            for candidate, md, tests in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for candidate, md, tests in zip(batch.column(0).to_pylist(), batch.column(1), _tests(batch.column(2)), strict=True):
+                if tests != page:
+                    page, held = tests, {}
                 text = md.as_py() or ""
-                body = Z.normalize(text)
-                for test in tests.as_py():
-                    passed, why = _table(test, text) if test["type"] == "table" else _order(test, body) if test["type"] == "order" else _presence(test, body, explain)
-                    out.append((candidate, test["category"], test["id"], passed, why))
+                if text not in held:
+                    if len(held) >= _ALIKE:
+                        held.clear()
+                    held[text] = judged(text, tests)
+                out += [(candidate, *x) for x in held[text]]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["candidate", "category", "id", "passed", "explanation"])
@@ -136,12 +163,13 @@ def _weighted(replicates: int, seed: int):
             return np.random.default_rng([seed, zlib.crc32(f"{category}\0{key}".encode())]).poisson(1.0, replicates)
 
         for batch in batches:
-            for candidate, category, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                weights = drawn(category, key)
-                own = sums.setdefault((candidate, category), np.zeros(replicates))
-                own += weights * value
-        for (candidate, category), total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([candidate] * replicates, pa.string()), pa.array([category] * replicates, pa.string()), pa.array(range(replicates), pa.int32()), pa.array(total)], ["candidate", "category", "replicate", "total"])
+            for own, candidate, category, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if value:
+                    total = sums.setdefault((own, candidate, category), np.zeros(replicates))
+                    total += drawn(category, key) if value == 1 else drawn(category, key) * value
+        for (own, candidate, category), total in sums.items():
+            columns = [pa.array([own] * replicates, pa.bool_()), pa.array([candidate] * replicates, pa.string()), pa.array([category] * replicates, pa.string()), pa.array(range(replicates), pa.int32()), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, ["own", "candidate", "category", "replicate", "total"])
 
     return run
 
@@ -152,20 +180,22 @@ def report(tests: DataFrame, results: DataFrame, candidates: DataFrame, replicat
     ``low`` and ``high`` bound the overall rate: tests are resampled within categories by Poisson
     weights drawn where a test lies, so sums alone are shuffled, whatever scores there are.
     """
-    own = complete(tests).select("category", "id").distinct()
-    sizes = own.groupBy("category").agg(F.count(F.lit(1)).alias("tests"))
-    # All candidates' scores of a test stand in one task, so that its weights are drawn once.  Rates and draws
-    # read the scores from a table: results would else be made twice.
-    scores = results.select("candidate", "category", "id", "passed").repartition("category", "id").groupBy("candidate", "category", "id").agg(F.avg(F.col("passed").cast("double")).alias("score"))
-    scores = written(scores, "bench-scores")
-    sums = scores.groupBy("candidate", "category").agg(F.sum("score").alias("got"))
+    # Tests stand among the scores as rows of their own, and all rows of a test in one task and together, so that
+    # its weights are drawn once.  Rates and draws read them from a table: results would else be made twice.
+    own = complete(tests).select(F.lit(True).alias("own"), F.lit(None).cast("string").alias("candidate"), "category", "id", F.lit(True).alias("passed"))
+    given = results.select(F.lit(False).alias("own"), "candidate", "category", "id", "passed").unionByName(own)
+    scores = given.repartition("category", "id").groupBy("own", "candidate", "category", "id").agg(F.avg(F.col("passed").cast("double")).alias("score"))
+    scores = written(scores.sortWithinPartitions("category", "id"), "bench-scores")
+    sizes = scores.where("own").groupBy("category").agg(F.count(F.lit(1)).alias("tests"))
+    sums = scores.where("NOT own").groupBy("candidate", "category").agg(F.sum("score").alias("got"))
     grid = candidates.select("candidate").distinct().join(sizes.agg(F.collect_list(F.struct("category", "tests")).alias("s"))).select("candidate", F.inline("s"))
     rates = grid.join(sums, ["candidate", "category"], "left").select("candidate", "category", "tests", (F.coalesce("got", F.lit(0.0)) / F.col("tests")).alias("rate"))
-    # Weights of all tests of a category, and of the scores of each candidate in it.
-    layout = "candidate string, category string, replicate int, total double"
-    summed = lambda rows, name: rows.mapInArrow(_weighted(replicates, seed), layout).groupBy("candidate", "category", "replicate").agg(F.sum("total").alias(name))
-    mass = summed(own.select(F.lit("").alias("candidate"), "category", "id", F.lit(1.0).alias("value")), "mass").drop("candidate")
-    drawn = summed(scores.select("candidate", "category", "id", F.col("score").alias("value")), "drawn")
+    # Weights of all tests of a category, and of the scores of each candidate in it: a few rows a category and replicate.
+    layout = "own boolean, candidate string, category string, replicate int, total double"
+    weighted = scores.select("own", "candidate", "category", "id", "score").mapInArrow(_weighted(replicates, seed), layout)
+    totals = written(weighted.groupBy("own", "candidate", "category", "replicate").agg(F.sum("total").alias("total")), "bench-draws")
+    mass = totals.where("own").select("category", "replicate", F.col("total").alias("mass"))
+    drawn = totals.where("NOT own").select("candidate", "category", "replicate", F.col("total").alias("drawn"))
     asked = candidates.select("candidate").distinct().join(mass)  # a row a candidate, category and replicate
     means = asked.join(drawn, ["candidate", "category", "replicate"], "left").where("mass > 0").groupBy("candidate", "replicate").agg(F.avg(F.coalesce("drawn", F.lit(0.0)) / F.col("mass")).alias("mean"))
     tail = (1 - level) / 2

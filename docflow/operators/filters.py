@@ -132,27 +132,32 @@ def alnum_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-def trailing_repeats(text: Column, sizes: int = 5) -> Column:
+def trailing_repeats(text: Column, sizes: int = 5, most: int | None = None) -> Column:
     """How often the last n characters repeat at the end, for n of 1 to ``sizes``.
 
     Runs of white space count as one space, also at the ends.  Shorter texts have no repeats.
+    With ``most`` counts beyond it are not told apart, and only as much of the text's end is read.
     """
-    back = F.reverse(F.regexp_replace(text, r"(?U)\s+", " "))
+    back = F.reverse(text)
+    if most is not None:
+        back = F.regexp_extract(back, rf"(?sU)^(?:\s++|\S){{0,{(most + 1) * sizes}}}+", 0)
+    back = F.regexp_replace(back, r"(?U)\s+", " ")
 
-    def repeats(n: int) -> Column:
+    def repeats(back: Column, n: int) -> Column:
         # The longest prefix of the reversed text with period n: possessive, so no back-tracking.
         run = F.regexp_extract(back, rf"(?s)^((.{{{n}}})\2*+)", 1)
         return F.floor(F.length(run) / n).cast("int")
 
-    return F.array(*[repeats(n) for n in range(1, sizes + 1)])
+    # Bound by a lambda: the end would else be made anew for every size.
+    return F.get(F.transform(F.array(back), lambda b: F.array(*[repeats(b, n) for n in range(1, sizes + 1)])), F.lit(0))
 
 
 def baseline_failure(text: Column, max_length: Column, max_repeats: int = 30) -> Column:
     """Why a page fails the baseline test, or null.  With a maximum length only that is judged."""
-    repeats = F.array_max(trailing_repeats(text))
+    repeats = F.array_max(trailing_repeats(text, most=max_repeats))
     return (
         F.when(max_length.isNotNull(), F.when(alnum_count(text) > max_length, "not_blank"))
-        .when(alnum_count(text) == 0, "no_alnum")
+        .when(~text.rlike(r"[\p{L}\p{N}]"), "no_alnum")
         .when(repeats > max_repeats, "repeats")
         .when(text.rlike(DISALLOWED), "disallowed_characters")
     )

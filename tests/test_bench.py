@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docflow.operators import bench
 from docflow.operators.bench import report, run_tests
 
 PAGE = "The quick **brown** fox\n\n| a | b |\n|---|---|\n| 1 | 22 |\n\nand $x^2$ then \\(y\\) jumps over the lazy dog."
@@ -67,3 +69,26 @@ def test_results_are_made_once(spark, tmp_path):
     assert {r["rate"] for r in out.collect()} == {0.5}
     with open(log) as f:
         assert len(f.read()) == 20
+
+
+def test_alike_outputs_of_a_page_are_judged_once(monkeypatch):
+    """Outputs of a page that are the same are read once, whatever batches they come in."""
+    kind = pa.list_(pa.struct([("id", pa.string()), *[(k, {"int": pa.int32(), "boolean": pa.bool_()}.get(v, pa.string())) for k, v in bench.FIELDS.items()]]))
+    test = lambda key: [{k: {"id": key, "category": "present", "type": "present", "text": "word"}.get(k) for k in ("id", *bench.FIELDS)}]
+    read: list[str] = []
+    monkeypatch.setattr(bench.Z, "normalize", lambda text, own=bench.Z.normalize: read.append(text) or own(text))
+    rows = [("a", "a word", "1"), ("b", "none", "1"), ("c", "a word", "1"), ("a", "a word", "2"), ("b", "a word", "2")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([c]), pa.array([md]), pa.array([test(key)], kind)], ["candidate", "md", "tests"]) for c, md, key in rows]
+    got = [tuple(r.values())[:4] for b in bench._textual(False)(iter(batches)) for r in b.to_pylist()]
+    assert got == [(c, "present", key, "word" in md) for c, md, key in rows]
+    assert [t for t in read if t != "word"] == ["a word", "none", "a word"]
+
+
+def test_weights_are_drawn_once(spark, monkeypatch):
+    """A test's weights serve the tests' own sum and the scores of all candidates, in one pass over one table."""
+    rows = spark.createDataFrame([("p", k, f"t{k}", "present", "word") for k in range(50)], "pdf string, page int, id string, type string, text string")
+    made: list[str] = []
+    monkeypatch.setattr(bench, "written", lambda df, name, own=bench.written: made.append(name) or own(df, name))
+    outputs = spark.createDataFrame([(c, "p", k, 1, "a word" if c == "x" or k % 2 else "") for c in "xy" for k in range(50)], OUT)
+    got = {(r["candidate"], r["category"]): r for r in report(rows, run_tests(rows, outputs), outputs.select("candidate"), 100).collect()}
+    assert made == ["bench-scores", "bench-draws"] and got["x", "overall"]["low"] == 1 and got["y", "present"]["rate"] == 0.5 and got["y", "present"]["tests"] == 50

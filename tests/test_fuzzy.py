@@ -267,3 +267,19 @@ def test_python_metrics_are_one_call(spark):
     assert plans[0].count("ArrowEvalPython") == 1
     assert rows["a"]["text_edit"] == round(2 / 13, 4) and rows["a"]["reading_order_ned"] == round(2 / 15, 4)
     assert rows["b"]["text_edit"] is None and rows["b"]["reading_order"] is None and rows[None]["text_edit_sim"] == 1
+
+
+def test_first_and_last_places_are_found_alone(monkeypatch):
+    """The start of the first or last match is known without those between; short stretches follow few cells and agree with the table."""
+    draw = random.Random(7)
+    for kinds in ("ab", "abcdef "):
+        for _ in range(300):
+            pattern, text = "".join(draw.choices(kinds, k=draw.randrange(1, 14))), "".join(draw.choices(kinds, k=draw.randrange(60)))
+            for most in (0, 1, 2):
+                assert not most or Z._near_held(pattern, text, most) == Z._near(pattern, text, most)
+                starts = [m[0] for m in Z.near_matches(pattern, text, most)]
+                assert (Z.near_start(pattern, text, most), Z.near_start(pattern, text, most, last=True)) == (min(starts, default=None), max(starts, default=None))
+    text = "".join(f"the quick brown fox {k:03d} {'-' * 60}" for k in range(50))
+    read: list[str] = []
+    monkeypatch.setattr(Z, "_near_held", lambda pattern, part, most, own=Z._near_held: read.append(part) or own(pattern, part, most))
+    assert Z.near_start("quick brawn fox", text, 1) == 4 and Z.near_start("quick brawn fox", text, 1, last=True) == text.rindex("quick") and len(read) == 2
