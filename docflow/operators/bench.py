@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +42,6 @@ FIELDS = {
 NEAR = ("up", "down", "left", "right", "top_heading", "left_heading")
 #: Types that need the page's text in Python.
 TEXTUAL = ("present", "absent", "order", "table")
-#: Tests whose weights a task keeps for the next candidate's score.
-_HELD = 4096
 #: Different outputs of a page whose results are held.
 _ALIKE = 16
 _RESULT = "candidate string, category string, id string, passed boolean, explanation string"
@@ -157,16 +154,19 @@ def _weighted(replicates: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
-
-        @lru_cache(_HELD)
-        def drawn(category: str, key: str) -> np.ndarray:
-            return np.random.default_rng([seed, zlib.crc32(f"{category}\0{key}".encode())]).poisson(1.0, replicates)
-
         for batch in batches:
+            # A batch's tests by place, and the scores of each group by the places of their tests.
+            tests: dict[tuple[str, str], int] = {}
+            scores: dict[tuple, list[tuple[int, float]]] = {}
             for own, candidate, category, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if value:
-                    total = sums.setdefault((own, candidate, category), np.zeros(replicates))
-                    total += drawn(category, key) if value == 1 else drawn(category, key) * value
+                    scores.setdefault((own, candidate, category), []).append((tests.setdefault((category, key), len(tests)), value))
+            weights = np.empty((len(tests), replicates))
+            for (category, key), k in tests.items():
+                weights[k] = np.random.default_rng([seed, zlib.crc32(f"{category}\0{key}".encode())]).poisson(1.0, replicates)
+            for group, own in scores.items():
+                places, values = zip(*own, strict=True)
+                sums[group] = sums.get(group, 0.0) + np.array(values) @ weights[list(places)]
         for (own, candidate, category), total in sums.items():
             columns = [pa.array([own] * replicates, pa.bool_()), pa.array([candidate] * replicates, pa.string()), pa.array([category] * replicates, pa.string()), pa.array(range(replicates), pa.int32()), pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, ["own", "candidate", "category", "replicate", "total"])
